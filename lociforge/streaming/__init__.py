@@ -1,0 +1,4 @@
+"""Nothing here on purpose: the engine is batch only.
+
+Row-wise functions (SAM parsing, CIGAR, MD, filters) also accept a streaming DataFrame.
+"""
