@@ -29,7 +29,8 @@ def _calls(this: Column, indexes: Column) -> Column:
 def parse_vcf(lines: DataFrame, samples: list[str] | None = None) -> DataFrame:
     """VCF data lines as genotypes, one row per sample and called alternate allele.
 
-    No-calls (``./.``) and hom-ref genotypes yield no row, symbolic alleles (``<DEL>``) neither.
+    No-calls (``./.``) and hom-ref genotypes yield no row, symbolic alleles (``<DEL>``) neither. The
+    open half of a partial call (``1/.``) is some other alternate allele.
     ``samples`` names the genotype columns in order; unnamed columns get ``sample<N>``.
     """
     f = F.split("value", "\t")
@@ -52,7 +53,7 @@ def parse_vcf(lines: DataFrame, samples: list[str] | None = None) -> DataFrame:
         F.posexplode("alts").alias("alt_no", "alt"),
     ).withColumn("_this", (F.col("alt_no") + 1).cast("string"))
     return (
-        exploded.filter(F.array_contains("gt", F.col("_this")) & ~F.array_contains("gt", "."))
+        exploded.filter(F.array_contains("gt", F.col("_this")))
         .filter(F.col("alt").rlike("^[A-Za-z]+$"))
         .select(
             "contig", "pos", "ref", F.upper("alt").alias("alt"), "sample",
