@@ -14,8 +14,8 @@ from lociforge.functions.cigar import BASE_OPS, REFERENCE_OPS, cigar_blocks
 from lociforge.functions.cigar import alignment_end, leading_clip
 from lociforge.functions.md import aligned_text, reference_text
 from lociforge.functions.quality import PHRED_OFFSET
-from lociforge.operators.intervals import loci as each_locus
-from lociforge.operators.overlap import first_overlaps, lookup, overlapping
+from lociforge.operators.intervals import loci as each_locus, merge
+from lociforge.operators.overlap import first_overlaps, lookup, overlapping_pairs
 from lociforge.operators.prefix import BIN_WIDTH, running_total
 
 #: Contig width that lands in one task before adaptive execution splits or joins tasks.
@@ -71,7 +71,7 @@ def elements(reads: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         prepared(reads)
         .select(
             *READ_KEYS, *keep, "start", "seq", "qual", "seq_bytes", "qual_bytes", "ref_text",
-            gaps_in_md.alias("gaps_in_md"), F.explode("blocks").alias("b"),
+            gaps_in_md.alias("gaps_in_md"), F.explode_outer("blocks").alias("b"),
         )
         .filter(F.col("b.op").isin(*REFERENCE_OPS) & (F.col("b.len") > 0))
         .select(
@@ -147,12 +147,14 @@ def base_reads(reads: DataFrame, clip_mode: str = "aligned") -> DataFrame:
     start = F.col("start")
     if clip_mode == "unclipped":
         start = start - leading_clip("cigar")
+    # An outer explode: the inner one makes the optimizer parse the CIGAR twice to test for rows.
     blocks = (
-        reads.select(
+        reads.withColumn("blocks", cigar_blocks("cigar"))
+        .select(
             "contig", "sample", "token", "mapq", start.alias("start"),
             F.col("seq").cast("binary").alias("seq_bytes"),
             F.col("qual").cast("binary").alias("qual_bytes"),
-            F.explode(cigar_blocks("cigar")).alias("b"),
+            F.explode_outer("blocks").alias("b"),
         )
         .filter(F.col("b.op").isin("M", "=", "X", "D") & (F.col("b.len") > 0))
         .select(
@@ -180,10 +182,20 @@ def allele_counts(rows: DataFrame, keys: tuple[str, ...] = ("contig", "locus", "
     return rows.groupBy(*keys, is_single_base().alias("is_base"), "allele").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("fwd").alias("n_fwd"),
-        F.max("ref_base").alias("ref_base"),
+        reference_base().alias("ref_base"),
     )
 
 
+def reference_base(column: str = "ref_base", smallest: bool = False) -> Column:
+    """The reference base of a pileup as an aggregate.
+
+    Compared as a number: a text maximum would turn the hash aggregate into a sort of base rows.
+    """
+    code = F.ascii(column)
+    found = F.min(code) if smallest else F.max(code)
+    return F.when(found.isNotNull(), F.char(found))
+
+
 def depth(rows: DataFrame, keys: tuple[str, ...] = ("contig", "locus")) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("depth"))
 
@@ -300,14 +312,8 @@ def window_pileup(
     reads: DataFrame, loci: DataFrame, half_window: int, *aggregates: Column
 ) -> DataFrame:
     """Aggregates over the reads near each locus: ``start <= locus + h`` and ``end - 1 >= locus - h``."""
-    near = overlapping(reads, loci, half_window)
-    at = near.select(
-        "*",
-        F.explode(
-            F.sequence(
-                F.greatest(F.col("start") - half_window, F.lit(0)).cast("bigint"),
-                (F.col("end") - 1 + half_window).cast("bigint"),
-            )
-        ).alias("locus"),
-    )
-    return lookup(at, loci.select("contig", "start", "end")).groupBy("contig", "locus").agg(*aggregates)
+    near = overlapping_pairs(reads, merge(loci), half_window)
+    low = F.greatest(F.col("start") - half_window, F.col("range_start"))
+    high = F.least(F.col("end") + half_window, F.col("range_end"))
+    at = near.select("*", F.explode(F.sequence(low, high - 1)).alias("locus"))
+    return at.groupBy("contig", "locus").agg(*aggregates)

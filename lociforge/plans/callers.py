@@ -14,7 +14,7 @@ from lociforge.functions.genotypes import ALT, NO_CALL, OTHER_ALT, REF, call_arr
 from lociforge.functions.quality import LOG_UNIT, log_hit, log_miss
 from lociforge.operators.filters import MIN_MAPQ, evidence, filter_pileups, min_base_quality
 from lociforge.operators.pileup import (
-    allele_counts, base_reads, by_neighbourhood, elements,
+    allele_counts, base_reads, by_neighbourhood, elements, reference_base,
 )
 from lociforge.sources.fasta import FRAGMENT_LENGTH, with_reference_base
 
@@ -297,7 +297,7 @@ def allele_evidence(rows: DataFrame) -> DataFrame:
         F.sum(n * log_miss("q")).cast("bigint").alias("miss"),
         F.sum(F.when(F.col("q") <= 0, n).otherwise(0)).cast("bigint").alias("zero"),
         F.sum(F.when(F.col("fwd"), n).otherwise(0)).cast("bigint").alias("n_fwd"),
-        F.max("ref_base").alias("ref_base"),
+        reference_base().alias("ref_base"),
     )
 
 
@@ -305,6 +305,8 @@ def _with_totals(alleles: DataFrame) -> DataFrame:
     locus = Window.partitionBy(*_SAMPLE_LOCUS)
     return (
         alleles.withColumn("depth", F.sum("n").over(locus))
+        .withColumn("depth_fwd", F.sum("n_fwd").over(locus))
+        .withColumn("ref", F.max("ref_base").over(locus))
         .withColumn("all_miss", F.sum("miss").over(locus))
     )
 
@@ -316,9 +318,12 @@ def genotype_likelihoods(alleles: DataFrame) -> DataFrame:
     """
     full = _with_totals(alleles)
     right = full.select(
-        *_SAMPLE_LOCUS, F.col("allele").alias("a2"), F.col("miss").alias("miss2")
+        *_SAMPLE_LOCUS, F.col("allele").alias("a2"), F.col("miss").alias("miss2"), F.col("n").alias("n2")
+    )
+    pairs = (
+        full.withColumnRenamed("allele", "a1").withColumnRenamed("n", "n1")
+        .join(right, _SAMPLE_LOCUS).filter("a1 <= a2")
     )
-    pairs = full.withColumnRenamed("allele", "a1").join(right, _SAMPLE_LOCUS).filter("a1 <= a2")
     same = F.col("a1") == F.col("a2")
     units = F.when(same, F.col("hit") + F.col("all_miss") - F.col("miss")).otherwise(
         F.col("all_miss") - F.col("miss") - F.col("miss2")
@@ -326,32 +331,34 @@ def genotype_likelihoods(alleles: DataFrame) -> DataFrame:
     value = F.when(same & (F.col("zero") > 0), F.lit(float("-inf"))).otherwise(
         units / F.lit(float(LOG_UNIT)) - F.col("depth")
     )
-    return pairs.select(*_SAMPLE_LOCUS, "a1", "a2", "depth", value.alias("log_likelihood")).withColumn(
+    return pairs.select(
+        *_SAMPLE_LOCUS, "a1", "a2", "n1", "n2", "depth", "depth_fwd", "ref", value.alias("log_likelihood")
+    ).withColumn(
         "likelihood", F.exp(F.col("log_likelihood") + F.col("depth") - F.col("depth") * F.ln(F.lit(2.0)))
     )
 
 
 def most_likely_genotypes(alleles: DataFrame, prior: DataFrame | None = None) -> DataFrame:
-    """Best genotype per locus and sample: ``a1, a2, depth, depth_fwd, ref``; ties to the smaller pair.
+    """Best genotype per locus and sample, ties to the smaller pair.
 
-    Without a prior no pairs are made: the best homozygote has the largest ``hit - miss``, the best
+    Columns: ``a1, a2`` with their element counts ``n1, n2``, ``depth, depth_fwd, ref``. Without a
+    prior no pairs are made: the best homozygote has the largest ``hit - miss``, the best
     heterozygote the two smallest ``miss``. A prior table ``a1, a2, log_prior`` (missing pairs count
     0) asks for the full table of pairs.
     """
-    per_locus = Window.partitionBy(*_SAMPLE_LOCUS)
-    totals = alleles.groupBy(*_SAMPLE_LOCUS).agg(
-        F.sum("n").alias("depth"), F.sum("n_fwd").alias("depth_fwd"), F.max("ref_base").alias("ref")
-    )
     if prior is not None:
         scored = genotype_likelihoods(alleles).join(prior, ["a1", "a2"], "left").withColumn(
             "score", F.col("log_likelihood") + F.coalesce("log_prior", F.lit(0.0))
         )
-        best = scored.groupBy(*_SAMPLE_LOCUS).agg(
-            F.min(F.struct((-F.col("score")).alias("o"), "a1", "a2")).alias("g")
-        ).select(*_SAMPLE_LOCUS, "g.a1", "g.a2")
-        return best.join(totals, _SAMPLE_LOCUS)
-    order = F.row_number().over(per_locus.orderBy("miss", "allele"))
+        best = F.min(
+            F.struct((-F.col("score")).alias("o"), "a1", "a2", "n1", "n2", "depth", "depth_fwd", "ref")
+        )
+        return scored.groupBy(*_SAMPLE_LOCUS).agg(best.alias("g")).select(
+            *_SAMPLE_LOCUS, "g.a1", "g.a2", "g.n1", "g.n2", "g.depth", "g.depth_fwd", "g.ref"
+        )
+    order = F.row_number().over(Window.partitionBy(*_SAMPLE_LOCUS).orderBy("miss", "allele"))
     hom = F.when(F.col("zero") == 0, F.col("hit") - F.col("miss"))
+    seen = F.struct("allele", "n")
     best = (
         alleles.withColumn("order", order)
         .groupBy(*_SAMPLE_LOCUS)
@@ -359,35 +366,31 @@ def most_likely_genotypes(alleles: DataFrame, prior: DataFrame | None = None) ->
             F.sum("n").alias("depth"),
             F.sum("n_fwd").alias("depth_fwd"),
             F.max("ref_base").alias("ref"),
-            F.min(F.when(hom.isNotNull(), F.struct((-hom).alias("o"), "allele"))).alias("hom"),
-            F.min("allele").alias("smallest"),
-            F.max(F.when(F.col("order") == 1, F.col("allele"))).alias("m1"),
-            F.max(F.when(F.col("order") == 2, F.col("allele"))).alias("m2"),
+            F.min(F.when(hom.isNotNull(), F.struct((-hom).alias("o"), "allele", "n"))).alias("hom"),
+            F.min(seen).alias("smallest"),
+            F.max(F.when(F.col("order") == 1, seen)).alias("m1"),
+            F.max(F.when(F.col("order") == 2, seen)).alias("m2"),
             F.sum(F.when(F.col("order") <= 2, F.col("miss"))).alias("miss2"),
         )
         .withColumn("het1", F.least("m1", "m2"))
         .withColumn("het2", F.when(F.col("m2").isNotNull(), F.greatest("m1", "m2")))
     )
     # Scores leave out the shared all_miss - depth: hom is hit - miss, het is -(miss + miss).
-    gain = -F.col("hom.o")
+    gain, het_gain = -F.col("hom.o"), -F.col("miss2")
+    first_by_name = (F.col("hom.allele") < F.col("het1.allele")) | (
+        (F.col("hom.allele") == F.col("het1.allele")) & (F.col("hom.allele") <= F.col("het2.allele"))
+    )
     use_hom = F.col("m2").isNull() | (
-        F.col("hom").isNotNull()
-        & (
-            (gain > -F.col("miss2"))
-            | (
-                (gain == -F.col("miss2"))
-                & (
-                    (F.col("hom.allele") < F.col("het1"))
-                    | ((F.col("hom.allele") == F.col("het1")) & (F.col("hom.allele") <= F.col("het2")))
-                )
-            )
-        )
+        F.col("hom").isNotNull() & ((gain > het_gain) | ((gain == het_gain) & first_by_name))
     )
-    hom_allele = F.coalesce(F.col("hom.allele"), F.col("smallest"))
+    hom_allele = F.coalesce("hom.allele", "smallest.allele")
+    hom_n = F.coalesce("hom.n", "smallest.n")
     return best.select(
         *_SAMPLE_LOCUS,
-        F.when(use_hom, hom_allele).otherwise(F.col("het1")).alias("a1"),
-        F.when(use_hom, hom_allele).otherwise(F.col("het2")).alias("a2"),
+        F.when(use_hom, hom_allele).otherwise(F.col("het1.allele")).alias("a1"),
+        F.when(use_hom, hom_allele).otherwise(F.col("het2.allele")).alias("a2"),
+        F.when(use_hom, hom_n).otherwise(F.col("het1.n")).alias("n1"),
+        F.when(use_hom, hom_n).otherwise(F.col("het2.n")).alias("n2"),
         "depth", "depth_fwd", "ref",
     )
 
@@ -428,16 +431,17 @@ def bayes_calls_from(
 ) -> DataFrame:
     best = most_likely_genotypes(alleles, prior)
     names = classify_pair(F.col("a1"), F.col("a2"), F.col("ref"))
-    alts = F.filter(F.array_distinct(F.array("a1", "a2")), lambda a: a != F.col("ref"))
+    one = F.struct(F.col("a1").alias("alt"), F.col("n1").alias("n"))
+    two = F.struct(F.col("a2").alias("alt"), F.col("n2").alias("n"))
+    distinct = F.when(F.col("a1") == F.col("a2"), F.array(one)).otherwise(F.array(one, two))
+    alts = F.filter(distinct, lambda a: a["alt"] != F.col("ref"))
     if emit_ref:
-        alts = F.when(F.size(alts) == 0, F.array("ref")).otherwise(alts)
-    rows = best.select(
-        *_SAMPLE_LOCUS, "ref", "depth", "depth_fwd", names.alias("alleles"), F.explode(alts).alias("alt")
-    )
-    own = alleles.select(*_SAMPLE_LOCUS, F.col("allele").alias("alt"), F.col("n").alias("n_alt"))
-    return rows.join(own, [*_SAMPLE_LOCUS, "alt"], "left").select(
-        "contig", F.col("locus").alias("pos"), "ref", "alt", "sample", "alleles",
+        alts = F.when(F.size(alts) == 0, F.array(one)).otherwise(alts)
+    return best.select(
+        *_SAMPLE_LOCUS, "ref", "depth", "depth_fwd", names.alias("alleles"), F.explode(alts).alias("c")
+    ).select(
+        "contig", F.col("locus").alias("pos"), "ref", F.col("c.alt").alias("alt"), "sample", "alleles",
         F.col("depth").cast("int").alias("read_depth"),
-        F.col("n_alt").cast("int").alias("alt_read_depth"),
+        F.col("c.n").cast("int").alias("alt_read_depth"),
         F.col("depth_fwd").cast("int").alias("fwd_reads"),
     )

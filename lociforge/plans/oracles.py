@@ -29,7 +29,7 @@ all_r AS (
            20 + l_orderkey % 41 AS mapq,
            l_orderkey % 17 = 0 AS is_dup, l_orderkey % 23 = 0 AS fail_qc, l_returnflag <> 'R' AS fwd
     FROM lineitem)),
-r AS (SELECT *, s + span AS e FROM all_r WHERE NOT is_dup)"""
+r AS (SELECT *, s + span AS e FROM all_r WHERE NOT is_dup AND NOT (shape = 7 AND s < 2))"""
 
 _BASES = f"""
 b AS (
@@ -423,7 +423,8 @@ SELECT * FROM gt WHERE read_depth > 20 AND alt_read_depth > 10
     "threshold_calls": f"{_threshold(8, False)}\nSELECT * FROM gt",
     "threshold_calls_all": f"{_threshold(90, True)}\nSELECT * FROM gt",
     "somatic_threshold_calls": _SOMATIC_THRESHOLD,
-    "somatic_calls": f"""{ELEMENTS}, {_BASE_ROWS}, {_TOP},
+    "somatic_calls": f"""{ELEMENTS.replace("THEN 1 ELSE 2 END AS token", "AND l_orderkey % 3 = 0 THEN 1 ELSE 2 END AS token")},
+{_BASE_ROWS}, {_TOP},
 best AS (SELECT * FROM ranked WHERE token = 1 AND rk = 1),
 nd AS (SELECT DISTINCT contig, locus, depth FROM ranked WHERE token = 2),
 rf AS (SELECT contig, locus, max(ref_base) AS ref FROM el GROUP BY ALL)

@@ -104,7 +104,8 @@ def md_mismatches(spark, d):
 def reference_from_md(spark, d):
     """Reference base per locus, from the MD tags of the reads alone."""
     return pileup.pileup(
-        _elements(spark, d), F.max("ref_base").alias("ref_base"), F.min("ref_base").alias("ref_low")
+        _elements(spark, d), pileup.reference_base().alias("ref_base"),
+        pileup.reference_base(smallest=True).alias("ref_low"),
     )
 
 
@@ -315,7 +316,7 @@ def somatic_threshold_calls(spark, d):
 @query
 def somatic_calls(spark, d):
     found = callers.somatic_calls(
-        views.reads(spark, d), views.reference(spark, d), fragment_length=views.FRAGMENT, cluster=False,
+        views.clone_reads(spark, d), views.reference(spark, d), fragment_length=views.FRAGMENT, cluster=False,
     )
     return _calls(found).drop("fwd_reads")
 

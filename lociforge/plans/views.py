@@ -18,6 +18,8 @@ CONTIG_LENGTH = 2052
 READ_START_SPAN = 2000
 FRAGMENT = 500
 STRETCH = 64
+# A mapped read does not start before the contig, clipped bases included.
+MAPPED = "NOT (shape = 7 AND start < 2)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,10 +133,10 @@ def all_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
         "contig", "start", "start + span AS end",
         "CASE shape WHEN 5 THEN concat(h, 'M2D', len - h, 'M') WHEN 6 THEN concat(h, 'M1I', len - h - 1, 'M') "
         "WHEN 7 THEN concat('2S', len - 2, 'M') ELSE concat(len, 'M') END AS cigar",
-        f"{md} AS md",
+        f"coalesce({md}, '') AS md",
         f"{shaped('text', quote('T'), quote('TT'))} AS seq",
         f"{shaped('q_span', 'char(35 + ok % 40)', quote('##'))} AS qual",
-        "mapq", "sample", "token", "is_dup", "fail_qc", "fwd", "true AS is_mapped",
+        "mapq", "sample", "token", "is_dup", "fail_qc", "fwd", f"{MAPPED} AS is_mapped", "som = 1 AS clone",
     )
 
 
@@ -142,6 +144,11 @@ def quote(text: str) -> str:
     return f"'{text}'"
 
 
+def clone_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same reads with the planted clone as the tumor sample and everything else as normal."""
+    return reads(spark, sf_dir).withColumn("token", F.expr("if(clone, 1, 2)"))
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mapped, non-duplicate reads."""
     return all_reads(spark, sf_dir).filter("is_mapped AND NOT is_dup")
@@ -149,7 +156,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-duplicate reads without their texts: ``contig, start, end, sample, token, mapq, fwd``."""
-    return read_layout(table(spark, sf_dir, "lineitem")).filter("NOT is_dup").selectExpr(
+    return read_layout(table(spark, sf_dir, "lineitem")).filter(f"NOT is_dup AND {MAPPED}").selectExpr(
         "contig", "start", "start + span AS end", "sample", "token", "mapq", "fwd"
     )
 
@@ -157,10 +164,11 @@ def read_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sam_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored reads as SAM text lines (``value``)."""
     flag = "if(fwd, 0, 16) + if(is_dup, 1024, 0) + if(fail_qc, 512, 0)"
+    # One generated row per read keeps the line text from being rebuilt for every parsed field.
     return all_reads(spark, sf_dir).selectExpr(
-        "concat_ws('\\t', 'r', cast("
+        "explode(array(concat_ws('\\t', 'r', cast("
         f"{flag} AS STRING), contig, cast(start + 1 AS STRING), cast(mapq AS STRING), cigar, '*', '0', "
-        "'0', seq, qual, concat('RG:Z:', sample), concat('MD:Z:', md)) AS value"
+        "'0', seq, qual, concat('RG:Z:', sample), concat('MD:Z:', md)))) AS value"
     )
 
 
