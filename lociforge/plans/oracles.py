@@ -29,7 +29,7 @@ all_r AS (
            20 + l_orderkey % 41 AS mapq,
            l_orderkey % 17 = 0 AS is_dup, l_orderkey % 23 = 0 AS fail_qc, l_returnflag <> 'R' AS fwd
     FROM lineitem)),
-r AS (SELECT *, s + span AS e FROM all_r WHERE NOT is_dup AND NOT (shape = 7 AND s < 2))"""
+r AS (SELECT *, s + span AS e FROM all_r WHERE NOT is_dup AND NOT (shape = 7 AND s < 1))"""
 
 _BASES = f"""
 b AS (

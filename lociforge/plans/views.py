@@ -18,8 +18,8 @@ CONTIG_LENGTH = 2052
 READ_START_SPAN = 2000
 FRAGMENT = 500
 STRETCH = 64
-# A mapped read does not start before the contig, clipped bases included.
-MAPPED = "NOT (shape = 7 AND start < 2)"
+# Mapped: the 1-based start, clipped bases included, is not negative.
+MAPPED = "NOT (shape = 7 AND start < 1)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

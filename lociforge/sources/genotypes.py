@@ -33,13 +33,15 @@ def parse_vcf(lines: DataFrame, samples: list[str] | None = None) -> DataFrame:
     open half of a partial call (``1/.``) is some other alternate allele.
     ``samples`` names the genotype columns in order; unnamed columns get ``sample<N>``.
     """
+    # Null-safe access and casts: the optimizer may evaluate these on header lines as well.
     f = F.split("value", "\t")
+    field = lambda i: F.get(f, F.lit(i))
     rows = lines.filter(~F.col("value").startswith("#") & (F.length("value") > 0)).select(
-        f[0].alias("contig"),
-        (f[1].cast("bigint") - 1).alias("pos"),
-        F.upper(f[3]).alias("ref"),
-        F.split(f[4], ",").alias("alts"),
-        F.array_position(F.split(f[8], ":"), "GT").cast("int").alias("gt_at"),
+        field(0).alias("contig"),
+        (field(1).try_cast("bigint") - 1).alias("pos"),
+        F.upper(field(3)).alias("ref"),
+        F.split(field(4), ",").alias("alts"),
+        F.array_position(F.split(field(8), ":"), "GT").cast("int").alias("gt_at"),
         F.posexplode(F.slice(f, 10, F.greatest(F.size(f) - 9, F.lit(0)))).alias("col", "call"),
     )
     names = F.array(*[F.lit(s) for s in samples]) if samples else F.array().cast("array<string>")

@@ -20,16 +20,16 @@ def parse_specs(specs: DataFrame, column: str = "spec") -> DataFrame:
     pieces = specs.select(
         *others, F.explode(F.split(F.regexp_replace(column, r"\s", ""), ",")).alias("_piece")
     ).filter("_piece <> ''")
-    piece = F.col("_piece")
-    start = F.regexp_extract(piece, _RANGE, 2).cast("bigint")
-    end = F.regexp_extract(piece, _RANGE, 3).cast("bigint")
-    bad = ~piece.rlike(_RANGE) | (end < start)
-    problem = F.raise_error(F.concat(F.lit("bad locus range: "), piece))
+    problem = F.raise_error(F.concat(F.lit("bad locus range: "), F.col("_piece")))
+    # Positions come from the checked text too, so that no later filter can hide a bad range.
+    piece = F.when(F.col("_piece").rlike(_RANGE), F.col("_piece")).otherwise(problem)
+    start = F.regexp_extract(piece, _RANGE, 2).try_cast("bigint")
+    end = F.regexp_extract(piece, _RANGE, 3).try_cast("bigint")
     return pieces.select(
         *others,
-        F.when(bad, problem).otherwise(F.regexp_extract(piece, _RANGE, 1)).alias("contig"),
+        F.regexp_extract(piece, _RANGE, 1).alias("contig"),
         start.alias("start"),
-        end.alias("end"),
+        F.when(end >= start, end).otherwise(problem.cast("bigint")).alias("end"),
     ).filter("end > start")
 
 

@@ -54,18 +54,19 @@ def parse_alignments(lines: DataFrame, token: int = 0, groups: DataFrame | None
 
     ``groups`` maps read group ids to samples. The header bounds it to one row per read group.
     """
-    f = F.split("value", "\t", 12)
-    flag = f[1].cast("int")
+    # Null-safe access and casts: the optimizer may evaluate these on header lines as well.
+    fields = F.split("value", "\t", 12)
+    field = lambda i: F.get(fields, F.lit(i))
     reads = lines.filter(~F.col("value").startswith("@") & (F.length("value") > 0)).select(
-        f[2].alias("contig"),
-        (f[3].cast("bigint") - 1).alias("start"),
-        f[4].cast("int").alias("mapq"),
-        f[5].alias("cigar"),
-        f[9].alias("seq"),
-        F.when(f[10] != "*", f[10]).alias("qual"),
+        field(2).alias("contig"),
+        (field(3).try_cast("bigint") - 1).alias("start"),
+        field(4).try_cast("int").alias("mapq"),
+        field(5).alias("cigar"),
+        field(9).alias("seq"),
+        F.when(field(10) != "*", field(10)).alias("qual"),
         _tag("MD").alias("md"),
         _tag("RG").alias("rg"),
-        flag.alias("flag"),
+        field(1).try_cast("int").alias("flag"),
         F.lit(token).alias("token"),
     )
     if groups is None:
@@ -90,7 +91,7 @@ def parse_alignments(lines: DataFrame, token: int = 0, groups: DataFrame | None
 def is_mapped(strict: bool = False) -> Column:
     """Mapped test on flag, contig, mapping quality, start and unclipped start.
 
-    ``strict`` is the slim-read variant, which also refuses the very first base of a contig.
+    Starts are tested in 1-based terms: not negative, or with ``strict`` (the slim-read variant) positive.
     """
     lowest = 1 if strict else 0
     return (
