@@ -15,7 +15,7 @@ from lociforge.functions.cigar import alignment_end, leading_clip
 from lociforge.functions.md import aligned_text, reference_text
 from lociforge.functions.quality import PHRED_OFFSET
 from lociforge.operators.intervals import loci as each_locus, merge
-from lociforge.operators.overlap import first_overlaps, lookup, overlapping_pairs
+from lociforge.operators.overlap import first_overlaps, lookup, overlapping, overlapping_pairs
 from lociforge.operators.prefix import BIN_WIDTH, running_total
 
 #: Contig width that lands in one task before adaptive execution splits or joins tasks.
@@ -186,6 +186,15 @@ def allele_counts(rows: DataFrame, keys: tuple[str, ...] = ("contig", "locus", "
     )
 
 
+def base_allele_counts(
+    rows: DataFrame, keys: tuple[str, ...] = ("contig", "locus", "sample")
+) -> DataFrame:
+    """Counts per single-base allele; everything else shares the null allele (it counts as depth)."""
+    return rows.groupBy(*keys, F.when(is_single_base(), F.col("allele")).alias("allele")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("fwd").alias("n_fwd"), reference_base().alias("ref_base")
+    )
+
+
 def reference_base(column: str = "ref_base", smallest: bool = False) -> Column:
     """The reference base of a pileup as an aggregate.
 
@@ -215,18 +224,27 @@ def pileup(
     return rows.groupBy(*keys).agg(*aggregates)
 
 
+def restrict(reads: DataFrame, loci: DataFrame | None) -> DataFrame:
+    """Reads that overlap the locus set (all reads without one), before anything is expanded."""
+    return reads if loci is None else overlapping(reads, loci)
+
+
+def on_loci(rows: DataFrame, loci: DataFrame | None) -> DataFrame:
+    """Per-locus rows inside the set. Meant for aggregated rows, one or a few per locus."""
+    return rows if loci is None else lookup(rows, merge(loci))
+
+
 def pileup_over(
-    rows: DataFrame,
-    loci: DataFrame,
-    *aggregates: Column,
-    include_empty: bool = False,
-    keys: tuple[str, ...] = ("contig", "locus"),
+    reads: DataFrame, loci: DataFrame, *aggregates: Column, include_empty: bool = False
 ) -> DataFrame:
-    """:func:`pileup` over a locus set; with ``include_empty`` also at loci without reads."""
-    found = pileup(lookup(rows, loci.select("contig", "start", "end")), *aggregates, keys=keys)
+    """:func:`pileup` over a locus set; with ``include_empty`` also at loci without reads.
+
+    Reads are picked by the set first and loci after aggregation; base rows meet no join.
+    """
+    found = on_loci(pileup(elements(restrict(reads, loci)), *aggregates), loci)
     if not include_empty:
         return found
-    return each_locus(loci.select("contig", "start", "end")).join(found, ["contig", "locus"], "left")
+    return each_locus(merge(loci)).join(found, ["contig", "locus"], "left")
 
 
 def paired(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("contig", "locus")) -> DataFrame:

@@ -14,7 +14,8 @@ from lociforge.functions.genotypes import ALT, NO_CALL, OTHER_ALT, REF, call_arr
 from lociforge.functions.quality import LOG_UNIT, log_hit, log_miss
 from lociforge.operators.filters import MIN_MAPQ, evidence, filter_pileups, min_base_quality
 from lociforge.operators.pileup import (
-    allele_counts, base_reads, by_neighbourhood, elements, reference_base,
+    base_allele_counts, base_reads, by_neighbourhood, elements, is_single_base, on_loci, reference_base,
+    restrict,
 )
 from lociforge.sources.fasta import FRAGMENT_LENGTH, with_reference_base
 
@@ -29,8 +30,9 @@ _LOCUS = ["contig", "locus"]
 _SAMPLE_LOCUS = ["contig", "locus", "sample"]
 
 
-def _expanded(reads: DataFrame, cluster: bool) -> DataFrame:
-    return elements(by_neighbourhood(reads) if cluster else reads)
+def _expanded(reads: DataFrame, cluster: bool, loci: DataFrame | None = None) -> DataFrame:
+    chosen = restrict(reads, loci)
+    return elements(by_neighbourhood(chosen) if cluster else chosen)
 
 
 def _genotypes(rows: DataFrame, *extra: str) -> DataFrame:
@@ -63,6 +65,7 @@ def threshold_calls(
     threshold: int = THRESHOLD,
     emit_ref: bool = False,
     emit_no_call: bool = False,
+    loci: DataFrame | None = None,
     cluster: bool = True,
 ) -> DataFrame:
     """Call alleles whose integer percent of all elements is above ``threshold``, per sample.
@@ -70,23 +73,18 @@ def threshold_calls(
     Reads without an MD tag are left out: MD supplies the reference base.
     """
     with_md = reads.filter(F.col("md").isNotNull())
-    return threshold_calls_from(
-        allele_counts(_expanded(with_md, cluster)), threshold, emit_ref, emit_no_call
-    )
+    counts = on_loci(base_allele_counts(_expanded(with_md, cluster, loci)), loci)
+    return threshold_calls_from(counts, threshold, emit_ref, emit_no_call)
 
 
 def threshold_calls_from(
     counts: DataFrame, threshold: int = THRESHOLD, emit_ref: bool = False, emit_no_call: bool = False
 ) -> DataFrame:
-    """As :func:`threshold_calls`, from allele counts."""
-    # Insertions and deletions count for the depth only; reduce them to one row per locus.
-    per_base = counts.groupBy(*_SAMPLE_LOCUS, F.when(F.col("is_base"), F.col("allele")).alias("allele")).agg(
-        F.sum("n").alias("n"), F.sum("n_fwd").alias("n_fwd"), F.max("ref_base").alias("ref_base")
-    )
+    """As :func:`threshold_calls`, from single-base allele counts."""
     ranked = _by_count(
         [(-F.col("n")).alias("order"), F.col("allele"), F.col("n")], F.col("allele").isNotNull()
     )
-    per_locus = per_base.groupBy(*_SAMPLE_LOCUS).agg(
+    per_locus = counts.groupBy(*_SAMPLE_LOCUS).agg(
         F.sum("n").alias("depth"),
         F.sum("n_fwd").alias("depth_fwd"),
         F.max("ref_base").alias("ref"),
@@ -116,13 +114,9 @@ def threshold_calls_from(
 
 
 def allele_percents(counts: DataFrame, keys: tuple[str, ...] = ("contig", "locus", "sample")) -> DataFrame:
-    """Percent of all elements per single-base allele; indels count in the total only."""
-    per_base = counts.groupBy(*keys, F.when(F.col("is_base"), F.col("allele")).alias("allele")).agg(
-        F.sum("n").alias("n")
-    )
-    total = F.sum("n").over(Window.partitionBy(*keys))
+    """Percent of all elements per single base, from :func:`base_allele_counts`."""
     return (
-        per_base.withColumn("depth", total)
+        counts.withColumn("depth", F.sum("n").over(Window.partitionBy(*keys)))
         .filter(F.col("allele").isNotNull())
         .withColumn("percent", F.col("n") * 100.0 / F.col("depth"))
     )
@@ -133,26 +127,17 @@ def somatic_threshold_calls(
     threshold_tumor: int = THRESHOLD_TUMOR,
     threshold_normal: int = THRESHOLD_NORMAL,
     allow_ref: bool = False,
+    loci: DataFrame | None = None,
     cluster: bool = True,
 ) -> DataFrame:
     """Two-threshold tumor/normal calls over one read set with tokens 1 (tumor) and 2 (normal)."""
-    with_md = reads.filter(F.col("md").isNotNull())
-    counts = allele_counts(_expanded(with_md, cluster), ("contig", "locus", "token"))
-    return somatic_threshold_calls_from(counts, threshold_tumor, threshold_normal, allow_ref)
-
-
-def somatic_threshold_calls_from(
-    counts: DataFrame, threshold_tumor: int = THRESHOLD_TUMOR,
-    threshold_normal: int = THRESHOLD_NORMAL, allow_ref: bool = False,
-) -> DataFrame:
-    """As :func:`somatic_threshold_calls`, from allele counts keyed by contig, locus and token."""
-    tumor = F.col("token") == TUMOR
-    normal = F.col("token") == NORMAL
-    per_base = counts.groupBy(*_LOCUS, F.when(F.col("is_base"), F.col("allele")).alias("allele")).agg(
-        F.sum(F.when(tumor, F.col("n")).otherwise(0)).alias("n"),
-        F.sum(F.when(normal, F.col("n")).otherwise(0)).alias("n_normal"),
-        F.sum(F.when(tumor, F.col("n_fwd")).otherwise(0)).alias("n_fwd"),
-        F.max("ref_base").alias("ref_base"),
+    rows = _expanded(reads.filter(F.col("md").isNotNull()), cluster, loci)
+    tumor, normal = F.col("token") == TUMOR, F.col("token") == NORMAL
+    counts = rows.groupBy(*_LOCUS, F.when(is_single_base(), F.col("allele")).alias("allele")).agg(
+        F.count_if(tumor).alias("n"),
+        F.count_if(normal).alias("n_normal"),
+        F.count_if(tumor & F.col("fwd")).alias("n_fwd"),
+        reference_base().alias("ref_base"),
     )
     ranked = _by_count(
         [(-F.col("n")).alias("order"), F.col("allele"), F.col("n"), F.col("n_normal")],
@@ -160,7 +145,7 @@ def somatic_threshold_calls_from(
     )
     not_ref = "true" if allow_ref else "a.allele <> ref"
     per_locus = (
-        per_base.groupBy(*_LOCUS)
+        on_loci(counts, loci).groupBy(*_LOCUS)
         .agg(
             F.sum("n").alias("depth"),
             F.sum("n_normal").alias("depth_normal"),
@@ -186,15 +171,17 @@ def somatic_threshold_calls_from(
     return _genotypes(per_locus.withColumn("calls", calls))
 
 
+def _usable(rows: DataFrame, min_base_quality_: int, min_mapq: int | None) -> DataFrame:
+    kept = min_base_quality(rows, min_base_quality_) if min_base_quality_ > 0 else rows
+    return kept if min_mapq is None else kept.filter(F.col("mapq") > min_mapq)
+
+
 def base_counts(
     rows: DataFrame, min_base_quality_: int = 0, min_mapq: int | None = None,
     keys: tuple[str, ...] = ("contig", "locus", "token"),
 ) -> DataFrame:
     """Counts per base, the deletion (null base) included."""
-    kept = min_base_quality(rows, min_base_quality_) if min_base_quality_ > 0 else rows
-    if min_mapq is not None:
-        kept = kept.filter(F.col("mapq") > min_mapq)
-    return kept.groupBy(*keys, "base").agg(F.count(F.lit(1)).alias("n"))
+    return _usable(rows, min_base_quality_, min_mapq).groupBy(*keys, "base").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_bases(counts: DataFrame, percent: int = TOP_PERCENT, keys: tuple[str, ...] = ("contig", "locus", "token")) -> DataFrame:
@@ -233,10 +220,9 @@ def somatic_calls(
     reference base.
     """
     rows = base_reads(by_neighbourhood(reads) if cluster else reads, clip_mode)
-    counts = base_counts(rows, min_base_quality_, min_mapq)
-    both = counts.groupBy(*_LOCUS, "base").agg(
-        F.sum(F.when(F.col("token") == TUMOR, F.col("n")).otherwise(0)).alias("n_tumor"),
-        F.sum(F.when(F.col("token") == NORMAL, F.col("n")).otherwise(0)).alias("n_normal"),
+    both = _usable(rows, min_base_quality_, min_mapq).groupBy(*_LOCUS, "base").agg(
+        F.count_if(F.col("token") == TUMOR).alias("n_tumor"),
+        F.count_if(F.col("token") == NORMAL).alias("n_normal"),
     )
     # The null base sorts last on equal counts.
     no_base = F.col("base").isNull()
@@ -401,13 +387,15 @@ def bayes_evidence(
     max_complexity: int = 100,
     no_ambiguous: bool = False,
     max_ploidy: int | None = None,
+    loci: DataFrame | None = None,
     cluster: bool = True,
 ) -> DataFrame:
     """Allele evidence after the pileup filters; only the mapping quality filter is on by default."""
-    rows = _expanded(reads, cluster)
+    rows = _expanded(reads, cluster, loci)
     if max_complexity >= 100 and not no_ambiguous and max_ploidy is None:
-        return allele_evidence(rows.filter(F.col("mapq") > min_mapq) if min_mapq > 0 else rows)
-    reduced = evidence(rows, "q", "fwd", "ref_base")
+        found = allele_evidence(rows.filter(F.col("mapq") > min_mapq) if min_mapq > 0 else rows)
+        return on_loci(found, loci)
+    reduced = on_loci(evidence(rows, "q", "fwd", "ref_base"), loci)
     return allele_evidence(
         filter_pileups(reduced, ("contig", "locus", "sample"), min_mapq, max_complexity, no_ambiguous, max_ploidy)
     )
@@ -418,11 +406,12 @@ def bayes_calls(
     min_mapq: int = MIN_MAPQ,
     emit_ref: bool = False,
     prior: DataFrame | None = None,
+    loci: DataFrame | None = None,
     cluster: bool = True,
     **pileup_filters,
 ) -> DataFrame:
     """Most likely diploid genotype per locus and sample, one row per distinct alternate allele."""
-    alleles = bayes_evidence(reads, min_mapq, cluster=cluster, **pileup_filters)
+    alleles = bayes_evidence(reads, min_mapq, loci=loci, cluster=cluster, **pileup_filters)
     return bayes_calls_from(alleles, emit_ref, prior)
 
 

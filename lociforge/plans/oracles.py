@@ -421,6 +421,9 @@ SELECT contig, {_big('locus', 'locus')}, sample, allele, n, CAST(rank AS INTEGER
 SELECT * FROM gt WHERE read_depth > 20 AND alt_read_depth > 10
   AND (fwd_reads * 100.0 / read_depth BETWEEN 55 AND 75 OR alt_read_depth >= 40)""",
     "threshold_calls": f"{_threshold(8, False)}\nSELECT * FROM gt",
+    "threshold_calls_on_loci": f"""{_threshold(8, True)}, {_TARGETS}
+SELECT * FROM gt WHERE alleles <> 'NoCall/NoCall'
+  AND EXISTS (SELECT 1 FROM tg WHERE tg.contig = gt.contig AND gt.pos >= tg.s AND gt.pos < tg.e)""",
     "threshold_calls_all": f"{_threshold(90, True)}\nSELECT * FROM gt",
     "somatic_threshold_calls": _SOMATIC_THRESHOLD,
     "somatic_calls": f"""{ELEMENTS.replace("THEN 1 ELSE 2 END AS token", "AND l_orderkey % 3 = 0 THEN 1 ELSE 2 END AS token")},

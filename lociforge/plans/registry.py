@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociforge.functions import bases, cigar, genotypes, md, quality
@@ -164,8 +164,9 @@ def alignment_kinds(spark, d):
 @query
 def pileup_over_loci(spark, d):
     """Depth at every target locus, zero-read loci included."""
-    targets = intervals.merge(views.targets(spark, d))
-    found = pileup.pileup_over(_elements(spark, d), targets, _count("depth"), include_empty=True)
+    found = pileup.pileup_over(
+        views.reads(spark, d), views.targets(spark, d), _count("depth"), include_empty=True
+    )
     return found.select("contig", "locus", F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"))
 
 
@@ -221,15 +222,14 @@ def top_bases(spark, d):
 
 @query
 def allele_percents(spark, d):
-    counts = pileup.allele_counts(_elements(spark, d))
-    return callers.allele_percents(counts).withColumn("percent", F.round("percent", 6))
+    counts = pileup.base_allele_counts(_elements(spark, d))
+    return callers.allele_percents(counts).drop("n_fwd", "ref_base").withColumn("percent", F.round("percent", 6))
 
 
 @query
 def grouped_alleles_top2(spark, d):
     """The two most frequent single-base alleles per locus and sample."""
-    rows = callers.allele_percents(pileup.allele_counts(_elements(spark, d)))
-    from pyspark.sql import Window
+    rows = callers.allele_percents(pileup.base_allele_counts(_elements(spark, d)))
 
     rank = F.row_number().over(
         Window.partitionBy("contig", "locus", "sample").orderBy(F.desc("n"), "allele")
@@ -300,6 +300,16 @@ def threshold_calls(spark, d):
     return _calls(callers.threshold_calls(views.reads(spark, d), cluster=False))
 
 
+@query
+def threshold_calls_on_loci(spark, d):
+    """Threshold calls on a locus set only, hom-ref rows included."""
+    return _calls(
+        callers.threshold_calls(
+            views.reads(spark, d), emit_ref=True, loci=views.targets(spark, d), cluster=False
+        )
+    )
+
+
 @query
 def threshold_calls_all(spark, d):
     """With hom-ref and no-call rows, at a threshold most loci fail."""

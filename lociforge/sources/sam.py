@@ -138,15 +138,24 @@ def load_reads(
     mapped: bool = True,
     non_duplicate: bool = True,
     passed_quality_checks: bool = True,
+    header: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Reads and contig dictionary of SAM text files (or of a Parquet reads table)."""
+    """Reads and contig dictionary of SAM text files (or of a Parquet reads table).
+
+    ``header`` names a text file with the header lines alone; with it the alignment files are read
+    once instead of also being searched for their few header lines.
+    """
     if isinstance(path, str) and path.rstrip("/").endswith(".parquet"):
         reads = spark.read.parquet(path).withColumn("token", F.lit(token))
-        contigs = reads.groupBy("contig").agg(F.max("end").alias("length"))
+        contigs = (
+            contig_dictionary(read_lines(spark, header)) if header
+            else reads.groupBy("contig").agg(F.max("end").alias("length"))
+        )
     else:
         lines = read_lines(spark, path)
-        contigs = contig_dictionary(lines)
-        reads = parse_alignments(lines, token, read_groups(lines))
+        head = read_lines(spark, header) if header else lines
+        contigs = contig_dictionary(head)
+        reads = parse_alignments(lines, token, read_groups(head))
     return select_reads(reads, mapped, non_duplicate, passed_quality_checks), contigs
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from helpers import make_read, reads_df
 from lociforge.operators import pileup
 from lociforge.plans import callers, concordance
-from lociforge.sources import fasta
+from lociforge.sources import fasta, loci
 
 GENOTYPE = ("contig string, pos bigint, ref string, alt string, sample string, alleles array<string>, "
             "read_depth int, alt_read_depth int, fwd_reads int")
@@ -192,10 +192,21 @@ def test_bayes_filter_chain(spark):
     assert calls(callers.bayes_calls(df, max_ploidy=1)) == []
 
 
+def test_calls_on_loci(spark):
+    mixed = [("TCGATCGA", "8M", "8"), ("CCGGTCGA", "8M", "0T2A4"), ("CCGGTCGA", "8M", "0T2A4")]
+    df = reads_df(spark, *[make_read(*m, mapq=40) for m in mixed], make_read("A", "1M", "0C0", start=90))
+    one = loci.parse(spark, "chr1:2-6")
+    want = [(4, "A", "G", "Ref/Alt")]
+    assert calls(callers.threshold_calls(df, 0, loci=one)) == want
+    assert [c[0] for c in calls(callers.threshold_calls(df, 0))] == [1, 4, 90]
+    assert calls(callers.bayes_calls(df, loci=one)) == want
+    assert calls(callers.bayes_calls(df, loci=one, max_ploidy=2)) == want
+
+
 def test_allele_percents(spark):
     df = reads_df(spark, make_read("AC", "2M", "2", start=0), make_read("GC", "2M", "0A1", start=0),
                   make_read("A", "1M1D", "1^C", start=0), make_read("AC", "2M", "2", start=0))
-    counts = pileup.allele_counts(pileup.elements(df))
+    counts = pileup.base_allele_counts(pileup.elements(df))
     got = {(r["locus"], r["allele"]): r["percent"] for r in callers.allele_percents(counts).collect()}
     assert got == {(0, "A"): 75.0, (0, "G"): 25.0, (1, "C"): 75.0}
 

@@ -173,8 +173,8 @@ def test_coverage_across_bins(spark, width):
 
 
 def test_pileup_over_loci_with_empty_ones(spark):
-    rows = pileup.elements(reads_df(spark, make_read("ACG", "3M", "3", start=2)))
-    got = pileup.pileup_over(rows, loci.parse(spark, "chr1:0-4"), F.count(F.lit(1)).alias("n"), include_empty=True)
+    reads = reads_df(spark, make_read("ACG", "3M", "3", start=2))
+    got = pileup.pileup_over(reads, loci.parse(spark, "chr1:0-4"), F.count(F.lit(1)).alias("n"), include_empty=True)
     assert sorted((r["locus"], r["n"]) for r in got.collect()) == [(0, None), (1, None), (2, 1), (3, 1)]
     assert pileup.element_at_locus(reads_df(spark, make_read("ACG", "3M", "3", start=2)), 5).count() == 0
 
