@@ -1,6 +1,6 @@
 """CIGAR text as an array of aligned blocks, parsed once per read with native expressions.
 
-A block is one CIGAR element together with the insertion that directly follows it
+A block is one CIGAR element; it also knows the length of the insertion that directly follows it
 (padding in between is ignored), because an insertion belongs to the base before it.
 """
 
@@ -14,7 +14,6 @@ READ_OPS = "MIS=X"
 REFERENCE_OPS = "MDN=X"
 BASE_OPS = "M=X"
 
-_TOKEN = "[0-9]+[MIDNSHP=X](?:(?:[0-9]+P)*[0-9]+I)?"
 _SIMPLE = "^[0-9]+[M=X]$"
 _VALID = "^([0-9]+[MIDNSHP=X])+$"
 
@@ -52,30 +51,33 @@ def cigar_blocks(cigar: str = "cigar") -> Column:
         len=f"coalesce(try_cast(left({cigar}, length({cigar}) - 1) AS INT), 0)",
         ref="0", read="0", aln="0", idx="0", ins="0",
     )
+    # One text split per read gives operators and lengths; the bound struct z keeps the lambdas from
+    # splitting again. Padding between a base and its insertion is looked through.
+    attached = (
+        "CASE WHEN get(z.ops, i + 1) = 'I' THEN int(get(z.lens, i + 1)) "
+        "WHEN get(z.ops, i + 1) = 'P' AND get(z.ops, i + 2) = 'I' THEN int(get(z.lens, i + 2)) ELSE 0 END"
+    )
     fold = f"""
-      aggregate(
-        transform(
-          transform(regexp_extract_all({cigar}, '{_TOKEN}', 0),
-                    t -> named_struct('t', t, 'p', split(t, '[A-Z=]'))),
-          x -> named_struct(
-            'op', substring(x.t, length(x.p[0]) + 1, 1),
-            'len', int(x.p[0]),
-            'n', size(x.p) - 1,
-            'ins', if(size(x.p) > 2, int(x.p[size(x.p) - 2]), 0))),
-        named_struct('ref', 0, 'read', 0, 'aln', 0, 'idx', 0,
-                     'out', cast(array() AS ARRAY<STRUCT<op: STRING, len: INT, ref_off: INT,
-                                 read_off: INT, aln_off: INT, idx: INT, ins_len: INT>>)),
-        (s, x) -> named_struct(
-          'ref', s.ref + if(x.op IN ({_quoted(REFERENCE_OPS)}), x.len, 0),
-          'read', s.read + if(x.op IN ({_quoted(READ_OPS)}), x.len, 0) + x.ins,
-          'aln', s.aln + if(x.op IN ('M', 'D', '=', 'X'), x.len, 0),
-          'idx', s.idx + x.n,
-          'out', concat(s.out, array({block.format(
-              op="x.op", len="x.len", ref="s.ref", read="s.read",
-              aln="s.aln", idx="s.idx", ins="x.ins")}))),
-        s -> s.out)
+      element_at(transform(
+        array(named_struct(
+          'ops', split(regexp_replace({cigar}, '[0-9]+', ''), ''),
+          'lens', split({cigar}, '[MIDNSHP=X]'))),
+        z -> aggregate(
+          transform(z.ops, (op, i) -> named_struct(
+            'op', op, 'len', int(get(z.lens, i)), 'idx', i, 'ins', {attached})),
+          named_struct('ref', 0, 'read', 0, 'aln', 0,
+                       'out', cast(array() AS ARRAY<STRUCT<op: STRING, len: INT, ref_off: INT,
+                                   read_off: INT, aln_off: INT, idx: INT, ins_len: INT>>)),
+          (s, x) -> named_struct(
+            'ref', s.ref + if(x.op IN ({_quoted(REFERENCE_OPS)}), x.len, 0),
+            'read', s.read + if(x.op IN ({_quoted(READ_OPS)}), x.len, 0),
+            'aln', s.aln + if(x.op IN ('M', 'D', '=', 'X'), x.len, 0),
+            'out', concat(s.out, array({block.format(
+                op="x.op", len="x.len", ref="s.ref", read="s.read",
+                aln="s.aln", idx="x.idx", ins="x.ins")}))),
+          s -> s.out)), 1)
     """
-    return F.expr(f"CASE WHEN {cigar} RLIKE '{_SIMPLE}' THEN array({single}) ELSE {fold} END")
+    return F.expr(f"CASE WHEN {cigar} RLIKE '{_SIMPLE}' THEN array({single}) WHEN {cigar} RLIKE '{_VALID}' THEN {fold} END")
 
 
 def _total(cigar: str, ops: str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Match lengths are the tokens that sort before ':'; letters and '^' come after.
 _TOKEN = "([0-9]+|\\\\^[A-Z]+|[A-Z])"
 
 
@@ -23,7 +24,7 @@ def md_mismatches(md: str = "md") -> Column:
         regexp_extract_all({md}, '{_TOKEN}', 1),
         named_struct('pos', 0, 'out', cast(array() AS ARRAY<STRUCT<off: INT, base: STRING>>)),
         (s, t) -> CASE
-          WHEN t RLIKE '^[0-9]' THEN named_struct('pos', s.pos + int(t), 'out', s.out)
+          WHEN t < ':' THEN named_struct('pos', s.pos + int(t), 'out', s.out)
           WHEN startswith(t, '^') THEN named_struct('pos', s.pos + length(t) - 1, 'out', s.out)
           ELSE named_struct('pos', s.pos + 1,
                             'out', concat(s.out, array(named_struct('off', s.pos, 'base', t))))
@@ -54,7 +55,7 @@ def reference_text(md: str = "md", aligned: str = "aligned") -> Column:
         regexp_extract_all({md}, '{_TOKEN}', 1),
         named_struct('pos', 0, 'out', ''),
         (s, t) -> CASE
-          WHEN t RLIKE '^[0-9]' THEN named_struct(
+          WHEN t < ':' THEN named_struct(
             'pos', s.pos + int(t), 'out', concat(s.out, substring({aligned}, s.pos + 1, int(t))))
           WHEN startswith(t, '^') THEN named_struct(
             'pos', s.pos, 'out', concat(s.out, substring(t, 2, length(t) - 1)))

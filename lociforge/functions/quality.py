@@ -6,6 +6,9 @@ order in which tasks deliver their parts, so a rerun after a lost executor gives
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,14 +39,27 @@ def phred_to_error(q: Column | str) -> Column:
 
 def log_term(probability: Column) -> Column:
     """ln(probability) as an integer; null when the probability is zero."""
-    return F.round(F.ln(probability) * F.lit(float(LOG_UNIT))).cast("bigint")
+    return F.floor(F.ln(probability) * F.lit(float(LOG_UNIT)) + F.lit(0.5)).cast("bigint")
+
+
+def _by_quality(q: Column | str, probability: Callable[[float], float]) -> Column:
+    """Integer log term looked up by quality; scores outside 0..255 are computed."""
+    terms = []
+    for score in range(256):
+        p = probability(10.0 ** (-score / 10.0))
+        terms.append(f"{math.floor(math.log(p) * LOG_UNIT + 0.5)}L" if p > 0 else "CAST(NULL AS BIGINT)")
+    table = F.expr(f"array({', '.join(terms)})")
+    formula = F.when(_col(q).between(0, 255), F.lit(None)).otherwise(
+        log_term(probability(phred_to_error(q)))
+    )
+    return F.coalesce(F.get(table, _col(q)), formula)
 
 
 def log_hit(q: Column | str) -> Column:
     """Both alleles of a genotype agree with the element: ln(2(1 - e))."""
-    return log_term(F.lit(2.0) * (F.lit(1.0) - phred_to_error(q)))
+    return _by_quality(q, lambda e: 2.0 * (1.0 - e))
 
 
 def log_miss(q: Column | str) -> Column:
     """Neither allele of a genotype agrees with the element: ln(2e)."""
-    return log_term(F.lit(2.0) * phred_to_error(q))
+    return _by_quality(q, lambda e: 2.0 * e)
