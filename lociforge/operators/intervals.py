@@ -50,7 +50,9 @@ def merge_with_previous(
     runs = runs.withColumn("local_prev", F.lag("end").over(by_start)).withColumn(
         "outer", F.col("local_prev").isNull() | F.lead("end").over(by_start).isNull()
     )
-    joined = Window.partitionBy(*keys, F.when(F.col("outer"), F.lit(-1)).otherwise(F.col("bin"))).orderBy("start")
+    # The partition key is a column of its own, so that both windows below share one shuffle.
+    runs = runs.withColumn("stitch", F.when(F.col("outer"), F.lit(-1)).otherwise(F.col("bin")))
+    joined = Window.partitionBy(*keys, "stitch").orderBy("start")
     return (
         runs.withColumn("prev_end", F.coalesce("local_prev", F.lag("end").over(joined)))
         .withColumn(
@@ -230,16 +232,33 @@ def with_offsets(intervals: DataFrame, width: int = BIN_WIDTH) -> DataFrame:
     )
 
 
-def take(intervals: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """The first ``n`` loci of a disjoint set or map, and the rest; one range may be split."""
-    names = intervals.columns
+def split_at(intervals: DataFrame, n: int) -> DataFrame:
+    """A disjoint set or map cut after its first ``n`` loci: the same rows plus ``part``, which is
+    ``first`` or ``rest``. One range may be cut in two."""
     placed = with_offsets(intervals)
-    cut = F.col("start") + F.least(F.greatest(F.lit(n) - F.col("offset"), F.lit(0)),
-                                   F.col("end") - F.col("start"))
-    split = placed.withColumn("_cut", cut.cast("bigint"))
-    first = split.withColumn("end", F.col("_cut")).filter("end > start").select(*names)
-    rest = split.withColumn("start", F.col("_cut")).filter("end > start").select(*names)
-    return first, rest
+    cut = F.col("start") + F.least(
+        F.greatest(F.lit(n) - F.col("offset"), F.lit(0)), F.col("end") - F.col("start")
+    )
+    others = [F.col(c) for c in intervals.columns if c not in ("start", "end")]
+    piece = lambda low, high, part: F.struct(
+        low.alias("start"), high.alias("end"), F.lit(part).alias("part")
+    )
+    pieces = F.array(
+        piece(F.col("start"), F.col("cut"), "first"), piece(F.col("cut"), F.col("end"), "rest")
+    )
+    return (
+        placed.withColumn("cut", cut.cast("bigint"))
+        .select(*others, F.explode(pieces).alias("p"))
+        .select(*others, "p.*")
+        .filter("end > start")
+        .select(*intervals.columns, "part")
+    )
+
+
+def take(intervals: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The first ``n`` loci of a disjoint set or map, and the rest."""
+    parts = split_at(intervals, n)
+    return tuple(parts.filter(F.col("part") == part).drop("part") for part in ("first", "rest"))
 
 
 def same_loci(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("contig",)) -> bool:

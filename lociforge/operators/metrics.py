@@ -21,21 +21,22 @@ def scan_counters(reads: DataFrame, buckets: DataFrame, half_window: int = 0) ->
     """
     spots = reads.groupBy("contig", "start", "end").agg(F.count(F.lit(1)).alias("n"))
     expanded = overlapping_values(spots, buckets, half_window=half_window)
+    nothing = F.lit(0).cast("bigint")
+    seen = spots.select(F.col("n").alias("total"), nothing.alias("relevant"), nothing.alias("expanded"))
     hits = (
         expanded.groupBy("contig", "start", "end", "n")
         .agg(F.count(F.lit(1)).alias("copies"))
-        .agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("relevant"),
-            F.coalesce(F.sum(F.col("n") * F.col("copies")), F.lit(0)).alias("expanded"),
+        .select(
+            nothing.alias("total"), F.col("n").alias("relevant"),
+            (F.col("n") * F.col("copies")).alias("expanded"),
         )
-        .withColumn("k", F.lit(0))
     )
-    total = spots.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).withColumn("k", F.lit(0))
-    return total.join(F.broadcast(hits), "k").select(
-        "total", "relevant", "expanded",
-        F.try_divide((F.col("expanded") - F.col("relevant")) * 100.0, F.col("relevant")).alias(
-            "expansion_percent"
-        ),
+    sums = seen.unionByName(hits).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "relevant", "expanded")]
+    )
+    return sums.withColumn(
+        "expansion_percent",
+        F.try_divide((F.col("expanded") - F.col("relevant")) * 100.0, F.col("relevant")),
     )
 
 

@@ -490,8 +490,7 @@ def interval_contigs(spark, d):
 
 @query
 def interval_take(spark, d):
-    first, rest = intervals.take(intervals.merge(views.ranges(spark, d)), TAKE_LOCI)
-    return first.withColumn("part", F.lit("first")).unionByName(rest.withColumn("part", F.lit("rest")))
+    return intervals.split_at(intervals.merge(views.ranges(spark, d)), TAKE_LOCI)
 
 
 @query
