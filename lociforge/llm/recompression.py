@@ -27,6 +27,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,6 +131,15 @@ def _repeats_here(keys: list[np.ndarray], order: list[np.ndarray]) -> np.ndarray
     return again
 
 
+def _keyed(columns: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows with a mark at repeats within the batch. Those need no grouping any more, so they get keys
+    of their own, which keeps a common passage from meeting in one task."""
+    here = _repeats_here(columns[:2], columns[2:])
+    own = mix(columns[2].view(np.uint64) * np.uint64(BASES[0]) + columns[4].astype(np.uint64)).view(np.int64)
+    columns[0] = np.where(here, own, columns[0])
+    return pa.record_batch([*map(pa.array, columns), pa.array(here)], ["k", "c", "d", "u", "at", "here"])
+
+
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(batch.column("_d")), np.asarray(batch.column("_u"))
 
@@ -145,9 +155,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc = rows["doc"]
             at = (rows["low"] - starts[doc]) << 8 | np.minimum(rows["high"] - rows["low"], 255)
             found.append([rows["name"].view(np.int64), rows["content"].view(np.int64), d[a:b][doc], u[a:b][doc], at])
-        columns = [np.concatenate(c) for c in zip(*found)]
-        here = _repeats_here(columns[:2], columns[2:])
-        yield pa.record_batch([*map(pa.array, columns), pa.array(here)], ["k", "c", "d", "u", "at", "here"])
+        if found:
+            yield _keyed([np.concatenate(c) for c in zip(*found)])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +170,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.asarray(mine.flatten(), dtype=np.int64)
             if not len(at):
                 continue
-            size = np.asarray(pa.compute.list_value_length(mine), dtype=np.int64)
+            size = np.asarray(pc.list_value_length(mine), dtype=np.int64)
             many = (at & 255) + 1
             doc = np.repeat(np.repeat(np.arange(b - a), size), many)
             first = np.repeat(at >> 8, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
@@ -171,8 +180,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 one.of(begin, begin + WIDTH).view(np.int64), two.of(begin, begin + WIDTH).view(np.int64),
                 d[a:b][doc], u[a:b][doc], first,
             ]
-            here = _repeats_here(columns[:2], columns[2:])
-            yield pa.record_batch([*map(pa.array, columns), pa.array(here)], ["k", "c", "d", "u", "at", "here"])
+            yield _keyed(columns)
 
 
 def _kept(text: str | None, covered: list[int] | None, single: list[int] | None) -> tuple[int, int, list[bytes]]:

@@ -123,11 +123,11 @@ class RangeHash:
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASES[1]))
 
 
-def names(flat: pa.Array) -> np.ndarray:
+def names(flat: pa.Array, base: int = BASES[0]) -> np.ndarray:
     """A 64-bit hash of each string, the same in every batch."""
     offsets = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1].astype(np.int64)
     if not len(flat) or offsets[0] == offsets[-1]:
         return np.zeros(len(flat), np.uint64)
     data = np.frombuffer(flat.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    return RangeHash(BYTE_VALUES[data]).of(offsets[:-1], offsets[1:])
+    return RangeHash(BYTE_VALUES[data], base).of(offsets[:-1], offsets[1:])
