@@ -190,15 +190,26 @@ def mixed_documents(docs: DataFrame, share: float = 1.5, repeats: int = 2) -> Da
     """The documents themselves, each as often as the mix takes it; a part taken is its first words.
 
     Keeps the columns; ``n_chars``, if there is one, follows the text. Texts without words are left out.
+    Rows equal in id, source and text are taken together: their words are added up.
     """
     found, _ = mix(docs, share, repeats)
-    plan = found.groupBy("doc_id", "text_hash", "source").agg(F.max("size").alias("_size"), F.sum("taken").alias("_taken"))
-    plan = plan.filter("_taken > 0").withColumnsRenamed({"doc_id": "_id", "source": "_source", "text_hash": "_hash"})
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")) & F.col("source").eqNullSafe(F.col("_source"))
-    rows = docs.join(plan, same).dropDuplicates(["_id", "_hash", "_source"])
-    whole = rows.withColumn("_n", F.expr("cast(_taken div _size as int)")).filter("_n > 0")
-    whole = whole.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    part = rows.filter("_taken % _size > 0").withColumn("text", first_words(F.col("text"), F.expr("_taken % _size")))
+    plan = (
+        found.groupBy("doc_id", "text_hash", "source").agg(F.max("size").alias("size"), F.sum("taken").alias("taken"))
+        .filter("taken > 0").withColumnsRenamed({"doc_id": "plan_id", "text_hash": "plan_hash", "source": "plan_source"})
+    )
+    rows = docs.select(
+        F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col("source").alias("origin"), F.struct("*").alias("row")
+    )
+    same = (
+        F.col("id").eqNullSafe(F.col("plan_id")) & (F.col("hash") == F.col("plan_hash"))
+        & F.col("origin").eqNullSafe(F.col("plan_source"))
+    )
+    rows = rows.join(plan, same).dropDuplicates(["id", "hash", "origin"])
+    whole = rows.withColumn("n", F.expr("cast(taken div size as int)")).filter("n > 0")
+    whole = whole.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
+    text = first_words(F.col("row.text"), F.expr("taken % size"))
+    part = rows.filter("taken % size > 0").select(F.col("row").withField("text", text).alias("row"))
     if "n_chars" in docs.columns:
-        part = part.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.select(*docs.columns).unionByName(part.select(*docs.columns))
+        length = F.length("row.text").cast(docs.schema["n_chars"].dataType)
+        part = part.select(F.col("row").withField("n_chars", length).alias("row"))
+    return whole.unionByName(part.select("row.*"))

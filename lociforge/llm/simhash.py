@@ -289,7 +289,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     found = near_duplicates(docs).groupBy("root").agg(F.min(rank).alias("r"))
-    keep = found.select(F.col("r.doc_id").alias("_keep_id"), F.col("r.text_hash").alias("_keep_hash"))
-    marked = docs.withColumn("_hash", F.xxhash64("text"))
-    same = marked["doc_id"].eqNullSafe(keep["_keep_id"]) & (marked["_hash"] == keep["_keep_hash"])
-    return marked.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    keep = found.select(F.col("r.doc_id").alias("keep_id"), F.col("r.text_hash").alias("keep_hash"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.struct("*").alias("row"))
+    same = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("hash") == F.col("keep_hash"))
+    return rows.join(keep, same, "left_semi").dropDuplicates(["id", "hash"]).select("row.*")

@@ -59,15 +59,19 @@ def verdicts(captures: DataFrame, entries: DataFrame, allow_lists: tuple[str, ..
     Of the entries valid on the day of fetch, those of the longest domain that is the host or above it decide:
     blocked unless one of their lists is an allowing one. ``domain`` and ``lists`` (sorted, comma-joined)
     are theirs, null if no entry holds. A null or broken URL has the empty host; it and a null day match nothing and are not
-    blocked. Rows and other columns stay; repeated rows give repeated rows.
+    blocked. Rows and other columns stay, columns of these four names are replaced; repeated rows give repeated rows.
     """
-    rows = captures.withColumn("host", host_of(F.col("url")))
-    cases = rows.select(F.col("host").alias("_host"), F.col("fetched_on").alias("_day")).distinct()
+    rows = captures.select(
+        F.struct("*").dropFields("host", "blocked", "domain", "lists").alias("row"), host_of(F.col("url")).alias("host"),
+        F.col("fetched_on").cast("date").alias("day"),
+    )
+    cases = rows.select(F.col("host").alias("_host"), F.col("day").alias("_day")).distinct()
     cases = cases.filter("_host != '' and _day is not null")
     span = cases.agg(F.min("_day").alias("a"), F.max("_day").alias("b")).first()
-    held = validity(entries).filter((F.col("since") <= F.lit(span["b"])) & (F.col("until") > F.lit(span["a"])))
-    first = _stretch(F.greatest("since", F.lit(span["a"])))
-    last = _stretch(F.least(F.date_sub("until", 1), F.lit(span["b"])))
+    span = {end: F.lit(span[end]).cast("date") for end in ("a", "b")}
+    held = validity(entries).filter((F.col("since") <= span["b"]) & (F.col("until") > span["a"]))
+    first = _stretch(F.greatest("since", span["a"]))
+    last = _stretch(F.least(F.date_sub("until", 1), span["b"]))
     held = held.withColumn("_stretch", F.explode(F.sequence(first, last)))
     asked = cases.withColumn("domain", F.explode(domains_of(F.col("_host")))).withColumn("_stretch", _stretch(F.col("_day")))
     met = asked.join(held, ["domain", "_stretch"]).filter("_day >= since and _day < until")
@@ -78,9 +82,8 @@ def verdicts(captures: DataFrame, entries: DataFrame, allow_lists: tuple[str, ..
     decided = by_domain.groupBy("_host", "_day").agg(
         F.max_by(F.struct("domain", "lists", "allowed"), F.length("domain")).alias("_best")
     )
-    joined = rows.join(decided, (F.col("host") == F.col("_host")) & (F.col("fetched_on") == F.col("_day")), "left")
+    joined = rows.join(decided, (F.col("host") == F.col("_host")) & (F.col("day") == F.col("_day")), "left")
     return joined.select(
-        *[F.col(c) for c in rows.columns],
-        F.coalesce(~F.col("_best.allowed"), F.lit(False)).alias("blocked"),
+        "row.*", "host", F.coalesce(~F.col("_best.allowed"), F.lit(False)).alias("blocked"),
         F.col("_best.domain").alias("domain"), F.col("_best.lists").alias("lists"),
     )
