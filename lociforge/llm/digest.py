@@ -6,7 +6,7 @@ least rank (the leftmost on ties) scores a point, and features with 16 points or
 the locally most improbable ones. Their hashes set 5 bits each in a filter of 2048 bits; after 160
 features the next filter of the chain begins. Two fingerprints are compared filter by filter: the
 bits shared beyond what chance gives, divided by the most that could be shared; each filter of the
-shorter chain counts with its best partner, and the mean is the likeness.
+shorter chain counts with its best partner, and the mean, weighted by bits, is the likeness.
 """
 
 from __future__ import annotations
@@ -181,7 +181,7 @@ def likeness(one: bytes, two: bytes) -> float:
         most = np.minimum(size[:, None], other[None, :])
         score = (left @ right.T - chance) / np.maximum(most - chance, 1e-9)
         best = np.maximum(best, np.clip(score, 0, 1).max(axis=1))
-    return float(best.mean())
+    return float((best * size).sum() / size.sum())
 
 
 # --- Spark ----------------------------------------------------------------------------------------

@@ -185,9 +185,11 @@ UNIT = re.compile(rf"(?i)plus|{DIGIT_WORD}|[ ,-]+")
 AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*)"
 DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*)"
 LABEL = r"[A-Za-z0-9-]+"
+#: Last labels that an address spoken without brackets has to end in.
+TOP = "com|org|net|edu|gov|mil|int|info|biz|io|ai|app|dev|me|tv|co|uk|us|ca|au|de|fr|es|it|nl|ch|at|se|no|dk|fi|pl|ru|cn|jp|in|br|eu"
 DISGUISED = re.compile(
     rf"(?i)[A-Za-z0-9._%+-]{{1,64}}(?:{AT}{LABEL}(?:(?:{DOT}|\x20dot\x20|\.){LABEL}){{1,8}}"
-    rf"|\x20at\x20{LABEL}(?:(?:{DOT}|\x20dot\x20){LABEL}){{1,8}}|@{LABEL}(?:(?:{DOT}|\x20dot\x20){LABEL}){{1,8}})"
+    rf"|\x20at\x20{LABEL}(?:(?:{DOT}|\x20dot\x20){LABEL}){{0,7}}(?:{DOT}|\x20dot\x20)(?:{TOP})(?![A-Za-z0-9-])|@{LABEL}(?:(?:{DOT}|\x20dot\x20){LABEL}){{1,8}})"
 )
 DISGUISED_NUMBER = re.compile(rf"(?i)(?<![0-9])[0-9]{{1,3}}(?:(?:{DOT}|\x20dot\x20)[0-9]{{1,3}}){{3}}(?![0-9])")
 SIGN = re.compile(rf"(?i){AT}|{DOT}|\x20at\x20|\x20dot\x20")
