@@ -112,11 +112,6 @@ def trailing_clip(cigar: str = "cigar") -> Column:
     )
 
 
-def is_clip(op: Column | str) -> Column:
-    """True for the soft and hard clip operators."""
-    return (F.col(op) if isinstance(op, str) else op).isin("S", "H")
-
-
 def alignment_end(start: str = "start", cigar: str = "cigar") -> Column:
     return F.col(start) + reference_length(cigar)
 

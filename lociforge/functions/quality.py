@@ -21,11 +21,6 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def phred_decode(char: Column | str) -> Column:
-    """Quality number of one encoded character."""
-    return F.ascii(_col(char)) - F.lit(PHRED_OFFSET)
-
-
 def phred_array(qual: Column | str, seq: Column | str) -> Column:
     """Array of quality numbers; a read without qualities gets zeros."""
     decoded = F.transform(F.split(_col(qual), ""), lambda ch: F.ascii(ch) - F.lit(PHRED_OFFSET))

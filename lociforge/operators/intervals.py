@@ -73,6 +73,26 @@ def merge(
     return merge_with_previous(intervals, keys, width).drop("prev_end")
 
 
+def with_previous(
+    disjoint: DataFrame, keys: tuple[str, ...] = ("contig",), width: int = BIN_WIDTH
+) -> DataFrame:
+    """Disjoint rows plus ``prev_end``, the end of the one before with the same ``keys``.
+
+    Only the first and last row of a bin look beyond it, so no window holds a whole contig.
+    """
+    in_bin = Window.partitionBy(*keys, "_bin").orderBy("start")
+    rows = (
+        disjoint.withColumn("_bin", position_bin("start", width))
+        .withColumn("_prev", F.lag("end").over(in_bin))
+        .withColumn("_outer", F.col("_prev").isNull() | F.lead("end").over(in_bin).isNull())
+        .withColumn("_stitch", F.when(F.col("_outer"), F.lit(-1)).otherwise(F.col("_bin")))
+    )
+    across = Window.partitionBy(*keys, "_stitch").orderBy("start")
+    return rows.withColumn("prev_end", F.coalesce("_prev", F.lag("end").over(across))).select(
+        *disjoint.columns, "prev_end"
+    )
+
+
 def union(*sets: DataFrame) -> DataFrame:
     """Union of any number of locus sets."""
     rows = sets[0].select("contig", "start", "end")
@@ -112,15 +132,16 @@ def overlay(
     """Disjoint locus map from possibly conflicting ranges: the later-starting range wins.
 
     Equal starts are settled by ``order`` (larger wins), then by the larger value. Each range is
-    cut into whole bins, kept as one candidate per bin, and single loci at its two ragged edges.
-    Both kinds shrink to one winner per key before the shuffle, however many ranges pile up.
+    cut into whole bins, kept as one candidate per bin, and its two ragged edges. Edges are cut at
+    the endpoints of the other edges in their bin, and each piece keeps its winner. Copies shrink to
+    one before the shuffle; rows follow the number of ranges, not of loci.
     """
     rank = F.struct(
         F.col("start").alias("s"),
         (F.col(order) if order else F.lit(0)).cast("bigint").alias("o"),
         F.col(value).alias("v"),
     )
-    ranges = intervals.filter("end > start").select(
+    clipped = intervals.filter("end > start").select(
         "contig", "start", "end", rank.alias("cand"),
         F.explode(
             F.sequence(
@@ -128,51 +149,48 @@ def overlay(
                 F.floor((F.col("end") - 1) / bin_width).cast("bigint"),
             )
         ).alias("bin"),
-    )
-    clipped = ranges.select(
+    ).select(
         "contig", "bin", "cand",
         F.greatest(F.col("start"), F.col("bin") * bin_width).alias("from"),
         F.least(F.col("end"), (F.col("bin") + 1) * bin_width).alias("to"),
     )
     whole = F.col("to") - F.col("from") == bin_width
+    spans = clipped.groupBy("contig", "bin", "from", "to", whole.alias("is_whole")).agg(F.max("cand").alias("cand"))
+    # A bin has at most bin_width + 1 distinct endpoints, and a range meets those it spans.
+    in_bin = Window.partitionBy("contig", "bin")
+    ragged = lambda name: F.collect_set(F.when(~F.col("is_whole"), F.col(name))).over(in_bin)
+    spans = spans.withColumn("points", F.array_sort(F.array_union(ragged("from"), ragged("to"))))
+    steps = F.expr(
+        "filter(transform(points, (p, i) -> named_struct('at', p, 'next', get(points, i + 1))), "
+        "s -> s.at >= from AND s.at < to)"
+    )
+    unit = F.array(F.struct(F.lit(-1).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("next")))
     candidates = (
-        clipped.select(
-            "contig", "bin", "cand",
-            F.explode(
-                F.when(whole, F.array(F.lit(-1).cast("bigint"))).otherwise(
-                    F.sequence(F.col("from"), F.col("to") - 1)
-                )
-            ).alias("locus"),
-        )
-        .groupBy("contig", "bin", "locus")
+        spans.select("contig", "bin", "cand", F.explode(F.when(F.col("is_whole"), unit).otherwise(steps)).alias("s"))
+        .groupBy("contig", "bin", F.col("s.at").alias("at"), F.col("s.next").alias("stop"))
         .agg(F.max("cand").alias("cand"))
     )
-    # Row -1 of a bin is its whole-bin winner. Every listed locus sees it, and the stretches
-    # between listed loci fall to it; a bin has at most bin_width + 1 rows here.
-    in_bin = Window.partitionBy("contig", "bin")
+    # Row -1 of a bin is its whole-bin winner: every piece sees it, and the stretches between pieces fall to it.
     first_locus = F.col("bin") * bin_width
     rows = (
-        candidates.withColumn(
-            "whole", F.max(F.when(F.col("locus") < 0, F.col("cand"))).over(in_bin)
-        )
+        candidates.withColumn("whole", F.max(F.when(F.col("at") < 0, F.col("cand"))).over(in_bin))
         .withColumn(
-            "next",
-            F.coalesce(F.lead("locus").over(in_bin.orderBy("locus")), first_locus + bin_width),
+            "next", F.coalesce(F.lead("at").over(in_bin.orderBy("at")), first_locus + bin_width)
         )
-        .withColumn("gap", F.when(F.col("locus") < 0, first_locus).otherwise(F.col("locus") + 1))
+        .withColumn("gap", F.when(F.col("at") < 0, first_locus).otherwise(F.col("stop")))
     )
 
     def piece(start: Column, end: Column, cand: Column) -> Column:
         return F.struct(start.alias("start"), end.alias("end"), cand["v"].alias(value))
 
-    on_locus = piece(F.col("locus"), F.col("locus") + 1, F.greatest("cand", "whole"))
+    own = piece(F.col("at"), F.col("stop"), F.greatest("cand", "whole"))
     after = piece(F.col("gap"), F.col("next"), F.col("whole"))
     pieces = rows.select(
         "contig",
         F.explode(
-            F.when(F.col("locus") < 0, F.array(after))
-            .when(F.col("whole").isNull(), F.array(on_locus))
-            .otherwise(F.array(on_locus, after))
+            F.when(F.col("at") < 0, F.array(after))
+            .when(F.col("whole").isNull(), F.array(own))
+            .otherwise(F.array(own, after))
         ).alias("p"),
     ).select("contig", "p.*")
     return merge(pieces, ("contig", value))
@@ -196,40 +214,27 @@ def contigs(intervals: DataFrame) -> DataFrame:
     return intervals.filter("end > start").select("contig").distinct().orderBy("contig")
 
 
-def loci(intervals: DataFrame) -> DataFrame:
-    """Every locus of a set as its own row."""
-    return intervals.filter("end > start").select(
-        *[c for c in intervals.columns if c not in ("start", "end")],
-        F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("locus"),
+def loci(intervals: DataFrame, width: int = BIN_WIDTH) -> DataFrame:
+    """Every locus of a set as its own row. Ranges are cut into bins first: no array is longer than a bin."""
+    others = [c for c in intervals.columns if c not in ("start", "end")]
+    bins = intervals.filter("end > start").select(
+        *intervals.columns,
+        F.explode(F.sequence(position_bin("start", width), position_bin(F.col("end") - 1, width))).alias("_bin"),
     )
+    first = F.greatest(F.col("start"), F.col("_bin") * width)
+    last = F.least(F.col("end"), (F.col("_bin") + 1) * width) - 1
+    return bins.select(*others, F.explode(F.sequence(first, last)).alias("locus"))
 
 
 def with_offsets(intervals: DataFrame, width: int = BIN_WIDTH) -> DataFrame:
     """Disjoint intervals plus ``offset`` (loci before this one) and ``total``.
 
-    Loci count in contig-name and start order. The window across contigs sees one row per contig.
+    Loci count in contig-name and start order. The window across bins sees one row per bin in use.
     """
     sized = intervals.withColumn("_len", F.col("end") - F.col("start"))
-    before = Window.orderBy("contig").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("contig").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-    per_contig = (
-        sized.groupBy("contig")
-        .agg(F.sum("_len").alias("_n"))
-        .select(
-            "contig",
-            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_contig_offset"),
-            F.sum("_n").over(everything).alias("total"),
-        )
-    )
     others = tuple(c for c in intervals.columns if c not in ("contig", "start"))
-    return (
-        running_total(sized, ["contig"], "start", "_len", "_upto", others, width)
-        .join(per_contig, "contig")
-        .withColumn("offset", F.col("_contig_offset") + F.col("_upto") - F.col("_len"))
-        .select(*intervals.columns, "offset", "total")
-    )
+    placed = running_total(sized, ["contig"], "start", "_len", "_upto", others, width, total="total")
+    return placed.withColumn("offset", F.col("_upto") - F.col("_len")).select(*intervals.columns, "offset", "total")
 
 
 def split_at(intervals: DataFrame, n: int) -> DataFrame:
@@ -290,7 +295,3 @@ def display(intervals: DataFrame, max_length: int = 500, value: str | None = Non
                             'out', concat(s.out, if(s.out = '', '', '{separator}'), t), 'cut', s.cut)
         END,
         s -> if(s.cut, concat(s.out, '{separator}{ellipsis}'), s.out))""").alias("text"))
-
-
-def length() -> Column:
-    return F.col("end") - F.col("start")

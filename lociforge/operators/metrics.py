@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from lociforge.operators.overlap import overlapping_values
+from lociforge.operators.overlap import values_met
 
 
 def observed_count(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
@@ -18,21 +18,16 @@ def scan_counters(reads: DataFrame, buckets: DataFrame, half_window: int = 0) ->
     """Total reads, reads that touch any bucket, (read, bucket) rows and the expansion percent.
 
     Reads are first reduced to distinct positions with a count, so each position is joined once.
+    Buckets are disjoint, as splitting gives them.
     """
     spots = reads.groupBy("contig", "start", "end").agg(F.count(F.lit(1)).alias("n"))
-    expanded = overlapping_values(spots, buckets, half_window=half_window)
-    nothing = F.lit(0).cast("bigint")
-    seen = spots.select(F.col("n").alias("total"), nothing.alias("relevant"), nothing.alias("expanded"))
-    hits = (
-        expanded.groupBy("contig", "start", "end", "n")
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .select(
-            nothing.alias("total"), F.col("n").alias("relevant"),
-            (F.col("n") * F.col("copies")).alias("expanded"),
-        )
-    )
-    sums = seen.unionByName(hits).agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "relevant", "expanded")]
+    met = values_met(spots, buckets, half_window=half_window, disjoint=True)
+    n, copies = F.col("n"), F.col("copies")
+    sums = met.agg(
+        *[
+            F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(name)
+            for name, c in (("total", n), ("relevant", F.when(copies > 0, n)), ("expanded", n * copies))
+        ]
     )
     return sums.withColumn(
         "expansion_percent",

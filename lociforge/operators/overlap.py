@@ -11,34 +11,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociforge.operators.intervals import JOIN_BIN, merge, merge_with_previous
+from lociforge.operators.intervals import JOIN_BIN, merge_with_previous, with_previous
 
 
-def _bins(start: Column, end: Column, width: int) -> Column:
-    return F.explode(
-        F.sequence(
-            F.floor(start / width).cast("bigint"), F.floor((end - 1) / width).cast("bigint")
-        )
-    )
-
+def _met(reads: DataFrame, ranges: DataFrame, half_window: int, width: int, how: str = "inner") -> DataFrame:
+    """Rows that share a bin, with ``_hit``: the two overlap and this is the first bin they share.
 
-def _padded(reads: DataFrame, half_window: int) -> DataFrame:
-    return reads.withColumn(
+    Outer joins keep rows of either side that meet nothing; their ``_hit`` is false.
+    """
+    bins = lambda a, b: F.expr(
+        f"if({b} > {a}, sequence(cast(floor({a} / {width}) as bigint), cast(floor(({b} - 1) / {width}) as bigint)), null)"
+    )
+    left = reads.withColumn(
         "_from", F.greatest(F.col("start") - half_window, F.lit(0)).cast("bigint")
-    ).withColumn("_to", (F.col("end") + half_window).cast("bigint")).filter("_to > _from")
+    ).withColumn("_to", (F.col("end") + half_window).cast("bigint"))
+    if how != "left":
+        left = left.filter("_to > _from")
+    left = left.select("*", F.explode_outer(bins("_from", "_to")).alias("_bin"))
+    right = ranges.select(
+        F.col("contig").alias("_contig"), *[c for c in ranges.columns if c != "contig"],
+        F.explode_outer(bins("_start", "_end")).alias("_range_bin"),
+    )
+    first_shared = F.floor(F.greatest("_from", "_start") / width).cast("bigint")
+    hit = (F.col("_from") < F.col("_end")) & (F.col("_start") < F.col("_to")) & (F.col("_bin") == first_shared)
+    same = (F.col("contig") == F.col("_contig")) & (F.col("_bin") == F.col("_range_bin"))
+    return left.join(right, same, how).withColumn("_hit", F.coalesce(hit, F.lit(False)))
 
 
 def _candidates(reads: DataFrame, ranges: DataFrame, half_window: int, width: int) -> DataFrame:
-    """Each overlapping (read, range) pair once: only in the first bin the two share."""
-    left = _padded(reads, half_window)
-    left = left.select("*", _bins(F.col("_from"), F.col("_to"), width).alias("_bin"))
-    right = ranges.select("*", _bins(F.col("_start"), F.col("_end"), width).alias("_bin"))
-    first_shared = F.floor(F.greatest("_from", "_start") / width).cast("bigint")
-    return left.join(right, ["contig", "_bin"]).filter(
-        (F.col("_from") < F.col("_end"))
-        & (F.col("_start") < F.col("_to"))
-        & (F.col("_bin") == first_shared)
-    )
+    """Each overlapping (read, range) pair once."""
+    return _met(reads, ranges, half_window, width).filter("_hit").drop("_hit", "_contig", "_range_bin")
 
 
 def _is_first() -> Column:
@@ -52,18 +54,44 @@ def overlapping_values(
     value: str = "value",
     half_window: int = 0,
     bin_width: int = JOIN_BIN,
+    disjoint: bool = False,
 ) -> DataFrame:
     """Each read once per distinct ``value`` of the locus map it overlaps, padded by the window.
 
     Reads that overlap nothing are dropped. No read id and no distinct is needed: a read counts for
-    a value at the first range of that value it touches.
+    a value at the first range of that value it touches. ``disjoint`` says that the map has no
+    overlaps, as overlay and splitting give it, and saves merging it again.
     """
-    ranges = merge_with_previous(intervals, ("contig", value)).select(
+    ranges = value_ranges(intervals, value, disjoint)
+    hits = _candidates(reads, ranges, half_window, bin_width).filter(_is_first())
+    return hits.select(*[F.col(c) for c in reads.columns], value)
+
+
+def value_ranges(intervals: DataFrame, value: str, disjoint: bool) -> DataFrame:
+    """The ranges of a map as the right side of a join, with the end of the range before of the same value."""
+    normal = with_previous if disjoint else merge_with_previous
+    return normal(intervals, ("contig", value)).select(
         "contig", value,
         F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("prev_end").alias("_prev"),
     )
-    hits = _candidates(reads, ranges, half_window, bin_width).filter(_is_first())
-    return hits.select(*[F.col(c) for c in reads.columns], value)
+
+
+def values_met(
+    spots: DataFrame, intervals: DataFrame, value: str = "value", half_window: int = 0,
+    bin_width: int = JOIN_BIN, disjoint: bool = False,
+) -> DataFrame:
+    """Each row of distinct ``spots`` with ``copies``, the number of distinct values it overlaps, zero included."""
+    met = _met(spots, value_ranges(intervals, value, disjoint), half_window, bin_width, "left")
+    return met.groupBy(*spots.columns).agg(F.count_if(F.col("_hit") & _is_first()).alias("copies"))
+
+
+def rows_per_value(
+    spots: DataFrame, intervals: DataFrame, n: str, value: str = "value",
+    bin_width: int = JOIN_BIN, disjoint: bool = False,
+) -> DataFrame:
+    """``value`` and the sum of ``n`` over the spots that overlap it, zero included."""
+    met = _met(spots, value_ranges(intervals, value, disjoint), 0, bin_width, "right")
+    return met.groupBy(value).agg(F.sum(F.when(F.col("_hit") & _is_first(), F.col(n)).otherwise(0)).cast("bigint").alias(n))
 
 
 def overlapping_pairs(
@@ -82,11 +110,11 @@ def overlapping_pairs(
 
 
 def first_overlaps(
-    reads: DataFrame, loci: DataFrame, half_window: int = 0, bin_width: int = JOIN_BIN
+    reads: DataFrame, loci: DataFrame, half_window: int = 0, bin_width: int = JOIN_BIN, disjoint: bool = False
 ) -> DataFrame:
     """Each read that touches the set, once, with its padded span ``_from, _to`` and the first
     range it touches as ``_start, _end``."""
-    ranges = merge_with_previous(loci).select(
+    ranges = (with_previous if disjoint else merge_with_previous)(loci).select(
         "contig",
         F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("prev_end").alias("_prev"),
     )
@@ -94,10 +122,10 @@ def first_overlaps(
 
 
 def overlapping(
-    reads: DataFrame, loci: DataFrame, half_window: int = 0, bin_width: int = JOIN_BIN
+    reads: DataFrame, loci: DataFrame, half_window: int = 0, bin_width: int = JOIN_BIN, disjoint: bool = False
 ) -> DataFrame:
     """Reads that overlap a locus set at all (semi join), each kept exactly once."""
-    return first_overlaps(reads, loci, half_window, bin_width).select(*reads.columns)
+    return first_overlaps(reads, loci, half_window, bin_width, disjoint).select(*reads.columns)
 
 
 def lookup(points: DataFrame, intervals: DataFrame, bin_width: int = JOIN_BIN) -> DataFrame:
@@ -106,7 +134,14 @@ def lookup(points: DataFrame, intervals: DataFrame, bin_width: int = JOIN_BIN) -
     right = intervals.filter("end > start").select(
         "contig", *extra, F.col("start").alias("_start"), F.col("end").alias("_end")
     )
-    right = right.select("*", _bins(F.col("_start"), F.col("_end"), bin_width).alias("_bin"))
+    right = right.select(
+        "*",
+        F.explode(
+            F.sequence(
+                F.floor(F.col("_start") / bin_width).cast("bigint"), F.floor((F.col("_end") - 1) / bin_width).cast("bigint")
+            )
+        ).alias("_bin"),
+    )
     left = points.withColumn("_bin", F.floor(F.col("locus") / bin_width).cast("bigint"))
     return (
         left.join(right, ["contig", "_bin"])
@@ -115,9 +150,11 @@ def lookup(points: DataFrame, intervals: DataFrame, bin_width: int = JOIN_BIN) -
     )
 
 
-def values_in_ranges(ranges: DataFrame, intervals: DataFrame, value: str = "value") -> DataFrame:
+def values_in_ranges(
+    ranges: DataFrame, intervals: DataFrame, value: str = "value", disjoint: bool = False
+) -> DataFrame:
     """Every query range with each distinct value it meets, one row per (range, value)."""
-    return overlapping_values(ranges, intervals, value)
+    return overlapping_values(ranges, intervals, value, disjoint=disjoint)
 
 
 def overlaps_locus(locus: Column | int, half_window: int = 0) -> Column:
@@ -132,6 +169,3 @@ def intersects(loci: DataFrame, start: int, end: int) -> DataFrame:
         return loci.limit(0)
     return loci.filter((F.col("start") < end) & (F.col("end") > start))
 
-
-def as_locus_set(intervals: DataFrame) -> DataFrame:
-    return merge(intervals)

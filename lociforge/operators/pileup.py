@@ -45,7 +45,7 @@ def prepared(reads: DataFrame) -> DataFrame:
     with_blocks = reads.withColumn("blocks", cigar_blocks("cigar"))
     with_text = with_blocks.withColumn("aligned", aligned_text("seq", "blocks"))
     return (
-        with_text.withColumn("ref_text", reference_text("md", "aligned").cast("binary"))
+        with_text.withColumn("sample", sample_key()).withColumn("ref_text", reference_text("md", "aligned").cast("binary"))
         .withColumn("seq_bytes", F.col("seq").cast("binary"))
         .withColumn("qual_bytes", F.col("qual").cast("binary"))
         .drop("aligned")
@@ -209,9 +209,9 @@ def depth(rows: DataFrame, keys: tuple[str, ...] = ("contig", "locus")) -> DataF
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("depth"))
 
 
-def split_key(name: str) -> Column:
-    """Group key for a split by sample (null becomes ``default``) or by token."""
-    return F.coalesce(F.col(name), F.lit("default")).alias(name) if name == "sample" else F.col(name)
+def sample_key() -> Column:
+    """Group key for a split by sample; reads without one are the sample ``default``."""
+    return F.coalesce("sample", F.lit("default")).alias("sample")
 
 
 def pileup(
@@ -224,14 +224,14 @@ def pileup(
     return rows.groupBy(*keys).agg(*aggregates)
 
 
-def restrict(reads: DataFrame, loci: DataFrame | None) -> DataFrame:
+def restrict(reads: DataFrame, loci: DataFrame | None, disjoint: bool = False) -> DataFrame:
     """Reads that overlap the locus set (all reads without one), before anything is expanded."""
-    return reads if loci is None else overlapping(reads, loci)
+    return reads if loci is None else overlapping(reads, loci, disjoint=disjoint)
 
 
-def on_loci(rows: DataFrame, loci: DataFrame | None) -> DataFrame:
+def on_loci(rows: DataFrame, loci: DataFrame | None, disjoint: bool = False) -> DataFrame:
     """Per-locus rows inside the set. Meant for aggregated rows, one or a few per locus."""
-    return rows if loci is None else lookup(rows, merge(loci))
+    return rows if loci is None else lookup(rows, loci if disjoint else merge(loci))
 
 
 def pileup_over(
@@ -241,10 +241,11 @@ def pileup_over(
 
     Reads are picked by the set first and loci after aggregation; base rows meet no join.
     """
-    found = on_loci(pileup(elements(restrict(reads, loci)), *aggregates), loci)
+    loci = merge(loci)
+    found = on_loci(pileup(elements(restrict(reads, loci, disjoint=True)), *aggregates), loci, disjoint=True)
     if not include_empty:
         return found
-    return each_locus(merge(loci)).join(found, ["contig", "locus"], "left")
+    return each_locus(loci).join(found, ["contig", "locus"], "left")
 
 
 def paired(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("contig", "locus")) -> DataFrame:
@@ -261,9 +262,16 @@ def pileup_pair(
     tokens: tuple[int, int] = (1, 2),
     keys: tuple[str, ...] = ("contig", "locus"),
 ) -> DataFrame:
-    """A function of two pileups: the aggregates per token, as ``<name>_1`` and ``<name>_2``."""
-    sides = [pileup(rows.filter(F.col("token") == t), *aggregates, keys=keys) for t in tokens]
-    return paired(*sides, keys=keys)
+    """A function of two pileups: the aggregates per token, as ``<name>_1`` and ``<name>_2``.
+
+    Both come from one aggregate by token; the few rows left are laid side by side.
+    """
+    both = pileup(rows.filter(F.col("token").isin(*tokens)), *aggregates, keys=(*keys, "token"))
+    names = [c for c in both.columns if c not in (*keys, "token")]
+    sides = [
+        F.max(F.when(F.col("token") == t, F.col(c))).alias(f"{c}_{n}") for n, t in enumerate(tokens, 1) for c in names
+    ]
+    return both.groupBy(*keys).agg(*sides)
 
 
 def coverage(reads: DataFrame, half_window: int = 0, width: int = BIN_WIDTH) -> DataFrame:
@@ -313,24 +321,24 @@ def _close_runs(totals: DataFrame, width: int) -> DataFrame:
     )
 
 
-def new_reads(reads: DataFrame, loci: DataFrame, half_window: int = 0) -> DataFrame:
+def new_reads(reads: DataFrame, loci: DataFrame, half_window: int = 0, disjoint: bool = False) -> DataFrame:
     """Reads that enter a sliding window, per locus of a set: ``contig, locus, n_new``.
 
     A read enters at the first locus of the set whose window it touches, so it counts once.
     """
     spots = reads.groupBy("contig", "start", "end").agg(F.count(F.lit(1)).alias("n"))
     return (
-        first_overlaps(spots, loci, half_window)
+        first_overlaps(spots, loci, half_window, disjoint=disjoint)
         .select("contig", F.greatest("_from", "_start").alias("locus"), "n")
         .groupBy("contig", "locus").agg(F.sum("n").alias("n_new"))
     )
 
 
 def window_pileup(
-    reads: DataFrame, loci: DataFrame, half_window: int, *aggregates: Column
+    reads: DataFrame, loci: DataFrame, half_window: int, *aggregates: Column, disjoint: bool = False
 ) -> DataFrame:
     """Aggregates over the reads near each locus: ``start <= locus + h`` and ``end - 1 >= locus - h``."""
-    near = overlapping_pairs(reads, merge(loci), half_window)
+    near = overlapping_pairs(reads, loci if disjoint else merge(loci), half_window)
     low = F.greatest(F.col("start") - half_window, F.col("range_start"))
     high = F.least(F.col("end") + half_window, F.col("range_end"))
     at = near.select("*", F.explode(F.sequence(low, high - 1)).alias("locus"))

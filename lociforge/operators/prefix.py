@@ -28,38 +28,42 @@ def running_total(
     out: str,
     payload: tuple[str, ...] = (),
     width: int = BIN_WIDTH,
+    total: str | None = None,
 ) -> DataFrame:
     """``keys, pos, value, out``: values summed per position and their inclusive running total.
 
-    Columns named in ``payload`` must be the same for all rows of one ``(keys, pos)``.
+    Columns named in ``payload`` must be the same for all rows of one ``(keys, pos)``. With ``total``
+    the running total goes on from key to key, in their order, and a column of that name has the sum
+    of everything; the window over the total rows then sees one row per bin of all keys.
     """
     extra = F.struct(*[F.col(c) for c in payload]) if payload else F.lit(0)
     detail = F.struct(F.col(pos).cast("bigint").alias("p"), extra.alias("x"))
-    total = F.struct(F.lit(None).cast("bigint").alias("p"), F.lit(None).alias("x"))
+    bin_row = F.struct(F.lit(None).cast("bigint").alias("p"), F.lit(None).alias("x"))
     rows = (
         df.select(
             *keys, position_bin(pos, width).alias("_bin"), F.col(value).alias("_v"),
-            F.explode(F.array(detail, total)).alias("_r"),
+            F.explode(F.array(detail, bin_row)).alias("_r"),
         )
         .groupBy(*keys, "_bin", F.col("_r.p").alias("_p"))
         .agg(F.sum("_v").alias("_v"), F.max("_r.x").alias("_x"))
     )
     is_total = F.col("_p").isNull()
-    scan = (
-        Window.partitionBy(*keys, F.when(is_total, F.lit(-1)).otherwise(F.col("_bin")))
-        .orderBy(F.coalesce("_p", "_bin"))
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
+    names = [F.col(k) if total is None else F.when(~is_total, F.col(k)) for k in keys]
+    order = [] if total is None else [F.when(is_total, F.col(k)) for k in keys]
+    group = Window.partitionBy(*names, F.when(is_total, F.lit(-1)).otherwise(F.col("_bin")))
+    scan = group.orderBy(*order, F.coalesce("_p", "_bin")).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_s", F.sum("_v").over(scan))
-    carry = F.max(F.when(is_total, F.col("_s") - F.col("_v"))).over(
-        Window.partitionBy(*keys, "_bin")
-    )
+    own_bin = Window.partitionBy(*keys, "_bin")
+    carry = F.max(F.when(is_total, F.col("_s") - F.col("_v"))).over(own_bin)
+    extras = [F.col("_x")[c].alias(c) for c in payload]
+    if total is not None:
+        rows = rows.withColumn("_all", F.sum(F.when(is_total, F.col("_v"))).over(group))
+        rows = rows.withColumn("_all", F.max("_all").over(own_bin))
+        extras.append(F.col("_all").alias(total))
     return (
         rows.withColumn("_carry", carry)
         .filter(~is_total)
         .select(
-            *keys, F.col("_p").alias(pos), F.col("_v").alias(value),
-            (F.col("_carry") + F.col("_s")).alias(out),
-            *[F.col("_x")[c].alias(c) for c in payload],
+            *keys, F.col("_p").alias(pos), F.col("_v").alias(value), (F.col("_carry") + F.col("_s")).alias(out), *extras
         )
     )

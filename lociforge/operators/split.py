@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociforge.operators.intervals import merge, with_offsets
-from lociforge.operators.overlap import overlapping_values
+from lociforge.operators.overlap import rows_per_value
+from lociforge.operators.prefix import running_total
 
 # Fixed value: default number of micro buckets per bucket.
 ACCURACY = 250
@@ -31,15 +32,16 @@ def _bucket_of(x: Column, per_bucket: Column) -> Column:
     )
 
 
-def _even_pieces(loci: DataFrame, buckets: int, at_most_loci: bool = False) -> DataFrame:
+def _even_pieces(loci: DataFrame, buckets: int, at_most_loci: bool = False, disjoint: bool = False) -> DataFrame:
     """Ranges cut at bucket edges: ``contig, start, end, value, at`` (``at`` counts loci before).
 
     ``at_most_loci`` lowers the bucket count to the number of loci.
     """
+    loci = loci.select("contig", "start", "end")
     n = F.lit(buckets).cast("bigint")
     if at_most_loci:
         n = F.least(n, F.col("total"))
-    placed = with_offsets(merge(loci)).withColumn(
+    placed = with_offsets(loci if disjoint else merge(loci)).withColumn(
         "_per", F.greatest(F.lit(1.0), F.col("total").cast("double") / n.cast("double"))
     )
     last = F.col("offset") + F.col("end") - F.col("start") - 1
@@ -69,33 +71,29 @@ def _even_pieces(loci: DataFrame, buckets: int, at_most_loci: bool = False) -> D
     )
 
 
-def split_evenly(loci: DataFrame, buckets: int) -> DataFrame:
-    """Bucket ``k`` starts at the rounded ``k * max(1, loci / buckets)``-th locus."""
-    return _even_pieces(loci, buckets).drop("at")
+def split_evenly(loci: DataFrame, buckets: int, disjoint: bool = False) -> DataFrame:
+    """Bucket ``k`` starts at the rounded ``k * max(1, loci / buckets)``-th locus.
 
-
-def _hits(reads: list[DataFrame] | tuple[DataFrame, ...], buckets: DataFrame) -> DataFrame:
-    """Overlapping reads per bucket, counted at distinct positions so copies are joined once."""
-    spots = (
-        reduce(DataFrame.unionByName, [one.select("contig", "start", "end") for one in reads])
-        .groupBy("contig", "start", "end").agg(F.count(F.lit(1)).alias("n"))
-    )
-    return overlapping_values(spots, buckets).groupBy("value").agg(F.sum("n").alias("reads"))
+    ``disjoint`` says that the loci are a merged set and need no merging.
+    """
+    return _even_pieces(loci, buckets, disjoint=disjoint).drop("at")
 
 
-def reads_per_bucket(reads: list[DataFrame], buckets: DataFrame) -> DataFrame:
+def reads_per_bucket(reads: list[DataFrame] | tuple[DataFrame, ...], buckets: DataFrame) -> DataFrame:
     """``value, reads``: overlapping reads of all read sets per bucket, zero-read buckets included.
 
-    A read that overlaps two buckets counts for both.
+    A read that overlaps two buckets counts for both. Buckets are disjoint. Reads are counted at distinct
+    positions first, so copies are joined once.
     """
-    return (
-        buckets.select("value").distinct().join(_hits(reads, buckets), "value", "left")
-        .select("value", F.coalesce("reads", F.lit(0)).cast("bigint").alias("reads"))
+    spots = (
+        reduce(DataFrame.unionByName, [one.select("contig", "start", "end") for one in reads])
+        .groupBy("contig", "start", "end").agg(F.count(F.lit(1)).alias("reads"))
     )
+    return rows_per_value(spots, buckets, "reads", disjoint=True)
 
 
 def split_by_depth(
-    loci: DataFrame, buckets: int, *reads: DataFrame, accuracy: int = ACCURACY
+    loci: DataFrame, buckets: int, *reads: DataFrame, accuracy: int = ACCURACY, disjoint: bool = False
 ) -> DataFrame:
     """Locus map whose buckets overlap about the same number of reads.
 
@@ -103,30 +101,23 @@ def split_by_depth(
     bucket, and the running count says where each bucket edge falls; inside a micro bucket reads
     are taken to lie evenly. A micro bucket without reads stays with the bucket before it.
     """
-    micro = _even_pieces(loci, buckets * accuracy, at_most_loci=True)
+    micro = _even_pieces(loci, buckets * accuracy, at_most_loci=True, disjoint=disjoint)
     sizes = micro.groupBy("value").agg(
         F.sum(F.col("end") - F.col("start")).alias("size"), F.min("at").alias("at")
     )
-    counts = _hits(reads, micro.drop("at"))
-    # One row per micro bucket: the caller's buckets * accuracy bounds this window.
-    by_micro = Window.orderBy("micro")
-    table = (
+    counts = reads_per_bucket(reads, micro.drop("at"))
+    sized = (
         sizes.join(counts, "value", "left")
         .select(
-            F.col("value").alias("micro"), "size", "at",
+            F.lit(0).alias("all"), F.col("value").alias("micro"), "size", "at",
             F.coalesce("reads", F.lit(0)).cast("bigint").alias("reads"),
         )
-        .withColumn("upto", F.sum("reads").over(by_micro.rowsBetween(Window.unboundedPreceding, 0)))
+    )
+    # Micro buckets can be many: their running total works in stretches.
+    table = (
+        running_total(sized, ["all"], "micro", "reads", "upto", ("size", "at"), total="_total")
         .withColumn("before", F.col("upto") - F.col("reads"))
-        .withColumn(
-            "_per",
-            F.greatest(
-                F.lit(1.0),
-                F.sum("reads").over(
-                    by_micro.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-                ).cast("double") / F.lit(float(buckets)),
-            ),
-        )
+        .withColumn("_per", F.greatest(F.lit(1.0), F.col("_total").cast("double") / F.lit(float(buckets))))
     )
     cuts = table.select("micro", "at", F.explode(_cuts()).alias("c")).select(
         "micro",
@@ -199,9 +190,13 @@ def _cuts() -> Column:
 
 
 def split_loci(
-    loci: DataFrame, reads: list[DataFrame], buckets: int, accuracy: int = ACCURACY
+    loci: DataFrame, reads: list[DataFrame], buckets: int = 0, accuracy: int = ACCURACY, disjoint: bool = False
 ) -> DataFrame:
-    """Even split when ``accuracy`` is 0, depth-balanced split otherwise."""
+    """Even split when ``accuracy`` is 0, depth-balanced split otherwise.
+
+    With 0 ``buckets`` there are as many as the session's default parallelism.
+    """
+    buckets = buckets or loci.sparkSession.sparkContext.defaultParallelism
     if accuracy == 0:
-        return split_evenly(loci, buckets)
-    return split_by_depth(loci, buckets, *reads, accuracy=accuracy)
+        return split_evenly(loci, buckets, disjoint)
+    return split_by_depth(loci, buckets, *reads, accuracy=accuracy, disjoint=disjoint)

@@ -473,7 +473,7 @@ SELECT contig, {_big('p', 'locus')}, {_letter('p', 0)} AS base FROM tl""",
     "reference_at_reads": f"""{READS}
 SELECT contig, {_big('s', 'locus')}, {_letter('s', 0)} AS ref, count(*) AS n FROM r GROUP BY ALL""",
     "interval_merge": f"WITH {_RANGES}, {_merged('m', 'rg')}\nSELECT contig, {_START_END} FROM m",
-    "interval_union": f"""WITH {_RANGES}, u AS (SELECT * FROM rg WHERE v IN ('O', 'F')), {_merged('m', 'u')}
+    "interval_union": f"""WITH {_RANGES}, {_merged('m', 'rg')}
 SELECT contig, {_START_END} FROM m""",
     "interval_overlay": f"WITH {_RANGES}, {_overlaid('m', 'rg')}\nSELECT contig, {_START_END}, v AS value FROM m",
     "interval_union_maps": f"""WITH {_RANGES}, u AS (SELECT *, (v = 'F')::INT AS o FROM rg), {_overlaid('m', 'u', 'o')}

@@ -198,7 +198,7 @@ def depth_sweep(spark, d):
 def window_reads(spark, d):
     targets = intervals.merge(views.targets(spark, d))
     return pileup.window_pileup(
-        views.read_spans(spark, d), targets, HALF_WINDOW, _count("n_reads"), F.sum("mapq").alias("sum_mapq")
+        views.read_spans(spark, d), targets, HALF_WINDOW, _count("n_reads"), F.sum("mapq").alias("sum_mapq"), disjoint=True
     )
 
 
@@ -450,7 +450,7 @@ def interval_merge(spark, d):
 @query
 def interval_union(spark, d):
     rows = views.ranges(spark, d)
-    return intervals.union(rows.filter("value = 'O'"), rows.filter("value = 'F'"))
+    return intervals.union(*[rows.filter(F.col("value") == status) for status in ("O", "F", "P")])
 
 
 @query
@@ -505,7 +505,7 @@ def interval_lookup(spark, d):
 def interval_values_in_range(spark, d):
     """Distinct target values inside each read span."""
     spans = views.read_spans(spark, d).select("contig", "start", "end").distinct()
-    found = overlap.values_in_ranges(spans, intervals.overlay(views.targets(spark, d)))
+    found = overlap.values_in_ranges(spans, intervals.overlay(views.targets(spark, d)), disjoint=True)
     return found.groupBy("contig", "start", "end").agg(
         F.count(F.lit(1)).alias("n_values"), F.sum("value").cast("bigint").alias("sum_values")
     )
@@ -557,7 +557,7 @@ def interval_display(spark, d):
 def overlap_join(spark, d):
     """Reads per target value they overlap, a read once per distinct value."""
     found = overlap.overlapping_values(
-        views.read_spans(spark, d), intervals.overlay(views.targets(spark, d)), half_window=HALF_WINDOW
+        views.read_spans(spark, d), intervals.overlay(views.targets(spark, d)), half_window=HALF_WINDOW, disjoint=True
     )
     return found.groupBy("contig", "value", "sample").agg(_count(), F.sum("mapq").alias("sum_mapq"))
 
@@ -595,15 +595,15 @@ def uniform_split(spark, d):
 @query
 def balanced_split(spark, d):
     return split.split_by_depth(
-        views.contig_loci(spark, d), DEPTH_BUCKETS, views.read_spans(spark, d), accuracy=DEPTH_ACCURACY
+        views.contig_loci(spark, d), DEPTH_BUCKETS, views.read_spans(spark, d), accuracy=DEPTH_ACCURACY, disjoint=True
     )
 
 
 @query
 def reads_by_bucket(spark, d):
     """Reads repeated across bucket borders, summed up per bucket, contig and token."""
-    buckets = split.split_loci(views.contig_loci(spark, d), [], BUCKETS, accuracy=0)
-    found = overlap.overlapping_values(views.read_spans(spark, d), buckets)
+    buckets = split.split_loci(views.contig_loci(spark, d), [], BUCKETS, accuracy=0, disjoint=True)
+    found = overlap.overlapping_values(views.read_spans(spark, d), buckets, disjoint=True)
     return found.groupBy("value", "contig", "token").agg(
         _count(), F.min("start").alias("first_start"), F.max("end").alias("last_end")
     )
@@ -611,7 +611,7 @@ def reads_by_bucket(spark, d):
 
 @query
 def skew_report(spark, d):
-    buckets = split.split_evenly(views.contig_loci(spark, d), BUCKETS)
+    buckets = split.split_evenly(views.contig_loci(spark, d), BUCKETS, disjoint=True)
     counts = split.reads_per_bucket([views.read_spans(spark, d)], buckets)
     report = metrics.skew_report(counts)
     return report.select(*[F.round(F.col(c).cast("double"), 6).alias(c) for c in report.columns])
@@ -619,7 +619,7 @@ def skew_report(spark, d):
 
 @query
 def bucket_report(spark, d):
-    buckets = split.split_evenly(views.contig_loci(spark, d), 50)
+    buckets = split.split_evenly(views.contig_loci(spark, d), 50, disjoint=True)
     report = metrics.range_report(split.reads_per_bucket([views.read_spans(spark, d)], buckets))
     return report.select("min", F.round("mean", 6).alias("mean"), "max")
 

@@ -190,7 +190,7 @@ def test_two_inputs_pair_up(spark):
 
 def test_split_by_sample_defaults_null(spark):
     reads = reads_df(spark, make_read("A", "1M", "1", sample=None), make_read("A", "1M", "1", sample="x"))
-    got = pileup.elements(reads).groupBy(pileup.split_key("sample")).count().collect()
+    got = pileup.elements(reads).groupBy(pileup.sample_key()).count().collect()
     assert sorted(tuple(r) for r in got) == [("default", 1), ("x", 1)]
 
 
