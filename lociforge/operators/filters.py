@@ -30,68 +30,72 @@ def min_depth(pileups: DataFrame, minimum: int, depth: str = "depth") -> DataFra
 
 
 def evidence(
-    rows: DataFrame, *by: str, keys: tuple[str, ...] = LOCUS_KEYS
+    rows: DataFrame, *aggregates: Column, min_mapq: int = 0, keys: tuple[str, ...] = LOCUS_KEYS
 ) -> DataFrame:
-    """Base rows reduced to distinct ``keys, allele, mapq`` (and ``by``) with their number ``n``.
+    """Base rows reduced to one row per ``keys`` and allele, in one aggregate with map-side combining.
 
-    The locus filters below work on this form: a locus then has at most as many rows as there are
-    distinct combinations, however deep it is, and base rows are combined before the shuffle.
+    ``n`` elements are mapped strictly better than ``min_mapq`` (all of them for 0) and ``kept_mapq`` is their least
+    mapping quality; ``n_all``, ``n_low`` and ``low_mapq`` count every element. ``aggregates`` are taken
+    over the better ones: build them with :func:`passing`. The locus filters below are arithmetic on the few
+    allele rows of a locus, however deep it is.
     """
-    return rows.groupBy(*keys, "allele", "mapq", *by).agg(F.count(F.lit(1)).alias("n"))
+    good = passing(min_mapq)
+    return rows.groupBy(*keys, "allele").agg(
+        F.count_if(good).alias("n"),
+        F.min(F.when(good, F.col("mapq"))).alias("kept_mapq"),
+        F.count(F.lit(1)).alias("n_all"),
+        F.count_if(~good).alias("n_low"),
+        F.min("mapq").alias("low_mapq"),
+        *aggregates,
+    )
+
 
+def passing(min_mapq: int) -> Column:
+    """Whether an element is mapped well enough to count."""
+    return F.col("mapq") > min_mapq if min_mapq > 0 else F.lit(True)
 
-def drop_ambiguous(rows: DataFrame, keys: tuple[str, ...] = LOCUS_KEYS) -> DataFrame:
+
+def drop_ambiguous(alleles: DataFrame, keys: tuple[str, ...] = LOCUS_KEYS) -> DataFrame:
     """Drop a locus if any of its elements has mapping quality 0."""
-    low = F.min("mapq").over(Window.partitionBy(*keys))
-    return rows.withColumn("_low", low).filter("_low > 0").drop("_low")
+    low = F.min("low_mapq").over(Window.partitionBy(*keys))
+    return alleles.withColumn("_low", low).filter("_low > 0").drop("_low")
 
 
 def drop_multi_allelic(
-    rows: DataFrame, max_ploidy: int = MAX_PLOIDY, keys: tuple[str, ...] = LOCUS_KEYS
+    alleles: DataFrame, max_ploidy: int = MAX_PLOIDY, keys: tuple[str, ...] = LOCUS_KEYS
 ) -> DataFrame:
     """Drop a locus with more distinct alleles than ``max_ploidy``."""
-    locus = Window.partitionBy(*keys)
-    return (
-        rows.withColumn("_allele_no", F.dense_rank().over(locus.orderBy("allele")))
-        .withColumn("_alleles", F.max("_allele_no").over(locus))
-        .filter(F.col("_alleles") <= max_ploidy)
-        .drop("_allele_no", "_alleles")
-    )
+    number = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    return alleles.withColumn("_alleles", number).filter(F.col("_alleles") <= max_ploidy).drop("_alleles")
 
 
 def drop_complex_regions(
-    rows: DataFrame, max_complexity: int = MAX_COMPLEXITY, min_mapq: int = MIN_MAPQ,
-    keys: tuple[str, ...] = LOCUS_KEYS,
+    alleles: DataFrame, max_complexity: int = MAX_COMPLEXITY, keys: tuple[str, ...] = LOCUS_KEYS
 ) -> DataFrame:
-    """Drop a locus where more than ``max_complexity`` percent of the elements map at or below the minimum."""
+    """Drop a locus where more than ``max_complexity`` percent of the elements map at or below the
+    minimum that the evidence was taken with."""
     locus = Window.partitionBy(*keys)
-    low = F.sum(F.when(F.col("mapq") <= min_mapq, F.col("n")).otherwise(0)).over(locus)
-    return (
-        rows.withColumn("_share", low * 100.0 / F.sum("n").over(locus))
-        .filter(F.col("_share") <= max_complexity)
-        .drop("_share")
-    )
+    share = F.sum("n_low").over(locus) * 100.0 / F.sum("n_all").over(locus)
+    return alleles.withColumn("_share", share).filter(F.col("_share") <= max_complexity).drop("_share")
 
 
 def filter_pileups(
-    rows: DataFrame,
+    alleles: DataFrame,
     keys: tuple[str, ...] = LOCUS_KEYS,
-    min_mapq: int = MIN_MAPQ,
     max_complexity: int = MAX_COMPLEXITY,
     no_ambiguous: bool = False,
     max_ploidy: int | None = None,
 ) -> DataFrame:
-    """The whole chain on :func:`evidence` rows, in this order: ambiguous loci, multi-allelic loci,
-    complex regions, then single elements by mapping quality. All windows share one shuffle."""
+    """The whole chain on :func:`evidence` rows: ambiguous loci, multi-allelic loci, complex regions, then alleles
+    without a well-mapped element. Locus filters drop whole loci, so their order does not matter, and
+    their windows share one shuffle of allele rows."""
     if no_ambiguous:
-        rows = drop_ambiguous(rows, keys)
+        alleles = drop_ambiguous(alleles, keys)
     if max_ploidy is not None:
-        rows = drop_multi_allelic(rows, max_ploidy, keys)
+        alleles = drop_multi_allelic(alleles, max_ploidy, keys)
     if max_complexity < 100:
-        rows = drop_complex_regions(rows, max_complexity, min_mapq, keys)
-    if min_mapq > 0:
-        rows = min_mapping_quality(rows, min_mapq)
-    return rows
+        alleles = drop_complex_regions(alleles, max_complexity, keys)
+    return alleles.filter("n > 0")
 
 
 def has_read_depth(minimum: int, include_null: bool = True) -> Column:

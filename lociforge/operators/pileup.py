@@ -195,7 +195,7 @@ def base_allele_counts(
     )
 
 
-def reference_base(column: str = "ref_base", smallest: bool = False) -> Column:
+def reference_base(column: Column | str = "ref_base", smallest: bool = False) -> Column:
     """The reference base of a pileup as an aggregate.
 
     Compared as a number: a text maximum would turn the hash aggregate into a sort of base rows.

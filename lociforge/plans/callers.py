@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lociforge.functions.genotypes import ALT, NO_CALL, OTHER_ALT, REF, call_array, classify_pair
 from lociforge.functions.quality import LOG_UNIT, log_hit, log_miss
-from lociforge.operators.filters import MIN_MAPQ, evidence, filter_pileups, min_base_quality
+from lociforge.operators.filters import LOCUS_KEYS, MIN_MAPQ, evidence, filter_pileups, min_base_quality, passing
 from lociforge.operators.pileup import (
     base_allele_counts, base_reads, by_neighbourhood, elements, is_single_base, on_loci, reference_base,
     restrict,
@@ -270,20 +270,21 @@ def somatic_calls(
     )
 
 
-def allele_evidence(rows: DataFrame) -> DataFrame:
-    """Per allele: ``n``, forward reads, the two log sums (1e-9 units) and impossible hits.
+def allele_evidence(rows: DataFrame, min_mapq: int = 0) -> DataFrame:
+    """:func:`evidence` with the two log sums (1e-9 units), impossible hits, forward reads and reference base.
 
     ``hit`` sums ln(2(1-e)), ``miss`` sums ln(2e); ``zero`` counts elements whose quality 0 makes a
     hit impossible. With these a genotype's likelihood is plain arithmetic.
     """
-    n = F.col("n") if "n" in rows.columns else F.lit(1)
-    return rows.groupBy(*_SAMPLE_LOCUS, "allele").agg(
-        F.sum(n).cast("bigint").alias("n"),
-        F.coalesce(F.sum(n * log_hit("q")), F.lit(0)).cast("bigint").alias("hit"),
-        F.sum(n * log_miss("q")).cast("bigint").alias("miss"),
-        F.sum(F.when(F.col("q") <= 0, n).otherwise(0)).cast("bigint").alias("zero"),
-        F.sum(F.when(F.col("fwd"), n).otherwise(0)).cast("bigint").alias("n_fwd"),
-        reference_base().alias("ref_base"),
+    good = passing(min_mapq)
+    return evidence(
+        rows,
+        F.coalesce(F.sum(F.when(good, log_hit("q"))), F.lit(0)).cast("bigint").alias("hit"),
+        F.sum(F.when(good, log_miss("q"))).cast("bigint").alias("miss"),
+        F.count_if(good & (F.col("q") <= 0)).alias("zero"),
+        F.count_if(good & F.col("fwd")).alias("n_fwd"),
+        reference_base(F.when(good, F.col("ref_base"))).alias("ref_base"),
+        min_mapq=min_mapq,
     )
 
 
@@ -390,14 +391,16 @@ def bayes_evidence(
     loci: DataFrame | None = None,
     cluster: bool = True,
 ) -> DataFrame:
-    """Allele evidence after the pileup filters; only the mapping quality filter is on by default."""
+    """Allele evidence after the pileup filters; only the mapping quality filter is on by default.
+
+    Base rows are counted where they are expanded: the shuffle carries a row per locus, sample and allele.
+    """
     rows = _expanded(reads, cluster, loci)
     if max_complexity >= 100 and not no_ambiguous and max_ploidy is None:
-        found = allele_evidence(rows.filter(F.col("mapq") > min_mapq) if min_mapq > 0 else rows)
-        return on_loci(found, loci)
-    reduced = on_loci(evidence(rows, "q", "fwd", "ref_base"), loci)
-    return allele_evidence(
-        filter_pileups(reduced, ("contig", "locus", "sample"), min_mapq, max_complexity, no_ambiguous, max_ploidy)
+        # Nothing looks at the elements that are mapped worse, so they need not be counted.
+        return on_loci(allele_evidence(rows.filter(passing(min_mapq))), loci)
+    return filter_pileups(
+        on_loci(allele_evidence(rows, min_mapq), loci), LOCUS_KEYS, max_complexity, no_ambiguous, max_ploidy
     )
 
 

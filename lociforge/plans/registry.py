@@ -242,26 +242,26 @@ def grouped_alleles_top2(spark, d):
 # --- pileup and genotype filters ---------------------------------------------------------------
 
 
-def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    # Every 13th order maps ambiguously here, so that the locus filters have something to do.
+def _evidence(spark: SparkSession, d: str, min_mapq: int = 0) -> DataFrame:
+    # Reads mapped at 58 or better count as ambiguous here, so that the locus filters have something to do.
     rows = _elements(spark, d).withColumn("mapq", F.when(F.col("mapq") >= 58, 0).otherwise(F.col("mapq")))
-    return filters.evidence(rows)
+    return filters.evidence(rows, min_mapq=min_mapq)
 
 
-def _kept(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("contig", "locus", "sample").agg(
-        F.sum("n").alias("n"), F.countDistinct("allele").alias("alleles"), F.min("mapq").alias("min_mapq")
+def _kept(alleles: DataFrame, n: str = "n", mapq: str = "kept_mapq") -> DataFrame:
+    return alleles.groupBy("contig", "locus", "sample").agg(
+        F.sum(n).alias("n"), F.count(F.lit(1)).alias("alleles"), F.min(mapq).alias("min_mapq")
     )
 
 
 @query
 def map_quality_filter(spark, d):
-    return _kept(filters.min_mapping_quality(_evidence(spark, d), filters.MIN_MAPQ))
+    return _kept(_evidence(spark, d, filters.MIN_MAPQ).filter("n > 0"))
 
 
 @query
 def region_complexity(spark, d):
-    return _kept(filters.drop_complex_regions(_evidence(spark, d)))
+    return _kept(filters.drop_complex_regions(_evidence(spark, d, filters.MIN_MAPQ)), "n_all", "low_mapq")
 
 
 @query
@@ -276,9 +276,7 @@ def multiallelic_filter(spark, d):
 
 @query
 def pileup_filter_chain(spark, d):
-    return _kept(
-        filters.filter_pileups(_evidence(spark, d), min_mapq=25, max_complexity=30, max_ploidy=4)
-    )
+    return _kept(filters.filter_pileups(_evidence(spark, d, 25), max_complexity=30, max_ploidy=4))
 
 
 @query
