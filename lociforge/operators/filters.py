@@ -140,10 +140,16 @@ def filter_genotypes(
 
 
 def select_variants(
-    genotypes: DataFrame, exclude_snvs: bool = False, exclude_indels: bool = False, contig: str = ""
+    genotypes: DataFrame, exclude_snvs: bool = False, exclude_indels: bool = False, contig: str = "",
+    others: bool = False,
 ) -> DataFrame:
-    """Contig and variant-type selection; the empty contig name means every contig."""
+    """Contig and variant-type selection; the empty contig name means every contig.
+
+    Substitutions of several bases (type ``OTHER``) are neither SNVs nor indels and are left out
+    unless ``others`` asks for them.
+    """
     kind = variant_type("ref", "alt")
-    wanted = [k for k, out in (("SNV", exclude_snvs), ("INS", exclude_indels), ("DEL", exclude_indels)) if not out]
+    out = {"SNV": exclude_snvs, "INS": exclude_indels, "DEL": exclude_indels, "OTHER": not others}
+    wanted = [k for k, excluded in out.items() if not excluded]
     rows = genotypes.filter(kind.isin(*wanted) if wanted else F.lit(False))
     return rows.filter(F.col("contig") == contig) if contig else rows

@@ -139,7 +139,7 @@ def element_at_locus(reads: DataFrame, locus: int) -> DataFrame:
 
 
 def base_reads(reads: DataFrame, clip_mode: str = "aligned") -> DataFrame:
-    """Plain base rows ``contig, locus, token, sample, base, bq, mapq``; deletions have null base.
+    """Plain base rows ``contig, locus, sample, token, base, bq, mapq, fwd``; deletions have null base.
 
     Insertions, clips, skipped regions and padding give no rows. ``clip_mode='unclipped'`` counts
     positions from the unclipped start, which moves soft-clipped reads left by their clip.
@@ -151,14 +151,14 @@ def base_reads(reads: DataFrame, clip_mode: str = "aligned") -> DataFrame:
     blocks = (
         reads.withColumn("blocks", cigar_blocks("cigar"))
         .select(
-            "contig", "sample", "token", "mapq", start.alias("start"),
+            "contig", "sample", "token", "mapq", "fwd", start.alias("start"),
             F.col("seq").cast("binary").alias("seq_bytes"),
             F.col("qual").cast("binary").alias("qual_bytes"),
             F.explode_outer("blocks").alias("b"),
         )
         .filter(F.col("b.op").isin("M", "=", "X", "D") & (F.col("b.len") > 0))
         .select(
-            "contig", "sample", "token", "mapq", "seq_bytes", "qual_bytes",
+            "contig", "sample", "token", "mapq", "fwd", "seq_bytes", "qual_bytes",
             F.col("b.op").alias("op"),
             F.col("b.read_off").alias("read_off"),
             (F.col("start") + F.col("b.ref_off")).alias("block_start"),
@@ -173,7 +173,7 @@ def base_reads(reads: DataFrame, clip_mode: str = "aligned") -> DataFrame:
         "contig", (F.col("block_start") + F.col("i")).alias("locus"), "sample", "token",
         F.when(has_base, base).alias("base"),
         F.when(has_base, F.when(F.col("qual_bytes").isNull(), 0).otherwise(qual)).alias("bq"),
-        "mapq",
+        "mapq", "fwd",
     )
 
 

@@ -17,7 +17,7 @@ from lociforge.operators.pileup import (
     base_allele_counts, base_reads, by_neighbourhood, elements, is_single_base, on_loci, reference_base,
     restrict,
 )
-from lociforge.sources.fasta import FRAGMENT_LENGTH, with_reference_base
+from lociforge.sources.fasta import with_reference_base
 
 # Option defaults of the callers and their sample names.
 THRESHOLD = 8
@@ -210,7 +210,6 @@ def somatic_calls(
     top_percent: int = TOP_PERCENT,
     min_mapq: int | None = None,
     clip_mode: str = "aligned",
-    fragment_length: int = FRAGMENT_LENGTH,
     cluster: bool = True,
 ) -> DataFrame:
     """Call the tumor's most frequent base where the normal's top bases do not include it.
@@ -223,6 +222,7 @@ def somatic_calls(
     both = _usable(rows, min_base_quality_, min_mapq).groupBy(*_LOCUS, "base").agg(
         F.count_if(F.col("token") == TUMOR).alias("n_tumor"),
         F.count_if(F.col("token") == NORMAL).alias("n_normal"),
+        F.count_if((F.col("token") == TUMOR) & F.col("fwd")).alias("n_fwd"),
     )
     # The null base sorts last on equal counts.
     no_base = F.col("base").isNull()
@@ -231,6 +231,7 @@ def somatic_calls(
         .agg(
             F.sum("n_tumor").alias("tumor_depth"),
             F.sum("n_normal").alias("normal_depth"),
+            F.sum("n_fwd").alias("tumor_fwd"),
             F.min(
                 F.struct((-F.col("n_tumor")).alias("order"), no_base.alias("gap"), "base")
             ).alias("best"),
@@ -260,13 +261,13 @@ def somatic_calls(
     in_normal = F.expr(
         f"n_alt_normal > 0 AND (ahead = 0 OR ahead * 100 div nullif(normal_depth, 0) < {int(top_percent)})"
     )
-    found = with_reference_base(per_locus.filter(~in_normal), reference, fragment_length)
+    found = with_reference_base(per_locus.filter(~in_normal), reference)
     return found.filter(F.col("alt") != F.col("ref")).select(
         "contig", F.col("locus").alias("pos"), "ref", "alt", F.lit(SIMPLE_SAMPLE).alias("sample"),
         call_array(ALT, ALT).alias("alleles"),
         F.col("tumor_depth").cast("int").alias("read_depth"),
         (-F.col("best.order")).cast("int").alias("alt_read_depth"),
-        F.lit(None).cast("int").alias("fwd_reads"),
+        F.col("tumor_fwd").cast("int").alias("fwd_reads"),
     )
 
 

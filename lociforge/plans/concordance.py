@@ -21,6 +21,13 @@ def _type_name() -> "F.Column":
     return F.when(F.array_contains("alleles", REF), "HET").otherwise("HOM_ALT")
 
 
+def one_sample(genotypes: DataFrame, sample: str | None = None) -> DataFrame:
+    """The rows of one sample; without a name, of the first by name, which a job looks up."""
+    if sample is None:
+        sample = genotypes.agg(F.min("sample")).first()[0]
+    return genotypes.filter(F.col("sample") == sample)
+
+
 def concordance_table(
     called: DataFrame,
     truth: DataFrame,
@@ -28,18 +35,23 @@ def concordance_table(
     exclude_indels: bool = False,
     contig: str = "",
     match_sample: bool = False,
+    sample: str | None = None,
+    truth_sample: str | None = None,
 ) -> DataFrame:
     """Number of variants per (called type, true type); a missing side is ``NO_CALL``.
 
-    Variants are reduced to one row per key before the join, so each key meets once.
+    One sample of either side is scored, the first by name unless ``sample`` and ``truth_sample`` name
+    others; with ``match_sample`` every sample is scored against its namesake instead. Variants are
+    reduced to one row per key before the join, so each key meets once.
     """
     keys = [*_VARIANT, "sample"] if match_sample else _VARIANT
 
-    def side(genotypes: DataFrame, name: str) -> DataFrame:
-        chosen = select_variants(_call_type(genotypes), exclude_snvs, exclude_indels, contig)
-        return chosen.groupBy(*keys).agg(F.max(_type_name()).alias(name))
+    def side(genotypes: DataFrame, name: str, chosen: str | None) -> DataFrame:
+        rows = genotypes if match_sample else one_sample(genotypes, chosen)
+        rows = select_variants(_call_type(rows), exclude_snvs, exclude_indels, contig)
+        return rows.groupBy(*keys).agg(F.max(_type_name()).alias(name))
 
-    joined = side(called, "called").join(side(truth, "truth"), keys, "full_outer")
+    joined = side(called, "called", sample).join(side(truth, "truth", truth_sample), keys, "full_outer")
     return joined.groupBy(
         F.coalesce("called", F.lit("NO_CALL")).alias("called"),
         F.coalesce("truth", F.lit("NO_CALL")).alias("truth"),

@@ -183,7 +183,7 @@ SELECT * FROM gt"""
 
 _BASE_ROWS = """
 br AS (
-  SELECT contig, locus, token, CASE WHEN base = '' THEN NULL ELSE base END AS base,
+  SELECT contig, locus, token, fwd, CASE WHEN base = '' THEN NULL ELSE base END AS base,
          CASE WHEN base = '' THEN NULL ELSE 2 + (ok * 3 + j * 5) % 40 END AS bq
   FROM el)"""
 _TOP = """
@@ -251,15 +251,27 @@ tr AS (
          CASE WHEN p % 89 = 5 THEN 'HOM_ALT' ELSE 'HET' END AS kind
   FROM tl WHERE p % 89 = 5 OR p % 97 = 13 OR p % 101 = 7)"""
 
-_MATCHED = """
+def _matched(where: str) -> str:
+    return f"""
 cs AS (
   SELECT contig, pos, ref, alt, max(CASE WHEN contains(alleles, 'Ref') THEN 'HET' ELSE 'HOM_ALT' END) AS kind
-  FROM gt WHERE length(ref) = 1 AND length(alt) = 1 GROUP BY ALL),
+  FROM gt WHERE length(ref) = 1 AND length(alt) = 1 AND {where} GROUP BY ALL),
 mt AS (
   SELECT coalesce(cs.kind, 'NO_CALL') AS called, coalesce(tr.kind, 'NO_CALL') AS truth, count(*) AS variants
   FROM cs FULL OUTER JOIN tr ON (cs.contig, cs.pos, cs.ref, cs.alt) = (tr.contig, tr.pos, tr.ref, tr.alt)
   GROUP BY ALL)"""
 
+
+_SCORES = f"""
+sc AS (
+  SELECT coalesce(sum(variants) FILTER (called <> 'NO_CALL' AND truth <> 'NO_CALL'), 0)::DOUBLE AS tp,
+         coalesce(sum(variants) FILTER (truth = 'NO_CALL'), 0)::DOUBLE AS fp,
+         coalesce(sum(variants) FILTER (called = 'NO_CALL'), 0)::DOUBLE AS fn FROM mt)
+SELECT {_big('tp', 'true_positives')}, {_big('fp', 'false_positives')}, {_big('fn', 'false_negatives')},
+       round(tp / (tp + fp), 9) AS "precision", round(tp / (tp + fn), 9) AS recall,
+       round(2.0 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 9) AS f1
+FROM sc"""
+
 # Reduced rows for the pileup filters: mapping quality 58 and better is made ambiguous.
 _EVIDENCE = f"""{ELEMENTS},
 ev AS (
@@ -430,10 +442,11 @@ SELECT * FROM gt WHERE alleles <> 'NoCall/NoCall'
 {_BASE_ROWS}, {_TOP},
 best AS (SELECT * FROM ranked WHERE token = 1 AND rk = 1),
 nd AS (SELECT DISTINCT contig, locus, depth FROM ranked WHERE token = 2),
-rf AS (SELECT contig, locus, max(ref_base) AS ref FROM el GROUP BY ALL)
+rf AS (SELECT contig, locus, max(ref_base) AS ref FROM el GROUP BY ALL),
+fd AS (SELECT contig, locus, count(*) FILTER (fwd) AS n_fwd FROM br WHERE token = 1 AND coalesce(bq, 20) >= 20 GROUP BY ALL)
 SELECT contig, {_big('locus', 'pos')}, ref, base AS alt, 'sample' AS sample, 'Alt/Alt' AS alleles,
-       CAST(best.depth AS INTEGER) AS read_depth, CAST(n AS INTEGER) AS alt_read_depth
-FROM best JOIN nd USING (contig, locus) JOIN rf USING (contig, locus)
+       CAST(best.depth AS INTEGER) AS read_depth, CAST(n AS INTEGER) AS alt_read_depth, CAST(n_fwd AS INTEGER) AS fwd_reads
+FROM best JOIN nd USING (contig, locus) JOIN rf USING (contig, locus) JOIN fd USING (contig, locus)
 WHERE best.depth >= 10 AND nd.depth >= 10 AND base IS NOT NULL AND base <> ref
   AND NOT EXISTS (SELECT 1 FROM tb WHERE tb.token = 2 AND tb.contig = best.contig
                   AND tb.locus = best.locus AND tb.base = best.base)""",
@@ -450,21 +463,15 @@ SELECT * FROM gt""",
 SELECT contig, {_big('locus', 'locus')}, sample, a1, a2, alleles, {_big('len(list_distinct([a1, a2]))', 'n_unique')},
        {_big('(a1 <> ref)::INT + (a2 <> ref)::INT', 'n_variants')}, CAST(2 AS BIGINT) AS ploidy
 FROM calls0""",
-    "concordance_table": f"""{_bayes()}, {_TRUTH}, {_MATCHED}
+    "concordance_table": f"""{_bayes()}, {_TRUTH}, {_matched("sample = 'normal'")}
 SELECT called, truth, variants FROM mt""",
-    "concordance_scores": f"""{_threshold(8, False)}, {_TRUTH}, {_MATCHED},
-sc AS (
-  SELECT coalesce(sum(variants) FILTER (called <> 'NO_CALL' AND truth <> 'NO_CALL'), 0)::DOUBLE AS tp,
-         coalesce(sum(variants) FILTER (truth = 'NO_CALL'), 0)::DOUBLE AS fp,
-         coalesce(sum(variants) FILTER (called = 'NO_CALL'), 0)::DOUBLE AS fn FROM mt)
-SELECT {_big('tp', 'true_positives')}, {_big('fp', 'false_positives')}, {_big('fn', 'false_negatives')},
-       round(tp / (tp + fp), 9) AS "precision", round(tp / (tp + fn), 9) AS recall,
-       round(2.0 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 9) AS f1
-FROM sc""",
+    "concordance_scores": f"""{_threshold(8, False)}, {_TRUTH}, {_matched("sample = 'tumor'")}, {_SCORES}""",
+    "call_filter_write_evaluate": f"""{_bayes()}, {_TRUTH},
+{_matched("sample = 'normal' AND read_depth > 20 AND alt_read_depth > 10")}, {_SCORES}""",
     "variant_types": f"""{_bayes()}
 SELECT contig, CASE WHEN length(alt) > length(ref) THEN 'INS' ELSE 'DEL' END AS type, count(*) AS n
 FROM gt WHERE length(alt) <> length(ref) GROUP BY ALL""",
-    "vcf_round_trip": f"{_threshold(8, False)}\nSELECT contig, pos, ref, alt, alleles FROM gt",
+    "vcf_round_trip": f"{_bayes(emit_ref=True)}\nSELECT * FROM gt",
     "first_genotypes": f"""{_threshold(8, False)}
 SELECT * FROM gt ORDER BY contig, pos, ref, alt, sample LIMIT 25""",
     "reference_bases": f"""{READS},

@@ -18,6 +18,7 @@ TAKE_LOCI = 5_000
 BUCKETS = 7
 DEPTH_BUCKETS, DEPTH_ACCURACY = 4, 25
 HALF_WINDOW = 3
+SAMPLES = ["normal", "tumor"]
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -323,10 +324,7 @@ def somatic_threshold_calls(spark, d):
 
 @query
 def somatic_calls(spark, d):
-    found = callers.somatic_calls(
-        views.clone_reads(spark, d), views.reference(spark, d), fragment_length=views.FRAGMENT, cluster=False,
-    )
-    return _calls(found).drop("fwd_reads")
+    return _calls(callers.somatic_calls(views.clone_reads(spark, d), views.reference(spark, d), cluster=False))
 
 
 @query
@@ -383,20 +381,33 @@ def genotype_classes(spark, d):
 @query
 def concordance_table(spark, d):
     called = callers.bayes_calls(views.reads(spark, d), cluster=False)
-    return concordance.concordance_table(called, views.truth(spark, d), exclude_indels=True)
+    return concordance.concordance_table(called, views.truth(spark, d), exclude_indels=True)  # the first sample
 
 
-@query
-def concordance_scores(spark, d):
-    """Precision, recall and F1 of the threshold calls, SNVs only."""
-    called = callers.threshold_calls(views.reads(spark, d), cluster=False)
-    scores = concordance.evaluate(called, views.truth(spark, d), exclude_indels=True)
-    return scores.select(
+def _scores(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "true_positives", "false_positives", "false_negatives",
         *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")],
     )
 
 
+@query
+def concordance_scores(spark, d):
+    """Precision, recall and F1 of the threshold calls of one chosen sample, SNVs only."""
+    called = callers.threshold_calls(views.reads(spark, d), cluster=False)
+    return _scores(concordance.evaluate(called, views.truth(spark, d), exclude_indels=True, sample="tumor"))
+
+
+@query
+def call_filter_write_evaluate(spark, d):
+    """The likelihood caller's whole chain: calls, genotype filters, VCF lines, and their scores when read back."""
+    called = callers.bayes_calls(views.reads(spark, d))
+    kept = filters.filter_genotypes(called, min_read_depth=20, min_alt_depth=10)
+    lines = genotype_source.vcf_lines(kept, SAMPLES, views.reference(spark, d)).select("value")
+    found = genotype_source.parse_vcf(lines, SAMPLES)
+    return _scores(concordance.evaluate(found, views.truth(spark, d), exclude_indels=True, sample="normal"))
+
+
 @query
 def variant_types(spark, d):
     """Called variants per type and contig, after the type filter."""
@@ -407,12 +418,10 @@ def variant_types(spark, d):
 
 @query
 def vcf_round_trip(spark, d):
-    """Called genotypes written as VCF lines and parsed back."""
-    called = callers.threshold_calls(views.reads(spark, d), cluster=False)
-    lines = genotype_source.vcf_lines(called).select("value")
-    return genotype_source.parse_vcf(lines, ["call"]).select(
-        "contig", "pos", "ref", "alt", F.array_join("alleles", "/").alias("alleles")
-    )
+    """Genotypes of both samples, hom-ref rows, insertions and deletions, as VCF lines and back, all columns."""
+    called = callers.bayes_calls(views.reads(spark, d), emit_ref=True, cluster=False)
+    lines = genotype_source.vcf_lines(called, SAMPLES, views.reference(spark, d)).select("value")
+    return _calls(genotype_source.parse_vcf(lines, SAMPLES, keep_uncalled=True))
 
 
 @query
@@ -434,7 +443,7 @@ def reference_bases(spark, d):
 def reference_at_reads(spark, d):
     """Reference base under the first base of every read, looked up in fragments."""
     starts = views.read_spans(spark, d).groupBy("contig", F.col("start").alias("locus")).agg(_count())
-    return fasta.with_reference_base(starts, views.reference(spark, d), views.FRAGMENT)
+    return fasta.with_reference_base(starts, views.reference(spark, d))
 
 
 # --- intervals -------------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociforge.operators.pileup import by_neighbourhood
+from lociforge.sources.fasta import fragment_number
 
 # Fixed values of the derived genome.
 CONTIGS = 4
@@ -210,8 +211,9 @@ def reference(spark: SparkSession, sf_dir: str, length: int = FRAGMENT) -> DataF
         f"array_join(transform(sequence(frag * {length}, least((frag + 1) * {length}, end) - 1), "
         f"p -> {_letter('p', 0)}), '')"
     )
-    return frags.selectExpr(
-        "contig", "frag", f"frag * {length} AS frag_start", f"cast({text} AS BINARY) AS bases"
+    return frags.select(
+        "contig", fragment_number(length), F.expr(f"frag * {length}").alias("frag_start"),
+        F.expr(f"cast({text} AS BINARY)").alias("bases"),
     )
 
 

@@ -6,7 +6,7 @@ line follows from a two-level running total over byte offsets, not from line num
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociforge.functions.bases import normalize_contig
@@ -19,7 +19,8 @@ def read_lines(spark: SparkSession, path: str, normalize: bool = True) -> DataFr
     """Sequence lines as ``contig, line_start, bases``; headers are left out.
 
     A file split is bounded by ``spark.sql.files.maxPartitionBytes``, so the windows inside a split
-    are bounded too; the windows across splits see one row per split.
+    are bounded too; the windows across splits see one row per split. A compressed file is a single
+    split: unpack whole genomes first.
     """
     text = F.rtrim(F.col("value"))
     is_header = F.col("value").startswith(">")
@@ -113,7 +114,20 @@ def fragment(lines: DataFrame, length: int = FRAGMENT_LENGTH) -> DataFrame:
         F.array_join(
             F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["text"]), ""
         ).cast("binary").alias("bases")
-    ).select("contig", "frag", (F.col("frag") * length).alias("frag_start"), "bases")
+    ).select("contig", fragment_number(length), (F.col("frag") * length).alias("frag_start"), "bases")
+
+
+def fragment_number(length: int) -> Column:
+    """The column ``frag``, which carries the fragment length in its metadata, also through Parquet."""
+    return F.col("frag").alias("frag", metadata={"length": length})
+
+
+def fragment_length(fragments: DataFrame) -> int:
+    """The length that a fragment table was cut at. Raises ``ValueError`` if it does not say."""
+    length = fragments.schema["frag"].metadata.get("length")
+    if length is None:
+        raise ValueError("the fragment table carries no length; build it with fragment() or fragment_number()")
+    return length
 
 
 def base_table(fragments: DataFrame) -> DataFrame:
@@ -129,20 +143,20 @@ def base_table(fragments: DataFrame) -> DataFrame:
 
 
 def with_reference_base(
-    rows: DataFrame, fragments: DataFrame, length: int = FRAGMENT_LENGTH, name: str = "ref"
+    rows: DataFrame, fragments: DataFrame, name: str = "ref", keep_missing: bool = False
 ) -> DataFrame:
-    """Add the reference base at ``(contig, locus)``; rows outside the reference are dropped.
+    """Add the reference base at ``(contig, locus)``; rows outside the reference are dropped, or get null.
 
-    Joins on fragments (one row per ``length`` bases), never on single reference bases.
+    Joins on fragments, never on single reference bases. Their length comes with the table.
     """
-    keyed = rows.withColumn("frag", F.floor(F.col("locus") / length).cast("bigint"))
+    keyed = rows.withColumn("frag", F.floor(F.col("locus") / fragment_length(fragments)).cast("bigint"))
     base = F.expr("cast(substring(bases, int(locus - frag_start) + 1, 1) AS STRING)")
-    return (
-        keyed.join(fragments, ["contig", "frag"])
-        .withColumn(name, base)
-        .filter(F.length(name) == 1)
-        .drop("frag", "frag_start", "bases")
-    )
+    found = keyed.join(fragments, ["contig", "frag"], "left" if keep_missing else "inner").withColumn(name, base)
+    if keep_missing:
+        found = found.withColumn(name, F.when(F.length(name) == 1, F.col(name)))
+    else:
+        found = found.filter(F.length(name) == 1)
+    return found.drop("frag", "frag_start", "bases")
 
 
 def load_reference(spark: SparkSession, path: str, length: int = FRAGMENT_LENGTH) -> DataFrame:
