@@ -22,8 +22,8 @@ def is_standard(bases: Column | str) -> Column:
 
 
 def to_bases(text: Column | str) -> Column:
-    """Sequence text in the canonical upper-case form."""
-    return F.upper(text)
+    """Sequence text in the canonical form: upper case, unknown bases as ``N``."""
+    return F.translate(F.upper(text), ".", "N")
 
 
 def same_bases(left: Column | str, right: Column | str) -> Column:

@@ -1,7 +1,7 @@
 """CIGAR text as an array of aligned blocks, parsed once per read with native expressions.
 
 A block is one CIGAR element; it also knows the length of the insertion that directly follows it
-(padding in between is ignored), because an insertion belongs to the base before it.
+(several ones with padding in between count as one), because an insertion belongs to the base before it.
 """
 
 from __future__ import annotations
@@ -52,10 +52,15 @@ def cigar_blocks(cigar: str = "cigar") -> Column:
         ref="0", read="0", aln="0", idx="0", ins="0",
     )
     # One text split per read gives operators and lengths; the bound struct z keeps the lambdas from
-    # splitting again. Padding between a base and its insertion is looked through.
+    # splitting again. All insertions up to the next base belong to the base before, whatever padding
+    # stands between them.
     attached = (
-        "CASE WHEN get(z.ops, i + 1) = 'I' THEN int(get(z.lens, i + 1)) "
-        "WHEN get(z.ops, i + 1) = 'P' AND get(z.ops, i + 2) = 'I' THEN int(get(z.lens, i + 2)) ELSE 0 END"
+        "CASE WHEN get(z.ops, i + 1) = 'I' AND coalesce(get(z.ops, i + 2) NOT IN ('I', 'P'), true) "
+        "THEN int(get(z.lens, i + 1)) WHEN get(z.ops, i + 1) IN ('I', 'P') THEN "
+        "aggregate(sequence(i + 1, size(z.ops)), named_struct('open', true, 'n', 0), (s, k) -> "
+        "if(s.open AND coalesce(get(z.ops, k) IN ('I', 'P'), false), "
+        "named_struct('open', true, 'n', s.n + if(get(z.ops, k) = 'I', int(get(z.lens, k)), 0)), "
+        "named_struct('open', false, 'n', s.n)), s -> s.n) ELSE 0 END"
     )
     fold = f"""
       element_at(transform(

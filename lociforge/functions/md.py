@@ -33,6 +33,16 @@ def md_mismatches(md: str = "md") -> Column:
     """)
 
 
+def md_length(md: str = "md") -> Column:
+    """Number of reference positions that the tag speaks of."""
+    return F.expr(f"""
+      CASE WHEN {md} RLIKE '^[0-9]{{1,9}}$' THEN int({md})
+      ELSE aggregate(
+        regexp_extract_all({md}, '{_TOKEN}', 1), 0,
+        (n, t) -> n + CASE WHEN t < ':' THEN int(t) WHEN startswith(t, '^') THEN length(t) - 1 ELSE 1 END) END
+    """)
+
+
 def aligned_text(seq: str = "seq", blocks: str = "blocks") -> Column:
     """Read bases that sit on the reference, insertions and clips cut out."""
     return F.expr(f"""

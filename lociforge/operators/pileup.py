@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lociforge.functions.cigar import BASE_OPS, REFERENCE_OPS, cigar_blocks
 from lociforge.functions.cigar import alignment_end, leading_clip
-from lociforge.functions.md import aligned_text, reference_text
+from lociforge.functions.md import aligned_text, md_length, reference_text
 from lociforge.functions.quality import PHRED_OFFSET
 from lociforge.operators.intervals import loci as each_locus, merge
 from lociforge.operators.overlap import first_overlaps, lookup, overlapping, overlapping_pairs
@@ -41,11 +41,22 @@ def by_neighbourhood(reads: DataFrame, width: int = NEIGHBOURHOOD) -> DataFrame:
 
 
 def prepared(reads: DataFrame) -> DataFrame:
-    """Reads with parsed CIGAR blocks and, where MD allows, the reference text under them."""
-    with_blocks = reads.withColumn("blocks", cigar_blocks("cigar"))
+    """Reads with parsed CIGAR blocks and, where MD allows, the reference text under them.
+
+    Reads without sequence have nothing to expand and are left out. A tag that speaks of another number of
+    positions than the CIGAR (with or without its skipped regions) counts as missing.
+    """
+    with_blocks = reads.filter(F.col("seq").isNotNull()).withColumn("blocks", cigar_blocks("cigar"))
     with_text = with_blocks.withColumn("aligned", aligned_text("seq", "blocks"))
+    span = lambda offset, ops: F.expr(
+        f"element_at(blocks, -1).{offset} + if(element_at(blocks, -1).op IN ({ops}), element_at(blocks, -1).len, 0)"
+    )
+    whole, aligned = span("ref_off", "'M', 'D', 'N', '=', 'X'"), span("aln_off", "'M', 'D', '=', 'X'")
+    fits = md_length("md").isin(whole, aligned)
     return (
-        with_text.withColumn("sample", sample_key()).withColumn("ref_text", reference_text("md", "aligned").cast("binary"))
+        with_text.withColumn("sample", sample_key())
+        .withColumn("ref_text", F.when(fits, reference_text("md", "aligned").cast("binary")))
+        .withColumn("gaps_in_md", F.length("ref_text") == whole)
         .withColumn("seq_bytes", F.col("seq").cast("binary"))
         .withColumn("qual_bytes", F.col("qual").cast("binary"))
         .drop("aligned")
@@ -64,14 +75,11 @@ def elements(reads: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     ins_text = F.substring(F.col("seq"), last, F.col("b.ins_len") + 1)
     ins_qual = F.array_min(F.split(F.substring(F.col("qual"), last, F.col("b.ins_len") + 1), ""))
     attached = (F.col("b.ins_len") > 0) & F.col("b.op").isin(*BASE_OPS)
-    gaps_in_md = F.length("ref_text") == F.expr("element_at(blocks, -1).ref_off") + F.expr(
-        "if(element_at(blocks, -1).op IN ('M', 'D', 'N', '=', 'X'), element_at(blocks, -1).len, 0)"
-    )
     per_block = (
         prepared(reads)
         .select(
             *READ_KEYS, *keep, "start", "seq", "qual", "seq_bytes", "qual_bytes", "ref_text",
-            gaps_in_md.alias("gaps_in_md"), F.explode_outer("blocks").alias("b"),
+            "gaps_in_md", F.explode_outer("blocks").alias("b"),
         )
         .filter(F.col("b.op").isin(*REFERENCE_OPS) & (F.col("b.len") > 0))
         .select(
@@ -149,7 +157,8 @@ def base_reads(reads: DataFrame, clip_mode: str = "aligned") -> DataFrame:
         start = start - leading_clip("cigar")
     # An outer explode: the inner one makes the optimizer parse the CIGAR twice to test for rows.
     blocks = (
-        reads.withColumn("blocks", cigar_blocks("cigar"))
+        reads.filter(F.col("seq").isNotNull()).withColumn("sample", sample_key())
+        .withColumn("blocks", cigar_blocks("cigar"))
         .select(
             "contig", "sample", "token", "mapq", "fwd", start.alias("start"),
             F.col("seq").cast("binary").alias("seq_bytes"),

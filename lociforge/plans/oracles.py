@@ -323,6 +323,48 @@ pc AS (
 {_merged('fin', 'pc', 'contig, v')}
 SELECT contig, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", CAST(v AS BIGINT) AS value FROM fin"""
 
+# Odd reads: what each kind of line has to come to, written out. Columns: kind, whether mapped and strictly so,
+# duplicate, failed, well formed, MD, qualities, standard bases, CIGAR, sequence.
+_ODD = """
+od AS (
+  SELECT (l_orderkey + l_linenumber) % 18 AS kind, 'chr' || (1 + l_suppkey % 4) AS contig,
+         10 + (l_partkey * 37 + l_linenumber * 11) % 2000 AS s, 20 + l_orderkey % 41 AS mapq,
+         CASE WHEN l_orderkey % 3 = 0 THEN 'default' WHEN l_orderkey % 2 = 0 THEN 'tumor' ELSE 'normal' END AS sample
+  FROM lineitem),
+kd(kind, mapped, strict, dup, fail, fits, md, qual, std, cigar, seq) AS (VALUES
+  (0, 1, 1, 0, 0, 1, 1, 1, 1, '4M', 'ACGT'), (1, 1, 1, 0, 0, 1, 0, 1, 1, '3M', 'ACG'),
+  (2, 1, 1, 0, 0, 1, 1, 0, 1, '3M', 'ACG'), (3, 1, 1, 0, 0, 1, 1, 1, 0, '3M', 'ANG'),
+  (4, 1, 1, 0, 0, 1, 0, 1, 1, '2=1X1=', 'ACGT'), (5, 1, 1, 0, 0, 1, 1, 1, 1, '2H1S3M1S', 'TACGT'),
+  (6, 1, 1, 0, 0, 1, 1, 1, 1, '2M3N2M', 'ACGT'), (7, 1, 1, 0, 0, 1, 1, 1, 1, '2M1P1I1P1I2M', 'ACTTGT'),
+  (8, 1, 1, 0, 0, 1, 1, 1, 0, '4M', 'ACNT'), (9, 1, 1, 0, 0, 1, 1, 0, 0, '4M', NULL),
+  (10, 1, 1, 0, 0, 1, 1, 1, 1, '4M', 'ACGT'), (11, 0, 0, 0, 0, 1, 1, 1, 1, '4M', 'ACGT'),
+  (12, 0, 0, 0, 0, 1, 0, 1, 1, '*', 'ACGT'), (13, 1, 1, 0, 0, 0, 1, 1, 1, '5M', 'ACGT'),
+  (14, 1, 1, 1, 0, 1, 1, 1, 1, '4M', 'TTTT'), (15, 1, 1, 0, 1, 1, 1, 1, 1, '4M', 'GGGG'),
+  (16, 1, 1, 0, 0, 1, 1, 1, 1, '2M2D2M', 'ACGT'), (17, 1, 0, 0, 0, 1, 1, 1, 1, '1M', 'C'))"""
+# Elements of each kind: offset, kind of element, allele, quality (-1: the mapping quality), reference base.
+_ODD_ELEMENTS = f"""{_ODD},
+ke(kind, o, element, allele, q, ref_base) AS (VALUES
+  (0, 0, 'match', 'A', 40, 'A'), (0, 1, 'match', 'C', 40, 'C'), (0, 2, 'match', 'G', 40, 'G'), (0, 3, 'match', 'T', 40, 'T'),
+  (1, 0, 'aligned', 'A', 40, NULL), (1, 1, 'aligned', 'C', 40, NULL), (1, 2, 'aligned', 'G', 40, NULL),
+  (2, 0, 'match', 'A', 0, 'A'), (2, 1, 'match', 'C', 0, 'C'), (2, 2, 'match', 'G', 0, 'G'),
+  (3, 0, 'match', 'A', 40, 'A'), (3, 1, 'mismatch', 'N', 40, 'C'), (3, 2, 'match', 'G', 40, 'G'),
+  (4, 0, 'match', 'A', 40, NULL), (4, 1, 'match', 'C', 40, NULL), (4, 2, 'mismatch', 'G', 40, NULL), (4, 3, 'match', 'T', 40, NULL),
+  (5, 0, 'match', 'A', 40, 'A'), (5, 1, 'match', 'C', 40, 'C'), (5, 2, 'match', 'G', 40, 'G'),
+  (6, 0, 'match', 'A', 40, 'A'), (6, 1, 'match', 'C', 40, 'C'), (6, 2, 'deletion', '', -1, NULL), (6, 3, 'deletion', '', -1, NULL),
+  (6, 4, 'deletion', '', -1, NULL), (6, 5, 'match', 'G', 40, 'G'), (6, 6, 'match', 'T', 40, 'T'),
+  (7, 0, 'match', 'A', 40, 'A'), (7, 1, 'insertion', 'CTT', 40, 'C'), (7, 2, 'match', 'G', 40, 'G'), (7, 3, 'match', 'T', 40, 'T'),
+  (8, 0, 'match', 'A', 40, 'A'), (8, 1, 'match', 'C', 40, 'C'), (8, 2, 'match', 'N', 40, 'N'), (8, 3, 'match', 'T', 40, 'T'),
+  (10, 0, 'aligned', 'A', 40, NULL), (10, 1, 'aligned', 'C', 40, NULL), (10, 2, 'aligned', 'G', 40, NULL), (10, 3, 'aligned', 'T', 40, NULL),
+  (16, 0, 'match', 'A', 40, 'A'), (16, 1, 'match', 'C', 40, 'C'), (16, 2, 'deletion', '', -1, 'G'), (16, 3, 'deletion', '', -1, 'G'),
+  (16, 4, 'match', 'G', 40, 'G'), (16, 5, 'match', 'T', 40, 'T'), (17, 0, 'match', 'C', 40, 'C')),
+oe AS (
+  SELECT contig, CASE WHEN kind = 17 THEN -1 ELSE s + o END AS locus, sample, element, allele,
+         CASE WHEN q < 0 THEN mapq ELSE q END AS q, ref_base
+  FROM od JOIN ke USING (kind))"""
+_HEADER = """
+hd AS (SELECT 'chr' || (c_nationkey % 4 + 1) AS contig, 1000 + count(*) AS length FROM customer GROUP BY ALL
+       UNION SELECT 'none', 1)"""
+
 _START_END = 'CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS "end"'
 
 ORACLES: dict[str, str] = {
@@ -334,6 +376,25 @@ FROM r WHERE NOT fail_qc GROUP BY contig, sample""",
     "sam_projection": f"""{READS}
 SELECT contig, {_big('s', 'start')}, CAST(mapq AS INTEGER) AS mapq, is_dup, fail_qc, fwd, sample, count(*) AS n
 FROM all_r GROUP BY ALL""",
+    "odd_read_predicates": f"""WITH {_ODD},
+al AS (
+  SELECT CASE WHEN mapped = 1 THEN 'mapped' ELSE 'unmapped' END AS kind, sample, kd.* EXCLUDE (kind) FROM od JOIN kd USING (kind)
+  UNION ALL SELECT 'strict', sample, kd.* EXCLUDE (kind) FROM od JOIN kd USING (kind) WHERE strict = 1)
+SELECT kind, cigar, seq, sample, count(*) AS n, {_big('sum(dup)', 'n_dup')}, {_big('sum(fail)', 'n_fail')},
+       {_big('sum(md)', 'n_md')}, {_big('sum(qual)', 'n_qual')}, {_big('sum(fits)', 'n_well_formed')}, {_big('sum(std)', 'n_standard')}
+FROM al GROUP BY kind, cigar, seq, sample""",
+    "odd_alignment_kinds": f"""WITH {_ODD_ELEMENTS}
+SELECT contig, {_big('locus', 'locus')}, sample, element AS kind, allele, CAST(q AS INTEGER) AS q, ref_base, count(*) AS n
+FROM oe GROUP BY ALL""",
+    "element_at_locus": f"""WITH {_ODD_ELEMENTS}
+SELECT contig, element AS kind, allele, count(*) AS n FROM oe WHERE locus = 1000 GROUP BY ALL""",
+    "contig_dictionary": f"WITH {_HEADER}\nSELECT contig, length FROM hd WHERE contig <> 'none'",
+    "loci_selection": f"""WITH {_HEADER}
+SELECT contig, CAST(0 AS BIGINT) AS start, {_big('length', '"end"')} FROM hd WHERE contig <> 'none'""",
+    "interval_union_on_contig": f"""WITH {_RANGES}, u AS (SELECT *, (v <> 'O')::INT AS o FROM rg WHERE contig = 'chr3'), {_overlaid('m', 'u', 'o')}
+SELECT contig, {_START_END}, v AS value FROM m""",
+    "contig_variants": f"""{_threshold(8, False)}
+SELECT * FROM gt WHERE contig = 'chr2' AND (length(ref) = 1 AND length(alt) = 1 OR length(ref) <> length(alt))""",
     "read_extent": f"""{READS}
 SELECT contig, CAST(0 AS BIGINT) AS start, {_big('max(e)', '"end"')} FROM r GROUP BY contig""",
     "cigar_end_unclipped": f"""{READS}

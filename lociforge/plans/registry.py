@@ -66,7 +66,7 @@ def scan_filter_reads(spark, d):
         F.sum(F.length("seq")).cast("bigint").alias("sum_bases"),
         F.min("start").alias("first_start"),
         F.max("end").alias("last_end"),
-        F.count_if(sam.well_formed(kept)).alias("n_well_formed"),
+        F.count_if(sam.well_formed()).alias("n_well_formed"),
     )
 
 
@@ -77,6 +77,47 @@ def sam_projection(spark, d):
     return parsed.groupBy("contig", "start", "mapq", "is_dup", "fail_qc", "fwd", "sample").agg(_count())
 
 
+def _odd(spark: SparkSession, d: str, strict: bool = False) -> DataFrame:
+    return sam.parse_alignments(views.odd_sam_lines(spark, d), 0, _groups(spark, d), strict)
+
+
+@query
+def odd_read_predicates(spark, d):
+    """Every scan predicate over reads of which some fail it: flags, qualities, tags, texts that disagree."""
+    strict = _odd(spark, d, strict=True).filter("is_mapped").withColumn("kind", F.lit("strict"))
+    rows = _odd(spark, d).withColumn("kind", F.when(F.col("is_mapped"), "mapped").otherwise("unmapped"))
+    return rows.unionByName(strict).groupBy("kind", "cigar", "seq", "sample").agg(
+        _count(), F.count_if("is_dup").alias("n_dup"), F.count_if("fail_qc").alias("n_fail"),
+        F.count("md").alias("n_md"), F.count("qual").alias("n_qual"), F.count_if(sam.well_formed()).alias("n_well_formed"),
+        F.count_if(bases.is_standard("seq")).alias("n_standard"),
+    )
+
+
+@query
+def odd_alignment_kinds(spark, d):
+    """Elements of every CIGAR operator, with and without MD tags and qualities."""
+    rows = pileup.elements(sam.select_reads(_odd(spark, d)))
+    return rows.groupBy("contig", "locus", "sample", "kind", "allele", "q", "ref_base").agg(_count())
+
+
+@query
+def element_at_locus(spark, d):
+    """Elements at one locus of the mapped odd reads."""
+    return pileup.element_at_locus(sam.select_reads(_odd(spark, d)), 1000).groupBy("contig", "kind", "allele").agg(_count())
+
+
+@query
+def contig_dictionary(spark, d):
+    """Contigs and lengths from header lines."""
+    return sam.contig_dictionary(views.header_lines(spark, d))
+
+
+@query
+def loci_selection(spark, d):
+    """All loci: every contig of the header."""
+    return loci.select_loci(spark, "all", sam.contig_dictionary(views.header_lines(spark, d)))
+
+
 @query
 def read_extent(spark, d):
     return loci.from_reads(views.read_spans(spark, d))
@@ -490,6 +531,20 @@ def interval_stats(spark, d):
     return intervals.statistics(intervals.merge(views.ranges(spark, d), ("contig", "value")), ("value",))
 
 
+@query
+def interval_union_on_contig(spark, d):
+    """Two maps united on one contig."""
+    rows = views.ranges(spark, d)
+    return intervals.union_on_contig(rows.filter("value = 'O'"), rows.filter("value <> 'O'"), "chr3")
+
+
+@query
+def contig_variants(spark, d):
+    """Called variants of one contig."""
+    called = callers.threshold_calls(views.reads(spark, d), cluster=False)
+    return _calls(filters.select_variants(called, contig="chr2"))
+
+
 @query
 def interval_contigs(spark, d):
     return intervals.contigs(views.ranges(spark, d))

@@ -173,6 +173,57 @@ def sam_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Reads of every kind, as flag, MAPQ (0 for the row's own), CIGAR, SEQ, QUAL and MD. Row
+#: ``i`` of ``lineitem`` is of kind ``(l_orderkey + l_linenumber) % 18``.
+ODD_READS = [
+    (0, 0, "4M", "ACGT", "IIII", "4"),
+    (0, 0, "3M", "ACG", "III", ""),
+    (0, 0, "3M", "ACG", "*", "3"),
+    (0, 0, "3M", "ANG", "III", "1C1"),
+    (0, 0, "2=1X1=", "ACGT", "IIII", ""),
+    (0, 0, "2H1S3M1S", "TACGT", "IIIII", "3"),
+    (0, 0, "2M3N2M", "ACGT", "IIII", "4"),
+    (0, 0, "2M1P1I1P1I2M", "ACTTGT", "IIIIII", "4"),
+    (0, 0, "4M", "ac.t", "IIII", "4"),
+    (0, 0, "4M", "*", "*", "4"),
+    (0, 0, "4M", "ACGT", "IIII", "2"),
+    (0, 255, "4M", "ACGT", "IIII", "4"),
+    (4, 0, "*", "ACGT", "IIII", ""),
+    (0, 0, "5M", "ACGT", "IIII", "5"),
+    (1024, 0, "4M", "TTTT", "IIII", "4"),
+    (512, 0, "4M", "GGGG", "IIII", "4"),
+    (16, 0, "2M2D2M", "ACGT", "IIII", "2^GG2"),
+    (0, 0, "1M", "C", "I", "1"),
+]
+
+
+def odd_sam_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SAM text lines of the kinds in ``ODD_READS``; the last kind lies before the first position, and every third
+    order has no read group."""
+    pick = lambda i: f"element_at(array({', '.join(repr(str(r[i])) for r in ODD_READS)}), kind + 1)"
+    rows = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS ok", "concat('chr', cast(1 + l_suppkey % 4 AS STRING)) AS contig",
+        f"10 + (l_partkey * 37 + l_linenumber * 11) % {READ_START_SPAN} AS start",
+        f"int((l_orderkey + l_linenumber) % {len(ODD_READS)}) AS kind",
+    )
+    return rows.selectExpr(
+        "concat_ws('\\t', 'r', " + pick(0) + ", if(kind = 12, '*', contig), "
+        f"if(kind = {len(ODD_READS) - 1}, '0', cast(start + 1 AS STRING)), "
+        f"if({pick(1)} = '0', cast(20 + ok % 41 AS STRING), {pick(1)}), {pick(2)}, '*', '0', '0', {pick(3)}, {pick(4)}, "
+        "if(ok % 3 = 0, NULL, if(ok % 2 = 0, 'RG:Z:tumor', 'RG:Z:normal')), "
+        f"if({pick(5)} = '', NULL, concat('MD:Z:', {pick(5)}))) AS value"
+    )
+
+
+def header_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SAM header lines: a contig per region, its length from the number of its nations' customers."""
+    counts = table(spark, sf_dir, "customer").groupBy((F.col("c_nationkey") % 4).alias("n")).agg(F.count("*").alias("size"))
+    return counts.selectExpr(
+        "explode(array(concat('@SQ\tSN:chr', cast(n + 1 AS STRING), '\tLN:', cast(1000 + size AS STRING)), "
+        "'@CO\tSN:none\tLN:1')) AS value"
+    )
+
+
 def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals with a value, one per ``orders`` row, over contigs of 200,000 loci."""
     return table(spark, sf_dir, "orders").selectExpr(

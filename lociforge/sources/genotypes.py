@@ -72,11 +72,15 @@ def parse_vcf(lines: DataFrame, samples: list[str] | None = None, keep_uncalled:
         _calls(F.col("_this"), F.col("gt")).alias("alleles"),
         "read_depth", depth.alias("alt_read_depth"), "fwd_reads",
     )
-    anchored = (F.length("alt") == 1) & (F.length("ref") > 1) & F.col("ref").startswith(F.col("alt"))
+    deletes = (F.length("alt") == 1) & (F.length("ref") > 1)
+    anchored = deletes & F.col("ref").startswith(F.col("alt"))
+    # The first base of a contig has none before it; its deletion is written with the one after it.
+    first = deletes & ~anchored & (F.col("pos") == 0) & F.col("ref").endswith(F.col("alt"))
     alternate = alternate.select(
         "contig", (F.col("pos") + F.when(anchored, 1).otherwise(0)).alias("pos"),
-        F.when(anchored, F.expr("substring(ref, 2)")).otherwise(F.col("ref")).alias("ref"),
-        F.when(anchored, "").otherwise(F.col("alt")).alias("alt"),
+        F.when(anchored, F.expr("substring(ref, 2)")).when(first, F.expr("left(ref, length(ref) - 1)"))
+        .otherwise(F.col("ref")).alias("ref"),
+        F.when(anchored | first, "").otherwise(F.col("alt")).alias("alt"),
         *GENOTYPE_COLUMNS[4:],
     )
     if not keep_uncalled:
@@ -125,7 +129,7 @@ def vcf_lines(genotypes: DataFrame, samples: list[str], reference: DataFrame | N
     """Genotypes as VCF text lines, a line per variant and a column per sample (GT, DP, AO, FW).
 
     A deletion gets the base before it, from the ``reference`` fragments where they have it and ``N``
-    elsewhere. Samples without a row at the variant are ``.``; hom-ref rows and no-calls have ``.`` as
+    elsewhere; at the first base of a contig an ``N`` follows it. Samples without a row at the variant are ``.``; hom-ref rows and no-calls have ``.`` as
     alternate allele.
     """
     text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("."))
@@ -151,7 +155,7 @@ def vcf_lines(genotypes: DataFrame, samples: list[str], reference: DataFrame | N
         "contig", F.when(before, F.col("pos") - 1).otherwise(F.col("pos")).alias("pos"), "ref", "alt",
         F.concat_ws(
             "\t", "contig", (F.col("pos") + F.when(before, 0).otherwise(1)).cast("string"), F.lit("."),
-            F.when(deleted, F.concat(base, "ref")).otherwise(F.col("ref")),
+            F.when(before, F.concat(base, "ref")).when(deleted, F.concat("ref", base)).otherwise(F.col("ref")),
             F.when(deleted, base).when(F.col("alt") == F.col("ref"), ".").otherwise(F.col("alt")),
             F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT:DP:AO:FW"),
             *[F.coalesce(f"s{i}", F.lit(".")) for i in range(len(samples))],

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociforge.functions.bases import normalize_contig
+from lociforge.functions.bases import normalize_contig, to_bases
 from lociforge.functions.cigar import is_valid_cigar, read_length, reference_length, unclipped_start
+from lociforge.sources.genotypes import is_parquet
 
 # SAM flag bits, the "unknown mapping quality" number and the default sample name.
 FLAG_UNMAPPED, FLAG_REVERSE, FLAG_FAIL, FLAG_DUPLICATE = 4, 16, 512, 1024
@@ -49,10 +50,13 @@ def _tag(name: str) -> Column:
     return F.when(value != "", value)
 
 
-def parse_alignments(lines: DataFrame, token: int = 0, groups: DataFrame | None = None) -> DataFrame:
-    """Alignment lines as typed reads; positions become 0-based.
+def parse_alignments(
+    lines: DataFrame, token: int = 0, groups: DataFrame | None = None, strict: bool = False
+) -> DataFrame:
+    """Alignment lines as typed reads; positions become 0-based, bases upper case.
 
-    ``groups`` maps read group ids to samples. The header bounds it to one row per read group.
+    A sequence or quality text of ``*`` is null. ``groups`` maps read group ids to samples; the header bounds
+    it to one row per read group. ``strict`` is the mapped test of the slim reads.
     """
     # Null-safe access and casts: the optimizer may evaluate these on header lines as well.
     fields = F.split("value", "\t", 12)
@@ -62,7 +66,7 @@ def parse_alignments(lines: DataFrame, token: int = 0, groups: DataFrame | None
         (field(3).try_cast("bigint") - 1).alias("start"),
         field(4).try_cast("int").alias("mapq"),
         field(5).alias("cigar"),
-        field(9).alias("seq"),
+        F.when(field(9) != "*", to_bases(field(9))).alias("seq"),
         F.when(field(10) != "*", field(10)).alias("qual"),
         _tag("MD").alias("md"),
         _tag("RG").alias("rg"),
@@ -80,7 +84,7 @@ def parse_alignments(lines: DataFrame, token: int = 0, groups: DataFrame | None
         reads.withColumn("is_dup", bit(FLAG_DUPLICATE))
         .withColumn("fail_qc", bit(FLAG_FAIL))
         .withColumn("fwd", ~bit(FLAG_REVERSE))
-        .withColumn("is_mapped", is_mapped())
+        .withColumn("is_mapped", F.coalesce(is_mapped(strict), F.lit(False)))
         .withColumn(
             "end", F.when(F.col("is_mapped"), F.col("start") + reference_length("cigar"))
         )
@@ -110,8 +114,9 @@ def select_reads(
     non_duplicate: bool = True,
     passed_quality_checks: bool = True,
     md_present: bool = False,
+    consistent: bool = True,
 ) -> DataFrame:
-    """The usual scan filters, each optional."""
+    """The usual scan filters, each optional. ``consistent`` drops reads that are not :func:`well_formed`."""
     if mapped:
         reads = reads.filter("is_mapped")
     if non_duplicate:
@@ -120,15 +125,28 @@ def select_reads(
         reads = reads.filter(~F.col("fail_qc"))
     if md_present:
         reads = reads.filter(F.col("md").isNotNull())
+    if consistent:
+        reads = reads.filter(well_formed())
     return reads
 
 
-def well_formed(reads: DataFrame) -> Column:
-    """True when sequence, qualities and CIGAR agree on the read length."""
-    return (
-        (F.col("qual").isNull() | (F.length("qual") == F.length("seq")))
-        & (read_length("cigar") == F.length("seq"))
+def well_formed() -> Column:
+    """True when sequence, qualities and CIGAR agree on the read length, as far as they are there.
+
+    A read without sequence passes: it has no bases that could be wrong, and none to expand. An unmapped
+    one has no CIGAR (``*``) to agree with.
+    """
+    length = F.length("seq")
+    fits = (F.col("qual").isNull() | (F.length("qual") == length)) & (
+        (F.col("cigar") == "*") | (read_length("cigar") == length)
     )
+    return F.coalesce(F.col("seq").isNull() | fits, F.lit(False))
+
+
+def read_problems(reads: DataFrame) -> DataFrame:
+    """One row that counts reads without sequence, qualities or MD, and those that are not well formed."""
+    missing = [F.count_if(F.col(c).isNull()).alias(f"no_{c}") for c in ("seq", "qual", "md")]
+    return reads.agg(F.count(F.lit(1)).alias("reads"), *missing, F.count_if(~well_formed()).alias("malformed"))
 
 
 def load_reads(
@@ -145,8 +163,8 @@ def load_reads(
     ``header`` names a text file with the header lines alone; with it the alignment files are read
     once instead of also being searched for their few header lines.
     """
-    if isinstance(path, str) and path.rstrip("/").endswith(".parquet"):
-        reads = spark.read.parquet(path).withColumn("token", F.lit(token))
+    if isinstance(path, str) and is_parquet(path):
+        reads = spark.read.parquet(path).withColumn("token", F.lit(token)).withColumn("seq", to_bases("seq"))
         contigs = (
             contig_dictionary(read_lines(spark, header)) if header
             else reads.groupBy("contig").agg(F.max("end").alias("length"))

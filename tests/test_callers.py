@@ -17,17 +17,17 @@ def calls(df):
     return sorted((r["pos"], r["ref"], r["alt"], "/".join(r["alleles"])) for r in df.collect())
 
 
-T8, G8 = ("TCGATCGA", "8M", "8"), ("TCGGTCGA", "8M", "3A4")
+PLAIN, SNV = ("GATTACA", "7M", "7"), ("GATCACA", "7M", "3T3")
 
 
 @pytest.mark.parametrize("reads,options,want", [
-    ([T8] * 3, dict(threshold=0), []),
-    ([T8, G8, G8], dict(threshold=0), [(4, "A", "G", "Ref/Alt")]),
-    ([("CCGATCGA", "8M", "0T7")] * 3, dict(threshold=0), [(1, "T", "C", "Alt/Alt")]),
-    ([("TGGATCGA", "8M", "1C6")] * 3, dict(threshold=50), [(2, "C", "G", "Alt/Alt")]),
-    ([T8, ("GCGATCGA", "8M", "0T7"), ("GCGATCGA", "8M", "0T7")], dict(threshold=50), [(1, "T", "G", "Alt/Alt")]),
-    ([("GCGATCGA", "8M", "0T7"), ("CCGATCGA", "8M", "0T7"), ("CCGATCGA", "8M", "0T7")], dict(threshold=8),
-     [(1, "T", "C", "Alt/OtherAlt"), (1, "T", "G", "Alt/OtherAlt")]),
+    ([PLAIN] * 3, dict(threshold=0), []),
+    ([PLAIN, SNV, SNV], dict(threshold=0), [(4, "T", "C", "Ref/Alt")]),
+    ([("AATTACA", "7M", "0G6")] * 3, dict(threshold=0), [(1, "G", "A", "Alt/Alt")]),
+    ([("GCTTACA", "7M", "1A5")] * 3, dict(threshold=50), [(2, "A", "C", "Alt/Alt")]),
+    ([PLAIN, ("CATTACA", "7M", "0G6"), ("CATTACA", "7M", "0G6")], dict(threshold=50), [(1, "G", "C", "Alt/Alt")]),
+    ([("CATTACA", "7M", "0G6"), ("AATTACA", "7M", "0G6"), ("AATTACA", "7M", "0G6")], dict(threshold=8),
+     [(1, "G", "A", "Alt/OtherAlt"), (1, "G", "C", "Alt/OtherAlt")]),
     ([("A", "1M", "1")] * 2, dict(threshold=50, emit_ref=True), [(1, "A", "A", "Ref/Ref")]),
     ([("A", "1M", "1"), ("C", "1M", "0A0")], dict(threshold=60, emit_no_call=True), [(1, "A", "A", "NoCall/NoCall")]),
     ([("A", "1M", None)] * 2, dict(threshold=50, emit_ref=True), []),
@@ -79,10 +79,13 @@ def reference(spark, text, contig="chr1", length=4):
 def test_somatic_simple(spark):
     same = [make_read("AAAAAAAA", "8M", None, start=0, token=t) for t in (1, 2) for _ in range(10)]
     ref = reference(spark, "AAAAAAAA")
-    run = lambda rows, **o: calls(callers.somatic_calls(reads_df(spark, *rows), ref, fragment_length=4, **o))
+    run = lambda rows, **o: calls(callers.somatic_calls(reads_df(spark, *rows), ref, **o))
     assert run(same) == []
     tumor = [make_read("TAAAAAAA", "8M", None, start=0, token=1)] * 9 + same[:1]
     assert run(tumor + same[10:]) == [(0, "A", "T", "Alt/Alt")]
+    back = [make_read("TAAAAAAA", "8M", None, start=0, token=1, fwd=False)] * 4 + tumor[4:]
+    found = callers.somatic_calls(reads_df(spark, *back, *same[10:]), ref).first()
+    assert (found["read_depth"], found["alt_read_depth"], found["fwd_reads"]) == (10, 9, 6)
     assert run(tumor + same[11:]) == []  # normal depth 9
     assert run(tumor + same[11:], min_normal_coverage=9) == [(0, "A", "T", "Alt/Alt")]
     poor = [make_read("TAAAAAAA", "8M", None, start=0, token=1, quals=[19] * 8)] * 9 + same[:1]
@@ -98,7 +101,7 @@ def test_somatic_normal_top_set(spark):
     normal = [make_read(b, "1M", None, start=0, token=2) for b in "A" * 17 + "CC" + "T"]
     for alt, want in (("T", [(0, "A", "T", "Alt/Alt")]), ("C", []), ("G", [(0, "A", "G", "Alt/Alt")])):
         tumor = [make_read(alt, "1M", None, start=0, token=1)] * 12
-        got = callers.somatic_calls(reads_df(spark, *normal, *tumor), reference(spark, "A"), fragment_length=4)
+        got = callers.somatic_calls(reads_df(spark, *normal, *tumor), reference(spark, "A"))
         assert calls(got) == want
 
 
@@ -147,9 +150,9 @@ def test_most_likely_genotype_equals_direct_enumeration(spark):
         pool = rng.sample(["", "A", "C", "G", "T", "AT", "GTT"], rng.randint(1, 5))
         elements = [(rng.choice(pool), rng.choice([0, 2, 10, 20, 20, 30, 40])) for _ in range(rng.randint(1, 12))]
         want[locus] = direct_best(elements)
-        rows += [("c", locus, "s", a, q, True, "A") for a, q in elements]
+        rows += [("c", locus, "s", a, 60, q, True, "A") for a, q in elements]
     df = spark.createDataFrame(
-        rows, "contig string, locus bigint, sample string, allele string, q int, fwd boolean, ref_base string")
+        rows, "contig string, locus bigint, sample string, allele string, mapq int, q int, fwd boolean, ref_base string")
     alleles = callers.allele_evidence(df).cache()
     got = {r["locus"]: (r["a1"], r["a2"]) for r in callers.most_likely_genotypes(alleles).collect()}
     assert got == want
@@ -160,43 +163,43 @@ def test_most_likely_genotype_equals_direct_enumeration(spark):
 
 
 def test_bayes_calls(spark):
-    het = [make_read(*T8, mapq=40)] * 5 + [make_read(*G8, mapq=40)] * 5
-    hom = [make_read(*G8, mapq=40)] * 10
-    assert calls(callers.bayes_calls(reads_df(spark, *het))) == [(4, "A", "G", "Ref/Alt")]
-    assert calls(callers.bayes_calls(reads_df(spark, *hom))) == [(4, "A", "G", "Alt/Alt")]
-    assert calls(callers.bayes_calls(reads_df(spark, *[make_read(*T8, mapq=40)] * 3))) == []
+    het = [make_read(*PLAIN, mapq=40)] * 5 + [make_read(*SNV, mapq=40)] * 5
+    hom = [make_read(*SNV, mapq=40)] * 10
+    assert calls(callers.bayes_calls(reads_df(spark, *het))) == [(4, "T", "C", "Ref/Alt")]
+    assert calls(callers.bayes_calls(reads_df(spark, *hom))) == [(4, "T", "C", "Alt/Alt")]
+    assert calls(callers.bayes_calls(reads_df(spark, *[make_read(*PLAIN, mapq=40)] * 3))) == []
     # Elements mapped at 30 or below do not count, and a locus left empty is absent.
-    low = [make_read(*T8, mapq=40)] * 5 + [make_read(*G8, mapq=30)] * 5
+    low = [make_read(*PLAIN, mapq=40)] * 5 + [make_read(*SNV, mapq=30)] * 5
     assert calls(callers.bayes_calls(reads_df(spark, *low))) == []
-    assert calls(callers.bayes_calls(reads_df(spark, *[make_read(*G8, mapq=30)] * 5))) == []
+    assert calls(callers.bayes_calls(reads_df(spark, *[make_read(*SNV, mapq=30)] * 5))) == []
     refs = callers.bayes_calls(reads_df(spark, *het), emit_ref=True).filter("pos <> 4").collect()
-    assert len(refs) == 7 and {tuple(r["alleles"]) for r in refs} == {("Ref", "Ref")}
+    assert len(refs) == 6 and {tuple(r["alleles"]) for r in refs} == {("Ref", "Ref")}
     assert {r["alt_read_depth"] for r in refs} == {10}
     row = callers.bayes_calls(reads_df(spark, *het)).first()
     assert (row["read_depth"], row["alt_read_depth"], row["fwd_reads"]) == (10, 5, 10)
 
 
 def test_bayes_prior_changes_the_call(spark):
-    het = reads_df(spark, *[make_read(*T8, mapq=40)] * 5, *[make_read(*G8, mapq=40)] * 5)
-    prior = spark.createDataFrame([("A", "G", -1000.0), ("A", "A", -1000.0)], "a1 string, a2 string, log_prior double")
-    assert calls(callers.bayes_calls(het, prior=prior)) == [(4, "A", "G", "Alt/Alt")]
+    het = reads_df(spark, *[make_read(*PLAIN, mapq=40)] * 5, *[make_read(*SNV, mapq=40)] * 5)
+    prior = spark.createDataFrame([("C", "T", -1000.0), ("T", "T", -1000.0)], "a1 string, a2 string, log_prior double")
+    assert calls(callers.bayes_calls(het, prior=prior)) == [(4, "T", "C", "Alt/Alt")]
 
 
 def test_bayes_filter_chain(spark):
-    rows = [make_read(*T8, mapq=40)] * 6 + [make_read(*G8, mapq=40)] * 6 + [make_read(*T8, mapq=0)]
+    rows = [make_read(*PLAIN, mapq=40)] * 6 + [make_read(*SNV, mapq=40)] * 6 + [make_read(*PLAIN, mapq=0)]
     df = reads_df(spark, *rows)
-    assert calls(callers.bayes_calls(df)) == [(4, "A", "G", "Ref/Alt")]
+    assert calls(callers.bayes_calls(df)) == [(4, "T", "C", "Ref/Alt")]
     assert calls(callers.bayes_calls(df, no_ambiguous=True)) == []
     assert calls(callers.bayes_calls(df, max_complexity=5)) == []
-    assert calls(callers.bayes_calls(df, max_complexity=25, max_ploidy=2)) == [(4, "A", "G", "Ref/Alt")]
+    assert calls(callers.bayes_calls(df, max_complexity=25, max_ploidy=2)) == [(4, "T", "C", "Ref/Alt")]
     assert calls(callers.bayes_calls(df, max_ploidy=1)) == []
 
 
 def test_calls_on_loci(spark):
-    mixed = [("TCGATCGA", "8M", "8"), ("CCGGTCGA", "8M", "0T2A4"), ("CCGGTCGA", "8M", "0T2A4")]
+    mixed = [PLAIN, ("AATCACA", "7M", "0G2T3"), ("AATCACA", "7M", "0G2T3")]
     df = reads_df(spark, *[make_read(*m, mapq=40) for m in mixed], make_read("A", "1M", "0C0", start=90))
     one = loci.parse(spark, "chr1:2-6")
-    want = [(4, "A", "G", "Ref/Alt")]
+    want = [(4, "T", "C", "Ref/Alt")]
     assert calls(callers.threshold_calls(df, 0, loci=one)) == want
     assert [c[0] for c in calls(callers.threshold_calls(df, 0))] == [1, 4, 90]
     assert calls(callers.bayes_calls(df, loci=one)) == want
@@ -236,3 +239,18 @@ def test_concordance(spark):
     nothing = concordance.evaluate(called, truth, exclude_snvs=True, exclude_indels=True).first()
     assert nothing["precision"] is None and nothing["true_positives"] == 0
     assert concordance.evaluate(called, truth, match_sample=True).first()["sample"] == "s"
+
+
+def test_one_sample_is_scored(spark):
+    rows = [("1", 5, "A", "T", "b", ["Alt", "Alt"]), ("1", 5, "A", "T", "a", ["Ref", "Alt"]), ("1", 6, "A", "C", "b", ["Ref", "Alt"])]
+    called = spark.createDataFrame([(*r, None, None, None) for r in rows], GENOTYPE)
+    truth = genotypes(spark, [("1", 5, "A", "T", "Ref/Alt")])
+    types = lambda **o: sorted(tuple(r) for r in concordance.concordance_table(called, truth, **o).collect())
+    assert types() == types(sample="a") == [("HET", "HET", 1)]
+    assert types(sample="b", truth_sample="s") == [("HET", "NO_CALL", 1), ("HOM_ALT", "HET", 1)]
+
+
+def test_clustered_and_stored_order_agree(spark):
+    df = reads_df(spark, *[make_read(*PLAIN, mapq=40)] * 6, *[make_read(*SNV, mapq=40)] * 6)
+    assert calls(callers.threshold_calls(df, cluster=False)) == calls(callers.threshold_calls(df))
+    assert calls(callers.bayes_calls(df, cluster=False)) == calls(callers.bayes_calls(df))

@@ -15,20 +15,24 @@ def spec(spark, text):
 
 
 def test_parse_count_and_contigs(spark):
-    s = spec(spark, "chr21:100-200,chr20:0-10,chr20:8-15,chr20:100-120,empty:10-10").cache()
+    rng = random.Random(21)
+    pieces = [(rng.choice("xyz"), s, s + rng.choice([0, 0, 3, 12])) for s in (rng.randint(0, 200) for _ in range(40))]
+    s = spec(spark, ",".join(f"{c}:{a}-{b}" for c, a, b in pieces)).cache()
+    covered = {(c, p) for c, a, b in pieces for p in range(a, b)}
+    ranges = sum((c, p - 1) not in covered for c, p in covered)
     stats = iv.statistics(s).first()
-    assert (stats["loci"], stats["ranges"], stats["contigs"]) == (135, 3, 2)
-    assert [r[0] for r in iv.contigs(s).collect()] == ["chr20", "chr21"]
-    on20 = iv.on_contig(s, "chr20").cache()
-    cases = {(0, 0): False, (7, 8): True, (11, 18): True, (14, 80): True, (15, 80): False, (15, 101): True,
-             (119, 120): True, (119, 130): True, (120, 130): False}
-    for (a, b), want in cases.items():
-        assert (overlap.intersects(on20, a, b).count() > 0) is want, (a, b)
+    assert (stats["loci"], stats["ranges"], stats["contigs"]) == (len(covered), ranges, len({c for c, _ in covered}))
+    assert [r[0] for r in iv.contigs(s).collect()] == sorted({c for c, _ in covered})
+    on_y = iv.on_contig(s, "y").cache()
+    for _ in range(25):
+        a = rng.randint(0, 215)
+        b = a + rng.randint(0, 9)
+        assert (overlap.intersects(on_y, a, b).count() > 0) is any(("y", p) in covered for p in range(a, b)), (a, b)
 
 
 def test_empty_sets_are_equal(spark):
     assert spec(spark, "").isEmpty()
-    assert iv.same_loci(spec(spark, "empty1:30-30,empty2:40-40"), spec(spark, ""))
+    assert iv.same_loci(spec(spark, "p:7-7"), spec(spark, "q:0-0,q:9-9"))
 
 
 def test_spaces_and_bad_text(spark):
@@ -58,15 +62,11 @@ def test_merge_equals_brute_force(spark, width):
         by_contig[r["contig"]] = r["end"]
 
 
-def test_overlay_suite_case(spark):
-    m = intervals_df(spark, [("chr1", 100, 200, "A"), ("chr20", 200, 201, "B"), ("chr1", 100, 140, "X")], "string")
-    assert text_of(iv.overlay(m)) == "chr1:100-140=X,chr1:140-200=A,chr20:200-201=B"
-
-
 @pytest.mark.parametrize("bin_width", [4, 256])
 def test_overlay_equals_brute_force(spark, bin_width):
     rng = random.Random(bin_width)
-    rows = [("c", s, s + rng.randint(1, 40), rng.choice("ABC")) for s in (rng.randint(0, 300) for _ in range(40))]
+    rows = [("c", s, s + rng.choice([1, 2, 9, 40, 700]), rng.choice("ABC")) for s in (rng.randint(0, 300) for _ in range(60))]
+    rows += rows[:3] + [("c", 50, 50, "A")]
     want = {}
     for _, s, e, v in sorted(rows, key=lambda r: (r[1], r[3])):
         for p in range(s, e):
@@ -76,26 +76,64 @@ def test_overlay_equals_brute_force(spark, bin_width):
     assert sum(r["end"] - r["start"] for r in got) == len(want)
 
 
+def painted(*layers):
+    """Each locus of the layers' ranges with its value: later-starting ranges win, then later layers."""
+    rows = [(s, n, v, c, e) for n, layer in enumerate(layers) for c, s, e, v in layer]
+    out = {}
+    for s, _, v, c, e in sorted(rows):
+        out.update({(c, p): v for p in range(s, e)})
+    return out
+
+
+def loci_of(df):
+    return {(r["contig"], p): r["value"] for r in df.collect() for p in range(r["start"], r["end"])}
+
+
 def test_union_maps_put_and_invert(spark):
-    a = intervals_df(spark, [("chr1", 100, 200, "A"), ("chr2", 200, 300, "A")], "string")
-    b = intervals_df(spark, [("chr3", 400, 500, "B"), ("chr1", 100, 120, "B")], "string")
-    assert text_of(iv.union_maps(a, b)) == "chr1:100-120=B,chr1:120-200=A,chr2:200-300=A,chr3:400-500=B"
-    assert text_of(iv.union_on_contig(a, b, "chr1")) == "chr1:100-120=B,chr1:120-200=A"
-    assert text_of(iv.put(a, spec(spark, "chr2:250-400"), "Z")) == "chr1:100-200=A,chr2:200-250=A,chr2:250-400=Z"
-    inverse = iv.invert(a.unionByName(b.filter("contig = 'chr3'"))).orderBy("value", "contig").collect()
-    assert [tuple(r) for r in inverse] == [("A", "chr1", 100, 200), ("A", "chr2", 200, 300), ("B", "chr3", 400, 500)]
-    assert text_of(iv.union(a, b), None) == "chr1:100-200,chr2:200-300,chr3:400-500"
+    a = [("p", 10, 35, "u"), ("q", 4, 19, "u"), ("r", 0, 6, "w")]
+    b = [("q", 2, 8, "v"), ("p", 20, 28, "v"), ("p", 28, 50, "v")]
+    left, right = intervals_df(spark, a, "string"), intervals_df(spark, b, "string")
+    assert loci_of(iv.union_maps(left, right)) == painted(a, b)
+    on_p = [[x for x in layer if x[0] == "p"] for layer in (a, b)]
+    assert loci_of(iv.union_on_contig(left, right, "p")) == painted(*on_p)
+    top = [("q", 15, 40, "z")]
+    assert loci_of(iv.put(left, spec(spark, "q:15-40"), "z")) == painted(a, top)
+    inverse = iv.invert(left).orderBy("value", "contig").collect()
+    assert [tuple(r) for r in inverse] == [("u", "p", 10, 35), ("u", "q", 4, 19), ("w", "r", 0, 6)]
+    covered = {(c, p) for c, s, e, _ in a + b for p in range(s, e)}
+    merged = iv.union(left, right).collect()
+    assert {(r["contig"], p) for r in merged for p in range(r["start"], r["end"])} == covered
+
+
+def test_previous_end_of_disjoint_rows(spark):
+    rng = random.Random(6)
+    rows, p = [], 0
+    while p < 400:
+        size = rng.randint(1, 25)
+        if rng.random() < 0.6:
+            rows.append(("c", p, p + size, rng.choice("AB")))
+        p += size
+    for width in (8, 64, 65_536):
+        got = iv.with_previous(intervals_df(spark, rows, "string"), ("contig", "value"), width).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            before = [e for _, s, e, v in rows if v == r["value"] and s < r["start"]]
+            assert r["prev_end"] == max(before, default=None)
 
 
 def test_values_in_range(spark):
-    m = intervals_df(spark, [("c", 100, 200, "A"), ("c", 200, 300, "B")], "string")
-    queries = [("c", 0, 100), ("c", 0, 101), ("c", 199, 201), ("c", 200, 201), ("c", 0, 300), ("d", 0, 300)]
-    found = overlap.values_in_ranges(intervals_df(spark, queries), m).collect()
-    got = {q: {r["value"] for r in found if tuple(r)[:3] == q} for q in queries}
-    assert list(got.values()) == [set(), {"A"}, {"A", "B"}, {"B"}, {"A", "B"}, set()]
-    points = spark.createDataFrame([("c", p) for p in (99, 100, 199, 200, 299, 300)], "contig string, locus bigint")
-    assert sorted((r["locus"], r["value"]) for r in overlap.lookup(points, m).collect()) == [
-        (100, "A"), (199, "A"), (200, "B"), (299, "B")]
+    rows = [("c", 3, 20, "A"), ("c", 20, 31, "B"), ("c", 40, 44, "A")]
+    m = intervals_df(spark, rows, "string")
+    queries = [("c", a, a + n) for a in range(0, 50, 3) for n in (1, 4, 25)] + [("d", 0, 50)]
+    want = {q: {v for c, s, e, v in rows if c == q[0] and s < q[2] and e > q[1]} for q in queries}
+    for disjoint in (False, True):
+        found = overlap.values_in_ranges(intervals_df(spark, queries), m, disjoint=disjoint).collect()
+        assert {q: {r["value"] for r in found if tuple(r)[:3] == q} for q in queries} == want
+        assert len(found) == sum(map(len, want.values()))
+    met = {tuple(r)[:3]: r["copies"] for r in overlap.values_met(intervals_df(spark, queries), m, disjoint=True).collect()}
+    assert met == {q: len(v) for q, v in want.items()}
+    points = spark.createDataFrame([("c", p) for p in range(50)], "contig string, locus bigint")
+    assert {(r["contig"], r["locus"]): r["value"] for r in overlap.lookup(points, m).collect()} == painted(rows)
 
 
 def test_overlap_joins_equal_nested_loop(spark):
@@ -123,31 +161,37 @@ def test_overlap_joins_equal_nested_loop(spark):
         (s, e) for _, s, e in reads if any(x[1] < e and x[2] > s for x in pieces))
 
 
+# These pin the rounding of bucket edges.
 @pytest.mark.parametrize("text,buckets,want", [
     ("chrM:0-16571", 4, "chrM:0-4143=0,chrM:4143-8286=1,chrM:8286-12428=2,chrM:12428-16571=3"),
     ("chrM:0-10", 3, "chrM:0-3=0,chrM:3-7=1,chrM:7-10=2"),
-    ("chrM:0-3", 4, "chrM:0-1=0,chrM:1-2=1,chrM:2-3=2"),
-    ("empty:10-10", 4, ""),
-    ("chr21:100-200,chr20:0-10,chr20:8-15,chr20:100-121,empty:10-10", 2,
-     "chr20:0-15=0,chr20:100-121=0,chr21:100-132=0,chr21:132-200=1"),
 ])
-def test_even_split(spark, text, buckets, want):
+def test_even_split_rounding(spark, text, buckets, want):
     assert text_of(split.split_evenly(spec(spark, text), buckets)) == want
 
 
-def test_even_split_one_locus_per_bucket(spark):
-    got = split.split_evenly(spec(spark, "chrM:1000-1100"), 100).orderBy("start").collect()
-    assert [(r["start"], r["end"], r["value"]) for r in got] == [(1000 + i, 1001 + i, i) for i in range(100)]
+@pytest.mark.parametrize("text,buckets", [("a:5-8", 9), ("a:4-4", 3), ("b:2-40,a:7-12,a:30-31,c:0-3", 4), ("a:0-60", 60)])
+def test_even_split_equals_brute_force(spark, text, buckets):
+    parts = [(p.split(":")[0], *map(int, p.split(":")[1].split("-"))) for p in text.split(",")]
+    every = sorted((c, p) for c, a, b in parts for p in range(a, b))
+    size = max(1.0, len(every) / buckets)
+    want = {x: max(k for k in range(buckets) if int(k * size + 0.5) <= i) for i, x in enumerate(every)}
+    got = split.split_evenly(spec(spark, text), buckets).collect()
+    assert {(r["contig"], p): r["value"] for r in got for p in range(r["start"], r["end"])} == want
+
 
+def test_split_into_as_many_buckets_as_cores(spark):
+    got = split.split_loci(spec(spark, "a:0-800"), [], accuracy=0).collect()
+    assert len(got) == spark.sparkContext.defaultParallelism
 
-def test_depth_split_suite_case(spark):
+
+# This pins where the edge falls inside a micro bucket.
+def test_depth_split_edge(spark):
     reads = intervals_df(spark, [("chr1", i, i + 1) for i in (5, 6, 7, 8)])
     got = split.split_by_depth(spec(spark, "chr1:0-100"), 2, reads, accuracy=100)
     assert text_of(got) == "chr1:0-7=0,chr1:7-100=1"
 
 
-
-
 def test_depth_split_covers_loci_and_balances(spark):
     rng = random.Random(11)
     reads = intervals_df(spark, [("c", s, s + 5) for s in (int(rng.betavariate(2, 9) * 900) for _ in range(400))])
@@ -208,3 +252,6 @@ def test_running_total(spark, width):
     for r in got:
         assert r["t"] == sum(v for k, p, v in rows if k == r["k"] and p <= r["p"])
     assert len(got) == len({(k, p) for k, p, _ in rows})
+    for r in running_total(df, ["k"], "p", "v", "t", width=width, total="all").collect():
+        assert r["t"] == sum(v for k, p, v in rows if (k, p) <= (r["k"], r["p"]))
+        assert r["all"] == sum(v for _, _, v in rows)

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from lociforge.functions import md as mdf
 from lociforge.functions.genotypes import classify_pair, is_variant, non_reference_alleles, unique_alleles, variant_count
 from lociforge.functions.quality import phred_array
 from lociforge.operators import filters, metrics, pileup
+from lociforge.operators import intervals as iv
 from lociforge.plans import callers
 from lociforge.sources import loci
 
@@ -17,108 +19,94 @@ def elements(spark, *reads):
     return pileup.elements(reads_df(spark, *reads), keep=("start",)).collect()
 
 
-def test_plain_pileups(spark):
-    rows = elements(spark, *[make_read("TCGATCGA", "8M", "8")] * 3)
+def generated(rng, name, with_md=True):
+    """A random read and, walked base by base, the elements it must give."""
+    start, mapq = rng.randint(0, 40), rng.randint(1, 60)
+    ops = [(rng.choice("MMM=X"), rng.randint(1, 6))]
+    for _ in range(rng.randint(0, 5)):
+        ops += rng.choice([[("I", 1)], [("I", 3)], [("D", 2)], [("N", 4)], [("P", 1), ("I", 2)], [("I", 1), ("P", 2), ("I", 1)], []])
+        ops.append((rng.choice("MMM=X"), rng.randint(1, 6)))
+    if rng.random() < 0.3:
+        ops = [("H", 2), ("S", 2), *ops]
+    if rng.random() < 0.3:
+        ops.append(("S", 1))
+    seq, quals, md, run, want, locus = "", [], "", 0, [], start
+    for idx, (op, size) in enumerate(ops):
+        if op in "M=X":
+            for i in range(size):
+                ref = rng.choice("ACGT")
+                other = rng.choice([c for c in "ACGTN" if c != ref])
+                base = other if op == "X" or (op == "M" and rng.random() < 0.2) else ref
+                kind = ("match" if base == ref else "mismatch") if with_md else {"M": "aligned", "=": "match", "X": "mismatch"}[op]
+                run, md = (run + 1, md) if base == ref else (0, md + f"{run}{ref}")
+                q = rng.randint(0, 40)
+                want.append([locus, kind, base, q, ref if with_md else None, len(seq), idx, i])
+                seq, quals, locus = seq + base, [*quals, q], locus + 1
+        elif op in "DN":
+            gone = "".join(rng.choice("ACGT") for _ in range(size))
+            if op == "D":
+                run, md = 0, md + f"{run}^{gone}"
+            for i in range(size):
+                want.append([locus, "deletion", "", mapq, gone[i] if op == "D" and with_md else None, len(seq), idx, i])
+                locus += 1
+        elif op in "IS":
+            text = "".join(rng.choice("ACGT") for _ in range(size))
+            own = [rng.randint(0, 40) for _ in text]
+            if op == "I" and want and want[-1][1] != "deletion":
+                want[-1][1:4] = "insertion", want[-1][2] + text, min([want[-1][3], *own])
+            seq, quals = seq + text, quals + own
+    cigar = "".join(f"{n}{op}" for op, n in ops)
+    read = make_read(seq, cigar, md + str(run) if with_md else None, start=start, quals=quals, mapq=mapq, sample=name)
+    return read, sorted(map(tuple, want))
+
+
+FIELDS = ("locus", "kind", "allele", "q", "ref_base", "read_pos", "cigar_idx", "idx_in_elem")
+
+
+@pytest.mark.parametrize("with_md", [True, False])
+def test_elements_of_generated_reads(spark, with_md):
+    rng = random.Random(int(with_md))
+    made = {f"r{i}": generated(rng, f"r{i}", with_md) for i in range(120)}
+    got = {name: [] for name in made}
+    for r in pileup.elements(reads_df(spark, *[read for read, _ in made.values()])).collect():
+        got[r["sample"]].append(tuple(r[f] for f in FIELDS))
+    for name, (read, want) in made.items():
+        assert sorted(got[name]) == want, read[:6]
+
+
+def test_generated_reads_cover_every_operator():
+    rng = random.Random(1)
+    text = "".join(generated(rng, "x")[0][3] for _ in range(120))
+    assert set("MIDNSHP=X") <= set(text)
+
+
+def test_elements_cluster_by_locus(spark):
+    rows = elements(spark, *[make_read("GATTAC", "6M", "6", start=11)] * 4)
     assert len(rows) == 24 and {r["kind"] for r in rows} == {"match"}
-    assert {r["locus"] for r in rows} == set(range(1, 9))
-    first = at(rows, 1)
-    assert {(r["ref_base"], r["read_pos"], r["q"]) for r in first} == {("T", 0, 31)}
-
-
-def test_insertion_hangs_on_the_base_before(spark):
-    q8 = [10, 15, 20, 25, 10, 15, 20, 25]
-    rows = elements(
-        spark,
-        *[make_read("TCGATCGA", "8M", "8", quals=q8)] * 2,
-        make_read("TCGACCCTCGA", "4M3I4M", "8", quals=[10, 15, 20, 25, 5, 5, 5, 10, 15, 20, 25]),
-    )
-    assert len(rows) == 24
-    inserted = [r for r in rows if r["kind"] == "insertion"]
-    assert [(r["locus"], r["allele"], r["q"]) for r in inserted] == [(4, "ACCC", 5)]
-    assert {(r["kind"], r["q"]) for r in at(rows, 5)} == {("match", 10)}
-    assert {r["allele"] for r in at(rows, 7)} == {"G"}
-    assert {(r["allele"], r["q"], r["kind"]) for r in at(rows, 8)} == {("A", 25, "match")}
-
-
-def test_deletion_element(spark):
-    rows = {r["locus"]: r for r in elements(spark, make_read("AATTGAATTG", "5M1D5M", "5^C5", start=0, mapq=47))}
-    assert [(rows[i]["cigar_idx"], rows[i]["idx_in_elem"]) for i in (0, 4, 5, 6, 9)] == [
-        (0, 0), (0, 4), (1, 0), (2, 0), (2, 3)]
-    assert (rows[5]["kind"], rows[5]["allele"], rows[5]["q"], rows[5]["ref_base"]) == ("deletion", "", 47, "C")
-    assert {r["kind"] for i, r in rows.items() if i != 5} == {"match"}
-
-
-def test_two_match_elements(spark):
-    rows = {r["locus"]: r for r in elements(spark, make_read("AAATTT", "3M3M", "6", start=0))}
-    assert [(rows[i]["cigar_idx"], rows[i]["idx_in_elem"]) for i in (3, 4)] == [(1, 0), (1, 1)]
-
-
-ZOO = {
-    "gap_first": make_read("A" * 60, "29M10D31M", "29^GGGGGGGGGG31", start=5, mapq=90),
-    "insert": make_read("A" * 60, "5M5I34M10D16M", "39^GGGGGGGGGG16", start=10, mapq=90),
-    "acgt": make_read("ACGT" * 15, "10M10I10D40M", "10^GGGGGGGGGG40", start=20, mapq=90),
-    "mixed": make_read("ACGTACGTACGTACG", "5M4=1X5=", "9G5", start=10, mapq=90),
-    "skip_soft": make_read("ACGTACGTACGT", "4=1N4=4S", "4^G4", start=40, mapq=90),
-    "skip_hard": make_read("ACGTACGT", "4=1N4=4H", "4^G4", start=40, mapq=90),
-    "skip_plain_md": make_read("ACGTACGT", "4=1N4=", "4A3", start=40, mapq=90),
-    "padded": make_read("ACGTACGT", "4=1P4=", "8", start=40, mapq=90),
-    "padded_insert": make_read("ACGTTTACGT", "4M1P2I4M", "8", start=0, mapq=90),
-    "x_insert": make_read("ACGTTTACGT", "3M1X2I4M", "3A4", start=0, mapq=90),
-}
-
-
-@pytest.fixture(scope="module")
-def zoo(spark):
-    names = list(ZOO)
-    reads = reads_df(spark, *[ZOO[n][:8] + (n,) + ZOO[n][9:] for n in names])
-    found = {n: {} for n in names}
-    for r in pileup.elements(reads).collect():
-        assert r["locus"] not in found[r["sample"]]
-        found[r["sample"]][r["locus"]] = r
-    return found
-
-
-def test_zoo_spans(zoo):
-    assert sorted(zoo["gap_first"]) == list(range(5, 75))
-    assert [i for i, r in sorted(zoo["gap_first"].items()) if r["kind"] == "deletion"] == list(range(34, 44))
-    assert [zoo["skip_soft"][i]["allele"] for i in range(40, 49)] == ["A", "C", "G", "T", "", "A", "C", "G", "T"]
-    assert [zoo["skip_hard"][i]["allele"] for i in range(40, 49)] == ["A", "C", "G", "T", "", "A", "C", "G", "T"]
-    assert max(zoo["skip_soft"]) == 48 == max(zoo["skip_hard"])
-    assert "".join(zoo["padded"][i]["allele"] for i in range(40, 48)) == "ACGTACGT"
-    assert 48 not in zoo["padded"]
-
-
-def test_zoo_bases(zoo):
-    assert [zoo["mixed"][i]["allele"] for i in (10, 14, 18, 19, 20, 21, 22, 24)] == list("AAACGTAG")
-    assert zoo["mixed"][19]["kind"] == "mismatch" and zoo["mixed"][19]["ref_base"] == "G"
-    assert {zoo["mixed"][i]["kind"] for i in range(10, 25) if i != 19} == {"match"}
-    assert "".join(zoo["acgt"][i]["allele"] for i in range(20, 28)) == "ACGTACGT"
-    assert (zoo["acgt"][29]["kind"], zoo["acgt"][29]["allele"]) == ("insertion", "CGTACGTACGT")
-    assert (zoo["insert"][14]["kind"], zoo["insert"][14]["allele"]) == ("insertion", "AAAAAA")
-    assert (zoo["insert"][10]["allele"], zoo["insert"][20]["allele"]) == ("A", "A")
-
-
-def test_padding_and_x_before_insertion(zoo):
-    assert (zoo["padded_insert"][3]["kind"], zoo["padded_insert"][3]["allele"]) == ("insertion", "TTT")
-    assert zoo["padded_insert"][4]["cigar_idx"] == 3
-    assert (zoo["x_insert"][3]["kind"], zoo["x_insert"][3]["allele"]) == ("insertion", "TTT")
-
-
-def test_skipped_region_and_md(zoo):
-    assert zoo["skip_soft"][44]["ref_base"] == "G"
-    assert zoo["skip_plain_md"][44]["ref_base"] is None
-    assert zoo["skip_plain_md"][45]["ref_base"] == "A"
-    assert [zoo["skip_plain_md"][i]["ref_base"] for i in (46, 47, 48)] == ["C", "G", "T"]
-
-
-def test_no_md_kinds(spark):
-    rows = elements(spark, make_read("ACGTA", "2M1=1X1M", None, start=0))
-    assert [r["kind"] for r in sorted(rows, key=lambda r: r["locus"])] == [
-        "aligned", "aligned", "match", "mismatch", "aligned"]
+    assert {(r["ref_base"], r["read_pos"], r["q"]) for r in at(rows, 13)} == {("T", 2, 31)}
+
+
+@pytest.mark.parametrize("md", ["3", "9", "2A1", "3^AC3A9"])
+def test_md_of_another_length_counts_as_missing(spark, md):
+    rows = elements(spark, make_read("GATTAC", "6M", md, start=0))
+    assert {(r["kind"], r["ref_base"]) for r in rows} == {("aligned", None)}
+
+
+def test_reads_without_sequence_have_no_elements(spark):
+    read = list(make_read("GATTAC", "6M", "6"))
+    read[5] = None
+    assert elements(spark, tuple(read)) == []
+    assert pileup.base_reads(reads_df(spark, tuple(read))).collect() == []
+
+
+def test_md_that_counts_skipped_regions(spark):
+    rows = {r["locus"]: r for r in elements(spark, make_read("CAGTTC", "3M2N3M", "3^GA3", start=7))}
+    assert [rows[i]["ref_base"] for i in range(7, 15)] == ["C", "A", "G", "G", "A", "T", "T", "C"]
+    assert rows[10]["kind"] == "deletion" and rows[12]["kind"] == "match"
 
 
 def test_missing_qualities_are_zero(spark):
-    read = list(make_read("ACG", "3M", "3"))
+    read = list(make_read("GAT", "3M", "3"))
     read[6] = None
     assert {r["q"] for r in elements(spark, tuple(read))} == {0}
     df = reads_df(spark, tuple(read))
@@ -126,15 +114,15 @@ def test_missing_qualities_are_zero(spark):
 
 
 def test_cigar_functions(spark):
-    df = reads_df(spark, make_read("ACGTACGTAC", "2H3S5M1I1M2D1S", None, start=20))
+    df = reads_df(spark, make_read("GATTACAGATTA", "4H1S6M2I1M3D2S", None, start=30))
     row = df.select(
         cg.alignment_end().alias("end"), cg.unclipped_start().alias("us"), cg.unclipped_end().alias("ue"),
         cg.read_length().alias("rl"), cg.cigar_elements().alias("els"),
         cg.is_valid_cigar("cigar").alias("ok"),
     ).first()
-    assert (row["end"], row["us"], row["ue"], row["rl"], row["ok"]) == (28, 15, 29, 11, True)
+    assert (row["end"], row["us"], row["ue"], row["rl"], row["ok"]) == (40, 25, 42, 12, True)
     assert [(e["op"], e["len"]) for e in row["els"]] == [
-        ("H", 2), ("S", 3), ("M", 5), ("I", 1), ("M", 1), ("D", 2), ("S", 1)]
+        ("H", 4), ("S", 1), ("M", 6), ("I", 2), ("M", 1), ("D", 3), ("S", 2)]
     assert spark.createDataFrame([("*",)], "cigar string").select(cg.is_valid_cigar("cigar")).first()[0] is False
 
 
@@ -145,24 +133,26 @@ def test_md_functions(spark):
     assert [(m["off"], m["base"]) for m in row["m"]] == [(2, "A"), (6, "T")]
 
 
-def test_sliding_window_counts(spark):
-    reads = reads_df(spark, make_read("TCGATCGA", "8M", "8", 1), make_read("TCGATCGA", "8M", "8", 2),
-                     make_read("TCG", "3M", "3", 5))
-    run = {}
-    for r in pileup.coverage(reads).collect():
-        run.update({p: r["depth"] for p in range(r["start"], r["end"])})
-    assert [run.get(p, 0) for p in range(11)] == [0, 1, 2, 2, 2, 3, 3, 3, 2, 1, 0]
-    wide = reads_df(spark, make_read("TCGATCGA", "8M", "8", 2), make_read("TCGATCGA", "8M", "8", 3),
-                    make_read("TCG", "3M", "3", 6))
-    at_locus = loci.parse(spark, "chr1:0-13")
-    got = {r["locus"]: r["n"] for r in pileup.window_pileup(wide, at_locus, 1, F.count(F.lit(1)).alias("n")).collect()}
-    assert [got.get(p, 0) for p in range(13)] == [0, 1, 2, 2, 2, 3, 3, 3, 3, 3, 2, 1, 0]
-    padded = {}
-    for r in pileup.coverage(wide, half_window=1).collect():
-        padded.update({p: r["depth"] for p in range(r["start"], r["end"])})
-    assert [padded.get(p, 0) for p in range(13)] == [got.get(p, 0) for p in range(13)]
-    new = {r["locus"]: r["n_new"] for r in pileup.new_reads(wide, at_locus, 1).collect()}
-    assert new == {1: 1, 2: 1, 5: 1}
+def test_window_pileups_equal_padded_coverage(spark):
+    rng = random.Random(9)
+    spans = [(s, s + rng.randint(1, 15)) for s in (rng.randint(3, 60) for _ in range(25))]
+    reads = intervals_df(spark, [("c", s, e) for s, e in spans])
+    at_locus = loci.parse(spark, "c:0-40,c:45-90")
+    inside = [*range(40), *range(45, 90)]
+    for half in (0, 2):
+        near = {p: sum(s <= p + half and e - 1 >= p - half for s, e in spans) for p in inside}
+        got = {r["locus"]: r["n"] for r in pileup.window_pileup(reads, at_locus, half, F.count(F.lit(1)).alias("n")).collect()}
+        assert got == {p: n for p, n in near.items() if n}
+        depth = {}
+        for r in pileup.coverage(reads, half_window=half).collect():
+            depth.update({p: r["depth"] for p in range(r["start"], r["end"])})
+        assert {p: depth.get(p, 0) for p in inside} == near
+        entered = {}
+        for s, e in spans:
+            first = next((p for p in inside if s <= p + half and e - 1 >= p - half), None)
+            if first is not None:
+                entered[first] = entered.get(first, 0) + 1
+        assert {r["locus"]: r["n_new"] for r in pileup.new_reads(reads, at_locus, half).collect()} == entered
 
 
 @pytest.mark.parametrize("width", [1, 3, 65_536])
@@ -214,24 +204,31 @@ def test_top_bases(spark):
     assert got == {1: ["A", "C", "G"], 2: ["T"], 3: ["G", None]}
 
 
-def evidence(spark, rows):
-    return spark.createDataFrame(
-        [("c", *r) for r in rows], "contig string, locus bigint, sample string, allele string, mapq int, n bigint")
-
-
 def test_pileup_filters(spark):
-    rows = evidence(spark, [
-        (1, "s", "A", 60, 9), (1, "s", "C", 0, 1),
-        (2, "s", "A", 60, 3), (2, "s", "C", 60, 1), (2, "s", "G", 60, 1),
-        (3, "s", "A", 60, 3), (3, "s", "A", 30, 1),
-        (4, "s", "A", 60, 2), (4, "s", "A", 20, 1)])
-    loci_of = lambda df: sorted({r["locus"] for r in df.collect()})
-    assert loci_of(filters.drop_ambiguous(rows)) == [2, 3, 4]
-    assert loci_of(filters.drop_multi_allelic(rows)) == [1, 3, 4]
-    assert loci_of(filters.drop_complex_regions(rows)) == [1, 2, 3]
-    assert loci_of(filters.min_mapping_quality(rows, 59)) == [1, 2, 3, 4]
-    chain = filters.filter_pileups(rows, no_ambiguous=True, max_ploidy=2)
-    assert [(r["locus"], r["mapq"], r["n"]) for r in chain.collect()] == [(3, 60, 3)]
+    rows = [
+        (1, "A", 60, 9), (1, "C", 0, 1),
+        (2, "A", 60, 3), (2, "C", 60, 1), (2, "G", 60, 1),
+        (3, "A", 60, 3), (3, "A", 30, 1),
+        (4, "A", 60, 2), (4, "A", 20, 1)]
+    bases = [("c", locus, "s", allele, mapq) for locus, allele, mapq, n in rows for _ in range(n)]
+    df = spark.createDataFrame(bases, "contig string, locus bigint, sample string, allele string, mapq int")
+    alleles = filters.evidence(df, min_mapq=30)
+    loci_of = lambda found: sorted({r["locus"] for r in found.collect()})
+    assert loci_of(filters.drop_ambiguous(alleles)) == [2, 3, 4]
+    assert loci_of(filters.drop_multi_allelic(alleles)) == [1, 3, 4]
+    assert loci_of(filters.drop_complex_regions(alleles)) == [1, 2, 3]
+    assert loci_of(filters.min_mapping_quality(df, 59)) == [1, 2, 3, 4]
+    chain = filters.filter_pileups(alleles, no_ambiguous=True, max_ploidy=2).collect()
+    assert [(r["locus"], r["kept_mapq"], r["n"], r["n_all"]) for r in chain] == [(3, 60, 3, 4)]
+    one = {r["allele"]: (r["n"], r["n_low"], r["low_mapq"]) for r in alleles.filter("locus = 1").collect()}
+    assert one == {"A": (9, 0, 60), "C": (0, 1, 0)}
+
+
+def test_long_ranges_are_expanded_bin_by_bin(spark):
+    whole = intervals_df(spark, [("c", 5, 40), ("d", 0, 3)])
+    rows = iv.loci(whole, width=8)
+    assert sorted(r["locus"] for r in rows.filter("contig = 'c'").collect()) == list(range(5, 40))
+    assert "_bin" not in rows.columns and rows.count() == 38
 
 
 def test_genotype_filters(spark):

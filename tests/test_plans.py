@@ -38,3 +38,31 @@ def test_scans_read_only_what_they_need(spark):
 
 def test_merge_shuffles(spark):
     assert plan(spark, "interval_merge").count("Exchange ") == 4
+
+
+@pytest.mark.parametrize("name", ["bayes_calls_filtered", "pileup_filter_chain", "region_complexity"])
+def test_pileup_filters_shuffle_alleles_only(spark, name):
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(spark, name))
+    columns = {re.sub(r"#.*", "", c).strip() for k in keys for c in k.split(",")}
+    assert columns and not columns & {"q", "fwd", "mapq", "ref_base"}
+
+
+@pytest.mark.parametrize("name,reads,others", [
+    ("scan_counters", 1, 1), ("paired_pileups", 1, 0), ("balanced_split", 2, 0), ("uniform_split", 0, 1),
+])
+def test_tables_are_scanned_once(spark, name, reads, others):
+    df = entry.queries()[name](spark, TABLES)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    scans = re.findall(r"FileScan parquet .*?/(\w+)\.parquet", final)
+    assert scans.count("lineitem") == reads and len(scans) - scans.count("lineitem") == others
+
+
+def test_single_windows_see_bins_only(spark):
+    text = plan(spark, "balanced_split")
+    assert "SinglePartition" not in text
+
+
+def test_overlay_makes_no_row_per_locus(spark):
+    text = plan(spark, "interval_overlay")
+    assert text.count("Generate explode") <= 4 and "locus" not in text
