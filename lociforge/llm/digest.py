@@ -219,7 +219,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     ).select("doc_id", "id", F.xxhash64("text").alias("tie"), "text")
-    parts = 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = 8 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = rows.agg(F.percentile_approx("id", [(k + 1) / parts for k in range(parts - 1)], 10 * parts)).first()[0]
     bounds = np.unique(np.array(cuts or [], np.int64))
 
