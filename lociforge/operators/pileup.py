@@ -40,13 +40,19 @@ def by_neighbourhood(reads: DataFrame, width: int = NEIGHBOURHOOD) -> DataFrame:
     return placed.hint("rebalance", F.col("contig"), F.col("_stretch")).drop("_stretch")
 
 
+def _stored_blocks() -> Column:
+    """The blocks of reads with a sequence. Others get none here: a filter would be moved down to where the
+    sequence text is made, and make it twice."""
+    return F.when(F.col("seq").isNotNull(), cigar_blocks("cigar"))
+
+
 def prepared(reads: DataFrame) -> DataFrame:
     """Reads with parsed CIGAR blocks and, where MD allows, the reference text under them.
 
-    Reads without sequence have nothing to expand and are left out. A tag that speaks of another number of
+    Reads without sequence have no blocks, so nothing to expand. A tag that speaks of another number of
     positions than the CIGAR (with or without its skipped regions) counts as missing.
     """
-    with_blocks = reads.filter(F.col("seq").isNotNull()).withColumn("blocks", cigar_blocks("cigar"))
+    with_blocks = reads.withColumn("blocks", _stored_blocks())
     with_text = with_blocks.withColumn("aligned", aligned_text("seq", "blocks"))
     span = lambda offset, ops: F.expr(
         f"element_at(blocks, -1).{offset} + if(element_at(blocks, -1).op IN ({ops}), element_at(blocks, -1).len, 0)"
@@ -157,8 +163,7 @@ def base_reads(reads: DataFrame, clip_mode: str = "aligned") -> DataFrame:
         start = start - leading_clip("cigar")
     # An outer explode: the inner one makes the optimizer parse the CIGAR twice to test for rows.
     blocks = (
-        reads.filter(F.col("seq").isNotNull()).withColumn("sample", sample_key())
-        .withColumn("blocks", cigar_blocks("cigar"))
+        reads.withColumn("sample", sample_key()).withColumn("blocks", _stored_blocks())
         .select(
             "contig", "sample", "token", "mapq", "fwd", start.alias("start"),
             F.col("seq").cast("binary").alias("seq_bytes"),

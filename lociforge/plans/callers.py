@@ -331,19 +331,12 @@ def most_likely_genotypes(alleles: DataFrame, prior: DataFrame | None = None) ->
 
     Columns: ``a1, a2`` with their element counts ``n1, n2``, ``depth, depth_fwd, ref``. Without a
     prior no pairs are made: the best homozygote has the largest ``hit - miss``, the best
-    heterozygote the two smallest ``miss``. A prior table ``a1, a2, log_prior`` (missing pairs count
-    0) asks for the full table of pairs.
+    heterozygote the two smallest ``miss``. A prior table ``a1, a2, log_prior`` lists pairs, all others
+    count 0; a locus then looks at its homozygotes, its listed pairs and the best unlisted partner of
+    each allele.
     """
     if prior is not None:
-        scored = genotype_likelihoods(alleles).join(prior, ["a1", "a2"], "left").withColumn(
-            "score", F.col("log_likelihood") + F.coalesce("log_prior", F.lit(0.0))
-        )
-        best = F.min(
-            F.struct((-F.col("score")).alias("o"), "a1", "a2", "n1", "n2", "depth", "depth_fwd", "ref")
-        )
-        return scored.groupBy(*_SAMPLE_LOCUS).agg(best.alias("g")).select(
-            *_SAMPLE_LOCUS, "g.a1", "g.a2", "g.n1", "g.n2", "g.depth", "g.depth_fwd", "g.ref"
-        )
+        return _most_likely_under(alleles, prior)
     order = F.row_number().over(Window.partitionBy(*_SAMPLE_LOCUS).orderBy("miss", "allele"))
     hom = F.when(F.col("zero") == 0, F.col("hit") - F.col("miss"))
     seen = F.struct("allele", "n")
@@ -383,6 +376,63 @@ def most_likely_genotypes(alleles: DataFrame, prior: DataFrame | None = None) ->
     )
 
 
+def _listed_partners(prior: DataFrame) -> DataFrame:
+    """``listed, partners``: for each allele of a prior the other alleles it is listed with, and the log prior."""
+    both = prior.select("a1", "a2", "log_prior").unionByName(
+        prior.select(F.col("a2").alias("a1"), F.col("a1").alias("a2"), "log_prior")
+    )
+    rows = both.groupBy("a1", "a2").agg(F.max("log_prior").alias("log_prior"))
+    return rows.groupBy(F.col("a1").alias("listed")).agg(
+        F.collect_list(F.struct("a2", "log_prior")).alias("partners")
+    )
+
+
+def _most_likely_under(alleles: DataFrame, prior: DataFrame) -> DataFrame:
+    """Best genotype under a prior, in one aggregate per locus over its distinct alleles.
+
+    An unlisted heterozygote is best with the partner of least ``miss``, so each allele adds one such
+    pair; alleles that the prior does not list find it in first or second place.
+    """
+    known = alleles.join(_listed_partners(prior), F.col("allele") == F.col("listed"), "left")
+    per_locus = known.groupBy(*_SAMPLE_LOCUS).agg(
+        F.sum("n").alias("depth"),
+        F.sum("n_fwd").alias("depth_fwd"),
+        F.max("ref_base").alias("ref"),
+        F.sum("miss").alias("all_miss"),
+        F.sort_array(F.collect_list(F.struct("miss", "allele", "n", "hit", "zero", "partners"))).alias("seen"),
+    )
+    unit = f"{float(LOG_UNIT)}D"
+    pair = (
+        "named_struct('o', -(({units}) / " + unit + " - depth + {prior}), 'a1', least(x.allele, {y}.allele), "
+        "'a2', greatest(x.allele, {y}.allele), 'n1', if(x.allele <= {y}.allele, x.n, {y}.n), "
+        "'n2', if(x.allele <= {y}.allele, {y}.n, x.n))"
+    )
+    listed = "element_at(filter(x.partners, p -> p.a2 = {y}.allele), 1).log_prior"
+    is_listed = "exists(x.partners, p -> p.a2 = {y}.allele)"
+    het = "all_miss - x.miss - y.miss"
+    hom = (
+        "named_struct('o', if(x.zero > 0, double('inf'), -((x.hit + all_miss - x.miss) / " + unit + " - depth + "
+        + "coalesce(try_element_at(filter(x.partners, p -> p.a2 = x.allele), 1).log_prior, 0D))), "
+        "'a1', x.allele, 'a2', x.allele, 'n1', x.n, 'n2', x.n)"
+    )
+    with_listed = (
+        "transform(filter(seen, y -> y.allele > x.allele AND " + is_listed.format(y="y") + "), y -> "
+        + pair.format(units=het, prior=listed.format(y="y"), y="y") + ")"
+    )
+    unlisted = (
+        "transform(slice(if(x.partners IS NULL, filter(slice(seen, 1, 2), y -> y.allele <> x.allele), "
+        "filter(seen, y -> y.allele <> x.allele AND NOT " + is_listed.format(y="y") + ")), 1, 1), y -> "
+        + pair.format(units=het, prior="0D", y="y") + ")"
+    )
+    best = F.expr(
+        f"array_min(flatten(transform(seen, x -> concat(array({hom}), "
+        f"if(x.partners IS NULL, slice(array({hom}), 1, 0), {with_listed}), {unlisted}))))"
+    )
+    return per_locus.withColumn("g", best).select(
+        *_SAMPLE_LOCUS, "g.a1", "g.a2", "g.n1", "g.n2", "depth", "depth_fwd", "ref"
+    )
+
+
 def bayes_evidence(
     reads: DataFrame,
     min_mapq: int = MIN_MAPQ,

@@ -518,7 +518,7 @@ SELECT contig, {_big('locus', 'locus')}, sample, a1, a2, {_big('depth', 'depth')
 FROM pairs""",
     "bayes_calls": f"{_bayes()}\nSELECT * FROM gt",
     "bayes_calls_filtered": f"{_bayes('mapq > 25', emit_ref=True, extra=_FILTERED)}\nSELECT * FROM gt",
-    "bayes_calls_prior": f"""{_bayes(prior="CASE WHEN a1 = '' THEN -400000000000 ELSE 0 END")}
+    "bayes_calls_prior": f"""{_bayes(prior="CASE WHEN a1 = '' AND length(a2) < 2 THEN -400000000000 ELSE 0 END")}
 SELECT * FROM gt""",
     "genotype_classes": f"""{_bayes()}
 SELECT contig, {_big('locus', 'locus')}, sample, a1, a2, alleles, {_big('len(list_distinct([a1, a2]))', 'n_unique')},

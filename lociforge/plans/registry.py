@@ -396,13 +396,10 @@ def bayes_calls_filtered(spark, d):
 
 @query
 def bayes_calls_prior(spark, d):
-    """Likelihood calls under a prior that disfavours genotypes with a deleted allele."""
-    alleles = callers.bayes_evidence(views.reads(spark, d), cluster=False)
-    prior = (
-        alleles.select(F.col("allele").alias("a2")).distinct()
-        .select(F.lit("").alias("a1"), "a2", F.lit(-400.0).alias("log_prior"))
-    )
-    return _calls(callers.bayes_calls_from(alleles, prior=prior))
+    """Likelihood calls under a prior table that disfavours genotypes of a deletion and one base or two deletions."""
+    pairs = [("", other, -400.0) for other in ("", "A", "C", "G", "T")]
+    prior = spark.createDataFrame(pairs, "a1 string, a2 string, log_prior double")
+    return _calls(callers.bayes_calls(views.reads(spark, d), prior=prior, cluster=False))
 
 
 @query

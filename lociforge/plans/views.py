@@ -7,6 +7,8 @@ library then treats like any other reads.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,20 +37,29 @@ def _letter(p: str, shift: int, c: str = "c") -> str:
     return f"substr('ACGT', int(1 + ({_x(p, c)} + {shift}) % 4), 1)"
 
 
+def _base(p: int, shift: int, c: int) -> str:
+    """As :func:`_letter`, in Python."""
+    return "ACGT"[(p * p * 3 + p * 5 + p * p * p % 11 + c + shift) % 4]
+
+
+@cache
+def _haplotype_rows() -> list[tuple[int, int, int, str, str]]:
+    rows = []
+    for c in range(1, CONTIGS + 1):
+        plain = "".join(_base(p, 0, c) for p in range(CONTIG_LENGTH + 9))
+        for het in (0, 1):
+            for som in (0, 1):
+                text = "".join(
+                    _base(p, 1, c) if p % 89 == 5 or (het and p % 97 == 13) or (som and p % 101 == 7) else plain[p]
+                    for p in range(CONTIG_LENGTH + 9)
+                )
+                rows.append((c, het, som, text, plain))
+    return rows
+
+
 def _haplotypes(spark: SparkSession) -> DataFrame:
     """The contig texts a read can come from: 4 contigs x heterozygous flag x somatic flag."""
-    planted = (
-        "CASE WHEN p % 89 = 5 OR (het = 1 AND p % 97 = 13) OR (som = 1 AND p % 101 = 7) "
-        f"THEN {_letter('p', 1)} ELSE {_letter('p', 0)} END"
-    )
-    span = f"sequence(0L, {CONTIG_LENGTH + 8}L)"
-    return spark.range(CONTIGS * 4).selectExpr(
-        "1 + id % 4 AS c", "(id div 4) % 2 AS het", "id div 8 AS som"
-    ).selectExpr(
-        "c", "het", "som",
-        f"array_join(transform({span}, p -> {planted}), '') AS hap_text",
-        f"array_join(transform({span}, p -> {_letter('p', 0)}), '') AS contig_text",
-    )
+    return spark.createDataFrame(_haplotype_rows(), "c long, het long, som long, hap_text string, contig_text string")
 
 
 def read_layout(lineitem: DataFrame) -> DataFrame:
