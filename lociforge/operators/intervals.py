@@ -161,8 +161,8 @@ def overlay(
     ragged = lambda name: F.collect_set(F.when(~F.col("is_whole"), F.col(name))).over(in_bin)
     spans = spans.withColumn("points", F.array_sort(F.array_union(ragged("from"), ragged("to"))))
     steps = F.expr(
-        "filter(transform(points, (p, i) -> named_struct('at', p, 'next', get(points, i + 1))), "
-        "s -> s.at >= from AND s.at < to)"
+        "transform(sequence(array_position(points, from), array_position(points, to) - 1), "
+        "k -> named_struct('at', get(points, int(k) - 1), 'next', get(points, int(k))))"
     )
     unit = F.array(F.struct(F.lit(-1).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("next")))
     candidates = (
