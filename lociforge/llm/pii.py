@@ -239,18 +239,25 @@ def disguised(text: str) -> list[Span]:
 
 
 def spans(text: str) -> tuple[list[Span], list[Span]]:
-    """The base spans, and all spans: added ones overlap no base span."""
+    """The base spans, and all spans: an added one may overlap base spans, but none of its kind contains it."""
     base = identifiers(text)
-    taken = sorted((a, b) for _, a, b in base)
-    added = []
-    for kind, a, b in disguised(text):
-        k = bisect_right(taken, (a, len(text) + 1))
-        if (k == 0 or max(e for _, e in taken[:k][-4:]) <= a) and (k == len(taken) or taken[k][0] >= b):
-            added.append((kind, a, b))
+    added = uncovered(disguised(text), base)
     order = {kind: i for i, kind in enumerate(KINDS)}
     return base, sorted(base + added, key=lambda s: (order[s[0]], s[1], s[2])) if added else base
 
 
+def uncovered(found: list[Span], base: list[Span]) -> list[Span]:
+    """The spans that no base span and no other one found of their kind contains, once each."""
+    kept, reach = [], dict.fromkeys(KINDS, -1)
+    # from the left, wider ones first, base spans before equal ones
+    for kind, a, rest, new in sorted([(k, a, -b, False) for k, a, b in base] + [(k, a, -b, True) for k, a, b in found], key=lambda s: s[1:]):
+        if -rest > reach[kind]:
+            reach[kind] = -rest
+            if new:
+                kept.append((kind, a, -rest))
+    return kept
+
+
 def written(found: list[Span]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, a, b in found)
 

@@ -54,6 +54,23 @@ def test_disguises_map_back_to_the_source(text, kind, part):
     assert set(base) <= set(every)
 
 
+@pytest.mark.parametrize("text,kind,part", [
+    ("see jоhn@example.com!", "email", "jоhn@example.com"),
+    ("see jane@example.cоm!", "email", "jane@example.cоm"),
+    ("call +1 555 123 456７ now", "phone", "+1 555 123 456７"),
+])
+def test_disguises_beside_a_plain_remainder_are_whole(text, kind, part):
+    base, every = pii.spans(text)
+    assert len(base) == 1 and set(base) <= set(every)
+    assert [(k, text[a:b]) for k, a, b in every if (k, a, b) not in base] == [(kind, part)]
+    assert pii.masked(text, every) == text.replace(part, f"<{kind.upper()}>")
+
+
+def test_added_spans_inside_base_spans_go():
+    assert pii.uncovered([("email", 2, 5), ("email", 0, 9), ("email", 0, 9), ("ip", 2, 5), ("email", 4, 12)], [("email", 1, 8)]) == [
+        ("email", 0, 9), ("ip", 2, 5), ("email", 4, 12)]
+
+
 @pytest.mark.parametrize("text", [
     "", "I live at home. one two three.", "Привет мир, как дела", "at dot at dot", "Σωκράτης ¹ ²", "one two three four five six seven eight nine ten",
     "look at this dot here", "a—b …", "версия 2.0.1.5 at noon",
