@@ -122,19 +122,25 @@ def anchors(word: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
 
 # --- Spark ----------------------------------------------------------------------------------------
 
-def _repeats_here(keys: list[np.ndarray], order: list[np.ndarray]) -> np.ndarray:
-    """Rows of a batch whose keys stand earlier in it, in the given order (most significant first)."""
-    by = np.lexsort([*reversed(order), *reversed(keys)])
-    again = np.zeros(len(by), bool)
+def _repeats_here(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a batch that are copies of others, all but one of each, and rows whose key (the first two
+    columns) stands earlier in it, in the order of the other columns."""
+    by = np.lexsort(columns[::-1])
+    copy, again = np.zeros(len(by), bool), np.zeros(len(by), bool)
     if len(by) > 1:
-        again[by[1:]] = np.logical_and.reduce([k[by[1:]] == k[by[:-1]] for k in keys])
-    return again
+        same = [c[by[1:]] == c[by[:-1]] for c in columns]
+        copy[by[1:]] = np.logical_and.reduce(same)
+        again[by[1:]] = same[0] & same[1]
+    return copy, again
 
 
 def _keyed(columns: list[np.ndarray]) -> pa.RecordBatch:
     """Rows with a mark at repeats within the batch. Those need no grouping any more, so they get keys
-    of their own, which keeps a common passage from meeting in one task."""
-    here = _repeats_here(columns[:2], columns[2:])
+    of their own, which keeps a common passage from meeting in one task. Rows that are equal in their
+    document and place too come from copies of one document and are no repeats: one of them stays."""
+    copy, here = _repeats_here(columns)
+    if copy.any():
+        columns, here = [c[~copy] for c in columns], here[~copy]
     own = mix(columns[2].view(np.uint64) * np.uint64(BASES[0]) + columns[4].astype(np.uint64)).view(np.int64)
     columns[0] = np.where(here, own, columns[0])
     return pa.record_batch([*map(pa.array, columns), pa.array(here)], ["k", "c", "d", "u", "at", "here"])

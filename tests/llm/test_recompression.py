@@ -66,6 +66,16 @@ def test_repeated_rows_are_one_document(llm):
     assert got == [(1, 1, 0), (1, 30, 0), (1, 30, 0), (2, 30, 30)]
 
 
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_repeated_rows_in_one_batch_are_one_document(llm, parts):
+    text, period = " ".join(map(str, range(30))), "a b " * 30
+    rows = [(1, text)] * 3 + [(2, text)] * 2 + [(3, period)] * 3 + [(None, "z " + text)] * 2 + [(1, "other")]
+    docs = llm.createDataFrame(rows, "doc_id long, text string")
+    got = result(docs.coalesce(1) if parts == 1 else docs.repartition(parts))
+    want = brute([(1, text), (2, text), (3, period), (None, "z " + text)])
+    assert sorted(((d is None, d or 0), r) for d, r in got if r[0] > 1) == sorted(((d is None, d or 0), want[d]) for d, _ in rows[:-1])
+
+
 def test_equal_ids_with_different_texts_are_ordered(llm):
     shared = " ".join(map(str, range(25)))
     got = result(llm.createDataFrame([(1, shared + " p"), (1, shared + " q")], "doc_id long, text string"))
