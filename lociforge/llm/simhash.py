@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociforge.llm.components import components
+from lociforge.llm.resemblance import joined_groups
 from lociforge.llm.store import materialise
 from lociforge.llm.words import plain, slices, split
 
@@ -282,13 +283,17 @@ def hex_print(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, resembling: bool = False) -> DataFrame:
     """One document of each component stays, with all its columns: that of the smallest id.
 
+    With ``resembling``, components are also joined by texts of like shingles, see ``resemblance``.
     Null ids come last; rows with one id are told apart by their text, and of equal rows one stays.
     """
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    found = near_duplicates(docs).groupBy("root").agg(F.min(rank).alias("r"))
+    groups = near_duplicates(docs)
+    if resembling:
+        groups = joined_groups(docs, materialise(groups.select("doc_id", "text_hash", "root"), "groups"))
+    found = groups.groupBy("root").agg(F.min(rank).alias("r"))
     keep = found.select(F.col("r.doc_id").alias("keep_id"), F.col("r.text_hash").alias("keep_hash"))
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.struct("*").alias("row"))
     same = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("hash") == F.col("keep_hash"))
