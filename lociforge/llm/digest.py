@@ -6,7 +6,8 @@ least rank (the leftmost on ties) scores a point, and features with 16 points or
 the locally most improbable ones. Their hashes set 5 bits each in a filter of 2048 bits; after 160
 features the next filter of the chain begins. Two fingerprints are compared filter by filter: the
 bits shared beyond what chance gives, divided by the most that could be shared; each filter of the
-shorter chain counts with its best partner, and the mean, weighted by bits, is the likeness.
+shorter chain counts with its best partner, and the mean, weighted by bits, is the likeness. Short texts
+have all their windows of 8 bytes as features; a longer text beside a short one is compared by those too.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ HASHES = 5
 #: Texts under so many code points have too few rare windows: all their windows of 8 bytes count.
 SHORT_TEXT = 512
 SHORT_WINDOW = 8
+#: Code points of a longer text that are taken at once for its windows of 8 bytes.
+STRETCH = 1 << 18
 SLICE = 1 << 20
 LOWEST = -(1 << 63)
 
@@ -127,12 +130,18 @@ def short_hashes(data: np.ndarray, starts: np.ndarray, short: np.ndarray) -> tup
 
 def fingerprints(texts: pa.Array, rank: np.ndarray) -> list[bytes]:
     """The filters of each text, one after the other; an empty text has none."""
+    return families(texts, rank)[0]
+
+
+def families(texts: pa.Array, rank: np.ndarray, all_short: bool = False) -> tuple[list[bytes], list[bool]]:
+    """The filters of each text and whether they hold its windows of 8 bytes, as those of all texts do on demand."""
     out: list[bytes] = []
+    kinds: list[bool] = []
     for a, b in slices(texts, SLICE):
         data, starts = bytes_of(texts.slice(a, b - a))
         chars = sums((data & 0xC0) != 0x80, starts)
-        short = (chars < SHORT_TEXT) & (chars > 0)
-        begin = selected(data, starts, rank)
+        short = ((chars < SHORT_TEXT) | all_short) & (chars > 0)
+        begin = np.zeros(0, np.int64) if all_short else selected(data, starts, rank)
         doc = np.searchsorted(starts, begin, side="right") - 1
         begin, doc = begin[~short[doc]], doc[~short[doc]]
         # a long text without a rare window, such as one character repeated, is taken as a short one
@@ -160,7 +169,28 @@ def fingerprints(texts: pa.Array, rank: np.ndarray) -> list[bytes]:
         packed = np.packbits(bits, axis=1, bitorder="little").tobytes()
         ends = (base + chains) * FILTER_BYTES
         out += [packed[s:e] for s, e in zip((base * FILTER_BYTES).tolist(), ends.tolist())]
-    return out
+        kinds += short.tolist()
+    return out, kinds
+
+
+def short_print(text: str) -> bytes:
+    """The filters of a text by its windows of 8 bytes, in stretches that bound the memory of a long one."""
+    none = np.zeros(LEVELS + 1, np.int64)
+    parts = [text[k : k + STRETCH + SHORT_WINDOW - 1] for k in range(0, len(text), STRETCH)]
+    return b"".join(families(pa.array([part], pa.string()), none, all_short=True)[0][0] for part in parts)
+
+
+def likenesses(pairs: list[tuple[dict, dict]]) -> list[float]:
+    """The likeness of the texts of each pair (``text``, ``print``, ``short``), by windows that both sides have.
+
+    Windows of 8 bytes and rare windows of 64 have no hashes in common. Where one side has the former
+    and the other the latter, that one's windows of 8 bytes are compared.
+    """
+    found = []
+    for pair in pairs:
+        mixed = pair[0]["short"] != pair[1]["short"] and all(side["print"] for side in pair)
+        found.append(likeness(*(short_print(side["text"]) if mixed and not side["short"] else side["print"] for side in pair)))
+    return found
 
 
 def likeness(one: bytes, two: bytes) -> float:
@@ -261,9 +291,9 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             for a, b in slices(batch.column(batch.schema.get_field_index("text")), SLICE):
                 part = batch.slice(a, b - a).to_pydict()
-                prints = fingerprints(pa.array(part["text"], pa.string()), rank)
-                rows = [dict(zip(("stretch", "doc_id", "text", "ahead", "print"), r)) for r in zip(
-                    part["stretch"], part["doc_id"], part["text"], part["ahead"], prints)]
+                prints, short = families(pa.array(part["text"], pa.string()), rank)
+                rows = [dict(zip(("stretch", "doc_id", "text", "ahead", "print", "short"), r)) for r in zip(
+                    part["stretch"], part["doc_id"], part["text"], part["ahead"], prints, short)]
                 if held is not None:
                     rows.insert(0, held)
                 held = rows[-1]
@@ -277,14 +307,15 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             text = row["text"]
             third = len(text) // 3
             edited.append(text[: len(text) - third] + after["text"][:third])
-        prints = fingerprints(pa.array(edited, pa.string()), rank)
+        prints, short = families(pa.array(edited, pa.string()), rank)
+        changed = [{"text": e, "print": p, "short": s} for e, p, s in zip(edited, prints, short)]
         encode = lambda p: base64.b64encode(p).decode()
         columns = [
             pa.array([r["doc_id"] for r, _ in pairs], pa.int64()), pa.array([len(r["text"]) for r, _ in pairs], pa.int64()),
             pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]),
             pa.array([encode(r["print"]) for r, _ in pairs]), pa.array([encode(p) for p in prints]),
-            pa.array([likeness(r["print"], p) for (r, _), p in zip(pairs, prints)], pa.float64()),
-            pa.array([likeness(r["print"], s["print"]) for r, s in pairs], pa.float64()),
+            pa.array(likenesses([(r, e) for (r, _), e in zip(pairs, changed)]), pa.float64()),
+            pa.array(likenesses(pairs), pa.float64()),
         ]
         return pa.record_batch(columns, [f.split()[0] for f in RESULT.split(", ")])
 

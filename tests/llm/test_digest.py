@@ -97,3 +97,33 @@ def test_single_document_is_its_own_next(llm):
 
 def test_empty_table(llm):
     assert digest.compare_with_next(llm.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def some_text(seed, size):
+    rng = random.Random(seed)
+    text = ""
+    while len(text) < size:
+        text += "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) + " "
+    return text[:size]
+
+
+def test_near_copies_on_either_side_of_the_short_length(llm):
+    text = some_text(1, 530)
+    rows = [(k, text[: 505 + 5 * (5 - k)]) for k in range(6)] + [(10, some_text(2, 3000)), (9, some_text(2, 3000)[1000:1400])]
+    got = {r.doc_id: r for r in digest.compare_with_next(llm.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k].near_next > 0.8 for k in range(1, 6))
+    assert got[10].near_next > 0.7  # a part of it
+    assert got[9].near_next < 0.3 and got[0].near_next < 0.3
+
+
+def test_edited_text_that_becomes_short(llm):
+    rows = [(4, some_text(4, 600)), (3, some_text(5, 60)), (2, some_text(6, 700)), (1, None)]
+    got = {r.doc_id: r for r in digest.compare_with_next(llm.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[4].near_edited > 0.8 and got[2].near_edited > 0.8
+
+
+def test_short_print_in_stretches(monkeypatch):
+    text = some_text(7, 900)
+    whole = digest.short_print(text)
+    monkeypatch.setattr(digest, "STRETCH", 200)
+    assert digest.likeness(digest.short_print(text), whole) > 0.8 and digest.short_print("") == b""
