@@ -1,10 +1,10 @@
 """Personal data, also where it is disguised, with spans in the source text.
 
-Identifiers are found in the text as it stands and again in a normalised copy. Two transducers make
-the copy: one rewrites look-alike characters (full-width, superscript and enclosed digits and signs,
+Identifiers are found in the text as it stands and again in normalised copies. Transducers make
+the copies: one rewrites look-alike characters (full-width, superscript and enclosed digits and signs,
 Cyrillic and Greek letters beside Latin ones, unusual spaces and dashes) and drops zero-width ones;
-the other rewrites spelled digits and "at" / "dot" written as words. Each returns its edits, so a
-span of the copy maps back to the source characters it came from. Spans found only there are added.
+others rewrite spelled digits and "at" / "dot" written as words. Each returns its edits, so a
+span of a copy maps back to the source characters it came from. Spans found only there are added.
 """
 
 from __future__ import annotations
@@ -180,61 +180,122 @@ def _mixed(text: str, at: int) -> bool:
 #: Spelled digits.
 SPELLED = dict(zip("zero oh one two three four five six seven eight nine".split(), "00123456789"))
 DIGIT_WORD = "|".join(SPELLED)
-RUN = re.compile(rf"(?i)(?<![A-Za-z0-9])(?:plus[ -]+)?(?:(?:{DIGIT_WORD})(?:[ ,-]{{1,2}}(?=(?:{DIGIT_WORD})(?![A-Za-z])))?){{7,}}(?![A-Za-z0-9])")
-UNIT = re.compile(rf"(?i)plus|{DIGIT_WORD}|[ ,-]+")
+#: One or more digit words, a way between numbers in figures or words, a plus sign in words.
+TOKEN = re.compile(rf"(?i)(?<![A-Za-z])(?:{DIGIT_WORD})+(?![A-Za-z])")
+UNIT = re.compile(rf"(?i){DIGIT_WORD}")
+GAP = re.compile(r"[ ,-]{1,4}")
+PLUS = re.compile(rf"(?i)(?<![A-Za-z0-9])plus[ -]*(?=[0-9]|(?:{DIGIT_WORD})+(?![A-Za-z]))")
 AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*)"
 DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*)"
 LABEL = r"[A-Za-z0-9-]+"
-#: Last labels that an address spoken without brackets has to end in.
-TOP = "com|org|net|edu|gov|mil|int|info|biz|io|ai|app|dev|me|tv|co|uk|us|ca|au|de|fr|es|it|nl|ch|at|se|no|dk|fi|pl|ru|cn|jp|in|br|eu"
+SPOKEN_DOT = rf"(?:{DOT}|\x20dot\x20)"
+ANY_DOT = rf"(?:{DOT}|\x20dot\x20|\.)"
+#: Last labels that an address spoken without brackets has to end in: common generic ones
+#: and those of countries.
+TOP = (
+    "com|org|net|edu|gov|mil|int|info|biz|name|mobi|asia|jobs|travel|museum|coop|aero|post|app|dev|xyz|online|site|tech|store|"
+    "shop|club|live|news|blog|cloud|email|global|group|agency|digital|media|network|systems|solutions|software|academy|"
+    "ac|ad|ae|af|ag|ai|al|am|ao|aq|ar|as|at|au|aw|ax|az|ba|bb|bd|be|bf|bg|bh|bi|bj|bm|bn|bo|br|bs|bt|bw|by|bz|ca|cc|cd|cf|cg|"
+    "ch|ci|ck|cl|cm|cn|co|cr|cu|cv|cw|cx|cy|cz|de|dj|dk|dm|do|dz|ec|ee|eg|er|es|et|eu|fi|fj|fk|fm|fo|fr|ga|gb|gd|ge|gf|gg|gh|"
+    "gi|gl|gm|gn|gp|gq|gr|gs|gt|gu|gw|gy|hk|hm|hn|hr|ht|hu|id|ie|il|im|in|io|iq|ir|is|it|je|jm|jo|jp|ke|kg|kh|ki|km|kn|kp|kr|"
+    "kw|ky|kz|la|lb|lc|li|lk|lr|ls|lt|lu|lv|ly|ma|mc|md|me|mg|mh|mk|ml|mm|mn|mo|mp|mq|mr|ms|mt|mu|mv|mw|mx|my|mz|na|nc|ne|nf|"
+    "ng|ni|nl|no|np|nr|nu|nz|om|pa|pe|pf|pg|ph|pk|pl|pm|pn|pr|ps|pt|pw|py|qa|re|ro|rs|ru|rw|sa|sb|sc|sd|se|sg|sh|si|sk|sl|sm|"
+    "sn|so|sr|ss|st|su|sv|sx|sy|sz|tc|td|tf|tg|th|tj|tk|tl|tm|tn|to|tr|tt|tv|tw|tz|ua|ug|uk|us|uy|uz|va|vc|ve|vg|vi|vn|vu|wf|"
+    "ws|ye|yt|za|zm|zw"
+)
+LOCAL_PART = rf"[A-Za-z0-9._%+-]{{1,64}}(?:{SPOKEN_DOT}[A-Za-z0-9._%+-]{{1,64}}){{0,8}}"
 DISGUISED = re.compile(
-    rf"(?i)[A-Za-z0-9._%+-]{{1,64}}(?:{AT}{LABEL}(?:(?:{DOT}|\x20dot\x20|\.){LABEL}){{1,8}}"
-    rf"|\x20at\x20{LABEL}(?:(?:{DOT}|\x20dot\x20){LABEL}){{0,7}}(?:{DOT}|\x20dot\x20)(?:{TOP})(?![A-Za-z0-9-])|@{LABEL}(?:(?:{DOT}|\x20dot\x20){LABEL}){{1,8}})"
+    rf"(?i){LOCAL_PART}(?:{AT}{LABEL}(?:{ANY_DOT}{LABEL}){{1,8}}"
+    rf"|\x20at\x20(?={LABEL}(?:\.{LABEL}){{0,8}}{SPOKEN_DOT}){LABEL}(?:{ANY_DOT}{LABEL}){{0,7}}{ANY_DOT}(?:{TOP})(?![A-Za-z0-9-])"
+    rf"|@{LABEL}(?:{ANY_DOT}{LABEL}){{0,7}}{SPOKEN_DOT}(?:{TOP})(?![A-Za-z0-9-])"
+    rf"|@{LABEL}(?:{SPOKEN_DOT}{LABEL}){{1,8}}|@{LABEL}(?:(?:{DOT}|\.){LABEL}){{1,8}})"
 )
-DISGUISED_NUMBER = re.compile(rf"(?i)(?<![0-9])[0-9]{{1,3}}(?:(?:{DOT}|\x20dot\x20)[0-9]{{1,3}}){{3}}(?![0-9])")
+#: A local part with spoken dots before a plain "@".
+DOTTED = re.compile(rf"(?i)[A-Za-z0-9._%+-]{{1,64}}(?:{SPOKEN_DOT}[A-Za-z0-9._%+-]{{1,64}}){{1,8}}@(?={LABEL})")
+NUMBER_DOT = re.compile(rf"(?i)(?<=[0-9])(?:{DOT}|\x20dot\x20)(?=[0-9])")
 SIGN = re.compile(rf"(?i){AT}|{DOT}|\x20at\x20|\x20dot\x20")
-#: What a text has to hold for the second transducer to find anything, and for any identifier to stand
-#: in it: filters for whole batches.
-WORDY = rf"(?i)[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|\x20dot\x20|(?:{DIGIT_WORD})[ ,-]{{1,2}}(?:{DIGIT_WORD})[ ,-]"
+#: What a text has to hold for the other transducers to find anything, and for any identifier to stand
+#: in it: filters for whole batches. Digits of one number have only these signs between them.
+NEXT_DIGIT = rf"[ ,().-]*(?:[0-9]|{DIGIT_WORD})"
+WORDY = (
+    rf"(?i)[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|\x20dot\x20|(?:{DIGIT_WORD}){NEXT_DIGIT}|[0-9][ ,().-]*(?:{DIGIT_WORD})|plus[ -]*[0-9]"
+)
 BASIC = r"@|\+[0-9]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){12}"
 WORDY_PATTERN = re.compile(WORDY)
 
 
-def spoken(text: str) -> Edited:
-    """Runs of 7 or more spelled digits and at/dot disguises of addresses rewritten."""
-    edits = []
-    for m in RUN.finditer(text):
-        for unit in UNIT.finditer(m[0]):
-            word = unit[0].lower()
-            new = "+" if word == "plus" else SPELLED.get(word, "")
-            edits.append((m.start() + unit.start(), m.start() + unit.end(), new))
-    for pattern in (DISGUISED, DISGUISED_NUMBER):
+def figures(text: str, wide: bool) -> Edited:
+    """Spelled digits as figures, without what stands between two of them.
+
+    Wide ways are up to 4 signs instead of 2, and those between a spelled digit and a figure become one space.
+    """
+    edits = [(m.start(), m.end(), "+") for m in PLUS.finditer(text)]
+    tokens = [m.span() for m in TOKEN.finditer(text)]
+    for a, b in tokens:
+        edits += [(a + m.start(), a + m.end(), SPELLED[m[0].lower()]) for m in UNIT.finditer(text[a:b])]
+    starts, limit = {a for a, _ in tokens}, 4 if wide else 2
+    for a, b in tokens:
+        gap = GAP.match(text, b)
+        if gap and gap.end() in starts and len(gap[0]) <= limit:
+            edits.append((b, gap.end(), ""))
+        elif wide and gap and len(gap[0]) > 1 and text[gap.end() : gap.end() + 1] in FIGURES:
+            edits.append((b, gap.end(), " "))
+        k = a
+        while wide and k > 0 and a - k < 4 and text[k - 1] in " ,-":
+            k -= 1
+        if a - k > 1 and text[k - 1 : k] in FIGURES:
+            edits.append((k, a, " "))
+    return Edited(text, apart(edits))
+
+
+FIGURES = frozenset("0123456789")
+
+
+def signs(text: str) -> Edited:
+    """At and dot disguises of addresses, and dots between figures, rewritten."""
+    edits = [(m.start(), m.end(), ".") for m in NUMBER_DOT.finditer(text)]
+    for pattern in (DISGUISED, DOTTED):
         for m in pattern.finditer(text):
             for sign in SIGN.finditer(text, m.start(), m.end()):
                 new = "@" if "at" in sign[0].lower() or "@" in sign[0] else "."
                 edits.append((sign.start(), sign.end(), new))
-    edits.sort()
+    return Edited(text, apart(edits))
+
+
+def apart(edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Edits in order, without those that overlap one before."""
     clean, last = [], 0
-    for edit in edits:
+    for edit in sorted(edits):
         if edit[0] >= last:
             clean.append(edit)
             last = edit[1]
-    return Edited(text, clean)
+    return clean
 
 
 def disguised(text: str) -> list[Span]:
-    """Spans of identifiers that appear once the text is normalised, in source positions."""
+    """Spans of identifiers that appear once the text is normalised, in source positions.
+
+    Words beside a number can spoil it once rewritten, so every copy on the way is searched.
+    """
     odd = not text.isascii() and unusual().search(text)
     first = characters(text) if odd else Edited(text, [])
     wordy = WORDY_PATTERN.search(first.text)
-    if not odd and not wordy:
-        return []
-    second = spoken(first.text) if wordy else Edited(first.text, [])
+    copies = [[first]] if odd else []
+    if wordy:
+        copies.append([first, signs(first.text)])
+        for wide in (False, True):
+            number = figures(first.text, wide)
+            if number.source:
+                copies += [[first, number], [first, number, signs(number.text)]]
     found = []
-    for kind, begin, end in identifiers(second.text):
-        a, b = second.back(begin, end)
-        if second.touches(begin, end) or first.touches(a, b):
-            found.append((kind, *first.back(a, b)))
+    for stages in copies:
+        for kind, a, b in identifiers(stages[-1].text):
+            touched = False
+            for stage in reversed(stages):
+                touched |= stage.touches(a, b)
+                a, b = stage.back(a, b)
+            if touched:
+                found.append((kind, a, b))
     return found
 
 

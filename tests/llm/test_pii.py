@@ -66,6 +66,34 @@ def test_disguises_beside_a_plain_remainder_are_whole(text, kind, part):
     assert pii.masked(text, every) == text.replace(part, f"<{kind.upper()}>")
 
 
+@pytest.mark.parametrize("text,kind,part", [
+    ("host one nine two dot one six eight dot zero dot one up", "ip", "one nine two dot one six eight dot zero dot one"),
+    ("host one nine two dot 168.zero dot 1 up", "ip", "one nine two dot 168.zero dot 1"),
+    ("pay 4111 one one one one 1111 1111 now", "card", "4111 one one one one 1111 1111"),
+    ("pay 4111 - one one one one 1111, one one one one now", "card", "4111 - one one one one 1111, one one one one"),
+    ("call +1 555 one two three 4567 now", "phone", "+1 555 one two three 4567"),
+    ("call plus one - five five five - one two three - four five six seven.", "phone", "plus one - five five five - one two three - four five six seven"),
+    ("call plus 1 555 one two three four five six seven.", "phone", "plus 1 555 one two three four five six seven"),
+    ("john dot doe at example dot com", "email", "john dot doe at example dot com"),
+    ("john [dot] doe [at] example [dot] com", "email", "john [dot] doe [at] example [dot] com"),
+    ("see jo at example dot kr now", "email", "jo at example dot kr"),
+    ("see jo at mail.example dot com now", "email", "jo at mail.example dot com"),
+    ("item 2, four one one one, one one one one, one one one one, one one one one.", "card", "four one one one, one one one one, one one one one, one one one one"),
+    ("I have one ４１１１ １１１１ １１１１ １１１１", "card", "４１１１ １１１１ １１１１ １１１１"),
+])
+def test_spelled_parts_are_found_whole(text, kind, part):
+    base, every = pii.spans(text)
+    assert base == [] and [(k, text[a:b]) for k, a, b in every] == [(kind, part)]
+    assert re.search(pii.WORDY, text) or pii.unusual().search(text)
+
+
+@pytest.mark.parametrize("text,part", [
+    ("jo@mail.example dot com now", "jo@mail.example dot com"), ("john dot doe@example.com now", "john dot doe@example.com"),
+])
+def test_spelled_dots_around_a_plain_address(text, part):
+    assert pii.masked(text, pii.spans(text)[1]) == text.replace(part, "<EMAIL>")
+
+
 def test_added_spans_inside_base_spans_go():
     assert pii.uncovered([("email", 2, 5), ("email", 0, 9), ("email", 0, 9), ("ip", 2, 5), ("email", 4, 12)], [("email", 1, 8)]) == [
         ("email", 0, 9), ("ip", 2, 5), ("email", 4, 12)]
