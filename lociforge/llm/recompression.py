@@ -209,11 +209,11 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Id, text and the pair that orders documents: null ids come last, equal ids go by a hash of the text."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_d"), F.hash("text").alias("_u"), "doc_id", "text"
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_d"), F.xxhash64("text").alias("_u"), "doc_id", "text"
     )
 
 
-ROW_TYPE = "k long, c long, d long, u int, at long, here boolean"
+ROW_TYPE = "k long, c long, d long, u long, at long, here boolean"
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
@@ -244,8 +244,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A word goes if some window of 20 words over it also starts earlier: in a document of smaller id,
     or further left in the same one. Windows are those of the input. Null text is empty; documents
     under 20 words lose nothing. Null ids count as larger than all others; rows of one id with
-    different texts are ordered by a hash of the text, and rows equal in both are one document, so
-    they have one result. An empty table gives no rows.
+    different texts are ordered by a 64-bit hash of the text, and rows equal in both are one document,
+    so they have one result. An empty table gives no rows.
     """
     rows = _rows(docs, id_col, text_col)
     flags = materialise(repeated_windows(rows), "repeats")

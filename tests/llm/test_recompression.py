@@ -82,5 +82,13 @@ def test_equal_ids_with_different_texts_are_ordered(llm):
     assert sorted(r for _, (_, r, _) in got) == [0, 25]
 
 
+def test_null_ids_whose_texts_have_equal_32_bit_hashes(llm):
+    shared = " ".join(map(str, range(25)))
+    one, two = "x26388 " + shared, "z172888 " + " ".join(f"y{k}" for k in range(30))
+    docs = llm.createDataFrame([(1, shared), (None, one), (None, two), (None, "z172888")], "doc_id long, text string")
+    assert docs.filter(F.col("text").isin(one, two)).select(F.hash("text")).distinct().count() == 1
+    assert sorted((n, r) for _, (n, r, _) in result(docs)) == [(1, 0), (25, 0), (26, 25), (31, 0)]
+
+
 def test_empty_table(llm):
     assert result(llm.createDataFrame([], "doc_id long, text string")) == []
