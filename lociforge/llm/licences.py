@@ -169,7 +169,10 @@ class Scanner:
     neighbours: np.ndarray  # by two word codes; the last row and column are for other words
 
     def chains(self, matches: list[tuple[int, Match]]) -> list[Chain]:
-        """The best chain of each template around each group of its matches."""
+        """Chains of each template from the best on, each of matches that the ones before don't overlap.
+
+        Those that cover ``MIN_COVERAGE`` of the template; where none does, its best one.
+        """
         found = []
         by_template: dict[int, list[Match]] = {}
         for k, match in matches:
@@ -177,23 +180,41 @@ class Scanner:
                 by_template.setdefault(k, []).append(match)
         for k, own in by_template.items():
             own.sort()
-            score = [m.size for m in own]
-            begin = [m.at for m in own]
-            for j, b in enumerate(own):
-                for i in range(j - 1, -1, -1):
-                    a = own[i]
-                    if b.at - (a.at + a.size) > MAX_GAP + len(self.templates[k]):
-                        break
-                    gap, skip = b.at - a.at - a.size, b.place - a.place - a.size
-                    # overlapping matches count their new words only
-                    new = b.size + min(gap, skip, 0)
-                    if gap <= MAX_GAP and skip <= MAX_GAP and b.place > a.place and b.at > a.at and new > 0 and score[i] + new > score[j]:
-                        score[j], begin[j] = score[i] + new, begin[i]
-            best = max(range(len(own)), key=lambda j: score[j])
-            coverage = min(1.0, score[best] / len(self.templates[k]))
-            found.append(Chain(self.labels[k], begin[best], own[best].at + own[best].size, coverage))
+            sure, rest = [], None
+            # parts of the text on either side of a chain are on their own
+            parts = [own]
+            while parts:
+                part = parts.pop()
+                chain = self._best(k, part)
+                if chain.coverage >= MIN_COVERAGE:
+                    sure.append(chain)
+                    sides = [m for m in part if m.at + m.size <= chain.begin], [m for m in part if m.at >= chain.end]
+                    parts += [side for side in sides if side]
+                elif rest is None or chain.coverage > rest.coverage:
+                    rest = chain
+            found += sure or [rest]
         return found
 
+    def _best(self, k: int, own: list[Match]) -> Chain:
+        """The chain of most words of template ``k``; of equal ones the shortest, of those the one in the middle."""
+        score = [m.size for m in own]
+        begin = [m.at for m in own]
+        for j, b in enumerate(own):
+            for i in range(j - 1, -1, -1):
+                a = own[i]
+                if b.at - (a.at + a.size) > MAX_GAP + len(self.templates[k]):
+                    break
+                gap, skip = b.at - a.at - a.size, b.place - a.place - a.size
+                # overlapping matches count their new words only
+                new = b.size + min(gap, skip, 0)
+                if gap <= MAX_GAP and skip <= MAX_GAP and b.place > a.place and b.at > a.at and new > 0 and score[i] + new > score[j]:
+                    score[j], begin[j] = score[i] + new, begin[i]
+        rank = [(-s, m.at + m.size - b) for s, b, m in zip(score, begin, own)]
+        least = min(rank)
+        ties = [j for j, r in enumerate(rank) if r == least]
+        best = ties[len(ties) // 2]
+        return Chain(self.labels[k], begin[best], own[best].at + own[best].size, min(1.0, score[best] / len(self.templates[k])))
+
 
 @cache
 def scanner() -> Scanner:

@@ -60,6 +60,23 @@ def test_notices_give_labels_and_spans():
         assert row[6] == 1.0
 
 
+def test_repeated_notices_give_a_span_each():
+    for label, gaps in (("mit", [0, 0, 0]), ("isc", [3, 40, 500]), ("bsd", [0, 5, 13])):
+        words, text, want = licences.TEMPLATES[label].split(), [], []
+        for gap in gaps:
+            text += ["x"] * gap
+            want.append(f"{label}:{len(text)}:{len(text) + len(words)}")
+            text += words
+        row = licences.scan_batch(pa.array([" ".join(text)]))[0]
+        assert [s for s in row[7].split(",") if s.startswith(label + ":")] == want
+        assert row[5] == label and row[6] == 1.0
+
+
+def test_many_notices_take_about_linear_time():
+    row = licences.scan_batch(pa.array([" ".join([licences.TEMPLATES["mit"]] * 400)]))[0]
+    assert len(row[7].split(",")) == 400
+
+
 def test_edited_notice_is_still_covered():
     words = licences.TEMPLATES["isc"].split()
     words[10:12] = ["quite", "other", "words"]
