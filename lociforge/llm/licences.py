@@ -10,6 +10,7 @@ licence count wherever they stand and are covered in full.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import cache
 from typing import NamedTuple
@@ -216,13 +217,24 @@ class Scanner:
         return Chain(self.labels[k], begin[best], own[best].at + own[best].size, min(1.0, score[best] / len(self.templates[k])))
 
 
+#: Bytes of ASCII letters lowered, digits kept, other ASCII made spaces; the rest stays.
+WORD_BYTES = bytes(
+    i + 32 if 65 <= i <= 90 else i if i >= 128 or 48 <= i <= 57 or 97 <= i <= 122 else 32 for i in range(256)
+)
+#: Label and text of each template.
+Table = tuple[tuple[str, str], ...]
+
+
 @cache
-def scanner() -> Scanner:
+def scanner(table: Table = tuple(TEMPLATES.items())) -> Scanner:
     vocabulary: dict[str, int] = {}
     for phrase in PHRASES:
         for word in phrase.split():
             vocabulary.setdefault(word, len(vocabulary))
-    templates = [[vocabulary.setdefault(w, len(vocabulary)) for w in text.split()] for text in TEMPLATES.values()]
+    texts = [text.encode().translate(WORD_BYTES).decode().split() for _, text in table]
+    if any(len(text) < MIN_MATCH for text in texts):
+        raise ValueError(f"a template has at least {MIN_MATCH} words")
+    templates = [[vocabulary.setdefault(w, len(vocabulary)) for w in text] for text in texts]
     automaton = Automaton()
     for template in templates:
         automaton.add(template)
@@ -230,13 +242,7 @@ def scanner() -> Scanner:
     neighbours = np.zeros((len(vocabulary) + 1, len(vocabulary) + 1), bool)
     for template in templates:
         neighbours[template[:-1], template[1:]] = True
-    return Scanner(vocabulary, list(TEMPLATES), templates, automaton, neighbours)
-
-
-#: Bytes of ASCII letters lowered, digits kept, other ASCII made spaces; the rest stays.
-WORD_BYTES = bytes(
-    i + 32 if 65 <= i <= 90 else i if i >= 128 or 48 <= i <= 57 or 97 <= i <= 122 else 32 for i in range(256)
-)
+    return Scanner(vocabulary, [label for label, _ in table], templates, automaton, neighbours)
 
 
 def licence_words(texts: pa.Array) -> pa.Array:
@@ -259,9 +265,9 @@ def runs(known: np.ndarray, doc: np.ndarray, tool: Scanner) -> tuple[np.ndarray,
     return begin[long], end[long]
 
 
-def scan_batch(texts: pa.Array) -> list[tuple]:
+def scan_batch(texts: pa.Array, table: Table = tuple(TEMPLATES.items())) -> list[tuple]:
     """``n_words, n_base, first_word, last_word, base_labels, labels, score, spans`` of each text."""
-    tool = scanner()
+    tool = scanner(table)
     found = words(licence_words(texts))
     place = pc.index_in(found.vocabulary, value_set=pa.array(list(tool.vocabulary)))
     codes = np.asarray(pc.fill_null(place, -1), dtype=np.int64)
@@ -305,16 +311,20 @@ FIELDS = {
 }
 
 
-def scan(text: Column) -> Column:
+def scan(text: Column, templates: Iterable[tuple[str, str]] = tuple(TEMPLATES.items())) -> Column:
     """A struct of ``FIELDS``: the places of the phrases, the labels, the best coverage and the covered spans.
 
     Word numbers count from 0, span ends are exclusive. Null is the empty text: no words, no labels, score 0.
+    ``templates`` are labels and texts to look for, whole licences too; several may have one label. Each text has
+    at least ``MIN_MATCH`` words. A label's comma or colon would stand in the results as it is.
     """
+    table = tuple((label, words) for label, words in templates)
+    scanner(table)  # a wrong table fails here
 
     @F.arrow_udf(", ".join(f"{k} {v}" for k, v in FIELDS.items()))
     def values(texts: pa.Array) -> pa.Array:
         texts = plain(texts)
-        rows = [row for a, b in slices(texts) for row in scan_batch(texts.slice(a, b - a))]
+        rows = [row for a, b in slices(texts) for row in scan_batch(texts.slice(a, b - a), table)]
         types = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
         columns = list(zip(*rows)) or [()] * len(FIELDS)
         return pa.StructArray.from_arrays([pa.array(c, types[t]) for c, t in zip(columns, FIELDS.values())], list(FIELDS))

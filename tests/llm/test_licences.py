@@ -1,6 +1,7 @@
 import re
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from lociforge.llm import licences
@@ -91,6 +92,18 @@ def test_parts_of_notices_give_no_label():
     assert row[1][5] == ""
 
 
+def test_own_templates(llm):
+    body = "Everyone is permitted, to copy & distribute verbatim copies of this (license) document; changing it isn't allowed."
+    table = [("agpl", body), ("agpl", "a second text of the one label"), *licences.TEMPLATES.items()]
+    text = f"x {body.upper()} y {licences.TEMPLATES['isc']} a second text of the one label"
+    docs = llm.createDataFrame([(text,)], "text string")
+    row = docs.select(licences.scan(F.col("text"), table).alias("f"), licences.scan(F.col("text")).alias("base")).first()
+    assert row.f.labels == "agpl,isc" and row.f.spans.count("agpl:") == 2 and row.f.spans.startswith("agpl:1:")
+    assert row.base.labels == "isc"
+    with pytest.raises(ValueError):
+        licences.scan(F.col("text"), [("short", "two words")])
+
+
 def test_scan(llm):
     rows = [(1, "MIT License"), (2, None), (3, ""), (1, "MIT License"), (None, "cc by " * 20000)]
     docs = llm.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, score double")
