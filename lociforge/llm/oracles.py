@@ -1,8 +1,8 @@
 """DuckDB SQL for the queries of this package that SQL can express.
 
 Mixing orders by a hash, personal data and licences add what their methods find, packing needs a
-tokenizer, and the two fingerprint queries hash shingles and byte windows: those are tested against
-brute-force versions.
+tokenizer, the two fingerprint queries hash shingles and byte windows, and language model and
+conversations need a CRC: those are tested against brute-force versions.
 """
 
 from __future__ import annotations
@@ -124,4 +124,42 @@ ORACLES: dict[str, str] = {
             sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)
     """,
+    "op12_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ),
+        w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+        totals AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM w GROUP BY lang),
+        starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+        grams AS (SELECT lang, w[i:i + k - 1] AS g FROM starts, range(1, 6) AS sizes(k) WHERE i + k - 1 <= len(w)),
+        f AS (SELECT lang, g, CAST(count(*) AS HUGEINT) AS c FROM grams GROUP BY lang, g HAVING count(*) >= 100),
+        phrases AS (SELECT * FROM f WHERE len(g) > 1),
+        inside AS (
+            SELECT DISTINCT lang, g[i:i + k - 1] AS g, c
+            FROM (SELECT lang, g, c, unnest(range(1, len(g))) AS i FROM phrases WHERE len(g) > 2), range(2, 5) AS sizes(k)
+            WHERE k < len(g) AND i + k - 1 <= len(g)
+        ),
+        kept AS (
+            SELECT * FROM phrases AS p
+            WHERE NOT EXISTS (SELECT 1 FROM inside AS o WHERE o.lang = p.lang AND o.g = p.g AND 100 * o.c >= 100 * p.c)
+        ),
+        cuts AS (SELECT lang, g, c, unnest(range(1, len(g))) AS k FROM kept),
+        scored AS (
+            SELECT cuts.lang, cuts.g, cuts.c AS a, k, x.c AS l, y.c AS r, n, (1000 * cuts.c * n) // (x.c * y.c) AS score
+            FROM cuts JOIN totals ON totals.lang = cuts.lang
+            JOIN f AS x ON x.lang = cuts.lang AND x.g = cuts.g[1:k]
+            JOIN f AS y ON y.lang = cuts.lang AND y.g = cuts.g[k + 1:len(cuts.g)]
+        ),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+        ranked AS (
+            SELECT *, array_to_string(g, ' ') AS phrase,
+                row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank
+            FROM lowest
+        )
+        SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+            CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM ranked WHERE rank <= 2000
+    """,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociforge.llm import digest, licences, mixing, packing, pii, quality, recompression, simhash, urlfilter, warc
+from lociforge.llm import collocations, digest, licences, mixing, packing, pii, quality, recompression, simhash, urlfilter, warc
 from lociforge.llm.oracles import ORACLES  # noqa: F401
 from lociforge.llm.store import ship
 
@@ -110,10 +110,15 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.col("_found")[n].alias(n) for n in licences.FIELDS])
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language by the score of their lowest cut."""
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mixing, op2_pii, op3_packing, op4_warc, op5_quality_rules, op6_simhash, op7_fingerprints, op8_url_filters,
-        op9_substring_dedup, op10_licences,
+        op9_substring_dedup, op10_licences, op12_collocations,
     )
 }

@@ -7,7 +7,8 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,11 +34,41 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/lociforge-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting that deletes the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: computed once, safe from lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written as Parquet to the shared folder and read again: computed once, safe from lost executors.
+
+    The shuffle files that the writing took are given back at its end.
+    """
+    spark = df.sparkSession
+    path, before = new_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of a table by name, whatever characters the names have."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column is called so (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def tasks_for(spark: SparkSession, size: int | None, share: int = 64 << 20) -> int:
+    """Tasks for work of a known size, for a repartition by number: adaptive execution leaves those alone."""
+    return max(spark.sparkContext.defaultParallelism, -(-(size or 0) // share))
 
 
 _shipped: set[str] = set()

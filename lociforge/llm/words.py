@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 2 << 20
 
@@ -85,49 +86,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-#: Odd multipliers of the range hashes; two of them give independent hashes of one range.
+#: Odd multipliers of the range hashes and seeds of the word hashes; two of them give independent hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``base**k`` and its inverse modulo 2**64 for k up to n, kept for the next batch."""
-    if base not in _powers or len(_powers[base][0]) <= n:
-        size = max(n + 1, 1 << 20)
-        both = []
-        for factor in (base, pow(base, -1, 1 << 64)):
-            row = np.full(size, np.uint64(factor), np.uint64)
-            row[0] = 1
-            both.append(np.cumprod(row, out=row))
-        _powers[base] = tuple(both)
-    up, down = _powers[base]
-    return up[: n + 1], down[: n + 1]
 
 
 class RangeHash:
-    """64-bit hashes of any range of a sequence of 64-bit values, from running sums.
+    """64-bit hashes of any range of a sequence of 64-bit values.
 
-    The sum of ``value[k] * base**k`` over a range, divided by ``base**start``, modulo 2**64: the
-    base is odd, so the division is a multiplication with its inverse.
+    Stretches of 2, 4, 8, ... values are named by mixing the names of their halves; a range is named by
+    the longest such stretches at its two ends, which cover it, and its length. Mixing isn't linear, so no
+    regular sequence cancels out.
     """
 
     def __init__(self, values: np.ndarray, base: int = BASES[0]):
-        up, self.inverse = powers(base, len(values))
-        self.total = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * up[: len(values)], out=self.total[1:])
-
-    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.total[end] - self.total[begin]) * self.inverse[begin] + (end - begin).astype(np.uint64))
+        self.base = np.uint64(base)
+        self.levels = [mix(values ^ self.base)]
 
+    def join(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return mix(one * self.base + mix(two + self.base))
 
-BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASES[1]))
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        size = end - begin
+        if not len(size):
+            return np.zeros(0, np.uint64)
+        level = np.frexp(np.maximum(size, 1).astype(np.float64))[1] - 1
+        out = np.zeros(len(size), np.uint64)
+        for k in np.unique(level).tolist():
+            while len(self.levels) <= k:
+                half, last = 1 << (len(self.levels) - 1), self.levels[-1]
+                self.levels.append(self.join(last[: max(0, len(last) - half)], last[half:]))
+            row = np.flatnonzero((level == k) & (size > 0))
+            out[row] = self.join(self.levels[k][begin[row]], self.levels[k][end[row] - (1 << k)])
+        return mix(out + size.astype(np.uint64))
+
+
+def string_hashes(strings: pa.Array, *bases: int) -> list[np.ndarray]:
+    """XXH64 of the UTF-8 bytes of each string, for each seed."""
+    known, digest = strings.cast(pa.binary()).to_pylist(), xxhash.xxh64_intdigest
+    return [np.fromiter((digest(word, base) for word in known), np.uint64, len(known)) for base in bases]
 
 
 def names(flat: pa.Array, base: int = BASES[0]) -> np.ndarray:
     """A 64-bit hash of each string, the same in every batch."""
-    offsets = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1].astype(np.int64)
-    if not len(flat) or offsets[0] == offsets[-1]:
-        return np.zeros(len(flat), np.uint64)
-    data = np.frombuffer(flat.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
-    return RangeHash(BYTE_VALUES[data], base).of(offsets[:-1], offsets[1:])
+    coded = flat.dictionary_encode()
+    return string_hashes(coded.dictionary, base)[0][np.asarray(coded.indices, dtype=np.int64)]
