@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociforge.llm import collocations, digest, licences, mixing, packing, pii, quality, recompression, simhash, urlfilter, warc
+from lociforge.llm import collocations, conversations, digest, licences, mixing, packing, pii, quality, recompression, simhash, urlfilter, warc
 from lociforge.llm.oracles import ORACLES  # noqa: F401
 from lociforge.llm.store import ship
 
@@ -115,10 +115,15 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(_table(spark, sf_dir, "documents"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all conversations."""
+    return conversations.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mixing, op2_pii, op3_packing, op4_warc, op5_quality_rules, op6_simhash, op7_fingerprints, op8_url_filters,
-        op9_substring_dedup, op10_licences, op12_collocations,
+        op9_substring_dedup, op10_licences, op12_collocations, op13_conversations,
     )
 }
