@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociforge.llm import collocations, conversations, digest, licences, mixing, packing, pii, quality, recompression, simhash, urlfilter, warc
+from lociforge.llm import collocations, conversations, digest, licences, mixing, packing, pii, pitman_yor, quality, recompression, simhash, urlfilter, warc
 from lociforge.llm.oracles import ORACLES  # noqa: F401
 from lociforge.llm.store import ship
 
@@ -110,6 +110,12 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.col("_found")[n].alias(n) for n in licences.FIELDS])
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log probability of every text, under single words and under the model; every fifth document is held out."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return pitman_yor.score(_table(spark, sf_dir, "documents"), ~held_out)
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2000 phrases of each language by the score of their lowest cut."""
     return collocations.mine(_table(spark, sf_dir, "documents"))
@@ -124,6 +130,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mixing, op2_pii, op3_packing, op4_warc, op5_quality_rules, op6_simhash, op7_fingerprints, op8_url_filters,
-        op9_substring_dedup, op10_licences, op12_collocations, op13_conversations,
+        op9_substring_dedup, op10_licences, op11_language_model, op12_collocations, op13_conversations,
     )
 }
