@@ -6,9 +6,9 @@ shared prefixes of neighbours as nodes down to depth five, and the number of lea
 of its phrase. A prefix is one word, and a longer one while its words are hot (oftener than a share of the
 memory budget), so no group gets a hot word whole. The number of groups follows the number of words.
 
-Suffixes end before a word that is too rare for any phrase. Tasks know rare and hot words by bitmaps of fixed
-size over word hashes: a wrong bit only keeps a suffix longer, it changes no count. Nodes above the end of a
-prefix lie in several groups; their counts are summed up at last.
+Suffixes end where a phrase must: before a word, or within a pair of words, that is too rare. Tasks know rare words,
+rare pairs and hot words by bitmaps of fixed size over hashes: a wrong bit only keeps a suffix longer, it
+changes no count. Nodes above the end of a prefix lie in several groups; their counts are summed up at last.
 """
 
 from __future__ import annotations
@@ -30,13 +30,15 @@ LONGEST = 5
 LEAST = 100
 KEEP = 2000
 #: Words of the corpus to a group; a word with more than a quarter of it is hot.
-BUDGET = 1 << 21
+BUDGET = 1 << 20
 #: Words a task gathers before it deals out their suffixes.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Bits of the word bitmaps.
 BITS = 26
 BITMAP_BITS = 1 << 15  # of Spark's bitmap aggregates
-TEXT_BYTES = 4 << 20
+#: Ranges of the bitmap of pairs that tasks count by themselves.
+RANGES = 64
+TEXT_BYTES = 2 << 20
 SEPARATORS = r"[.,;:!?\x0A-\x0D]+"
 STOP = "."  # stands for all separators; no word is equal to it
 
@@ -110,34 +112,91 @@ def among(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def chunks(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words and separators of the texts in order, about CHUNK at a time, as ids, and whether each is a frequent word."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        texts, langs = plain(batch.column("text")), plain(batch.column("lang"))
+        for a, b in slices(texts, TEXT_BYTES):
+            words, named, word, lang = tokens(texts.slice(a, b - a), langs.slice(a, b - a))
+            ids = word_ids(words, named, word, lang)
+            held.append((ids, (word != stop_code(words)) & among(frequent, ids)))
+            size += len(ids)
+            if size >= CHUNK:
+                yield tuple(np.concatenate(c) for c in zip(*held))
+                held, size = [], 0
+                pa.default_memory_pool().release_unused()
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held))
+
+
+def pair_ids(ids: np.ndarray) -> np.ndarray:
+    """Names of each word with the one after it."""
+    return mix(ids[:-1] * np.uint64(3) + mix(ids[1:]))
+
+
+def pair_bitmap(rows: DataFrame, frequent, least: int) -> np.ndarray:
+    """2**BITS bits, of which those of neighbours are set that may stand together ``least`` times: their slots do.
+
+    A task counts the slots of a chunk, and one group a range of slots; 8 MB come to the driver, whatever the texts.
+    """
+    width = (1 << BITS) // RANGES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, good in chunks(batches, frequent.value):
+            pairs = pair_ids(ids)[good[:-1] & good[1:]] >> np.uint64(64 - BITS)
+            slots, n = np.unique(pairs, return_counts=True)
+            bounds = np.searchsorted(slots, np.arange(RANGES + 1) * width)
+            for r in np.flatnonzero(np.diff(bounds)).tolist():
+                mine = slice(bounds[r], bounds[r + 1])
+                data = pack(rising((slots[mine] - np.uint64(r * width)).astype(np.uint32)), n[mine].astype(np.uint32))
+                yield pa.record_batch([pa.array([r], pa.int64()), pa.array([data], pa.binary())], ["grp", "data"])
+
+    def add(group: pa.Table) -> pa.Table:
+        sums = np.zeros(width, np.int64)
+        for data in group.column("data").to_pylist():
+            slots, n = unpack(data)
+            sums[np.cumsum(slots, dtype=np.uint32)] += n
+        bits = np.packbits(sums >= least, bitorder="little").tobytes()
+        return pa.table({"grp": group.column("grp")[:1], "bits": pa.array([bits], pa.binary())})
+
+    out = np.zeros(1 << (BITS - 3), np.uint8)
+    for row in rows.mapInArrow(count, "grp long, data binary").groupBy("grp").applyInArrow(add, "grp long, bits binary").collect():
+        out[row["grp"] * width // 8 : (row["grp"] + 1) * width // 8] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
 # --- suffixes -------------------------------------------------------------------------------------
 
-def suffixes(ids: np.ndarray, good: np.ndarray, hot: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
+def suffixes(ids: np.ndarray, links: np.ndarray, hot: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
     """Distinct suffixes of two words or more with their counts, packed by group.
 
-    ``good`` marks words a suffix may hold, ``hot`` those that prolong a prefix. A value has the word ids, a row of
+    ``links`` marks words a suffix may go on from, to the next one; ``hot`` those that prolong a prefix. A value has the word ids, a row of
     codes for each suffix, its count and its number of hot words at the front.
     """
     n = len(ids)
-    stop = np.minimum.accumulate(np.where(good, n, np.arange(n))[::-1])[::-1]
-    length = np.minimum(stop - np.arange(n), LONGEST)
-    at = np.flatnonzero(length >= 2)
+    stop = np.minimum.accumulate(np.where(links, n, np.arange(n))[::-1])[::-1]
+    at = np.flatnonzero(links)
+    length = np.minimum(stop[at] - at + 1, LONGEST)
     if not len(at):
         return
     place = np.minimum(at[:, None] + np.arange(LONGEST), n - 1)
-    held = np.arange(LONGEST) < length[at, None]
+    held = np.arange(LONGEST) < length[:, None]
     rows = np.where(held, ids[place], np.uint64(0))
     chain = np.empty_like(rows)  # names of the prefixes of each suffix
     name = np.zeros(len(at), np.uint64)
     for k in range(LONGEST):
         name = mix(name * np.uint64(3) + rows[:, k])
         chain[:, k] = name
-    _, first, count = np.unique(name, return_index=True, return_counts=True)
+    order = np.argsort(name)
+    cut = np.flatnonzero(np.append(True, name[order[1:]] != name[order[:-1]]))
+    first, count = order[cut], np.diff(np.append(cut, len(order)))
     rows, chain = rows[first], chain[first]
-    lead = np.logical_and.accumulate((hot[place] & held)[first], axis=1).sum(axis=1)
+    lead = np.logical_and.accumulate(hot[place[first]] & held[first], axis=1).sum(axis=1)
     prefix = chain[np.arange(len(first)), np.minimum(lead, LONGEST - 1)]
     group = (mix(prefix) % np.uint64(groups)).astype(np.int64)
-    order = np.argsort(group, kind="stable")
+    order = np.argsort(group)
     bounds = np.searchsorted(group[order], np.arange(groups + 1))
     for g in np.flatnonzero(np.diff(bounds)).tolist():
         mine = order[bounds[g] : bounds[g + 1]]
@@ -183,26 +242,15 @@ def phrase_counts(rows: DataFrame, words: DataFrame, total: int, least: int) ->
     frequent = context.broadcast(bitmap(words.select("id")))
     very = context.broadcast(bitmap(words.filter(F.col("n") > BUDGET // 4).select("id")))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+    pairs = context.broadcast(pair_bitmap(rows, frequent, least))
 
-        def made() -> Iterator[pa.RecordBatch]:
-            ids, good = (np.concatenate(c) for c in zip(*held))
-            held.clear()
-            for g, data in suffixes(ids, good, among(very.value, ids), groups):
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, good in chunks(batches, frequent.value):
+            links = np.zeros(len(ids), bool)
+            links[:-1] = good[:-1] & good[1:] & among(pairs.value, pair_ids(ids))
+            for g, data in suffixes(ids, links, among(very.value, ids), groups):
                 yield pa.record_batch([pa.array([g], pa.int64()), pa.array([data], pa.binary())], ["grp", "data"])
 
-        for batch in batches:
-            texts, langs = plain(batch.column("text")), plain(batch.column("lang"))
-            for a, b in slices(texts, TEXT_BYTES):
-                words, named, word, lang = tokens(texts.slice(a, b - a), langs.slice(a, b - a))
-                ids = word_ids(words, named, word, lang)
-                held.append((ids, (word != stop_code(words)) & among(frequent.value, ids)))
-                if sum(len(h[0]) for h in held) >= CHUNK:
-                    yield from made()
-        if held:
-            yield from made()
-
     def build(group: pa.Table) -> pa.Table:
         rows, sums = tree_nodes(group.column("data").to_pylist(), least)
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(r.view(np.int64).ravel()), r.shape[1]).cast(pa.list_(pa.int64())) for r in rows]

@@ -84,7 +84,8 @@ def test_scores_are_exact(llm):
 
 def test_tree_nodes_are_runs_of_sorted_suffixes():
     ids = np.array([5, 7, 7, 5, 9, 5, 7, 7, 5], np.uint64)
-    blobs = [data for _, data in collocations.suffixes(ids, ids != 9, np.zeros(9, bool), 1)]
+    links = np.append((ids[:-1] != 9) & (ids[1:] != 9), False)
+    blobs = [data for _, data in collocations.suffixes(ids, links, np.zeros(9, bool), 1)]
     rows, sums = collocations.tree_nodes(blobs, least=1)
     got = {tuple(r): n for part, count in zip(rows, sums) for r, n in zip(part.tolist(), count.tolist())}
     assert got == {(5, 7): 2, (7, 7): 2, (7, 5): 2, (5, 7, 7): 2, (7, 7, 5): 2, (5, 7, 7, 5): 2}
