@@ -19,7 +19,7 @@ def pack(*arrays: np.ndarray) -> bytes:
         head.append(_ITEM.pack(a.dtype.char.encode(), len(a)))
         planes.append(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
     raw = b"".join(head + planes)
-    return _HEAD.pack(len(raw)) + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+    return _HEAD.pack(len(raw)) + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:

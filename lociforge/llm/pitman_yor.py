@@ -29,13 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociforge.llm.blobs import pack, rising, unpack
-from lociforge.llm.store import materialise
-from lociforge.llm.words import BASES, mix, names, plain, slices, split
+from lociforge.llm.store import drop, materialise
+from lociforge.llm.words import BASES, give_back, mix, names, plain, slices, split
 
 #: Bytes of text to a bucket.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 24 << 20
 #: Tokens a task gathers before it deals out their pairs.
-CHUNK = 1 << 21
+CHUNK = 1 << 22
 TEXT_BYTES = 2 << 20
 SWEEPS, SAMPLES = 3, 2
 #: Concentrations of the contexts and of their parent; discounts follow from the counts.
@@ -112,11 +112,6 @@ class Model:
         """The weight of a new table in the parent restaurant: its base is uniform, with one place for unknown words."""
         return (PARENT_STRENGTH + self.parent_discount * self.tables) / (self.vocabulary + 1)
 
-    def after(self, live: DataFrame, single: int) -> Model:
-        """The model with the parent's customers and tables as they are now; words of one token have one of each."""
-        row = live.agg(F.sum("customers").alias("c"), F.sum("seats").alias("t")).first()
-        return replace(self, customers=(row["c"] or 0) + single, tables=(row["t"] or 0) + single)
-
 
 # --- pairs ----------------------------------------------------------------------------------------
 
@@ -128,44 +123,68 @@ def bucket_of(pair: np.ndarray, buckets: int) -> np.ndarray:
     return ((pair >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def text_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token names of all texts, an end after each; the token before each; the start of each text."""
+def text_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Token names of all texts, an end after each, and the number of tokens of each text."""
     flat, starts = split(pc.ascii_lower(texts))
-    word = np.insert(names(flat), starts[1:], END)
-    starts = starts + np.arange(len(starts))
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    before[starts[:-1]] = END
-    return word, before, starts
+    return np.insert(names(flat), starts[1:], END), np.diff(starts) + 1
+
+
+def coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place of each value among them."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])
+    code = np.empty(len(values), np.int64)
+    code[order] = np.cumsum(new) - 1
+    return ordered[new], code
+
+
+def taken_codes(size: int, *codes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which of ``size`` codes stand in the arrays, and the arrays as places among those."""
+    mask = np.zeros(size, bool)
+    for c in codes:
+        mask[c] = True
+    place = np.cumsum(mask, dtype=np.uint32) - np.uint32(1)
+    return np.flatnonzero(mask), [place[c] for c in codes]
 
 
 def packed_pairs(
-    before: np.ndarray, word: np.ndarray, weight: np.ndarray, owner: np.ndarray, buckets: int, about: tuple[np.ndarray, ...] | None
+    word: np.ndarray, sizes: np.ndarray, learned: np.ndarray, buckets: int, about: tuple[np.ndarray, ...] | None
 ) -> Iterator[tuple[int, bytes]]:
-    """The distinct pairs of some tokens by bucket: word names, the pairs as codes into them, the sum of ``weight`` of each.
+    """The distinct pairs of some texts by bucket: word names, the pairs as codes into them in order, and the tokens of each.
 
-    With ``about`` (arrays with a value for each row) also the number of tokens of each pair and the rows they are
-    from; the first block then has ``about``, the others have it empty.
+    Texts have ``sizes`` tokens. Without ``about`` only tokens of ``learned`` texts count; with it (arrays with a value for each
+    text) all do, the texts they are from follow, and the first block has ``about``, the others have it empty.
     """
-    pair = pair_names(before, word)
-    order = np.argsort(pair, kind="stable")
-    pair = pair[order]
-    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-    n = np.diff(np.append(first, len(pair)))
-    sums = np.add.reduceat(weight[order], first).astype(np.uint32)
-    home = bucket_of(pair[first], buckets)
-    bounds = np.searchsorted(home, np.arange(buckets + 1))
+    ids, code = coded(word)
+    before = np.empty_like(code)
+    before[1:] = code[:-1]
+    starts = np.cumsum(sizes) - sizes
+    before[starts] = np.searchsorted(ids, END)
+    before <<= 32
+    before |= code
+    order = np.argsort(before)
+    key = before[order]
+    del before, code
+    owner = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)[order]
+    del order
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    n = np.diff(np.append(first, len(key))).astype(np.uint32)
+    if about is None:
+        n = np.add.reduceat(learned[owner].astype(np.uint32), first)
+    x, y = key[first] >> 32, key[first] & 0xFFFFFFFF
+    del key
+    home = bucket_of(pair_names(ids[x], ids[y]), buckets)
+    by = np.argsort(home, kind="stable")  # pairs stay in order within a bucket
+    bounds = np.searchsorted(home[by], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(bounds)).tolist():
-        mine = slice(bounds[b], bounds[b + 1])
-        lead = order[first[mine]]
-        known, code = np.unique(np.concatenate([before[lead], word[lead]]), return_inverse=True)
-        x, y = code[: len(lead)].astype(np.uint32), code[len(lead) :].astype(np.uint32)
-        by = np.lexsort([y, x])
-        parts = [rising(known), rising(x[by]), y[by], sums[mine][by]]
+        mine = by[bounds[b] : bounds[b + 1]]
+        use, (mx, my) = taken_codes(len(ids), x[mine], y[mine])
+        parts = [rising(ids[use]), rising(mx), my, n[mine]]
         if about is not None:
-            count, begin = n[mine][by], first[mine][by]
-            place = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            parts += [count.astype(np.uint32), owner[order[place]].astype(np.uint32), *about]
+            count = n[mine].astype(np.int64)
+            place = np.repeat(first[mine] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            parts += [owner[place], *about]
             about = tuple(a[:0] for a in about)
         yield b, pack(*parts)
 
@@ -183,32 +202,31 @@ def dealt(rows: DataFrame, buckets: int, scoring: bool) -> DataFrame:
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, base = 0, TaskContext.get().partitionId() << 33
+        base, seen, size = TaskContext.get().partitionId() << 33, 0, 0
         held: list[tuple[np.ndarray, ...]] = []
-        size = 0
 
         def made() -> Iterator[pa.RecordBatch]:
-            before, word, weight, owner, doc, flags = (np.concatenate(c) for c in zip(*held))
+            nonlocal seen
+            word, sizes, learned, doc, flags = (np.concatenate(c) for c in zip(*held))
             held.clear()
-            start = int(owner[0])
-            for b, data in packed_pairs(before, word, weight, owner - start, buckets, (doc, flags) if scoring else None):
+            for b, data in packed_pairs(word, sizes, learned, buckets, (doc, flags) if scoring else None):
                 yield pa.record_batch(
-                    [pa.array([b], pa.int64()), pa.array([base + start], pa.int64()), pa.array([data], pa.binary())], ["bucket", "base", "data"]
+                    [pa.array([b], pa.int64()), pa.array([base + seen], pa.int64()), pa.array([data], pa.binary())], ["bucket", "base", "data"]
                 )
+            seen += len(sizes)
+            give_back()
 
         for batch in batches:
             texts, learned = plain(batch.column("text")), np.asarray(batch.column("learned").cast(pa.int8()))
             doc = np.asarray(pc.fill_null(batch.column("doc_id"), 0))
             flags = (np.asarray(batch.column("doc_id").is_valid()) | learned.astype(np.uint8) << 1).astype(np.uint8)
             for a, b in slices(texts, TEXT_BYTES):
-                word, before, starts = text_tokens(texts.slice(a, b - a))
-                owner = np.repeat(np.arange(a, b), np.diff(starts))
-                held.append((before, word, learned[owner], owner + seen, doc[a:b], flags[a:b]))
-                size += len(word)
-                if size >= CHUNK:
+                word, sizes = text_tokens(texts.slice(a, b - a))
+                if held and size + len(word) > CHUNK:
                     yield from made()
                     size = 0
-            seen += batch.num_rows
+                held.append((word, sizes, learned[a:b], doc[a:b], flags[a:b]))
+                size += len(word)
         if held:
             yield from made()
 
@@ -219,168 +237,256 @@ def merged(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     """Word names of a bucket and its distinct pairs: two codes and the count in training, zero too."""
     parts = [unpacked(b) for b in blobs]
     known = np.unique(np.concatenate([p[0] for p in parts]))
-    key = np.concatenate([(np.searchsorted(known, p[0])[p[1]].astype(np.uint64) << np.uint64(32)) | np.searchsorted(known, p[0])[p[2]].astype(np.uint64) for p in parts])
-    n = np.concatenate([p[3] for p in parts]).astype(np.int64)
-    order = np.argsort(key, kind="stable")
+    keys, n = [], np.concatenate([p[3] for p in parts])
+    for ids, x, y, *_ in parts:
+        place = np.searchsorted(known, ids)
+        keys.append(place[x] << 32 | place[y])
+    key = np.concatenate(keys)
+    del parts, keys
+    order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     key = key[first]
-    return known, (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64), np.add.reduceat(n[order], first)
+    return known, key >> 32, key & 0xFFFFFFFF, np.add.reduceat(n[order], first, dtype=np.int64)
 
 
 # --- training -------------------------------------------------------------------------------------
+#
+# Buckets of pairs and parts of the words (by ranges of their names) send each other packed columns of numbers. What
+# a bucket asks a part for stays the same in all sweeps, so answers come in the order of the asking, without names.
+
+MESSAGE = "bucket long, part long, kind string, data binary, sums array<long>"
+MESSAGE_TYPES = {"bucket": pa.int64(), "part": pa.int64(), "kind": pa.string(), "data": pa.binary(), "sums": pa.list_(pa.int64())}
+
+
+def messages(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows)) if rows else [[]] * len(MESSAGE_TYPES)
+    return pa.table({k: pa.array(c, t) for (k, t), c in zip(MESSAGE_TYPES.items(), columns)})
 
-STATE = (
-    "bucket long, part string, data binary, id long, c long, followers long, contexts long, again_f long, again_c long, ones long, twos long"
-)
-STATE_TYPES = {f.split()[0]: {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.split()[1]] for f in STATE.split(", ")}
 
+def by_kind(group: pa.Table, order: str) -> dict[str, list[tuple[int, bytes]]]:
+    """The data of each kind, with the number of their ``order`` (bucket or part), in that order."""
+    out: dict[str, list[tuple[int, bytes]]] = {}
+    for number, kind, data in zip(*(group.column(k).to_pylist() for k in (order, "kind", "data"))):
+        out.setdefault(kind, []).append((number, data))
+    return {kind: sorted(rows, key=lambda r: -1 if r[0] is None else r[0]) for kind, rows in out.items()}
 
-def table_of(types: dict[str, pa.DataType], n: int, **columns) -> pa.Table:
-    """``n`` rows with these columns, the others null."""
-    return pa.table({k: pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in types.items()})
 
+def part_bounds(ids: np.ndarray, parts: int) -> np.ndarray:
+    """Where the words of each part begin among sorted names."""
+    return np.searchsorted(bucket_of(ids, parts), np.arange(parts + 1))
 
-def counted(blocks: DataFrame) -> DataFrame:
-    """The training pairs of each bucket, packed in two parts, and a row for each of its words.
 
-    Part ``again`` has the pairs with two tokens or more, ``once`` the others. A ``word`` row has ``c`` (tokens in training),
-    ``followers`` and ``contexts`` (distinct pairs that it begins and ends), ``again_f`` and ``again_c`` (those of them
-    that are in ``again``), all of this bucket. ``ones`` and ``twos`` count pairs with one token and with two.
+def counted(blocks: DataFrame, parts: int) -> DataFrame:
+    """The training pairs of each bucket, packed, and what it knows of its words.
+
+    ``again`` has the pairs with two tokens or more, ``once`` the others, as places among the bucket's words in order; ``sums``
+    are the numbers of pairs with one token and with two. ``words`` rows go to the parts: names, tokens, distinct pairs that a
+    word begins and ends, and those among them that are in ``again``; all of this bucket.
     """
 
     def count(group: pa.Table) -> pa.Table:
         known, x, y, n = merged(group.column("data").to_pylist())
         bucket, size = group.column("bucket")[0].as_py(), len(known)
-        bins = lambda at, w=None: np.bincount(at, w, size).astype(np.int64)
-        parts = []
-        for part, mine in (("again", n > 1), ("once", n == 1)):
-            if mine.any():
-                data = pack(rising(known), rising(x[mine].astype(np.uint32)), y[mine].astype(np.uint32), n[mine].astype(np.uint32))
-                parts.append(table_of(STATE_TYPES, 1, bucket=[bucket], part=[part], data=[data], ones=[int((n == 1).sum())], twos=[int((n == 2).sum())]))
+        bins = lambda at, w=None: np.bincount(at, w, size).astype(np.uint32)
+        rows, twos = [], [int((n == 1).sum()), int((n == 2).sum())]
+        for kind, mine in (("again", n > 1), ("once", n == 1)):
+            codes = [c[mine].astype(np.uint32) for c in (x, y, n)]
+            rows.append((bucket, None, kind, pack(rising(codes[0]), *codes[1:]), twos))
+            twos = [0, 0]
         seen, again = n > 0, n > 1
-        words = table_of(
-            STATE_TYPES, size, bucket=np.full(size, bucket), part=["word"] * size, id=known.view(np.int64), c=bins(y, n),
-            followers=bins(x[seen]), contexts=bins(y[seen]), again_f=bins(x[again]), again_c=bins(y[again]),
-        )
-        return pa.concat_tables([*parts, words])
-
-    return blocks.groupBy("bucket").applyInArrow(count, STATE)
+        columns = [bins(y, n), bins(x[seen]), bins(y[seen]), bins(x[again]), bins(y[again])]
+        bounds = part_bounds(known, parts)
+        for part in np.flatnonzero(np.diff(bounds)).tolist():
+            mine = slice(bounds[part], bounds[part + 1])
+            rows.append((bucket, part, "words", pack(rising(known[mine]), *(c[mine] for c in columns)), None))
+        return messages(rows)
 
+    return blocks.groupBy("bucket").applyInArrow(count, MESSAGE)
 
-def parent_seats(words: DataFrame, model: Model, sweep: int) -> DataFrame:
-    """``words`` with new ``seats``: tables of their ``customers`` in the parent restaurant, whose seats go by those before."""
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema.fields)
 
-    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, customers, before = (np.asarray(batch.column(k)) for k in ("id", "customers", "seats"))
-            seed = int(np.bitwise_xor.reduce(mix(ids.view(np.uint64)))) if len(ids) else 0
-            base = np.full(len(ids), 1 / (model.vocabulary + 1))
-            seats = seated(customers, model.tables - before, base, PARENT_STRENGTH, model.parent_discount, (sweep, 1, seed))
-            yield batch.set_column(batch.schema.get_field_index("seats"), "seats", pa.array(seats))
+def introduced(state: DataFrame) -> DataFrame:
+    """The words of each part: ``total`` (names and tokens), ``live`` and, for each bucket, its ``ask``.
 
-    return words.mapInArrow(seat, kind)
+    Words of one token have one customer at one table everywhere, so only the others are live: names, followers and contexts in
+    pairs with one token, then tables, customers and their seats at the parent, which start with one table
+    for each pair and one seat for each word. An ask has the places of a bucket's ``again`` words among the live ones. ``sums`` of
+    total: tokens, words, customers of the parent, words with one context and with two, words of one token.
+    """
 
+    def introduce(group: pa.Table) -> pa.Table:
+        part = group.column("part")[0].as_py()
+        told = [(bucket, unpack(data)) for bucket, data in by_kind(group, "bucket")["words"]]
+        names_of = {bucket: np.cumsum(columns[0], dtype=np.uint64) for bucket, columns in told}
+        ids = np.unique(np.concatenate(list(names_of.values())))
+        sums = np.zeros((5, len(ids)), np.int64)
+        for bucket, columns in told:
+            at = np.searchsorted(ids, names_of[bucket])
+            for k in range(5):
+                sums[k, at] += columns[k + 1]
+        known = sums[0] > 0
+        ids_known, (c, followers, contexts, again_f, again_c) = ids[known], sums[:, known]
+        live = c > 1
+        rows = [(None, part, "total", pack(rising(ids_known), c), [
+            int(c.sum()), len(c), int(contexts.sum()), int((contexts == 1).sum()), int((contexts == 2).sum()), int((c == 1).sum())
+        ])]
+        live_ids = ids_known[live]
+        state = [(followers - again_f)[live], (contexts - again_c)[live], followers[live], contexts[live], np.ones(len(live_ids), np.int64)]
+        rows.append((None, part, "live", pack(rising(live_ids), *state), None))
+        for bucket, columns in told:
+            wanted = names_of[bucket][(columns[4] > 0) | (columns[5] > 0)]
+            if len(wanted):
+                rows.append((bucket, part, "ask", pack(rising(np.searchsorted(live_ids, wanted).astype(np.uint32))), None))
+        return messages(rows)
+
+    return state.filter("kind = 'words'").groupBy("part").applyInArrow(introduce, MESSAGE)
+
+
+def answered(words: DataFrame, live: DataFrame, seats: DataFrame | None, model: Model, sweep: int) -> DataFrame:
+    """The parts' turn: new customers and seats of their live words, and an ``answer`` for each ask.
+
+    ``seats`` is the result of the buckets' turn before, with the ``tables`` of the words asked for; none stands for the start.
+    An answer has tables, customers and seats of the words; ``sums`` of ``live`` are all customers and all seats.
+    """
 
-def probability(customers: Column, seats: Column, model: Model) -> Column:
-    """Predictive probability of a word in the parent restaurant."""
-    return (customers - model.parent_discount * seats + F.lit(model.new_word)) / F.lit(PARENT_STRENGTH + model.customers)
+    def answer(group: pa.Table) -> pa.Table:
+        part = group.column("part")[0].as_py()
+        told = by_kind(group, "bucket")
+        ids, single_f, single_c, tables, customers, taken = unpack(told["live"][0][1])
+        asks = {bucket: np.cumsum(unpack(data)[0], dtype=np.int64) for bucket, data in told.get("ask", [])}
+        if "tables" in told:
+            tables, customers = single_f.copy(), single_c.copy()
+            for bucket, data in told["tables"]:
+                as_context, as_dish = unpack(data)
+                tables[asks[bucket]] += as_context
+                customers[asks[bucket]] += as_dish
+        base = np.full(len(ids), 1 / (model.vocabulary + 1))
+        taken = seated(customers, model.tables - taken, base, PARENT_STRENGTH, model.parent_discount, (sweep, 1, part))
+        rows = [(None, part, "live", pack(ids, single_f, single_c, tables, customers, taken), [int(customers.sum()), int(taken.sum())])]
+        rows += [(bucket, part, "answer", pack(tables[at], customers[at], taken[at]), None) for bucket, at in asks.items()]
+        return messages(rows)
+
+    feed = words.filter("kind = 'ask'").unionByName(live)
+    if seats is not None:
+        feed = feed.unionByName(seats.filter("kind = 'tables'"))
+    return feed.groupBy("part").applyInArrow(answer, MESSAGE)
 
 
-SEATS = "bucket long, data binary, id long, t_f long, t_c long"
-SEATS_TYPES = {"bucket": pa.int64(), "data": pa.binary(), "id": pa.int64(), "t_f": pa.int64(), "t_c": pa.int64()}
+def probability(customers: np.ndarray, seats: np.ndarray, model: Model) -> np.ndarray:
+    """Predictive probability of words in the parent restaurant."""
+    return (customers - model.parent_discount * seats + model.new_word) / (PARENT_STRENGTH + model.customers)
 
 
-def sweep_buckets(pairs: DataFrame, seats: DataFrame | None, values: DataFrame, model: Model, sweep: int) -> DataFrame:
-    """Seats all pairs of part ``again`` anew: per bucket the tables of each, packed, and their sums over its words.
+def seated_pairs(state: DataFrame, answers: DataFrame, seats: DataFrame | None, model: Model, sweep: int) -> DataFrame:
+    """The buckets' turn: ``seats``, the tables of each pair of ``again``, and ``tables``, their sums over the words of each part.
 
-    ``seats`` is the result of the sweep before; without one, each pair has one table.
-    ``values`` has for each word of such a pair in each bucket the ``tables`` of its restaurant and its probability ``p``
-    at the parent. Rows of one bucket are independent of the others, so a lost task only repeats its own.
+    ``seats`` is the result of the turn before; without one each pair has one table.
     """
 
-    def sit(key: tuple, block: pa.Table, rows: pa.Table) -> pa.Table:
-        data = dict(zip(block.column("part").to_pylist(), block.column("data").to_pylist()))
-        known, x, y, n = unpacked(data["again"])
-        before = unpack(data["seats"])[0].astype(np.int64) if "seats" in data else np.ones(len(n), np.int64)
-        ids = np.asarray(rows.column("id").combine_chunks()).view(np.uint64)
-        order = np.argsort(ids)
-        at = order[np.searchsorted(ids[order], known[np.concatenate([x, y])])]
-        taken = np.asarray(rows.column("tables").combine_chunks())[at[: len(x)]]
-        p = np.asarray(rows.column("p").combine_chunks())[at[len(x) :]]
-        bucket = key[0].as_py()
-        tables = seated(n.astype(np.int64), taken - before, p, STRENGTH, model.discount, (sweep, 0, bucket))
-        use = np.unique(np.concatenate([x, y]))
-        t_f, t_c = (np.bincount(np.searchsorted(use, c), tables, len(use)).astype(np.int64) for c in (x, y))
-        return pa.concat_tables([
-            table_of(SEATS_TYPES, 1, bucket=[bucket], data=[pack(tables.astype(np.uint32))]),
-            table_of(SEATS_TYPES, len(use), bucket=np.full(len(use), bucket), id=known[use].view(np.int64), t_f=t_f, t_c=t_c),
-        ])
-
-    blocks = pairs.select("bucket", "part", "data")
+    def sit(group: pa.Table) -> pa.Table:
+        bucket = group.column("bucket")[0].as_py()
+        told = by_kind(group, "part")
+        x, y, n = unpack(told["again"][0][1])
+        if not len(n):
+            return messages([])
+        heard = [unpack(data) for _, data in told["answer"]]
+        tables, customers, taken = (np.concatenate(c) for c in zip(*heard))  # parts in order: words in order
+        x = np.cumsum(x, dtype=np.uint32)
+        use, (x, y) = taken_codes(int(max(x.max(), y.max())) + 1, x, y)
+        before = unpack(told["seats"][0][1])[0].astype(np.int64) if "seats" in told else np.ones(len(n), np.int64)
+        p = probability(customers, taken, model)
+        own = seated(n.astype(np.int64), tables[x] - before, p[y], STRENGTH, model.discount, (sweep, 0, bucket))
+        rows = [(bucket, None, "seats", pack(own.astype(np.uint32)), None)]
+        sums, begin = [np.bincount(c, own, len(use)).astype(np.int64) for c in (x, y)], 0
+        for (part, _), told_of in zip(told["answer"], heard):
+            mine = slice(begin, begin := begin + len(told_of[0]))
+            rows.append((bucket, part, "tables", pack(sums[0][mine], sums[1][mine]), None))
+        return messages(rows)
+
+    feed = state.filter("kind = 'again'").unionByName(answers.filter("kind = 'answer'"))
     if seats is not None:
-        blocks = blocks.unionByName(seats.filter("data is not null").select("bucket", F.lit("seats").alias("part"), "data"))
-    return blocks.groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(sit, SEATS)
+        feed = feed.unionByName(seats.filter("kind = 'seats'"))
+    return feed.groupBy("bucket").applyInArrow(sit, MESSAGE)
 
 
 @dataclass
 class Trained:
-    """The model of each sample, its tables in the buckets and the values of each word; the pairs and words they are about."""
+    """The model of each sample, the seats of its pairs and its live words; the pairs and words they are about."""
 
     models: list[Model]
     seats: list[DataFrame]
-    lived: list[DataFrame]
+    live: list[DataFrame]
     state: DataFrame
     words: DataFrame
 
 
+def totals(rows: DataFrame, n: int) -> list[int]:
+    """The ``sums`` of some rows, added up."""
+    row = rows.agg(*[F.coalesce(F.sum(F.col("sums")[k]), F.lit(0)).alias(f"s{k}") for k in range(n)]).first()
+    return list(row)
+
+
 def train(rows: DataFrame, buckets: int) -> Trained | None:
     """The language model of the rows with ``learned``; none if there are no rows."""
-    state = materialise(counted(dealt(rows, buckets, False)), "pairs")
-    again = F.col("again_f") + F.col("again_c") > 0
-    words = materialise(
-        state.filter("part = 'word'").groupBy("id").agg(
-            *[F.sum(k).alias(k) for k in ("c", "followers", "contexts", "again_f", "again_c")],
-            F.collect_list("bucket").alias("buckets"), F.collect_list(F.when(again, F.col("bucket"))).alias("again"),
-        ).filter("c > 0"),
-        "words",
-    )
-    pairs = state.filter("part in ('again', 'once')")
-    # ones and twos stand in both parts of a bucket
-    once, twice = pairs.groupBy("bucket").agg(F.max("ones").alias("a"), F.max("twos").alias("b")).agg(F.sum("a"), F.sum("b")).first()
-    whole = words.agg(
-        F.sum("c").alias("tokens"), F.count("*").alias("words"), F.sum("contexts").alias("customers"),
-        F.count_if(F.expr("contexts = 1")).alias("ones"), F.count_if(F.expr("contexts = 2")).alias("twos"), F.count_if(F.expr("c = 1")).alias("single"),
-    ).first()
-    if not whole["words"]:
+    state = materialise(counted(dealt(rows, buckets, False), buckets), "pairs")
+    words = materialise(introduced(state), "words")
+    once, twice = totals(state.filter("kind in ('again', 'once')"), 2)
+    tokens, size, customers, ones, twos, single = totals(words.filter("kind = 'total'"), 6)
+    if not size:
         return None
-    size = whole["words"]
-    model = Model(whole["tokens"], size, discount_of(once or 0, twice or 0), discount_of(whole["ones"], whole["twos"]), whole["customers"], size)
-    # words of one token have one customer at one table everywhere, so only the others change
-    live = materialise(parent_seats(
-        words.filter("c > 1").select(
-            "id", (F.col("followers") - F.col("again_f")).alias("single_f"), (F.col("contexts") - F.col("again_c")).alias("single_c"),
-            F.col("followers").alias("tables"), F.col("contexts").alias("customers"), F.lit(1).cast("long").alias("seats"), "again",
-        ), model, 0), "live")
-    out, seats = Trained([], [], [], state, words), None
-    for sweep in range(1, SWEEPS + 1):
-        model = model.after(live, whole["single"])
-        values = live.select(F.explode("again").alias("bucket"), "id", "tables", probability(F.col("customers"), F.col("seats"), model).alias("p"))
-        seats = materialise(sweep_buckets(state.filter("part = 'again'"), seats, values, model, sweep), "seats")
-        sums = seats.filter("data is null").groupBy("id").agg(F.sum("t_f").alias("t_f"), F.sum("t_c").alias("t_c"))
-        moved = live.join(sums, "id", "left").select(
-            "id", "single_f", "single_c", (F.col("single_f") + F.coalesce("t_f", F.lit(0))).alias("tables"),
-            (F.col("single_c") + F.coalesce("t_c", F.lit(0))).alias("customers"), "seats", "again",
-        )
-        live = materialise(parent_seats(moved, model, sweep), "live")
+    model = Model(tokens, size, discount_of(once, twice), discount_of(ones, twos), customers, size)
+    out, live, seats = Trained([], [], [], state, words), words.filter("kind = 'live'"), None
+    before_told = None
+    for sweep in range(SWEEPS + 1):
+        told = materialise(answered(words, live, seats, model, sweep), "answers")
+        live = told.filter("kind = 'live'")
+        now = totals(live, 2)
+        model = replace(model, customers=now[0] + single, tables=now[1] + single)
         if sweep > SWEEPS - SAMPLES:
-            out.models.append(model.after(live, whole["single"]))
-            out.seats.append(seats)
-            out.lived.append(live)
+            out.models.append(model)
+            out.live.append(live)
+            out.seats.append(seats.filter("kind = 'seats'"))
+        old, before = seats, before_told
+        if sweep < SWEEPS:
+            seats = materialise(seated_pairs(state, told, seats, model, sweep + 1), "seats")
+        if sweep <= SWEEPS - SAMPLES:  # neither a sample nor needed by the next sweep
+            drop(old)
+            drop(before)
+        before_told = told
     return out
 
 
+def spoken(trained: Trained) -> DataFrame:
+    """``word`` rows for the buckets: names of their words, tokens, and for each sample tables, customers and seats; zeros
+    for words that training has not seen."""
+    n = len(trained.models)
+
+    def speak(group: pa.Table) -> pa.Table:
+        part = group.column("part")[0].as_py()
+        told = by_kind(group, "bucket")
+        ids, c = unpack(told["total"][0][1])
+        ids = np.cumsum(ids, dtype=np.uint64)
+        live = np.flatnonzero(c > 1)
+        columns = [c]
+        for k in range(n):
+            for values in unpack(told[f"live_{k}"][0][1])[3:]:
+                whole = np.ones(len(ids), np.int64)
+                whole[live] = values
+                columns.append(whole)
+        rows = []
+        for bucket, data in told["words"]:
+            wanted = np.cumsum(unpack(data)[0], dtype=np.uint64)
+            at = np.searchsorted(ids, wanted)
+            at[at < len(ids)] = np.where(ids[at[at < len(ids)]] == wanted[at < len(ids)], at[at < len(ids)], len(ids))
+            rows.append((bucket, part, "word", pack(rising(wanted), *(np.append(v, 0)[at] for v in columns)), None))
+        return messages(rows)
+
+    feed = trained.state.filter("kind = 'words'").unionByName(trained.words.filter("kind = 'total'"))
+    for k, live in enumerate(trained.live):
+        feed = feed.unionByName(live.withColumn("kind", F.lit(f"live_{k}")))
+    return feed.groupBy("part").applyInArrow(speak, MESSAGE)
+
+
 # --- scores ---------------------------------------------------------------------------------------
 
 SCORED = "row long, doc_id long, learned boolean, n_tokens long, n_known long, base_score double, score double"
@@ -388,18 +494,14 @@ SCORED = "row long, doc_id long, learned boolean, n_tokens long, n_known long, b
 
 def score_bucket(model: Model, models: list[Model], group: pa.Table) -> pa.Table:
     """What the tokens of a bucket add to their texts, from the blocks of the bucket and what is known of its pairs and words."""
-    part = np.array(group.column("part").to_pylist())
-    data = group.column("data")
-    of = lambda name: [data[i].as_py() for i in np.flatnonzero(part == name).tolist()]
-    column = lambda name, rows: np.asarray(group.column(name).take(rows).combine_chunks())
-    rows = pa.array(np.flatnonzero(part == "word"))
-    ids = column("id", rows).view(np.uint64)
-    order = np.argsort(ids)
-    ids = ids[order]
-    # the last row stands for words that training has not seen
-    c = np.append(column("c", rows)[order], 0)
-    taken = [np.append(column(f"tables_{k}", rows)[order], 0) for k in range(len(models))]
-    p = [np.append(column(f"p_{k}", rows)[order], m.new_word / (PARENT_STRENGTH + m.customers)) for k, m in enumerate(models)]
+    told = by_kind(group, "part")
+    heard = [unpack(data) for _, data in told.get("word", [])]
+    ids = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(h[0], dtype=np.uint64) for h in heard)])
+    columns = [np.concatenate(c) for c in list(zip(*heard))[1:]] or [np.zeros(0, np.int64)] * (1 + 3 * len(models))
+    # the last row stands for words unheard of
+    columns = [np.append(c, 0) for c in columns]
+    c, taken = columns[0], columns[1::3]
+    p = [probability(columns[2 + 3 * k], columns[3 + 3 * k], m) for k, m in enumerate(models)]
 
     def place(known: np.ndarray) -> np.ndarray:
         at = np.searchsorted(ids, known)
@@ -407,21 +509,21 @@ def score_bucket(model: Model, models: list[Model], group: pa.Table) -> pa.Table
 
     key, count, tables = [], [], [[] for _ in models]
     for name in ("again", "once"):
-        for blob in of(name):
-            known, x, y, n = unpacked(blob)
-            at = place(known)
-            key.append(at[x] << 32 | at[y])
+        for _, data in told.get(name, []):
+            x, y, n = unpack(data)
+            key.append(np.cumsum(x, dtype=np.int64) << 32 | y)
             count.append(n)
             for k, held in enumerate(tables):
-                held.append(unpack(of(f"seats_{k}")[0])[0] if name == "again" else np.ones(len(n), np.uint32))
+                seats = told.get(f"seats_{k}") if name == "again" else None
+                held.append(unpack(seats[0][1])[0] if seats else np.ones(len(n), np.uint32))
     join = lambda some, kind: np.concatenate(some).astype(kind) if some else np.zeros(0, kind)
     key, count, tables = join(key, np.int64), join(count, np.float64), [join(t, np.float64) for t in tables]
     order = np.argsort(key)
     key, count, tables = key[order], np.append(count[order], 0.0), [np.append(t[order], 0.0) for t in tables]
 
     out = []
-    for i in np.flatnonzero(part == "block").tolist():
-        known, x, y, _, many, owner, doc, flags = unpacked(data[i].as_py())
+    for base, data in zip(*(group.filter(pc.equal(group.column("kind"), "block")).column(k).to_pylist() for k in ("base", "data"))):
+        known, x, y, many, owner, doc, flags = unpacked(data)
         at = place(known)
         x, y = at[x], at[y]
         want = x << 32 | y
@@ -443,7 +545,7 @@ def score_bucket(model: Model, models: list[Model], group: pa.Table) -> pa.Table
         ident[: len(doc)], learned[: len(doc)] = doc, flags & 2
         told = mine < len(doc)
         out.append(pa.table({
-            "row": group.column("base")[i].as_py() + mine, "doc_id": pa.array(ident[mine], pa.int64(), mask=~has[mine]),
+            "row": base + mine, "doc_id": pa.array(ident[mine], pa.int64(), mask=~has[mine]),
             "learned": pa.array(learned[mine], pa.bool_(), mask=~told), "n_tokens": sums[0][mine].astype(np.int64),
             "n_known": sums[1][mine].astype(np.int64), "base_score": sums[2][mine].astype(float), "score": sums[3][mine].astype(float),
         }))
@@ -466,24 +568,16 @@ def score(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_col: st
     )
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"]
     buckets = max(1, -(-(total or 0) // bucket_bytes))
-    blocks = dealt(rows, buckets, True).withColumn("part", F.lit("block"))
+    feed = dealt(rows, buckets, True).withColumn("kind", F.lit("block"))
     trained = train(rows, buckets)
-    if trained is None:
-        models, feed = [Model(0, 0, 0.5, 0.5, 0, 0)], blocks.withColumns({"id": F.lit(None).cast("long"), "c": F.lit(None).cast("long")})
-        feed = feed.withColumns({"tables_0": F.lit(None).cast("long"), "p_0": F.lit(None).cast("double")})
-    else:
-        models = trained.models
-        words = trained.words.select("id", "c", "buckets")
-        for k, (model, live) in enumerate(zip(models, trained.lived)):
-            mine = live.select("id", F.col("tables").alias(f"tables_{k}"), probability(F.col("customers"), F.col("seats"), model).alias(f"p_{k}"))
-            words = words.join(mine, "id", "left").withColumn(f"tables_{k}", F.coalesce(f"tables_{k}", F.lit(1).cast("long")))
-            words = words.withColumn(f"p_{k}", F.coalesce(f"p_{k}", probability(F.lit(1), F.lit(1), model)))
-        values = words.withColumn("bucket", F.explode("buckets")).drop("buckets").withColumn("part", F.lit("word"))
-        feed = blocks.unionByName(values, allowMissingColumns=True)
-        feed = feed.unionByName(trained.state.filter("part != 'word'").select("bucket", "part", "data"), allowMissingColumns=True)
+    models = trained.models if trained else [Model(0, 0, 0.5, 0.5, 0, 0)]
+    nothing = {"part": F.lit(None).cast("long"), "sums": F.lit(None).cast("array<long>")}
+    feed = feed.withColumns(nothing)
+    if trained:
+        known = spoken(trained).unionByName(trained.state.filter("kind in ('again', 'once')"))
         for k, seats in enumerate(trained.seats):
-            packed = seats.filter("data is not null").select("bucket", F.lit(f"seats_{k}").alias("part"), "data")
-            feed = feed.unionByName(packed, allowMissingColumns=True)
+            known = known.unionByName(seats.withColumn("kind", F.lit(f"seats_{k}")))
+        feed = feed.unionByName(known.withColumn("base", F.lit(None).cast("long")))
     model = models[0]
     found = feed.groupBy("bucket").applyInArrow(lambda group: score_bucket(model, models, group), SCORED)
     return found.groupBy("row").agg(

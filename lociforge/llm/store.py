@@ -53,6 +53,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame | None) -> None:
+    """Delete a table of :func:`materialise` that no later step reads any more. Other tables are left alone."""
+    if df is None:
+        return
+    spark, jvm = df.sparkSession, df.sparkSession._jvm
+    own = f"/lociforge-{spark.sparkContext.applicationId}/"
+    for folder in {name[: name.rindex("/")] for name in df.inputFiles() if own in name}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def columns_of(df: DataFrame) -> list[Column]:
     """The columns of a table by name, whatever characters the names have."""
     return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]

@@ -6,6 +6,7 @@ worked off in slices of bounded text, so long texts don't multiply the memory of
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +34,14 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
     return ((a, b) for a, b in zip(bounds, bounds[1:]) if b > a)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: Arrow's and, where the C library can, numpy's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 @dataclass
 class Words:
     """``codes`` of all words in order; document i has those from ``starts[i]`` to ``starts[i + 1]``."""

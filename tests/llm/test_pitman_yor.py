@@ -152,23 +152,22 @@ def test_probabilities_of_a_context_add_up_to_one():
     u64 = lambda *x: np.array(x, np.uint64)
     known = u64(10, 20, 30, 40)
     counts, seats = {20: 5, 30: 2, 40: 1}, {20: 2, 30: 1, 40: 1}  # after word 10
-    model = pitman_yor.Model(50, 4, 0.6, 0.5, 9, 6)
-    p = np.array([0.1, 0.3, 0.2, 0.15])
-    unknown = model.new_word / (PARENT_STRENGTH + model.customers)
-    p *= (1 - unknown) / p.sum()
-    again = blobs.pack(blobs.rising(u64(10, 20, 30)), blobs.rising(np.array([0, 0], np.uint32)), np.array([1, 2], np.uint32), np.array([5, 2], np.uint32))
-    once = blobs.pack(blobs.rising(u64(10, 40)), np.array([0], np.uint32), np.array([1], np.uint32), np.array([1], np.uint32))
-    before, word = u64(*[10] * 5), u64(10, 20, 30, 40, 99)
-    about = np.arange(5), np.full(5, 3, np.uint8)
-    [(_, block)] = pitman_yor.packed_pairs(before, word, np.ones(5, np.int64), np.arange(5), 1, about)
-    n = len(known)
+    customers, parent = np.array([4, 3, 1, 1]), np.array([2, 2, 1, 1])
+    model = pitman_yor.Model(50, 4, 0.6, 0.5, customers.sum(), parent.sum())
+    p = pitman_yor.probability(customers, parent, model)
+    again = blobs.pack(blobs.rising(np.array([0, 0], np.uint32)), np.array([1, 2], np.uint32), np.array([5, 2], np.uint32))
+    once = blobs.pack(np.array([0], np.uint32), np.array([3], np.uint32), np.array([1], np.uint32))
+    word, size = u64(10, 10, 20, 30, 40, 99), len(known) + 1
+    about = np.arange(size), np.full(size, 3, np.uint8)
+    ids, code = pitman_yor.coded(word)
+    first = np.searchsorted(ids, 10)
+    x, y = np.full(size, first, np.uint32), np.arange(size, dtype=np.uint32)
+    ones = np.ones(size, np.uint32)
+    block = blobs.pack(blobs.rising(ids), blobs.rising(x), y, ones, y, *about)
+    word = blobs.pack(blobs.rising(known), np.array([8, 20, 10, 3]), np.array([sum(seats.values()), 3, 3, 3]), customers, parent)
+    told = {"word": word, "again": again, "once": once, "seats_0": blobs.pack(np.array([seats[20], seats[30]], np.uint32)), "block": block}
     group = pa.table({
-        "part": [*["word"] * n, "again", "once", "seats_0", "block"], "base": pa.array([None] * (n + 3) + [0], pa.int64()),
-        "data": [None] * n + [again, once, blobs.pack(np.array([seats[20], seats[30]], np.uint32)), block],
-        "id": pa.array([*known.view(np.int64).tolist(), None, None, None, None], pa.int64()),
-        "c": pa.array([8, 20, 10, 3, None, None, None, None], pa.int64()),
-        "tables_0": pa.array([sum(seats.values()), 3, 3, 3, None, None, None, None], pa.int64()),
-        "p_0": pa.array([*p.tolist(), None, None, None, None], pa.float64()),
+        "kind": list(told), "data": list(told.values()), "part": pa.nulls(5, pa.int64()), "base": pa.array([None] * 4 + [0], pa.int64())
     })
     rows = pitman_yor.score_bucket(model, [model], group).to_pydict()
     chance = dict(zip(rows["doc_id"], (10**x for x in rows["score"])))
