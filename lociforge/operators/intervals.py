@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociforge.operators.nested import FACTOR, TOP, around, blocks
 from lociforge.operators.prefix import BIN_WIDTH, position_bin, running_total
 
 #: Width of the bins used by overlay and by overlap joins.
@@ -67,10 +68,30 @@ def merge_with_previous(
 
 
 def merge(
-    intervals: DataFrame, keys: tuple[str, ...] = ("contig",), width: int = BIN_WIDTH
+    intervals: DataFrame, keys: tuple[str, ...] = ("contig",), width: int = BIN_WIDTH, wide: bool = False
 ) -> DataFrame:
-    """Fuse touching and overlapping intervals that share ``keys``."""
-    return merge_with_previous(intervals, keys, width).drop("prev_end")
+    """Fuse touching and overlapping intervals that share ``keys``.
+
+    A long range has a row for each bin it spans. That is little for disjoint ranges; where many long ones
+    overlap, ``wide`` fuses their whole bins first, at the price of reading the input twice.
+    """
+    return merge_with_previous(_narrowed(intervals, keys, width) if wide else intervals, keys, width).drop("prev_end")
+
+
+def _narrowed(intervals: DataFrame, keys: tuple[str, ...], width: int) -> DataFrame:
+    """The same loci with whole bins of ranges fused: the ends of each range, and disjoint stretches of bins."""
+    a, b = F.ceil(F.col("start") / width).cast("bigint"), F.floor(F.col("end") / width).cast("bigint")
+    rows = intervals.filter("end > start").select(*keys, "start", "end", a.alias("a"), b.alias("b"))
+    ends = F.array(
+        F.struct(F.col("start").alias("start"), (F.col("a") * width).alias("end")),
+        F.struct((F.col("b") * width).alias("start"), F.col("end").alias("end")),
+    )
+    alone = F.array(F.struct(F.col("start").alias("start"), F.col("end").alias("end")))
+    edges = rows.select(*keys, F.explode(F.when(F.col("a") < F.col("b"), ends).otherwise(alone)).alias("e")).select(*keys, "e.*")
+    whole = merge(rows.filter("a < b").select(*keys, F.col("a").alias("start"), F.col("b").alias("end")), keys, BIN_WIDTH)
+    return edges.filter("end > start").unionByName(
+        whole.select(*keys, (F.col("start") * width).alias("start"), (F.col("end") * width).alias("end"))
+    )
 
 
 def with_previous(
@@ -93,30 +114,33 @@ def with_previous(
     )
 
 
-def union(*sets: DataFrame) -> DataFrame:
-    """Union of any number of locus sets."""
+def union(*sets: DataFrame, wide: bool = False) -> DataFrame:
+    """Union of any number of locus sets; ``wide`` as in :func:`merge`."""
     rows = sets[0].select("contig", "start", "end")
     for other in sets[1:]:
         rows = rows.unionByName(other.select("contig", "start", "end"))
-    return merge(rows)
+    return merge(rows, wide=wide)
+
 
+def union_maps(*maps: DataFrame, wide: bool = False) -> DataFrame:
+    """Union of locus maps; on conflicts the later-starting range wins, then the later operand.
 
-def union_maps(*maps: DataFrame) -> DataFrame:
-    """Union of locus maps; on conflicts the later-starting range wins, then the later operand."""
+    ``wide`` is for maps with ranges as long as contigs, as in :func:`overlay`.
+    """
     rows = maps[0].select("contig", "start", "end", "value", F.lit(0).alias("operand"))
     for n, other in enumerate(maps[1:], start=1):
         rows = rows.unionByName(other.select("contig", "start", "end", "value", F.lit(n).alias("operand")))
-    return overlay(rows, order="operand")
+    return overlay(rows, order="operand", wide=wide)
 
 
 def union_on_contig(left: DataFrame, right: DataFrame, contig: str) -> DataFrame:
     return union_maps(on_contig(left, contig), on_contig(right, contig))
 
 
-def put(base: DataFrame | None, loci: DataFrame, value) -> DataFrame:
-    """Add a locus set under one value to a locus map under construction."""
+def put(base: DataFrame | None, loci: DataFrame, value, wide: bool = False) -> DataFrame:
+    """Add a locus set under one value to a locus map under construction; ``wide`` as in :func:`overlay`."""
     rows = loci.select("contig", "start", "end").withColumn("value", F.lit(value))
-    return overlay(rows) if base is None else union_maps(base, rows)
+    return overlay(rows, wide=wide) if base is None else union_maps(base, rows, wide=wide)
 
 
 def on_contig(intervals: DataFrame, contig: str) -> DataFrame:
@@ -128,19 +152,24 @@ def overlay(
     value: str = "value",
     order: str | None = None,
     bin_width: int = JOIN_BIN,
+    wide: bool = False,
 ) -> DataFrame:
     """Disjoint locus map from possibly conflicting ranges: the later-starting range wins.
 
     Equal starts are settled by ``order`` (larger wins), then by the larger value. Each range is
     cut into whole bins, kept as one candidate per bin, and its two ragged edges. Edges are cut at
     the endpoints of the other edges in their bin, and each piece keeps its winner. Copies shrink to
-    one before the shuffle; rows follow the number of ranges, not of loci.
+    one before the shuffle. A range has a row for each bin, which is the least work for ranges of some
+    thousand loci; with ``wide`` it has a row for each nested block, see :func:`highest`.
     """
     rank = F.struct(
         F.col("start").alias("s"),
         (F.col(order) if order else F.lit(0)).cast("bigint").alias("o"),
         F.col(value).alias("v"),
     )
+    if wide:
+        pieces = highest(intervals.select("contig", "start", "end", rank.alias("cand")), bin_width)
+        return merge(pieces.select("contig", "start", "end", F.col("cand.v").alias(value)), ("contig", value))
     clipped = intervals.filter("end > start").select(
         "contig", "start", "end", rank.alias("cand"),
         F.explode(
@@ -196,6 +225,122 @@ def overlay(
     return merge(pieces, ("contig", value))
 
 
+def highest(ranges: DataFrame, bin_width: int = JOIN_BIN) -> DataFrame:
+    """Disjoint pieces ``contig, start, end, cand`` of the covered loci with the largest ``cand`` of the ranges over them.
+
+    Each range is cut into nested blocks of whole bins, kept as one candidate a block, and its two ragged edges.
+    Edges are cut at the endpoints of the other edges in their bin, and each piece keeps its winner. A block
+    that holds smaller ones hands them its winner and keeps the gaps between them. Copies shrink to one before
+    the shuffle; rows follow the number of ranges, not of loci, however long they are.
+    """
+    first = F.ceil(F.col("start") / bin_width).cast("bigint")
+    last = F.floor(F.col("end") / bin_width).cast("bigint")
+    spans = ranges.filter("end > start").select("contig", "start", "end", "cand", first.alias("a"), last.alias("b"))
+    edge = lambda low, high, block: F.struct(
+        F.lit(-1).alias("level"), block.alias("block"), low.cast("bigint").alias("from"), high.cast("bigint").alias("to")
+    )
+    whole = F.transform(
+        blocks(F.col("a"), F.col("b")),
+        lambda n: F.struct(n["level"].alias("level"), n["block"].alias("block"), F.lit(None).cast("bigint").alias("from"), F.lit(None).cast("bigint").alias("to")),
+    )
+    head = edge(F.col("start"), F.least("end", F.col("a") * bin_width), F.col("a") - 1)
+    tail = edge(F.greatest("start", F.col("b") * bin_width), F.col("end"), F.col("b"))
+    inside = F.col("a") > F.col("b")  # within one bin
+    edges = F.when(inside, F.array(head)).otherwise(F.filter(F.array(head, tail), lambda e: e["to"] > e["from"]))
+    rows = (
+        spans.select("contig", "cand", F.explode(F.concat(whole, edges)).alias("n"))
+        .groupBy("contig", F.col("n.level").alias("level"), F.col("n.block").alias("block"), F.col("n.from").alias("from"), F.col("n.to").alias("to"))
+        .agg(F.max("cand").alias("cand"))
+    )
+    rows = _shared(rows)
+    cut = rows.filter("level < 0").drop("level")
+    held = rows.filter("level >= 0").select("contig", "level", "block", "cand")
+
+    # every block in use and those around it; one with anything smaller in it is inner
+    is_edge = F.col("level") < 0
+    at = F.struct(
+        F.greatest("level", F.lit(0)).alias("level"), F.col("block").alias("block"), F.when(~is_edge, F.col("cand")).alias("own"), is_edge.alias("inner")
+    )
+    outer = F.transform(
+        around(F.col("block"), F.greatest("level", F.lit(0))),
+        lambda n: F.struct(n["level"].alias("level"), n["block"].alias("block"), F.lit(None).cast(ranges.schema["cand"].dataType).alias("own"), F.lit(True).alias("inner")),
+    )
+    tree = rows.select("contig", F.explode(F.concat(F.array(at), outer)).alias("n")).groupBy(
+        "contig", F.col("n.level").alias("level"), F.col("n.block").alias("block")
+    ).agg(F.max("n.own").alias("own"), F.max("n.inner").alias("inner"))
+    above = held.select("contig", F.col("level").alias("up"), F.col("block").alias("up_block"), F.col("cand").alias("over"))
+    tree = (
+        tree.select("*", F.explode_outer(around(F.col("block"), F.col("level"))).alias("n"))
+        .select("contig", "level", "block", "own", "inner", F.col("n.level").alias("up"), F.col("n.block").alias("up_block"))
+        .join(above, ["contig", "up", "up_block"], "left")
+        .groupBy("contig", "level", "block").agg(F.max("own").alias("own"), F.max("inner").alias("inner"), F.max("over").alias("over"))
+        .withColumn("best", F.greatest("own", "over"))
+    )
+
+    # gaps beside a block belong to the block around it, a block with nothing in it is a piece of its own
+    width = (F.lit(bin_width) * F.pow(F.lit(float(FACTOR)), F.col("level"))).cast("bigint")
+    siblings = Window.partitionBy("contig", "level", "parent").orderBy("block")
+    placed = tree.withColumn("parent", F.when(F.col("level") < TOP, F.floor(F.col("block") / FACTOR).cast("bigint")).otherwise(F.col("block")))
+    placed = placed.withColumns({"next": F.lead("block").over(siblings), "before": F.lag("block").over(siblings), "width": width})
+    part = lambda low, high, cand: F.struct(low.alias("start"), high.alias("end"), cand.alias("cand"))
+    start, end = F.col("block") * F.col("width"), (F.col("block") + 1) * F.col("width")
+    until = F.coalesce(F.col("next"), (F.col("parent") + 1) * FACTOR) * F.col("width")
+    leading = F.when(F.col("before").isNull(), F.col("parent") * FACTOR * F.col("width")).otherwise(start)
+    gaps = F.when(F.col("level") < TOP, F.array(part(leading, start, F.col("over")), part(end, until, F.col("over")))).otherwise(
+        F.array().cast("array<struct<start: bigint, end: bigint, cand: " + ranges.schema["cand"].dataType.simpleString() + ">>")
+    )
+    # a bin with edges is not alone: its winner goes on to the pieces between the endpoints
+    alone = F.array(part(start, end, F.when(~F.col("inner") | (F.col("level") == 0), F.col("best"))))
+    pieces = placed.select(
+        "contig", "block", (F.col("inner") & (F.col("level") == 0)).alias("has_edges"), F.posexplode(F.concat(gaps, alone)).alias("at", "p"),
+        F.size(gaps).alias("n_gaps"),
+    ).select("contig", "block", (F.col("has_edges") & (F.col("at") == F.col("n_gaps"))).alias("is_bin"), "p.*")
+    pieces = _shared(pieces.filter("end > start and cand is not null"))
+    covered = pieces.filter("is_bin").select("contig", "block", "cand")
+    wide = pieces.filter("not is_bin").select("contig", "start", "end", "cand")
+    return _cut_bins(cut, covered, bin_width).unionByName(wide)
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The same rows behind a generator: filters on them stay above the last exchange, so that branches share it."""
+    return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("r")).select("r.*")
+
+
+def _cut_bins(edges: DataFrame, covered: DataFrame, bin_width: int) -> DataFrame:
+    """The pieces of bins with edges, of which some are covered as a whole."""
+    # A bin has at most bin_width + 1 distinct endpoints, and a range meets those it spans.
+    in_bin = Window.partitionBy("contig", "block")
+    spans = edges.withColumn(
+        "points", F.array_sort(F.array_union(F.collect_set("from").over(in_bin), F.collect_set("to").over(in_bin)))
+    )
+    steps = F.expr(
+        "transform(sequence(array_position(points, from), array_position(points, to) - 1), "
+        "k -> named_struct('at', get(points, int(k) - 1), 'stop', get(points, int(k))))"
+    )
+    unit = covered.select("contig", "block", F.lit(-1).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("stop"), "cand")
+    candidates = (
+        spans.select("contig", "block", "cand", F.explode(steps).alias("s"))
+        .groupBy("contig", "block", F.col("s.at").alias("at"), F.col("s.stop").alias("stop"))
+        .agg(F.max("cand").alias("cand"))
+        .unionByName(unit)
+    )
+    first_locus = F.col("block") * bin_width
+    rows = (
+        candidates.withColumn("whole", F.max(F.when(F.col("at") < 0, F.col("cand"))).over(in_bin))
+        .withColumn("next", F.coalesce(F.lead("at").over(in_bin.orderBy("at")), first_locus + bin_width))
+        .withColumn("gap", F.when(F.col("at") < 0, first_locus).otherwise(F.col("stop")))
+    )
+    piece = lambda start, end, cand: F.struct(start.alias("start"), end.alias("end"), cand.alias("cand"))
+    own = piece(F.col("at"), F.col("stop"), F.greatest("cand", "whole"))
+    after = piece(F.col("gap"), F.col("next"), F.col("whole"))
+    return rows.select(
+        "contig",
+        F.explode(
+            F.when(F.col("at") < 0, F.array(after)).when(F.col("whole").isNull(), F.array(own)).otherwise(F.array(own, after))
+        ).alias("p"),
+    ).select("contig", "p.*").filter("end > start")
+
+
 def invert(intervals: DataFrame, value: str = "value") -> DataFrame:
     """Value to locus set, as rows ``value, contig, start, end`` ordered by nothing."""
     return merge(intervals, (value, "contig")).select(value, "contig", "start", "end")

@@ -1,7 +1,9 @@
 """Interval overlap as a binned equi-join, never a nested loop.
 
 The right side is always a disjoint set or map, as locus sets and maps are, so one bin of it holds
-at most ``bin_width`` ranges and a left row meets a bounded number of candidates per bin. The left
+at most ``bin_width`` ranges and a left row meets a bounded number of candidates per bin. Bins come in two
+sizes: a long range lies in small bins at its ends and in large ones between, so a whole contig has a row for
+each 65,536 loci; a left row looks into both. The left
 side may be skewed at will: adaptive execution splits hot join partitions, or broadcasts the right
 side when its measured size allows.
 """
@@ -14,25 +16,52 @@ from pyspark.sql import functions as F
 from lociforge.operators.intervals import JOIN_BIN, merge_with_previous, with_previous
 
 
+#: Small bins to a large one.
+LARGE = 256
+
+
+def _bins(a: str, b: str, width: int) -> str:
+    return (
+        f"if({b} > {a}, sequence(cast(floor({a} / {width}) as bigint), cast(floor(({b} - 1) / {width}) as bigint)), cast(array() as array<bigint>))"
+    )
+
+
+def _bins_touched(a: str, b: str, width: int) -> Column:
+    """The bins of both sizes that ``[a, b)`` touches; large ones count down from -1."""
+    large = f"transform({_bins(a, b, width * LARGE)}, x -> -1 - x)"
+    return F.expr(f"concat({_bins(a, b, width)}, {large})")
+
+
+def _bins_filled(a: str, b: str, width: int) -> Column:
+    """The bins that ``[a, b)`` lies in: large ones where it fills them, small ones at its ends."""
+    size = width * LARGE
+    first, last = f"cast(ceil({a} / {size}) as bigint)", f"cast(floor({b} / {size}) as bigint)"
+    ends = f"concat({_bins(a, f'{first} * {size}', width)}, {_bins(f'{last} * {size}', b, width)})"
+    large = f"transform(sequence({first}, {last} - 1), x -> -1 - x)"
+    return F.expr(f"if({first} < {last}, concat({ends}, {large}), {_bins(a, b, width)})")
+
+
+def _bin_of(locus: Column, like: Column, width: int) -> Column:
+    """The bin of a locus, of the size of the bin ``like``."""
+    return F.when(like >= 0, F.floor(locus / width)).otherwise(-1 - F.floor(locus / (width * LARGE))).cast("bigint")
+
+
 def _met(reads: DataFrame, ranges: DataFrame, half_window: int, width: int, how: str = "inner") -> DataFrame:
     """Rows that share a bin, with ``_hit``: the two overlap and this is the first bin they share.
 
     Outer joins keep rows of either side that meet nothing; their ``_hit`` is false.
     """
-    bins = lambda a, b: F.expr(
-        f"if({b} > {a}, sequence(cast(floor({a} / {width}) as bigint), cast(floor(({b} - 1) / {width}) as bigint)), null)"
-    )
     left = reads.withColumn(
         "_from", F.greatest(F.col("start") - half_window, F.lit(0)).cast("bigint")
     ).withColumn("_to", (F.col("end") + half_window).cast("bigint"))
     if how != "left":
         left = left.filter("_to > _from")
-    left = left.select("*", F.explode_outer(bins("_from", "_to")).alias("_bin"))
+    left = left.select("*", F.explode_outer(_bins_touched("_from", "_to", width)).alias("_bin"))
     right = ranges.select(
         F.col("contig").alias("_contig"), *[c for c in ranges.columns if c != "contig"],
-        F.explode_outer(bins("_start", "_end")).alias("_range_bin"),
+        F.explode_outer(_bins_filled("_start", "_end", width)).alias("_range_bin"),
     )
-    first_shared = F.floor(F.greatest("_from", "_start") / width).cast("bigint")
+    first_shared = _bin_of(F.greatest("_from", "_start"), F.col("_bin"), width)
     hit = (F.col("_from") < F.col("_end")) & (F.col("_start") < F.col("_to")) & (F.col("_bin") == first_shared)
     same = (F.col("contig") == F.col("_contig")) & (F.col("_bin") == F.col("_range_bin"))
     return left.join(right, same, how).withColumn("_hit", F.coalesce(hit, F.lit(False)))
@@ -134,15 +163,8 @@ def lookup(points: DataFrame, intervals: DataFrame, bin_width: int = JOIN_BIN) -
     right = intervals.filter("end > start").select(
         "contig", *extra, F.col("start").alias("_start"), F.col("end").alias("_end")
     )
-    right = right.select(
-        "*",
-        F.explode(
-            F.sequence(
-                F.floor(F.col("_start") / bin_width).cast("bigint"), F.floor((F.col("_end") - 1) / bin_width).cast("bigint")
-            )
-        ).alias("_bin"),
-    )
-    left = points.withColumn("_bin", F.floor(F.col("locus") / bin_width).cast("bigint"))
+    right = right.select("*", F.explode(_bins_filled("_start", "_end", bin_width)).alias("_bin"))
+    left = points.select("*", F.explode(_bins_touched("locus", "(locus + 1)", bin_width)).alias("_bin"))
     return (
         left.join(right, ["contig", "_bin"])
         .filter((F.col("locus") >= F.col("_start")) & (F.col("locus") < F.col("_end")))

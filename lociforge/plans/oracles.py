@@ -87,6 +87,30 @@ def _overlaid(name: str, source: str, order: str = "0") -> str:
 {_merged(name, name + '_p', 'contig, v')}"""
 
 
+_WIDE = """
+rg AS (
+  SELECT 'chr' || (1 + o_custkey % 4) AS contig, (o_orderkey * 7919 + o_custkey * 31) % 200000000 AS s,
+         (o_orderkey * 7919 + o_custkey * 31) % 200000000 + CASE WHEN o_orderkey % 200 = 0
+           THEN 1000000 * (1 + (o_orderkey // 200) % 100)
+           ELSE (1 + o_custkey % 40) * CASE o_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 10 ELSE 1000 END END AS e,
+         o_orderstatus AS v
+  FROM orders),
+pt AS (
+  SELECT 'chr' || (1 + l_suppkey % 4) AS contig, (l_orderkey * 104729 + l_partkey * 37 + l_linenumber) % 200000000 AS locus
+  FROM lineitem)"""
+
+
+def _overlaid_wide(name: str, source: str, order: str = "0") -> str:
+    """As :func:`_overlaid`, one stretch between neighbouring endpoints at a time."""
+    return f"""
+{name}_x AS (SELECT DISTINCT contig, unnest([s, e]) AS x FROM {source}),
+{name}_y AS (SELECT contig, x, lead(x) OVER (PARTITION BY contig ORDER BY x) AS y FROM {name}_x),
+{name}_p AS (
+  SELECT q.contig, x AS s, y AS e, arg_max(v, (g.s, {order}, v)) AS v
+  FROM {name}_y q JOIN {source} g ON g.contig = q.contig AND g.s <= x AND g.e > x GROUP BY q.contig, x, y),
+{_merged(name, name + '_p', 'contig, v')}"""
+
+
 def _even(name: str, source: str, buckets: str) -> str:
     """CTEs for the even split of the merged ranges ``source`` into ``name`` (with ``pos0``)."""
     edge = "CAST(floor({k} * per + 0.5) AS BIGINT)"
@@ -544,6 +568,18 @@ SELECT contig, {_big('s', 'locus')}, {_letter('s', 0)} AS ref, count(*) AS n FRO
     "interval_union": f"""WITH {_RANGES}, {_merged('m', 'rg')}
 SELECT contig, {_START_END} FROM m""",
     "interval_overlay": f"WITH {_RANGES}, {_overlaid('m', 'rg')}\nSELECT contig, {_START_END}, v AS value FROM m",
+    "interval_overlay_wide": f"WITH {_WIDE}, {_overlaid_wide('m', 'rg')}\nSELECT contig, {_START_END}, v AS value FROM m",
+    "interval_put_wide": f"""WITH {_WIDE}, lo AS (SELECT * FROM rg WHERE v <> 'P'), hi AS (SELECT * FROM rg WHERE v = 'P'),
+{_overlaid_wide('base', 'lo')}, {_merged('top', 'hi')},
+u AS (SELECT contig, s, e, v, 0 AS o FROM base UNION ALL SELECT contig, s, e, 'late', 1 FROM top),
+{_overlaid_wide('m', 'u', 'o')}
+SELECT contig, {_START_END}, v AS value FROM m""",
+    "lookup_wide": f"""WITH {_WIDE}, {_overlaid_wide('m', 'rg')}, {_merged('f', 'rg')}
+SELECT p.contig, v AS value, count(*) AS n_points FROM pt p JOIN m ON m.contig = p.contig AND m.s <= locus AND m.e > locus
+GROUP BY ALL
+UNION ALL
+SELECT p.contig, 'any', count(*) FROM pt p
+WHERE EXISTS (SELECT 1 FROM f WHERE f.contig = p.contig AND f.s < locus + 50 AND f.e > locus) GROUP BY p.contig""",
     "interval_union_maps": f"""WITH {_RANGES}, u AS (SELECT *, (v = 'F')::INT AS o FROM rg), {_overlaid('m', 'u', 'o')}
 SELECT contig, {_START_END}, v AS value FROM m""",
     "interval_put": f"""WITH {_RANGES}, lo AS (SELECT * FROM rg WHERE v <> 'P'), hi AS (SELECT * FROM rg WHERE v = 'P'),

@@ -503,6 +503,30 @@ def interval_overlay(spark, d):
     return intervals.overlay(views.ranges(spark, d))
 
 
+@query
+def interval_overlay_wide(spark, d):
+    """Ranges of 1 to 100,000,000 loci: later-starting ranges win."""
+    return intervals.overlay(views.wide_ranges(spark, d), wide=True)
+
+
+@query
+def interval_put_wide(spark, d):
+    """A fused set of long ranges put on top of a map of long ranges."""
+    rows = views.wide_ranges(spark, d)
+    base = intervals.overlay(rows.filter("value <> 'P'"), wide=True)
+    return intervals.put(base, intervals.merge(rows.filter("value = 'P'"), wide=True), "late", wide=True)
+
+
+@query
+def lookup_wide(spark, d):
+    """Loci looked up in a map of long ranges, and in the fused set of them."""
+    points, rows = views.wide_points(spark, d), views.wide_ranges(spark, d)
+    found = overlap.lookup(points, intervals.overlay(rows, wide=True)).groupBy("contig", "value").agg(_count("n_points"))
+    spans = points.withColumnsRenamed({"locus": "start"}).withColumn("end", F.col("start") + 50)
+    held = overlap.overlapping(spans, intervals.merge(rows, wide=True), disjoint=True).groupBy("contig").agg(_count("n_points"))
+    return found.unionByName(held.withColumn("value", F.lit("any")))
+
+
 @query
 def interval_union_maps(spark, d):
     """Two maps united: later-starting ranges win, then the second operand."""

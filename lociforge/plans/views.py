@@ -21,6 +21,7 @@ CONTIG_LENGTH = 2052
 READ_START_SPAN = 2000
 FRAGMENT = 500
 STRETCH = 64
+WIDE_SPAN = 200_000_000
 # Mapped: the 1-based start, clipped bases included, is not negative.
 MAPPED = "NOT (shape = 7 AND start < 1)"
 
@@ -245,6 +246,26 @@ def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def wide_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of 1 to 100,000,000 loci with a value; rows of the orders table."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "concat('chr', cast(1 + o_custkey % 4 AS STRING)) AS contig",
+        f"(o_orderkey * 7919 + o_custkey * 31) % {WIDE_SPAN} AS start",
+        f"(o_orderkey * 7919 + o_custkey * 31) % {WIDE_SPAN} + CASE WHEN o_orderkey % 200 = 0 "
+        "THEN 1000000 * (1 + (o_orderkey div 200) % 100) "
+        "ELSE (1 + o_custkey % 40) * CASE o_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 10 ELSE 1000 END END AS end",
+        "o_orderstatus AS value",
+    )
+
+
+def wide_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A locus for each row of ``lineitem``, over the stretch of :func:`wide_ranges`."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "concat('chr', cast(1 + l_suppkey % 4 AS STRING)) AS contig",
+        f"(l_orderkey * 104729 + l_partkey * 37 + l_linenumber) % {WIDE_SPAN} AS locus",
+    )
+
+
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short target intervals in read coordinates, one per ``supplier`` row."""
     return table(spark, sf_dir, "supplier").selectExpr(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from helpers import intervals_df, text_of
 from lociforge.operators import intervals as iv
 from lociforge.operators import overlap, split
+from lociforge.operators.nested import blocks
 from lociforge.operators.prefix import running_total
 from lociforge.sources import loci
 
@@ -255,3 +256,48 @@ def test_running_total(spark, width):
     for r in running_total(df, ["k"], "p", "v", "t", width=width, total="all").collect():
         assert r["t"] == sum(v for k, p, v in rows if (k, p) <= (r["k"], r["p"]))
         assert r["all"] == sum(v for _, _, v in rows)
+
+
+@pytest.mark.parametrize("bin_width", [1, 4])
+def test_wide_overlay_equals_brute_force(spark, bin_width):
+    """Ranges over several levels of nested blocks, short ones inside and beside them."""
+    rng = random.Random(bin_width)
+    rows = []
+    for _ in range(60):
+        s = rng.randint(0, 30_000)
+        rows.append((rng.choice("ab"), s, s + rng.choice([0, 1, 3, 40, 700, 5_000, 20_000]), rng.choice("xyz")))
+    data = spark.createDataFrame(rows, "contig string, start long, end long, value string")
+    want = {}
+    for c, s, e, v in sorted(rows, key=lambda r: (r[1], r[3])):
+        want.update({(c, p): v for p in range(s, e)})
+    got = {}
+    for r in iv.overlay(data, bin_width=bin_width, wide=True).collect():
+        for p in range(r["start"], r["end"]):
+            assert (r["contig"], p) not in got
+            got[r["contig"], p] = r["value"]
+    assert got == want
+
+
+def test_wide_merge_and_lookup_equal_narrow(spark):
+    rng = random.Random(8)
+    rows = [("a", s, s + rng.choice([1, 50, 70_000, 300_000, 2_000_000])) for s in (rng.randint(0, 5_000_000) for _ in range(40))]
+    rows += [("a", 6_000_000 + 500 * k, 6_000_000 + 500 * k + 100) for k in range(300)]
+    data = intervals_df(spark, rows)
+    fused = iv.merge(data, wide=True)
+    assert sorted(map(tuple, fused.collect())) == sorted(map(tuple, iv.merge(data).collect()))
+    points = spark.createDataFrame([("a", rng.randint(0, 7_000_000)) for _ in range(500)], "contig string, locus long")
+    ranges = [(r["start"], r["end"]) for r in fused.collect()]
+    inside = sorted(p.locus for p in points.collect() if any(s <= p.locus < e for s, e in ranges))
+    assert sorted(r["locus"] for r in overlap.lookup(points, fused).collect()) == inside
+    spans = points.selectExpr("contig", "locus start", "locus + 90000 end")
+    met = sorted(r["start"] for r in overlap.overlapping(spans, fused, disjoint=True).collect())
+    assert met == sorted(p.locus for p in points.collect() if any(s < p.locus + 90_000 and e > p.locus for s, e in ranges))
+
+
+def test_rows_of_a_long_range_are_bounded(spark):
+    """A range costs some hundred rows, whatever its length, in overlays and on the right side of joins."""
+    rows = spark.createDataFrame([(1, 10**k) for k in range(2, 10)] + [(977, 3 * 10**9)], "start long, end long")
+    sized = rows.select(F.size(blocks(F.ceil(F.col("start") / 256), F.floor(F.col("end") / 256))).alias("n")).collect()
+    assert max(r["n"] for r in sized) <= 2 * 31 * 4 + 3 * 10**9 // 2**28 + 1
+    filled = rows.select(F.size(overlap._bins_filled("start", "end", 256)).alias("n"), "start", "end").collect()
+    assert all(r["n"] <= (r["end"] - r["start"]) // 65_536 + 2 * 257 for r in filled)
