@@ -14,7 +14,7 @@ from lociforge.functions.cigar import BASE_OPS, REFERENCE_OPS, cigar_blocks
 from lociforge.functions.cigar import alignment_end, leading_clip
 from lociforge.functions.md import aligned_text, md_length, reference_text
 from lociforge.functions.quality import PHRED_OFFSET
-from lociforge.operators.intervals import loci as each_locus, merge
+from lociforge.operators.intervals import highest, loci as each_locus, merge
 from lociforge.operators.overlap import first_overlaps, lookup, overlapping, overlapping_pairs
 from lociforge.operators.prefix import BIN_WIDTH, running_total
 
@@ -316,8 +316,10 @@ def coverage(reads: DataFrame, half_window: int = 0, width: int = BIN_WIDTH) ->
     return _close_runs(totals.filter("step <> 0"), width)
 
 
-def _close_runs(totals: DataFrame, width: int) -> DataFrame:
-    """Give each run its end, the start of the next one, looking across bins by their first row."""
+def _close_runs(totals: DataFrame, width: int, total: str = "depth") -> DataFrame:
+    """Give each run its end, the start of the next one, looking across bins by their first row.
+
+    Runs with a total of 0 are left out."""
     bin_ = F.floor(F.col("start") / width).cast("bigint")
     in_bin = Window.partitionBy("contig", "bin").orderBy("start")
     rows = (
@@ -330,8 +332,8 @@ def _close_runs(totals: DataFrame, width: int) -> DataFrame:
     ).orderBy("start")
     return (
         rows.withColumn("end", F.coalesce("next", F.lead("start").over(across)))
-        .filter("depth > 0")
-        .select("contig", "start", "end", "depth")
+        .filter(F.col(total) != 0)
+        .select("contig", "start", "end", total)
     )
 
 
@@ -357,3 +359,44 @@ def window_pileup(
     high = F.least(F.col("end") + half_window, F.col("range_end"))
     at = near.select("*", F.explode(F.sequence(low, high - 1)).alias("locus"))
     return at.groupBy("contig", "locus").agg(*aggregates)
+
+
+def window_totals(
+    reads: DataFrame,
+    loci: DataFrame,
+    half_window: int,
+    sums: dict[str, Column] | None = None,
+    minima: dict[str, Column] | None = None,
+    maxima: dict[str, Column] | None = None,
+    count: str = "n_reads",
+    disjoint: bool = False,
+) -> DataFrame:
+    """Number of reads near each locus of a set, sums, least and largest values over them.
+
+    A read is near as in :func:`window_pileup`, which takes any aggregate but has a row for each read and locus.
+    Here a read has two difference events for counts and sums, and one range for each extreme, whose winner
+    is found by nested blocks: rows follow reads and loci, not the width of the window. Sums take
+    whole numbers (nulls add nothing); an extreme over nulls only is null. Loci without a read near give no row.
+    """
+    padded = reads.filter("end > start").select(
+        "*", F.greatest(F.col("start") - half_window, F.lit(0)).cast("bigint").alias("_from"),
+        (F.col("end") + half_window).cast("bigint").alias("_to"),
+    )
+    at = each_locus(loci if disjoint else merge(loci)).select("contig", "locus")
+    for name, value in {count: F.lit(1), **(sums or {})}.items():
+        value = F.coalesce(value.cast("bigint"), F.lit(0))
+        steps = padded.select(
+            "contig", F.explode(F.array(
+                F.struct(F.col("_from").alias("start"), value.alias("step")), F.struct(F.col("_to").alias("start"), (-value).alias("step"))
+            )).alias("e"),
+        ).select("contig", "e.*")
+        runs = _close_runs(running_total(steps, ["contig"], "start", "step", name), BIN_WIDTH, name)
+        at = at.join(lookup(at.select("contig", "locus"), runs), ["contig", "locus"], "inner" if name == count else "left")
+        at = at.withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
+    for least, columns in ((True, minima), (False, maxima)):
+        for name, value in (columns or {}).items():
+            rank = F.struct((-value if least else value).alias("rank"), value.alias("value"))
+            ranges = padded.select("contig", F.col("_from").alias("start"), F.col("_to").alias("end"), rank.alias("cand"))
+            best = highest(ranges.filter("cand.value is not null")).select("contig", "start", "end", F.col("cand.value").alias(name))
+            at = at.join(lookup(at.select("contig", "locus"), best), ["contig", "locus"], "left")
+    return at

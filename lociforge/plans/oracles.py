@@ -487,6 +487,11 @@ SELECT contig, {_big('p', 'start')}, {_big('nxt', '"end"')}, {_big('depth', 'dep
 lc AS (SELECT contig, unnest(range(s, e)) AS locus FROM m)
 SELECT lc.contig, {_big('locus', 'locus')}, count(*) AS n_reads, {_big('sum(mapq)', 'sum_mapq')}
 FROM lc JOIN r ON r.contig = lc.contig AND r.s <= locus + 3 AND r.e - 1 >= locus - 3 GROUP BY lc.contig, locus""",
+    "window_totals_wide": f"""{READS}, {_TARGETS}, {_merged('m', 'tg')},
+lc AS (SELECT contig, unnest(range(s, e)) AS locus FROM m)
+SELECT lc.contig, {_big('locus', 'locus')}, count(*) AS n_reads, {_big('sum(mapq)', 'sum_mapq')},
+       CAST(min(mapq) AS INT) AS min_mapq, {_big('max(r.e - r.s)', 'max_span')}
+FROM lc JOIN r ON r.contig = lc.contig AND r.s <= locus + 1000 AND r.e - 1 >= locus - 1000 GROUP BY lc.contig, locus""",
     "new_reads": f"""{READS}, {_TARGETS}, {_merged('m', 'tg')},
 lc AS (SELECT contig, unnest(range(s, e)) AS locus FROM m),
 pv AS (SELECT *, lag(locus) OVER (PARTITION BY contig ORDER BY locus) AS prev FROM lc)

@@ -18,6 +18,7 @@ TAKE_LOCI = 5_000
 BUCKETS = 7
 DEPTH_BUCKETS, DEPTH_ACCURACY = 4, 25
 HALF_WINDOW = 3
+WIDE_WINDOW = 1_000
 SAMPLES = ["normal", "tumor"]
 
 
@@ -244,6 +245,16 @@ def window_reads(spark, d):
     )
 
 
+@query
+def window_totals_wide(spark, d):
+    """Reads within 1000 loci of every target locus: their number, sum, least and largest mapping quality."""
+    targets = intervals.merge(views.targets(spark, d))
+    return pileup.window_totals(
+        views.read_spans(spark, d), targets, WIDE_WINDOW, {"sum_mapq": F.col("mapq")}, {"min_mapq": F.col("mapq")}, {"max_span": F.col("end") - F.col("start")},
+        disjoint=True,
+    )
+
+
 @query
 def new_reads(spark, d):
     return pileup.new_reads(views.read_spans(spark, d), views.targets(spark, d), HALF_WINDOW)

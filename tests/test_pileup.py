@@ -9,7 +9,7 @@ from lociforge.functions import cigar as cg
 from lociforge.functions import md as mdf
 from lociforge.functions.genotypes import classify_pair, is_variant, non_reference_alleles, unique_alleles, variant_count
 from lociforge.functions.quality import phred_array
-from lociforge.operators import filters, metrics, pileup
+from lociforge.operators import filters, metrics, nested, pileup
 from lociforge.operators import intervals as iv
 from lociforge.plans import callers
 from lociforge.sources import loci
@@ -284,3 +284,36 @@ def test_row_wise_functions_accept_streams(spark, tmp_path):
 def test_coverage_equals_merged_union(spark):
     reads = intervals_df(spark, [("c", 0, 5), ("c", 3, 9), ("c", 20, 22)])
     assert text_of(loci.from_reads(reads), None) == "c:0-22"
+
+
+@pytest.mark.parametrize("half", [0, 2, 500])
+def test_window_totals_equal_brute_force(spark, half):
+    """Counts, sums and extremes near each locus; equal to the aggregates of window_pileup as well."""
+    rng = random.Random(half)
+    rows = [(rng.choice("ab"), s, s + rng.choice([0, 1, 7, 300]), rng.choice([None, rng.randint(-5, 60)])) for s in (rng.randint(0, 3_000) for _ in range(80))]
+    reads = spark.createDataFrame(rows, "contig string, start long, end long, mapq int")
+    spots = [("a", 0, 40), ("a", 990, 1_020), ("b", 2_500, 2_530), ("c", 1, 5)]
+    loci = spark.createDataFrame(spots, "contig string, start long, end long")
+    want = set()
+    for c, a, b in spots:
+        for p in range(a, b):
+            near = [r for r in rows if r[0] == c and r[2] > r[1] and max(r[1] - half, 0) <= p < r[2] + half]
+            known = [r[3] for r in near if r[3] is not None]
+            if near:
+                want.add((c, p, len(near), sum(known), min(known, default=None), max(known, default=None)))
+    mapq = F.col("mapq")
+    got = pileup.window_totals(reads, loci, half, {"total": mapq}, {"low": mapq}, {"high": mapq})
+    assert {tuple(r) for r in got.select("contig", "locus", "n_reads", "total", "low", "high").collect()} == want
+    plain = pileup.window_pileup(reads.filter("end > start"), loci, half, F.count(F.lit(1)).alias("n"), F.min("mapq").alias("low"))
+    assert {tuple(r) for r in plain.collect()} == {(w[0], w[1], w[2], w[4]) for w in want}
+
+
+def test_window_events_do_not_grow_with_the_window(spark):
+    """The rows that the plan of a wide window moves are those of a narrow one, give or take the bins they end in."""
+    reads = spark.range(300).selectExpr("'a' contig", "id * 1000 start", "id * 1000 + 100 end", "cast(id as int) mapq")
+    moved = []
+    for half in (10, 100_000):
+        padded = reads.selectExpr("contig", "greatest(start - %d, 0) start" % half, "end + %d end" % half, "named_struct('r', mapq) cand")
+        n = F.size(nested.blocks(F.ceil(F.col("start") / 256), F.floor(F.col("end") / 256))) + 2
+        moved.append(padded.select(F.sum(n)).first()[0])
+    assert moved[1] < moved[0] * 75
