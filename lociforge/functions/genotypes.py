@@ -41,3 +41,17 @@ def classify_pair(a1: Column, a2: Column, ref: Column) -> Column:
         .when((a1 != ref) & (a2 != ref), call_array(ALT, OTHER_ALT))
         .otherwise(call_array(REF, ALT))
     )
+
+
+def classify_copies(genotype: Column, ref: Column) -> Column:
+    """Allele calls of a genotype of any ploidy: reference copies first, then those of its first other allele, then the rest.
+
+    Without a known reference allele all copies count as other ones.
+    """
+    is_ref = lambda a: F.coalesce(a == ref, F.lit(False))
+    others = F.filter(genotype, lambda a: ~is_ref(a))
+    alts = F.filter(others, lambda a: a == F.get(others, F.lit(0)))
+    named = lambda n, name: F.array_repeat(F.lit(name), n)
+    return F.concat(
+        named(F.size(genotype) - F.size(others), REF), named(F.size(alts), ALT), named(F.size(others) - F.size(alts), OTHER_ALT)
+    )

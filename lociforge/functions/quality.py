@@ -58,3 +58,8 @@ def log_hit(q: Column | str) -> Column:
 def log_miss(q: Column | str) -> Column:
     """Neither allele of a genotype agrees with the element: ln(2e)."""
     return _by_quality(q, lambda e: 2.0 * e)
+
+
+def log_copies(q: Column | str, copies: int, ploidy: int) -> Column:
+    """``copies`` alleles of a genotype of ``ploidy`` agree with the element: ln(copies (1 - e) + (ploidy - copies) e)."""
+    return _by_quality(q, lambda e: copies * (1.0 - e) + (ploidy - copies) * e)

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociforge.functions.genotypes import ALT, NO_CALL, OTHER_ALT, REF, call_array, classify_pair
-from lociforge.functions.quality import LOG_UNIT, log_hit, log_miss
+from lociforge.functions.genotypes import ALT, NO_CALL, OTHER_ALT, REF, call_array, classify_copies, classify_pair
+from lociforge.functions.quality import LOG_UNIT, log_copies, log_hit, log_miss
 from lociforge.operators.filters import LOCUS_KEYS, MIN_MAPQ, evidence, filter_pileups, min_base_quality, passing
 from lociforge.operators.pileup import (
     base_allele_counts, base_reads, by_neighbourhood, elements, is_single_base, on_loci, reference_base,
@@ -488,3 +488,57 @@ def bayes_calls_from(
         F.col("c.n").cast("int").alias("alt_read_depth"),
         F.col("depth_fwd").cast("int").alias("fwd_reads"),
     )
+
+
+def copy_evidence(rows: DataFrame, ploidy: int) -> DataFrame:
+    """Per allele the counts and, for each number of its copies from 0 to ``ploidy``, the log sum of its elements.
+
+    ``gains[k]`` sums ln(k (1 - e) + (ploidy - k) e) in 1e-9 units; ``zero`` counts elements of quality 0, which
+    no genotype of ``ploidy`` copies of the allele can have.
+    """
+    sums = [F.coalesce(F.sum(log_copies("q", k, ploidy)), F.lit(0)).cast("bigint") for k in range(ploidy + 1)]
+    return rows.groupBy(*_SAMPLE_LOCUS, "allele").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("fwd").alias("n_fwd"), F.count_if(F.col("q") <= 0).alias("zero"),
+        reference_base().alias("ref_base"), F.array(*sums).alias("gains"),
+    )
+
+
+def most_likely_copies(alleles: DataFrame, ploidy: int) -> DataFrame:
+    """Best genotype of any ploidy per locus and sample: ``genotype`` (its alleles in order), ``calls``, counts and log-likelihood.
+
+    An allele with k copies adds ``gains[k]``, so the best genotype is a knapsack of ``ploidy`` copies over the alleles
+    seen: a table of the best score of 0 to ``ploidy`` copies, allele after allele. No genotype is listed. Ties go to the
+    genotype that comes first. Where quality 0 rules out all, the smallest allele is taken, at minus infinity.
+    """
+    none = F.lit(None).cast("struct<cost: bigint, genotype: array<string>>")
+    empty = F.struct(F.lit(0).cast("bigint").alias("cost"), F.array().cast("array<string>").alias("genotype"))
+    start = F.array(empty, *[none] * ploidy)
+
+    def with_allele(table: Column, x: Column) -> Column:
+        def best(total: int) -> Column:
+            options = []
+            for k in range(total + 1):
+                rest = F.get(table, F.lit(total - k))
+                made = F.struct(
+                    (rest["cost"] - F.get(x["gains"], F.lit(k))).alias("cost"),
+                    F.concat(F.array_repeat(x["allele"], k), rest["genotype"]).alias("genotype"),
+                )
+                allowed = rest.isNotNull() if k < ploidy else rest.isNotNull() & (x["zero"] == 0)
+                options.append(F.when(allowed, made))
+            return F.array_min(F.array(*options))
+
+        return F.array(*[best(total) for total in range(ploidy + 1)])
+
+    per_locus = alleles.groupBy(*_SAMPLE_LOCUS).agg(
+        F.sum("n").cast("bigint").alias("depth"), F.sum("n_fwd").cast("bigint").alias("depth_fwd"), F.max("ref_base").alias("ref"),
+        F.sort_array(F.collect_list(F.struct("allele", "gains", "zero")), asc=False).alias("seen"),
+    )
+    found = per_locus.withColumn("best", F.get(F.aggregate("seen", start, with_allele), F.lit(ploidy)))
+    fallback = F.array_repeat(F.element_at("seen", -1)["allele"], ploidy)
+    score = -F.col("best.cost") / F.lit(float(LOG_UNIT)) - F.col("depth") * F.ln(F.lit(float(ploidy)))
+    found = found.withColumns({
+        "genotype": F.coalesce("best.genotype", fallback), "log_likelihood": F.coalesce(score, F.lit(float("-inf"))),
+    })
+    return found.select(
+        *_SAMPLE_LOCUS, "genotype", classify_copies(F.col("genotype"), F.col("ref")).alias("calls"), "depth", "depth_fwd", "ref", "log_likelihood"
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lociforge.functions.genotypes import NO_CALL, REF
 from lociforge.operators.filters import select_variants
+from lociforge.operators.variants import normalized
 
 _VARIANT = ["contig", "pos", "ref", "alt"]
 
@@ -37,9 +38,12 @@ def concordance_table(
     match_sample: bool = False,
     sample: str | None = None,
     truth_sample: str | None = None,
+    reference: DataFrame | None = None,
 ) -> DataFrame:
     """Number of variants per (called type, true type); a missing side is ``NO_CALL``.
 
+    With ``reference`` fragments both sides are normalised first, so that equal variants meet however they are written.
+
     One sample of either side is scored, the first by name unless ``sample`` and ``truth_sample`` name
     others; with ``match_sample`` every sample is scored against its namesake instead. Variants are
     reduced to one row per key before the join, so each key meets once.
@@ -48,6 +52,7 @@ def concordance_table(
 
     def side(genotypes: DataFrame, name: str, chosen: str | None) -> DataFrame:
         rows = genotypes if match_sample else one_sample(genotypes, chosen)
+        rows = rows if reference is None else normalized(rows, reference)
         rows = select_variants(_call_type(rows), exclude_snvs, exclude_indels, contig)
         return rows.groupBy(*keys).agg(F.max(_type_name()).alias(name))
 

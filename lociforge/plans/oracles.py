@@ -87,6 +87,14 @@ def _overlaid(name: str, source: str, order: str = "0") -> str:
 {_merged(name, name + '_p', 'contig, v')}"""
 
 
+def _log_copies(k: int, ploidy: int) -> str:
+    """Integer log of k copies (1 - e) and the others e, per element; null where it is impossible."""
+    return (
+        f"CAST(floor(ln(CASE WHEN {k} * (1 - pow(10, -q / 10.0)) + {ploidy - k} * pow(10, -q / 10.0) > 0 "
+        f"THEN {k} * (1 - pow(10, -q / 10.0)) + {ploidy - k} * pow(10, -q / 10.0) END) * {_LOG} + 0.5) AS BIGINT)"
+    )
+
+
 _WIDE = """
 rg AS (
   SELECT 'chr' || (1 + o_custkey % 4) AS contig, (o_orderkey * 7919 + o_custkey * 31) % 200000000 AS s,
@@ -558,6 +566,39 @@ SELECT called, truth, variants FROM mt""",
     "concordance_scores": f"""{_threshold(8, False)}, {_TRUTH}, {_matched("sample = 'tumor'")}, {_SCORES}""",
     "call_filter_write_evaluate": f"""{_bayes()}, {_TRUTH},
 {_matched("sample = 'normal' AND read_depth > 20 AND alt_read_depth > 10")}, {_SCORES}""",
+    "normalized_deletions": f"""WITH v AS (
+  SELECT 1 + l_suppkey % 4 AS c, (l_partkey * 37 + l_linenumber * 11) % 1900 + 20 AS p0, 1 + l_linenumber % 3 AS m,
+         count(*) AS n FROM lineitem GROUP BY ALL),
+j AS (SELECT *, unnest(range(0, p0)) AS q FROM v),
+k AS (SELECT c, p0, m, n, max(q) FILTER ({_letter('q', 0)} <> {_letter('(q + m)', 0)}) + 1 AS p FROM j GROUP BY c, p0, m, n)
+SELECT 'chr' || c AS contig, CAST(p AS BIGINT) AS pos,
+       substr({_letter('p', 0)} || {_letter('(p + 1)', 0)} || {_letter('(p + 2)', 0)}, 1, CAST(m AS INT)) AS ref, '' AS alt, {_big('sum(n)', 'n')}
+FROM k GROUP BY ALL""",
+    "tetraploid_genotypes": f"""{ELEMENTS},
+s AS (
+  SELECT contig, locus, sample, allele, count(*) AS n, max(ref_base) AS ref, count(*) FILTER (q <= 0) AS zero,
+         {', '.join(f"sum({_log_copies(k, 4)}) AS s{k}" for k in range(5))}
+  FROM el WHERE mapq > 30 GROUP BY ALL),
+l AS (SELECT contig, locus, sample, sum(s0) AS base, sum(n) AS depth, max(ref) AS ref FROM s GROUP BY ALL),
+a AS (SELECT contig, locus, sample, allele, s.zero, s1 - s0 AS g1, s2 - s0 AS g2, s3 - s0 AS g3, s4 - s0 AS g4 FROM s),
+g AS (
+  SELECT x.contig, x.locus, x.sample, [x.allele, y.allele, z.allele, w.allele] AS genotype,
+         CASE WHEN y.allele = x.allele AND z.allele = x.allele AND w.allele = x.allele THEN x.g4
+              WHEN y.allele = x.allele AND z.allele = x.allele THEN x.g3 + w.g1
+              WHEN y.allele = x.allele THEN x.g2 + CASE WHEN z.allele = w.allele THEN z.g2 ELSE z.g1 + w.g1 END
+              ELSE x.g1 + CASE WHEN y.allele = z.allele AND z.allele = w.allele THEN y.g3
+                               WHEN y.allele = z.allele THEN y.g2 + w.g1
+                               WHEN z.allele = w.allele THEN y.g1 + z.g2 ELSE y.g1 + z.g1 + w.g1 END END AS gain
+  FROM a x JOIN a y ON y.contig = x.contig AND y.locus = x.locus AND y.sample = x.sample AND y.allele >= x.allele
+  JOIN a z ON z.contig = x.contig AND z.locus = x.locus AND z.sample = x.sample AND z.allele >= y.allele
+  JOIN a w ON w.contig = x.contig AND w.locus = x.locus AND w.sample = x.sample AND w.allele >= z.allele),
+bst AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY contig, locus, sample ORDER BY gain DESC, genotype) = 1),
+o AS (SELECT bst.*, base, depth, ref, list_filter(genotype, lambda t: t <> ref)[1] AS alt FROM bst JOIN l USING (contig, locus, sample))
+SELECT contig, {_big('locus', 'locus')}, sample, array_to_string(genotype, '/') AS genotype, {_big('depth', 'depth')},
+       round((base + gain) / {_LOG}::DOUBLE - depth * ln(4.0::DOUBLE), 6) AS log_likelihood,
+       array_to_string(list_sort(list_transform(genotype, lambda t: CASE WHEN t = ref THEN '0Ref' WHEN t = alt THEN '1Alt' ELSE '2OtherAlt' END)), '/')
+         .regexp_replace('[0-9]', '', 'g') AS calls
+FROM o""",
     "variant_types": f"""{_bayes()}
 SELECT contig, CASE WHEN length(alt) > length(ref) THEN 'INS' ELSE 'DEL' END AS type, count(*) AS n
 FROM gt WHERE length(alt) <> length(ref) GROUP BY ALL""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociforge.functions import bases, cigar, genotypes, md, quality
-from lociforge.operators import filters, intervals, metrics, overlap, pileup, split
+from lociforge.operators import filters, intervals, metrics, overlap, pileup, split, variants
 from lociforge.plans import callers, concordance, views
 from lociforge.sources import fasta, genotypes as genotype_source, loci, sam
 
@@ -457,6 +457,22 @@ def call_filter_write_evaluate(spark, d):
     return _scores(concordance.evaluate(found, views.truth(spark, d), exclude_indels=True, sample="normal"))
 
 
+@query
+def normalized_deletions(spark, d):
+    """Deletions written at many places and with bases around them, counted at their leftmost place."""
+    found = variants.normalized(views.written_deletions(spark, d), views.reference(spark, d))
+    return found.groupBy("contig", "pos", "ref", "alt").agg(_count())
+
+
+@query
+def tetraploid_genotypes(spark, d):
+    """The most likely genotype of four copies per locus and sample."""
+    alleles = callers.copy_evidence(pileup.elements(pileup.by_neighbourhood(views.reads(spark, d))).filter("mapq > 30"), 4)
+    best = callers.most_likely_copies(alleles, 4)
+    return best.select("contig", "locus", "sample", F.array_join("genotype", "/").alias("genotype"), F.round("log_likelihood", 6).alias("log_likelihood"),
+                       F.array_join("calls", "/").alias("calls"), "depth")
+
+
 @query
 def variant_types(spark, d):
     """Called variants per type and contig, after the type filter."""

@@ -258,6 +258,19 @@ def wide_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def written_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deletion of 1 to 3 bases for each row of ``lineitem``, written with up to two bases around it."""
+    letters = [_letter(f"(at + {k})", 0) for k in range(6)]
+    rows = table(spark, sf_dir, "lineitem").selectExpr(
+        "1 + l_suppkey % 4 AS c", "(l_partkey * 37 + l_linenumber * 11) % 1900 + 20 AS p", "1 + l_linenumber % 3 AS m", "l_orderkey % 3 AS left",
+        "l_orderkey % 2 AS right",
+    ).selectExpr("c", "m", "left", "right", "p - left AS at").selectExpr("*", f"concat({', '.join(letters)}) AS text")
+    return rows.selectExpr(
+        "concat('chr', cast(c AS STRING)) AS contig", "at AS pos", "substring(text, 1, int(left + m + right)) AS ref",
+        "concat(substring(text, 1, int(left)), substring(text, int(left + m) + 1, int(right))) AS alt",
+    )
+
+
 def wide_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A locus for each row of ``lineitem``, over the stretch of :func:`wide_ranges`."""
     return table(spark, sf_dir, "lineitem").selectExpr(

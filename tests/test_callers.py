@@ -1,5 +1,6 @@
 import math
 import random
+from itertools import combinations_with_replacement
 
 import pytest
 from pyspark.sql import functions as F
@@ -254,3 +255,44 @@ def test_clustered_and_stored_order_agree(spark):
     df = reads_df(spark, *[make_read(*PLAIN, mapq=40)] * 6, *[make_read(*SNV, mapq=40)] * 6)
     assert calls(callers.threshold_calls(df, cluster=False)) == calls(callers.threshold_calls(df))
     assert calls(callers.bayes_calls(df, cluster=False)) == calls(callers.bayes_calls(df))
+
+
+@pytest.mark.parametrize("ploidy", [1, 2, 3, 4, 8])
+def test_any_ploidy_equals_enumeration(spark, ploidy):
+    """The knapsack over copies against all genotypes, ties and quality 0 included."""
+    rng = random.Random(ploidy)
+    rows = []
+    for locus in range(25):
+        for _ in range(rng.randint(1, 12)):
+            rows.append(("c", locus, "s", rng.choice(["A", "C", "", "GT"][: rng.randint(1, 4)]), rng.choice([0, 2, 10, 30, 30]), True, "A"))
+    data = spark.createDataFrame(rows, "contig string, locus long, sample string, allele string, q int, fwd boolean, ref_base string")
+    got = {r.locus: r for r in callers.most_likely_copies(callers.copy_evidence(data, ploidy), ploidy).collect()}
+    for locus in range(25):
+        mine = [r for r in rows if r[1] == locus]
+        best = None
+        for genotype in combinations_with_replacement(sorted({r[3] for r in mine}), ploidy):
+            total = 0
+            for r in mine:
+                e, k = 10.0 ** (-r[4] / 10.0), genotype.count(r[3])
+                p = k * (1.0 - e) + (ploidy - k) * e
+                total += math.floor(math.log(p) * 1e9 + 0.5) if p > 0 else -math.inf
+            if total > -math.inf and (best is None or total > best[0]):
+                best = (total, genotype)
+        if best is None:
+            assert got[locus].genotype == [min(r[3] for r in mine)] * ploidy and got[locus].log_likelihood == -math.inf
+            continue
+        assert tuple(got[locus].genotype) == best[1]
+        assert got[locus].log_likelihood == pytest.approx(best[0] / 1e9 - len(mine) * math.log(ploidy), abs=1e-9)
+        names = ["Ref"] * best[1].count("A")
+        others = [a for a in best[1] if a != "A"]
+        names += ["Alt"] * others.count(others[0]) + ["OtherAlt"] * (len(others) - others.count(others[0])) if others else []
+        assert got[locus].calls == names
+
+
+def test_two_copies_are_the_diploid_caller(spark):
+    rng = random.Random(3)
+    rows = [("c", locus, "s", rng.choice("ACG"), rng.choice([5, 20, 40]), 60, True, "A") for locus in range(60) for _ in range(rng.randint(1, 9))]
+    data = spark.createDataFrame(rows, "contig string, locus long, sample string, allele string, q int, mapq int, fwd boolean, ref_base string")
+    two = {r.locus: tuple(r.genotype) for r in callers.most_likely_copies(callers.copy_evidence(data, 2), 2).collect()}
+    plain = {r.locus: (r.a1, r.a2) for r in callers.most_likely_genotypes(callers.allele_evidence(data)).collect()}
+    assert two == plain
