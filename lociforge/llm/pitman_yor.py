@@ -161,13 +161,22 @@ def packed_pairs(
     before[1:] = code[:-1]
     starts = np.cumsum(sizes) - sizes
     before[starts] = np.searchsorted(ids, END)
-    before <<= 32
-    before |= code
-    order = np.argsort(before)
-    key = before[order]
-    del before, code
-    owner = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)[order]
-    del order
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    # pairs in order, and the texts of a pair in order: one number holds all three where it can
+    wide, low = int(len(ids) - 1).bit_length(), int(len(sizes) - 1).bit_length()
+    if 2 * wide + low < 64:
+        before <<= wide + low
+        before |= code << low
+        before |= owner
+        before.sort()
+        owner = before & ((1 << low) - 1)
+        x, y = before >> (wide + low), (before >> low) & ((1 << wide) - 1)
+        del before, code
+        key = x << 32 | y
+    else:
+        order = np.lexsort((owner, code, before))
+        key, owner = (before << 32 | code)[order], owner[order]
+    owner = owner.astype(np.uint32)
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     n = np.diff(np.append(first, len(key))).astype(np.uint32)
     if about is None:
@@ -184,7 +193,11 @@ def packed_pairs(
         if about is not None:
             count = n[mine].astype(np.int64)
             place = np.repeat(first[mine] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            parts += [owner[place], *about]
+            texts = owner[place]  # as steps within each pair
+            step = np.diff(texts, prepend=np.uint32(0))
+            begin = np.cumsum(count) - count
+            step[begin] = texts[begin]
+            parts += [step, *about]
             about = tuple(a[:0] for a in about)
         yield b, pack(*parts)
 
@@ -489,11 +502,21 @@ def spoken(trained: Trained) -> DataFrame:
 
 # --- scores ---------------------------------------------------------------------------------------
 
-SCORED = "row long, doc_id long, learned boolean, n_tokens long, n_known long, base_score double, score double"
+#: Units of the sums of logarithms on their way.
+UNIT = 10**10
+PART = "base long, data binary"
+SCORED = "doc_id long, learned boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def texts_of(step: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The texts of the tokens of each pair from the steps between them."""
+    whole = np.cumsum(step, dtype=np.int64)
+    begin = np.cumsum(many.astype(np.int64)) - many
+    return whole - np.repeat(np.append(0, whole)[begin], many)
 
 
 def score_bucket(model: Model, models: list[Model], group: pa.Table) -> pa.Table:
-    """What the tokens of a bucket add to their texts, from the blocks of the bucket and what is known of its pairs and words."""
+    """What the tokens of a bucket add to their texts, packed by block, from the blocks and what is known of its pairs and words."""
     told = by_kind(group, "part")
     heard = [unpack(data) for _, data in told.get("word", [])]
     ids = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(h[0], dtype=np.uint64) for h in heard)])
@@ -521,7 +544,7 @@ def score_bucket(model: Model, models: list[Model], group: pa.Table) -> pa.Table
     order = np.argsort(key)
     key, count, tables = key[order], np.append(count[order], 0.0), [np.append(t[order], 0.0) for t in tables]
 
-    out = []
+    out: list[tuple[int, bytes]] = []
     for base, data in zip(*(group.filter(pc.equal(group.column("kind"), "block")).column(k).to_pylist() for k in ("base", "data"))):
         known, x, y, many, owner, doc, flags = unpacked(data)
         at = place(known)
@@ -535,23 +558,29 @@ def score_bucket(model: Model, models: list[Model], group: pa.Table) -> pa.Table
             chance += (count[found] - model.discount * tables[k][found] + new * p[k][y]) / (STRENGTH + c[x])
         logs = np.log10(chance / len(models))
         plain_logs = np.log10((c[y] + 0.5) / (model.tokens + 0.5 * (model.vocabulary + 1)))
-        size = max(int(owner.max()) + 1, len(doc))
+        owner = texts_of(owner, many)
         token = np.repeat(np.arange(len(want)), many)
-        sums = [np.bincount(owner, values, size) for values in (None, (c[y] > 0)[token], plain_logs[token], logs[token])]
-        mine = np.flatnonzero((sums[0] > 0) | (np.arange(size) < len(doc)))
-        has = np.zeros(size, bool)
-        has[: len(doc)] = flags & 1
-        ident, learned = np.zeros(size, np.int64), np.zeros(size, bool)
-        ident[: len(doc)], learned[: len(doc)] = doc, flags & 2
-        told = mine < len(doc)
-        out.append(pa.table({
-            "row": base + mine, "doc_id": pa.array(ident[mine], pa.int64(), mask=~has[mine]),
-            "learned": pa.array(learned[mine], pa.bool_(), mask=~told), "n_tokens": sums[0][mine].astype(np.int64),
-            "n_known": sums[1][mine].astype(np.int64), "base_score": sums[2][mine].astype(float), "score": sums[3][mine].astype(float),
-        }))
-    empty = pa.table({"row": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "learned": pa.array([], pa.bool_()),
-                      "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
-    return pa.concat_tables([empty, *out])
+        sums = [np.bincount(owner, values) for values in (None, (c[y] > 0)[token], plain_logs[token], logs[token])]
+        mine = np.flatnonzero(sums[0])
+        tokens, seen = (v[mine].astype(np.uint32) for v in sums[:2])
+        fixed = [np.rint(v[mine] * UNIT).astype(np.int64) for v in sums[2:]]
+        out.append((base, pack(rising(mine.astype(np.uint32)), tokens, seen, *fixed, doc, flags)))
+    return pa.table({"base": pa.array([o[0] for o in out], pa.int64()), "data": pa.array([o[1] for o in out], pa.binary())})
+
+
+def added_up(group: pa.Table) -> pa.Table:
+    """The texts of a chunk from what its buckets give: the sums of all, and the one part that tells their ids."""
+    parts = [unpack(data) for data in group.column("data").to_pylist()]
+    doc, flags = next(p[5:] for p in parts if len(p[5]))
+    sums = np.zeros((4, len(doc)), np.int64)
+    for at, *values in parts:
+        at = np.cumsum(at, dtype=np.int64)
+        for k in range(4):
+            sums[k, at] += values[k]
+    return pa.table({
+        "doc_id": pa.array(doc, pa.int64(), mask=flags & 1 == 0), "learned": pa.array(flags & 2 != 0), "n_tokens": sums[0], "n_known": sums[1],
+        "base_score": sums[2] / UNIT, "score": sums[3] / UNIT,
+    })
 
 
 def score(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -579,8 +608,8 @@ def score(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_col: st
             known = known.unionByName(seats.withColumn("kind", F.lit(f"seats_{k}")))
         feed = feed.unionByName(known.withColumn("base", F.lit(None).cast("long")))
     model = models[0]
-    found = feed.groupBy("bucket").applyInArrow(lambda group: score_bucket(model, models, group), SCORED)
-    return found.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), (~F.max("learned")).alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"),
-    ).drop("row")
+    found = feed.groupBy("bucket").applyInArrow(lambda group: score_bucket(model, models, group), PART)
+    return found.groupBy("base").applyInArrow(added_up, SCORED).select(
+        "doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score", "score",
+    )
