@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociforge.llm.words import BASES, names, plain, slices, split
+from lociforge.llm.words import BASES, plain, slices, split, string_hashes
 
 CAPACITY = 4096
 END_OF_DOCUMENT = 2
@@ -30,9 +30,11 @@ PIECE = 1024
 #: Tokens a pool gathers before it is divided into windows.
 POOL_TOKENS = 1 << 20
 #: Word parts whose ids a worker remembers (about 50 bytes each); a full memory is emptied.
-REMEMBERED = 4_000_000
+REMEMBERED = 500_000
 #: Text tokenised at a time.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 1 << 20
+#: Tokenised slices after which freed Arrow memory goes back to the system.
+RELEASE_EVERY = 16
 #: A special token of the vocabulary, set between parts to encode many at once.
 MARK = "<|startoftext|>"
 PUNCTUATION = np.zeros(256, bool)
@@ -101,7 +103,7 @@ class WordTokenizer:
         flat, starts = cut_marks(*split(texts))
         coded = flat.dictionary_encode()
         parts = coded.dictionary
-        key, check = names(parts, BASES[0]), names(parts, BASES[1])
+        key, check = string_hashes(parts, *BASES)
         if len(self.key) > REMEMBERED:
             self.forget()
         place = self.look_up(key, check)
@@ -229,7 +231,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
         for batch in batches:
             texts, owners = plain(batch.column(1)), batch.column(0).to_pylist()
-            for a, b in slices(texts, TEXT_BYTES):
+            for turn, (a, b) in enumerate(slices(texts, TEXT_BYTES), start=1):
+                if turn % RELEASE_EVERY == 0:
+                    pa.default_memory_pool().release_unused()
                 ids, starts = coder.encode(texts.slice(a, b - a))
                 full = []
                 for doc, begin, end in zip(owners[a:b], starts[:-1].tolist(), starts[1:].tolist()):
