@@ -126,18 +126,21 @@ def measures(text: Column) -> Column:
     return values(text)
 
 
-def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct ``_ledger`` of the measurements and the failure bits ``bits``.
+def ledger(docs: DataFrame, text_col: str = "text", name: str = "_ledger") -> DataFrame:
+    """``docs`` with a struct ``name`` of the measurements and the failure bits ``bits``.
 
-    A null text counts as empty. Rows, their order and other columns stay, whatever their names.
+    A null text counts as empty. Rows, their order and other columns stay, whatever their names; a column
+    called ``name`` raises ``ValueError``, see ``store.free_name`` for one that is free.
     """
-    measured = docs.withColumn("_ledger", measures(F.col(text_col)))
-    row = F.col("_ledger")
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table has a column {name} already")
+    measured = docs.withColumn(name, measures(F.col(text_col)))
+    row = F.col(name)
     bits = F.lit(0).cast("long")
     for rule in RULES:
-        fails = F.expr(_of(rule.fails, "_ledger"))
+        fails = F.expr(_of(rule.fails, name))
         bits = bits.bitwiseOR(F.when(fails, F.lit(BIT[rule.name])).otherwise(F.lit(0)).cast("long"))
-    return measured.withColumn("_ledger", F.struct(*[row[m].alias(m) for m in MEASURES], bits.alias("bits")))
+    return measured.withColumn(name, F.struct(*[row[m].alias(m) for m in MEASURES], bits.alias("bits")))
 
 
 def _of(condition: str, struct: str) -> str:

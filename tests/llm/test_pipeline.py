@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from test_packing import want
 from test_pii import brute as brute_pii
 from test_quality import brute as brute_quality
+from test_resemblance import brute_set
 from test_simhash import brute_components, brute_print
 
 import __spark_entry__
@@ -39,11 +40,26 @@ def test_quality_stage(stages):
 
 
 def test_near_duplicate_stage(stages):
+    """One document of each component stays: links within 3 bits or from a 5-word similarity of 0.8."""
     _, found, _ = stages
-    ids = [r.doc_id for r in found[0]]
-    comps = brute_components(ids, [brute_print(r.text) for r in found[0]])
+    rows = found[0]
+    prints, sets = [brute_print(r.text) for r in rows], [brute_set(r.text) for r in rows]
+    linked = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3 or 5 * len(sets[i] & sets[j]) >= 4 * max(1, len(sets[i] | sets[j]))
+    comps = brute_components([r.doc_id for r in rows], linked)
     assert sorted(r.doc_id for r in found[1]) == sorted(set(comps))
-    assert set(found[1]) <= set(found[0])
+    assert set(found[1]) <= set(rows)
+
+
+def test_stages_keep_odd_columns(llm):
+    """Columns called like our own, with dots and with back ticks stay as they are."""
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, text + " mail jo@example.com", "src", "en", 7, "x", "y", "z"), (2, None, None, None, None, None, None, None)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string, source string, lang string, _ledger int, `a.b` string, `c``d` string, row string")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(llm, docs, SF)
+        assert out.columns == docs.columns
+        row = out.filter("doc_id = 1").first()
+        assert tuple(row)[2:] == ("src", "en", 7, "x", "y", "z")
 
 
 def test_personal_data_stage(stages):
@@ -88,7 +104,7 @@ def test_clean_documents_stay(llm):
 def test_run_is_registered(llm):
     queries = __spark_entry__.queries()
     assert sorted(n for n in queries if n.startswith("op")) == sorted(
-        ["op1_mixing", "op2_pii", "op3_packing", "op4_warc", "op5_quality_rules", "op6_simhash", "op7_fingerprints", "op8_url_filters", "op9_substring_dedup", "op10_licences"]
+        ["op1_mixing", "op2_pii", "op3_packing", "op4_warc", "op5_quality_rules", "op6_simhash", "op7_fingerprints", "op8_url_filters", "op9_substring_dedup", "op10_licences", "op11_language_model", "op12_collocations", "op13_conversations"]
     )
     assert queries["pipeline"](llm, SF).count() > 0
 

@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline
 from lociforge.llm import resemblance
+from test_simhash import brute_components
 
 
 def brute_set(text):
@@ -54,3 +55,36 @@ def test_large_groups_and_odd_rows(llm):
     got = corpus_pipeline.near_duplicates(llm, docs, "").collect()
     assert sorted(str(r.doc_id) for r in got) == ["0", "200", "202", "204", "None"]
     assert corpus_pipeline.near_duplicates(llm, docs.filter("doc_id > 900"), "").collect() == []
+
+
+@pytest.mark.parametrize("texts, size, changes", [(300, 300, 5), (400, 200, 4)])
+def test_common_bands_lose_no_near_copy(llm, texts, size, changes):
+    """A family of texts of which few are near copies of each other: groups as by all pairs."""
+    rng = random.Random(texts)
+    words = [f"w{k}" for k in range(size)]
+    rows = [(k, edited(rng, words, changes)) for k in range(texts)]
+    sets = [brute_set(t) for _, t in rows]
+    linked = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    comps = brute_components([k for k, _ in rows], linked)
+    assert 5 < texts - len(set(comps)) < texts - 100
+    docs = llm.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    hashed = docs.selectExpr("doc_id", "xxhash64(text) text_hash").selectExpr("*", "text_hash root")
+    got = {r.doc_id: r.root for r in resemblance.joined_groups(docs, hashed).collect()}
+    for i in range(texts):
+        for j in range(i):
+            assert (got[i] == got[j]) == (comps[i] == comps[j])
+
+
+def test_blocks_of_a_common_band(llm, monkeypatch):
+    """A band value divided into blocks: each two blocks meet."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, edited(rng, words, rng.randint(0, 2))) for k in range(80)]
+    monkeypatch.setattr(resemblance, "BLOCK", 400)
+    monkeypatch.setattr(resemblance, "DRAWN", 1)
+    docs = llm.createDataFrame(rows, "doc_id long, text string")
+    hashed = docs.selectExpr("doc_id", "xxhash64(text) text_hash").selectExpr("*", "text_hash root")
+    got = {r.doc_id: r.root for r in resemblance.joined_groups(docs, hashed).collect()}
+    sets = [brute_set(t) for _, t in rows]
+    comps = brute_components([k for k, _ in rows], lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    assert len(set(got.values())) == len(set(comps))

@@ -18,7 +18,12 @@ def brute_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(ids, prints):
+def close(prints):
+    return lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3
+
+
+def brute_components(ids, linked):
+    """The least id of each row's component; ``linked`` tells whether rows i and j are linked."""
     root = list(range(len(ids)))
 
     def find(i):
@@ -28,7 +33,7 @@ def brute_components(ids, prints):
 
     for i in range(len(ids)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 3:
+            if linked(i, j):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     least = {}
@@ -133,7 +138,7 @@ def test_near_duplicates_match_brute_force(llm):
     docs = llm.createDataFrame(rows, "doc_id long, text string, print string").repartition(7)
     got = sorted((r.doc_id is None, r.doc_id or 0, r.print, r.component_id) for r in simhash.near_duplicates(docs).collect())
     prints = [brute_print(t or "") for _, t, _ in rows]
-    want = brute_components([r[0] for r in rows], prints)
+    want = brute_components([r[0] for r in rows], close(prints))
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     assert got == sorted((r[0] is None, r[0] or 0, p, c) for r, p, c in zip(rows, signed, want))
 
@@ -144,7 +149,7 @@ def test_one_of_each_keeps_a_document_of_every_component(llm):
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
     prints = [brute_print(t or "") for _, t, _ in rows]
-    comps = brute_components([r[0] for r in rows], prints)
+    comps = brute_components([r[0] for r in rows], close(prints))
     want = sorted({c for c in comps if c is not None})
     got = [r.doc_id for r in kept.collect()]
     assert sorted(g for g in got if g is not None) == want
