@@ -1,13 +1,13 @@
 """Fingerprints of improbable features in chained Bloom filters.
 
-A feature is a window of 64 bytes. Its rank is how rare its entropy is among all windows of the
-corpus, rarest first; a Spark job counts them. In each run of 64 consecutive features the one of
-least rank (the leftmost on ties) scores a point, and features with 16 points or more are selected:
-the locally most improbable ones. Their hashes set 5 bits each in a filter of 2048 bits; after 160
-features the next filter of the chain begins. Two fingerprints are compared filter by filter: the
-bits shared beyond what chance gives, divided by the most that could be shared; each filter of the
-shorter chain counts with its best partner, and the mean, weighted by bits, is the likeness. Short texts
-have all their windows of 8 bytes as features; a longer text beside a short one is compared by those too.
+A feature is a window of 16 bytes; a text under 16 bytes is one feature as a whole. The rank of a window is how
+rare its entropy is among all windows of the corpus, rarest first; a Spark job counts them. In each run of 16
+consecutive windows the one of least rank (the leftmost on ties) scores a point, and windows with 4 points
+or more are selected: the locally most improbable ones. Where no window has so many, the first of most points is.
+Their hashes set 5 bits each in a filter of 2048 bits; after 160 features the next filter of the chain begins. Two
+fingerprints are compared filter by filter: the bits shared beyond what chance gives, divided by the most that could
+be shared; each filter of the shorter chain counts with its best partner, and the mean, weighted by bits,
+is the likeness. It is the same for texts of all lengths and depends on the two fingerprints only.
 """
 
 from __future__ import annotations
@@ -21,22 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociforge.llm.words import BASES, mix, plain, slices, sums
+from lociforge.llm.words import BASES, mix, plain, slices
 
-WINDOW = 64
-RUN = 64
-POINTS = 16
+WINDOW = 16
+RUN = 16
+POINTS = 4
 LEVELS = 1000
 FILTER_BITS = 2048
 FILTER_BYTES = FILTER_BITS // 8
 FILTER_FEATURES = 160
 HASHES = 5
-#: Texts under so many code points have too few rare windows: all their windows of 8 bytes count.
-SHORT_TEXT = 512
-SHORT_WINDOW = 8
-#: Code points of a longer text that are taken at once for its windows of 8 bytes.
-STRETCH = 1 << 18
 SLICE = 1 << 20
+#: Rows to a stretch of ids.
+STRETCH_ROWS = 8192
 LOWEST = -(1 << 63)
 
 _fixed = np.round((1 << 20) * np.arange(WINDOW + 2) * np.log2(np.maximum(np.arange(WINDOW + 2), 1))).astype(np.int64)
@@ -46,20 +43,20 @@ GROW, SHRINK = np.diff(_fixed), -np.diff(_fixed)  # of count c: to c + 1; of cou
 # --- features -------------------------------------------------------------------------------------
 
 def levels(data: np.ndarray) -> np.ndarray:
-    """Entropy of each window of 64 bytes, from 0 to 1000 (6 bits, the most that 64 bytes can have)."""
+    """Entropy of each window, from 0 to 1000 (4 bits, the most that 16 bytes can have)."""
     n = len(data)
     if n < WINDOW:
         return np.zeros(0, np.int64)
     before, after = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
     for lag in range(1, WINDOW):
         same = (data[lag:] == data[:-lag]).view(np.uint8)
-        before[lag:] += same  # equal bytes among the 63 before; before byte 63 among all
+        before[lag:] += same  # equal bytes among those before in a window
         after[:-lag] += same
     total = np.empty(n - WINDOW + 1, np.int64)
     total[0] = _fixed[np.bincount(data[:WINDOW], minlength=256)].sum()
     total[1:] = SHRINK[after[: n - WINDOW]] + GROW[before[WINDOW:]]
     np.cumsum(total, out=total)
-    most = WINDOW * 6 << 20
+    most = WINDOW * (WINDOW.bit_length() - 1) << 20
     return ((most - total) * LEVELS + most // 2) // most
 
 
@@ -103,60 +100,44 @@ def selected(data: np.ndarray, starts: np.ndarray, rank: np.ndarray) -> np.ndarr
     doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[:n]
     winner = best & ((1 << 40) - 1)
     counts = inside & (doc[winner] == doc) & (best < 1 << 60)
-    return np.flatnonzero(np.bincount(winner[counts], minlength=n) >= POINTS)
-
-
-def hashes_of(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the 64 bytes from each place."""
-    lanes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, WINDOW)[begin]).view(np.uint64)
-    out = np.zeros(len(begin), np.uint64)
+    points = np.bincount(winner[counts], minlength=n)
+    enough = points >= POINTS
+    # a text without such a window has its first one of most points
+    has = np.zeros(len(starts) - 1, bool)
+    has[doc[enough]] = True
+    rest = np.flatnonzero((points > 0) & ~has[doc])
+    best = rest[np.lexsort((rest, -points[rest], doc[rest]))]
+    first = best[np.flatnonzero(np.diff(doc[best], prepend=-1))]
+    return np.sort(np.concatenate([np.flatnonzero(enough), first]))
+
+
+def hashes_of(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of up to 16 bytes from each place, ``size`` of them."""
+    padded = np.concatenate([data, np.zeros(WINDOW, np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[begin] * (np.arange(WINDOW) < size[:, None]).astype(np.uint8)
+    lanes = np.ascontiguousarray(rows).view(np.uint64)
+    out = size.astype(np.uint64)
     for k in range(WINDOW // 8):
-        out = mix(out * np.uint64(BASES[0]) + lanes[:, k] + np.uint64(k + 1))
+        out = mix(out * np.uint64(BASES[0]) + mix(lanes[:, k] + np.uint64(k + 1)))
     return out
 
 
-def short_hashes(data: np.ndarray, starts: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of 8 bytes of the short texts, in order, and their texts; under 8 bytes, the whole text."""
-    size = np.diff(starts)
-    many = np.where(short & (size > 0), np.maximum(size - SHORT_WINDOW + 1, 1), 0)
-    doc = np.repeat(np.arange(len(size)), many)
-    begin = starts[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
-    padded = np.concatenate([data, np.zeros(SHORT_WINDOW, np.uint8)])
-    value = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, SHORT_WINDOW)[begin]).view(np.uint64)[:, 0]
-    left = np.minimum(starts[doc + 1] - begin, SHORT_WINDOW).astype(np.uint64)
-    value = value & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (np.uint64(SHORT_WINDOW) - left)))
-    return mix(mix(value) + left), doc
-
-
 def fingerprints(texts: pa.Array, rank: np.ndarray) -> list[bytes]:
     """The filters of each text, one after the other; an empty text has none."""
-    return families(texts, rank)[0]
-
-
-def families(texts: pa.Array, rank: np.ndarray, all_short: bool = False) -> tuple[list[bytes], list[bool]]:
-    """The filters of each text and whether they hold its windows of 8 bytes, as those of all texts do on demand."""
     out: list[bytes] = []
-    kinds: list[bool] = []
     for a, b in slices(texts, SLICE):
         data, starts = bytes_of(texts.slice(a, b - a))
-        chars = sums((data & 0xC0) != 0x80, starts)
-        short = ((chars < SHORT_TEXT) | all_short) & (chars > 0)
-        begin = np.zeros(0, np.int64) if all_short else selected(data, starts, rank)
+        size = np.diff(starts)
+        tiny = np.flatnonzero((size > 0) & (size < WINDOW))
+        begin = np.concatenate([selected(data, starts, rank), starts[tiny]])
         doc = np.searchsorted(starts, begin, side="right") - 1
-        begin, doc = begin[~short[doc]], doc[~short[doc]]
-        # a long text without a rare window, such as one character repeated, is taken as a short one
-        short |= (np.bincount(doc, minlength=b - a) == 0) & (chars > 0)
-        hashes, own = short_hashes(data, starts, short)
-        if len(begin):
-            hashes, doc = np.concatenate([hashes_of(data, begin), hashes]), np.concatenate([doc, own])
-        else:
-            doc = own
+        hashes = hashes_of(data, begin, np.minimum(size[doc], WINDOW))
         # features of a text once each, in their order
-        by = np.lexsort((np.arange(len(doc)), hashes, doc))
+        by = np.lexsort((begin, hashes, doc))
         first = np.ones(len(by), bool)
         first[1:] = (hashes[by[1:]] != hashes[by[:-1]]) | (doc[by[1:]] != doc[by[:-1]])
-        keep = np.sort(by[first])
-        keep = keep[np.argsort(doc[keep], kind="stable")]
+        keep = by[first]
+        keep = keep[np.lexsort((begin[keep], doc[keep]))]
         hashes, doc = hashes[keep], doc[keep]
         count = np.bincount(doc, minlength=b - a)
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
@@ -169,28 +150,7 @@ def families(texts: pa.Array, rank: np.ndarray, all_short: bool = False) -> tupl
         packed = np.packbits(bits, axis=1, bitorder="little").tobytes()
         ends = (base + chains) * FILTER_BYTES
         out += [packed[s:e] for s, e in zip((base * FILTER_BYTES).tolist(), ends.tolist())]
-        kinds += short.tolist()
-    return out, kinds
-
-
-def short_print(text: str) -> bytes:
-    """The filters of a text by its windows of 8 bytes, in stretches that bound the memory of a long one."""
-    none = np.zeros(LEVELS + 1, np.int64)
-    parts = [text[k : k + STRETCH + SHORT_WINDOW - 1] for k in range(0, len(text), STRETCH)]
-    return b"".join(families(pa.array([part], pa.string()), none, all_short=True)[0][0] for part in parts)
-
-
-def likenesses(pairs: list[tuple[dict, dict]]) -> list[float]:
-    """The likeness of the texts of each pair (``text``, ``print``, ``short``), by windows that both sides have.
-
-    Windows of 8 bytes and rare windows of 64 have no hashes in common. Where one side has the former
-    and the other the latter, that one's windows of 8 bytes are compared.
-    """
-    found = []
-    for pair in pairs:
-        mixed = pair[0]["short"] != pair[1]["short"] and all(side["print"] for side in pair)
-        found.append(likeness(*(short_print(side["text"]) if mixed and not side["short"] else side["print"] for side in pair)))
-    return found
+    return out
 
 
 def likeness(one: bytes, two: bytes) -> float:
@@ -249,7 +209,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     ).select("doc_id", "id", F.xxhash64("text").alias("tie"), "text")
-    parts = 8 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // STRETCH_ROWS))
     cuts = rows.agg(F.percentile_approx("id", [(k + 1) / parts for k in range(parts - 1)], 10 * parts)).first()[0]
     bounds = np.unique(np.array(cuts or [], np.int64))
 
@@ -291,9 +251,9 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             for a, b in slices(batch.column(batch.schema.get_field_index("text")), SLICE):
                 part = batch.slice(a, b - a).to_pydict()
-                prints, short = families(pa.array(part["text"], pa.string()), rank)
-                rows = [dict(zip(("stretch", "doc_id", "text", "ahead", "print", "short"), r)) for r in zip(
-                    part["stretch"], part["doc_id"], part["text"], part["ahead"], prints, short)]
+                prints = fingerprints(pa.array(part["text"], pa.string()), rank)
+                names = ("stretch", "doc_id", "text", "ahead", "print")
+                rows = [dict(zip(names, r)) for r in zip(part["stretch"], part["doc_id"], part["text"], part["ahead"], prints)]
                 if held is not None:
                     rows.insert(0, held)
                 held = rows[-1]
@@ -307,15 +267,14 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             text = row["text"]
             third = len(text) // 3
             edited.append(text[: len(text) - third] + after["text"][:third])
-        prints, short = families(pa.array(edited, pa.string()), rank)
-        changed = [{"text": e, "print": p, "short": s} for e, p, s in zip(edited, prints, short)]
+        prints = fingerprints(pa.array(edited, pa.string()), rank)
         encode = lambda p: base64.b64encode(p).decode()
         columns = [
             pa.array([r["doc_id"] for r, _ in pairs], pa.int64()), pa.array([len(r["text"]) for r, _ in pairs], pa.int64()),
             pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]),
             pa.array([encode(r["print"]) for r, _ in pairs]), pa.array([encode(p) for p in prints]),
-            pa.array(likenesses([(r, e) for (r, _), e in zip(pairs, changed)]), pa.float64()),
-            pa.array(likenesses(pairs), pa.float64()),
+            pa.array([likeness(r["print"], p) for (r, _), p in zip(pairs, prints)], pa.float64()),
+            pa.array([likeness(r["print"], n["print"]) for r, n in pairs], pa.float64()),
         ]
         return pa.record_batch(columns, [f.split()[0] for f in RESULT.split(", ")])
 
