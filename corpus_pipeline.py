@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociforge.llm import mixing, packing, pii, quality, simhash
-from lociforge.llm.store import materialise, ship
+from lociforge.llm.store import columns_of, free_name, materialise, ship
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -20,14 +20,15 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the production policy rejects go."""
     ship(spark)
-    held = quality.ledger(docs)
-    return held.filter(quality.passes(F.col("_ledger.bits"), quality.PRODUCTION)).select(*docs.columns)
+    name = free_name(docs, "_ledger")
+    held = quality.ledger(docs, name=name)
+    return held.filter(quality.passes(F.col(name)["bits"], quality.PRODUCTION)).select(*columns_of(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays; fingerprints within 3 bits link, and 5-word shingles with a Jaccard similarity from 0.8."""
     ship(spark)
-    return simhash.one_of_each(docs, resembling=True).select(*docs.columns)
+    return simhash.one_of_each(docs, resembling=True).select(*columns_of(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     masked = docs.withColumn("text", pii.mask(F.col("text")))
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return masked.select(*docs.columns)
+    return masked.select(*columns_of(docs))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
