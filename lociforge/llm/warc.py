@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociforge.llm.store import materialise, new_path
+from lociforge.llm.store import materialise, new_path, tasks_for
 
 ARCHIVE = "archive/data.warc.gz"
 INDEX = "indexes/index.cdxj"
@@ -271,7 +271,8 @@ def read_packages(packages: DataFrame) -> DataFrame:
     """The records of the packages at ``uri``, a row a record (see ``RECORD``).
 
     The first step reads directories and indexes and gives ranges of neighbouring records, of about
-    4 MB; these are dealt out to tasks anew, so a large package is read by many of them.
+    4 MB; these are dealt out to tasks anew, so a large package is read by many of them. The number of
+    tasks follows the bytes of the packages: rows of ranges are too small for adaptive execution to tell.
     """
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,8 +310,9 @@ def read_packages(packages: DataFrame) -> DataFrame:
                         at += length
                 yield pa.record_batch([pa.array([f[n] for f in found], types[n]) for n in names], names)
 
-    places = packages.select("uri").mapInArrow(ranges, "uri string, begin long, lengths array<long>")
-    return places.repartition("uri", "begin").mapInArrow(records, RECORD)
+    places = materialise(packages.select("uri").mapInArrow(ranges, "uri string, begin long, lengths array<long>"), "ranges")
+    size = places.agg(F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)")).alias("n")).first()["n"]
+    return places.repartition(tasks_for(places.sparkSession, size), "uri", "begin").mapInArrow(records, RECORD)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
