@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lociforge.llm.components import components
 from lociforge.llm.resemblance import joined_groups
-from lociforge.llm.store import materialise
+from lociforge.llm.store import materialise, tasks_for
 from lociforge.llm.words import plain, slices, split
 
 SHINGLE = 3
@@ -42,6 +42,8 @@ GENERATOR = 0xC75
 PAIRWISE = 16
 #: Keys with more fingerprints are divided by exact pieces of their remaining bits first.
 DIVIDE_ABOVE = 20_000
+#: Fingerprints a task makes keys of.
+ROWS_A_TASK = 65_536
 
 
 # --- fingerprints ---------------------------------------------------------------------------------
@@ -269,7 +271,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     rows = materialise(rows, "prints")
     prints = rows.groupBy("print").agg(F.min("doc_id").alias("first"))
-    tree = components(verified_links(fuzzy_keys(prints)))
+    # a row becomes some forty keys, so tasks follow the number of rows
+    dealt = prints.repartition(tasks_for(docs.sparkSession, rows.count(), ROWS_A_TASK), "print")
+    tree = components(verified_links(fuzzy_keys(dealt)))
     rooted = prints.join(tree, prints["print"] == tree["node"], "left").select(
         "print", "first", F.coalesce("root", "print").alias("root")
     )
