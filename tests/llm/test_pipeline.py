@@ -121,6 +121,9 @@ def test_contract_columns(llm):
         "op7_fingerprints": "doc_id n_chars:bigint edited_sha256:string fingerprint:string edited_fingerprint:string near_edited:double near_next:double",
         "op9_substring_dedup": "doc_id n_words:bigint n_removed:bigint kept_sha256:string",
         "op10_licences": "doc_id n_words:bigint n_base:bigint first_word:bigint last_word:bigint base_labels:string labels:string score:double",
+        "op11_language_model": "doc_id held_out:boolean n_tokens:bigint n_known:bigint train_tokens:bigint base_score:double score:double",
+        "op12_collocations": "lang:string rank:bigint phrase:string a:bigint l:bigint r:bigint n:bigint score:bigint",
+        "op13_conversations": "conv_id:bigint depth:bigint parent_conv_id:bigint n_convs:bigint n_children:bigint n_leaves:bigint saved_tokens:bigint ends_sha256:string",
     }
     for name, columns in wanted.items():
         df = queries[name](llm, SF)
@@ -129,5 +132,5 @@ def test_contract_columns(llm):
             label, _, kind = column.partition(":")
             assert label in types and kind in ("", types[label]), (name, column)
         table = "pages" if name == "op4_warc" else "documents"
-        if name != "op3_packing":
+        if name not in ("op3_packing", "op12_collocations", "op13_conversations"):
             assert df.count() == llm.read.parquet(f"{SF}/{table}.parquet").count()

@@ -99,3 +99,12 @@ def test_payloads_come_back(llm, tmp_path):
 
 def test_empty_table(llm):
     assert warc.round_trip(llm.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_ranges_are_read_by_many_tasks(llm, monkeypatch):
+    """Adaptive execution may not join the few rows of ranges into one task."""
+    monkeypatch.setattr(warc, "READ_BYTES", 1_000)
+    pages = llm.createDataFrame([(i, None, f"page {i} " * 40) for i in range(400)], "page_id long, url string, html string").coalesce(1)
+    records = warc.round_trip(pages)
+    tasks = {r.p for r in records.selectExpr("spark_partition_id() p").distinct().collect()}
+    assert records.count() == 400 and len(tasks) >= llm.sparkContext.defaultParallelism // 2
