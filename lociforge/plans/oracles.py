@@ -399,6 +399,11 @@ hd AS (SELECT 'chr' || (c_nationkey % 4 + 1) AS contig, 1000 + count(*) AS lengt
 
 _START_END = 'CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS "end"'
 
+_PAIRED = f"""{ELEMENTS},
+pp AS (SELECT contig, locus, token, count(*) AS depth, count(*) FILTER (kind = 'mismatch') AS mm FROM el GROUP BY ALL)
+SELECT contig, {_big('locus', 'locus')}, a.depth AS depth_1, a.mm AS mismatches_1, b.depth AS depth_2, b.mm AS mismatches_2
+FROM (SELECT * FROM pp WHERE token = 1) a FULL OUTER JOIN (SELECT * FROM pp WHERE token = 2) b USING (contig, locus)"""
+
 ORACLES: dict[str, str] = {
     "scan_filter_reads": f"""{READS}
 SELECT contig, sample, count(*) AS n_reads, count(*) FILTER (fwd) AS n_fwd, {_big('sum(mapq)', 'sum_mapq')},
@@ -506,10 +511,12 @@ pv AS (SELECT *, lag(locus) OVER (PARTITION BY contig ORDER BY locus) AS prev FR
 SELECT pv.contig, {_big('locus', 'locus')}, count(*) AS n_new
 FROM pv JOIN r ON r.contig = pv.contig AND r.s <= locus + 3 AND r.e - 1 >= locus - 3
 WHERE prev IS NULL OR NOT (r.s <= prev + 3 AND r.e - 1 >= prev - 3) GROUP BY pv.contig, locus""",
-    "paired_pileups": f"""{ELEMENTS},
-pp AS (SELECT contig, locus, token, count(*) AS depth, count(*) FILTER (kind = 'mismatch') AS mm FROM el GROUP BY ALL)
-SELECT contig, {_big('locus', 'locus')}, a.depth AS depth_1, a.mm AS mismatches_1, b.depth AS depth_2, b.mm AS mismatches_2
-FROM (SELECT * FROM pp WHERE token = 1) a FULL OUTER JOIN (SELECT * FROM pp WHERE token = 2) b USING (contig, locus)""",
+    "paired_pileups": _PAIRED,
+    "stored_paired_pileups": _PAIRED,
+    "stored_reads": f"""{READS},
+st AS (SELECT *, unnest(range(s // 64, (greatest(e, s + 1) - 1) // 64 + 1)) AS stretch FROM r)
+SELECT contig, {_big('stretch', 'stretch')}, count(*) AS n_rows, count(*) FILTER (stretch = s // 64) AS n_reads,
+       {_big('min(s)', 'first_start')}, {_big('max(e)', 'last_end')} FROM st GROUP BY contig, stretch""",
     "top_bases": f"""{ELEMENTS}, {_BASE_ROWS}, {_TOP}
 SELECT contig, {_big('locus', 'locus')}, CAST(token AS INTEGER) AS token, base, n, {_big('depth', 'depth')},
        CAST(rk AS INTEGER) AS rank FROM tb""",

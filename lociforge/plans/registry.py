@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from lociforge.functions import bases, cigar, genotypes, md, quality
 from lociforge.operators import filters, intervals, metrics, overlap, pileup, split, variants
 from lociforge.plans import callers, concordance, views
-from lociforge.sources import fasta, genotypes as genotype_source, loci, sam
+from lociforge.sources import fasta, genotypes as genotype_source, loci, sam, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -20,6 +21,7 @@ DEPTH_BUCKETS, DEPTH_ACCURACY = 4, 25
 HALF_WINDOW = 3
 WIDE_WINDOW = 1_000
 SAMPLES = ["normal", "tumor"]
+STORED_WIDTH, STORED_BUCKETS = 64, 8
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -267,6 +269,31 @@ def paired_pileups(spark, d):
     return pileup.pileup_pair(rows, _count("depth"), mismatches)
 
 
+def _stored(reads: DataFrame, name: str) -> DataFrame:
+    spark, table = reads.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    path = folder and f"{folder.rstrip('/')}/lociforge-{spark.sparkContext.applicationId}/{table}"
+    return stored.write_reads(reads, table, STORED_BUCKETS, STORED_WIDTH, path)
+
+
+@query
+def stored_reads(spark, d):
+    """Reads stored by position: rows and reads per contig and stretch."""
+    return _stored(views.read_spans(spark, d), "reads").groupBy("contig", "stretch").agg(
+        _count("n_rows"), F.count_if("first").alias("n_reads"), F.min("start").alias("first_start"),
+        F.max("end").alias("last_end"),
+    )
+
+
+@query
+def stored_paired_pileups(spark, d):
+    """Both samples stored by position, and their pileups side by side, bucket by bucket."""
+    reads = views.reads(spark, d)
+    sides = [_stored(reads.filter(F.col("token") == token), f"token{token}") for token in (1, 2)]
+    mismatches = F.count_if(F.col("kind") == "mismatch").alias("mismatches")
+    return stored.stored_pair(*sides, _count("depth"), mismatches)
+
+
 @query
 def top_bases(spark, d):
     counts = callers.base_counts(pileup.base_reads(views.reads(spark, d)), callers.MIN_BASE_QUALITY)
