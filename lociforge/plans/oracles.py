@@ -410,6 +410,11 @@ SELECT contig, sample, count(*) AS n_reads, count(*) FILTER (fwd) AS n_fwd, {_bi
        {_big('sum(span)', 'sum_span')}, {_big('sum(len)', 'sum_bases')}, {_big('min(s)', 'first_start')},
        {_big('max(e)', 'last_end')}, count(*) AS n_well_formed
 FROM r WHERE NOT fail_qc GROUP BY contig, sample""",
+    "binary_round_trip": f"""{READS}
+SELECT contig, {_big('s', 'start')}, CAST(mapq AS INTEGER) AS mapq, is_dup, fail_qc, fwd, sample, count(*) AS n,
+       {_big("sum(CASE WHEN shape IN (5, 6, 7) THEN len ELSE span END)", 'sum_bases')},
+       {_big("sum(CASE WHEN NOT (shape = 7 AND s < 1) THEN span END)", 'sum_span')}, count(*) AS n_well_formed
+FROM all_r GROUP BY ALL""",
     "sam_projection": f"""{READS}
 SELECT contig, {_big('s', 'start')}, CAST(mapq AS INTEGER) AS mapq, is_dup, fail_qc, fwd, sample, count(*) AS n
 FROM all_r GROUP BY ALL""",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lociforge.functions import bases, cigar, genotypes, md, quality
 from lociforge.operators import filters, intervals, metrics, overlap, pileup, split, variants
 from lociforge.plans import callers, concordance, views
-from lociforge.sources import fasta, genotypes as genotype_source, loci, sam, stored
+from lociforge.sources import bam, fasta, genotypes as genotype_source, loci, sam, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -22,6 +22,7 @@ HALF_WINDOW = 3
 WIDE_WINDOW = 1_000
 SAMPLES = ["normal", "tumor"]
 STORED_WIDTH, STORED_BUCKETS = 64, 8
+BINARY_SPLIT = 1 << 20
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -269,11 +270,28 @@ def paired_pileups(spark, d):
     return pileup.pileup_pair(rows, _count("depth"), mismatches)
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder for files: in the shared folder of the cluster, else in the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/lociforge-{spark.sparkContext.applicationId}/{name}_{uuid.uuid4().hex}"
+
+
+@query
+def binary_round_trip(spark, d):
+    """All reads written as binary files and scanned back by byte ranges, with their flags, texts and samples."""
+    folder = _folder(spark, "binary")
+    contigs = [(f"chr{c}", views.CONTIG_LENGTH) for c in range(1, views.CONTIGS + 1)]
+    bam.write_reads(views.all_reads(spark, d), folder, contigs, SAMPLES)
+    reads, _ = bam.load_reads(spark, folder, mapped=False, non_duplicate=False, passed_quality_checks=False, split_bytes=BINARY_SPLIT)
+    return reads.groupBy("contig", "start", "mapq", "is_dup", "fail_qc", "fwd", "sample").agg(
+        _count(), F.sum(F.length("seq")).cast("bigint").alias("sum_bases"),
+        F.sum(F.when(F.col("is_mapped"), F.col("end") - F.col("start"))).alias("sum_span"), F.count_if(sam.well_formed()).alias("n_well_formed"),
+    )
+
+
 def _stored(reads: DataFrame, name: str) -> DataFrame:
-    spark, table = reads.sparkSession, f"{name}_{uuid.uuid4().hex}"
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    path = folder and f"{folder.rstrip('/')}/lociforge-{spark.sparkContext.applicationId}/{table}"
-    return stored.write_reads(reads, table, STORED_BUCKETS, STORED_WIDTH, path)
+    path = _folder(reads.sparkSession, name)
+    return stored.write_reads(reads, path.rsplit("/", 1)[1], STORED_BUCKETS, STORED_WIDTH, path)
 
 
 @query

@@ -1,7 +1,7 @@
 """SAM text (or Parquet reads) as the ``reads`` DataFrame.
 
-The header is a handful of ``@`` lines; the alignment lines are split-parallel text. Binary BAM
-has no Spark reader and is not supported; convert it to SAM text or Parquet first.
+The header is a handful of ``@`` lines; the alignment lines are split-parallel text. Binary files
+are read by :mod:`lociforge.sources.bam`.
 """
 
 from __future__ import annotations
@@ -73,6 +73,11 @@ def parse_alignments(
         field(1).try_cast("int").alias("flag"),
         F.lit(token).alias("token"),
     )
+    return typed_reads(reads, groups, strict)
+
+
+def typed_reads(reads: DataFrame, groups: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """Reads of ``READ_COLUMNS`` from their raw fields, with ``flag`` and read group ``rg``; for any scan."""
     if groups is None:
         reads = reads.withColumn("sample", F.lit(DEFAULT_SAMPLE))
     else:
