@@ -620,6 +620,10 @@ SELECT * FROM gt ORDER BY contig, pos, ref, alt, sample LIMIT 25""",
     "reference_bases": f"""{READS},
 tl AS (SELECT contig, CAST(substr(contig, 4) AS BIGINT) AS c, unnest(range(0, max(e))) AS p FROM r GROUP BY contig)
 SELECT contig, {_big('p', 'locus')}, {_letter('p', 0)} AS base FROM tl""",
+    "indexed_reference": f"""{READS}, {_TARGETS},
+ex AS (SELECT contig, max(e) AS extent FROM r GROUP BY contig),
+tp AS (SELECT DISTINCT contig, CAST(substr(contig, 4) AS BIGINT) AS c, unnest(range(s, e)) AS p FROM tg)
+SELECT contig, {_big('p', 'locus')}, {_letter('p', 0)} AS base FROM tp JOIN ex USING (contig) WHERE p < extent""",
     "reference_at_reads": f"""{READS}
 SELECT contig, {_big('s', 'locus')}, {_letter('s', 0)} AS ref, count(*) AS n FROM r GROUP BY ALL""",
     "interval_merge": f"WITH {_RANGES}, {_merged('m', 'rg')}\nSELECT contig, {_START_END} FROM m",

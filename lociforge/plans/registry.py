@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lociforge.functions import bases, cigar, genotypes, md, quality
 from lociforge.operators import filters, intervals, metrics, overlap, pileup, split, variants
 from lociforge.plans import callers, concordance, views
-from lociforge.sources import bam, fasta, genotypes as genotype_source, loci, sam, stored
+from lociforge.sources import bam, fasta, genotypes as genotype_source, indexed_fasta, loci, sam, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -556,6 +556,19 @@ def reference_at_reads(spark, d):
     return fasta.with_reference_base(starts, views.reference(spark, d))
 
 
+@query
+def indexed_reference(spark, d):
+    """The reference written as FASTA text, indexed, and its bases at the target loci read by byte offset."""
+    folder = _folder(spark, "reference")
+    lines = views.reference(spark, d, 60).selectExpr("contig", "frag_start AS at", "cast(bases AS STRING) AS value")
+    heads = lines.select("contig").distinct().selectExpr("contig", "-1L AS at", "concat('>', contig) AS value")
+    lines.unionByName(heads).repartition("contig").sortWithinPartitions("contig", "at").select("value").write.text(folder)
+    index = indexed_fasta.index_of(spark, folder, normalize=False, suffix=".txt")
+    targets = views.targets(spark, d)
+    found = indexed_fasta.fragments_at(index, targets, views.FRAGMENT)
+    return fasta.with_reference_base(intervals.loci(intervals.merge(targets.select("contig", "start", "end"))), found, "base")
+
+
 # --- intervals -------------------------------------------------------------------------------
 
 

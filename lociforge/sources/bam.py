@@ -299,22 +299,22 @@ def _records(skip: int):
 # --- reading ---------------------------------------------------------------------------------
 
 
-def files(path: str | list[str]) -> list[tuple[str, int]]:
-    """Files with their bytes: the given ones, or those ending in ``.bam`` of a folder."""
+def files(path: str | list[str], suffix: str = ".bam") -> list[tuple[str, int]]:
+    """Files with their bytes: the given ones, or those of a folder whose names end in ``suffix``."""
     found = []
     for one in [path] if isinstance(path, str) else path:
         system, inner = _open(one)
         info = system.get_file_info(inner)
         if info.type == pafs.FileType.Directory:
             inside = system.get_file_info(pafs.FileSelector(inner))
-            names = sorted((i.base_name, i.size) for i in inside if i.base_name.endswith(".bam"))
+            names = sorted((i.base_name, i.size) for i in inside if i.base_name.endswith(suffix))
             found += [(f"{one.rstrip('/')}/{name}", size) for name, size in names]
         elif info.type == pafs.FileType.File:
             found.append((one, info.size))
         else:
             raise FileNotFoundError(one)
     if not found:
-        raise FileNotFoundError(f"no .bam file in {path}")
+        raise FileNotFoundError(f"no {suffix} file in {path}")
     return found
 
 
