@@ -14,33 +14,49 @@ from pyspark.sql import functions as F
 
 #: Days of a stretch: an interval is repeated once for each that it touches.
 STRETCH = 64
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+#: What stands around or inside a URL without being part of it.
+AROUND, INSIDE = r"^[\x00-\x20]+|[\x00-\x20]+$", r"[\t\n\r]"
+HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:@\[]+)"
+#: Hosts without domains above them: numeric and bracketed addresses.
+ADDRESS = r"^\[|^[0-9.]+$"
 FAR = "9999-12-31"
 
 
 def host_of(url: Column) -> Column:
-    """The lower-case host of a URL; empty if there is none."""
-    return F.coalesce(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(""))
+    """The lower-case host of a URL; empty if there is none.
+
+    As browsers read it: blanks around it go, back slashes are slashes, the scheme may be missing before ``//``, an
+    address in brackets keeps them, final dots of the host go.
+    """
+    clean = F.translate(F.regexp_replace(F.regexp_replace(url, AROUND, ""), INSIDE, ""), "\\", "/")
+    return F.coalesce(plain_name(F.regexp_extract(clean, HOST, 1)), F.lit(""))
+
+
+def plain_name(name: Column) -> Column:
+    """A host or a listed domain in lower case, without blanks around it and final dots."""
+    return F.rtrim(F.trim(F.lower(name)), F.lit("."))
 
 
 def domains_of(host: Column) -> Column:
-    """A host and the domains above it that have two labels or more."""
+    """A host and the domains above it that have two labels or more; an address alone."""
     labels = F.split(host, r"\.")
     size = F.size(labels)
     above = F.transform(
         F.sequence(F.lit(1), size - 1), lambda i: F.array_join(F.slice(labels, i, size - i + 1), ".")
     )
-    return F.when(size > 1, above).when(host != "", F.array(host)).otherwise(F.array().cast("array<string>"))
+    return F.when((size > 1) & ~host.rlike(ADDRESS), above).when(host != "", F.array(host)).otherwise(F.array().cast("array<string>"))
 
 
 def validity(entries: DataFrame) -> DataFrame:
     """``list, domain, since, until`` from entries ``list, domain, day, added``.
 
     An entry holds until the next one of its domain and list. Several on one day count as one, a
-    removal if there is any. Rows with a null in any of these columns say nothing and are left out.
+    removal if there is any. Domains are compared as :func:`plain_name` writes them, without ``*.`` or a dot in
+    front. Rows with a null in any of these columns say nothing and are left out.
     """
+    domain = F.regexp_replace(plain_name(F.col("domain")), r"^\*?\.+", "")
     daily = (
-        entries.select("list", F.lower("domain").alias("domain"), "day", "added").dropna()
+        entries.select("list", domain.alias("domain"), "day", "added").dropna()
         .groupBy("list", "domain", "day").agg(F.bool_and("added").alias("added"))
     )
     following = F.lead("day").over(Window.partitionBy("list", "domain").orderBy("day"))

@@ -59,3 +59,19 @@ def test_empty_tables(llm):
     assert urlfilter.verdicts(captures, entries).collect() == []
     one = llm.createDataFrame([(1, "http://a.org/", DAY)], "page_id long, url string, fetched_on date")
     assert [r.blocked for r in urlfilter.verdicts(one, entries.filter(F.lit(False))).collect()] == [False]
+
+
+def test_hosts_and_domains_are_normalised(llm):
+    forms = {
+        "http://bad.org./x": "bad.org", "  http://bad.org/": "bad.org", "//bad.org/": "bad.org", "http:\\\\bad.org\\x": "bad.org",
+        "http://[::1]:80/": "[::1]", "http://[::FFFF:1.2.3.4]/": "[::ffff:1.2.3.4]", "https://a@b@Bad.ORG:8/": "bad.org",
+        "ht\ntp://ba\td.org": "bad.org", "http:///x": "", "bad.org/x": "", "http://": "", "http://1.2.3.4/": "1.2.3.4", "": "",
+        "http://www.bad.org..?q": "www.bad.org", "http://bad.org#@good.org": "bad.org",
+    }
+    rows = llm.createDataFrame([(i, u, DAY) for i, u in enumerate(forms)], "page_id long, url string, fetched_on date")
+    entries = llm.createDataFrame(
+        [("spam", " *.BAD.org. ", DAY, True), ("spam", "3.4", DAY, True), ("adult", "[::1]", DAY, True)], "list string, domain string, day date, added boolean",
+    )
+    found = {r.url: r for r in urlfilter.verdicts(rows, entries).collect()}
+    assert {u: r.host for u, r in found.items()} == forms
+    assert {u for u, r in found.items() if r.blocked} == {u for u, h in forms.items() if h.endswith("bad.org") or h == "[::1]"}
