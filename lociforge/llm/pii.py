@@ -3,7 +3,8 @@
 Identifiers are found in the text as it stands and again in normalised copies. Transducers make
 the copies: one rewrites look-alike characters (full-width, superscript and enclosed digits and signs,
 Cyrillic and Greek letters beside Latin ones, unusual spaces and dashes) and drops zero-width ones;
-others rewrite spelled digits and "at" / "dot" written as words. Each returns its edits, so a
+one decodes HTML entities and percent signs; others rewrite spelled digits, "at" / "dot" written as words
+and signs or letters set apart by blanks. Each returns its edits, so a
 span of a copy maps back to the source characters it came from. Spans found only there are added.
 """
 
@@ -212,14 +213,37 @@ DISGUISED = re.compile(
 )
 #: A local part with spoken dots before a plain "@".
 DOTTED = re.compile(rf"(?i)[A-Za-z0-9._%+-]{{1,64}}(?:{SPOKEN_DOT}[A-Za-z0-9._%+-]{{1,64}}){{1,8}}@(?={LABEL})")
-NUMBER_DOT = re.compile(rf"(?i)(?<=[0-9])(?:{DOT}|\x20dot\x20)(?=[0-9])")
+NUMBER_DOT = re.compile(rf"(?i)(?<=[0-9])(?:{DOT}|\x20dot\x20|\x20\.\x20)(?=[0-9])")
+#: "at" and "dot" joined to their neighbours by low lines or hyphens: the part from "at" on.
+JOINED = re.compile(
+    rf"(?i)(?<=[A-Za-z0-9])([_-])at\1[A-Za-z0-9]+(?:(?:\1dot\1|\.)[A-Za-z0-9]+){{0,7}}\1dot\1(?:{TOP})(?![A-Za-z0-9])"
+)
+JOINED_SIGN = re.compile(r"(?i)([_-])(at|dot)\1")
+#: Last labels behind signs that stand between blanks; country labels are words, too.
+COMMON_TOP = "com|org|net|edu|gov|mil|info|biz"
+SET_APART = re.compile(
+    rf"(?i)(?<=[A-Za-z0-9])(?:@|\x20@\x20){LABEL}(?:(?:\.|\x20\.\x20){LABEL}){{0,7}}(?:\.|\x20\.\x20)(?:{COMMON_TOP})(?![A-Za-z0-9-])"
+)
+SET_APART_SIGN = re.compile(r"\x20[@.]\x20")
+#: Every character of an address set apart by a blank.
+LETTERS = re.compile(
+    r"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9._%+-]\x20){2,64}@(?:\x20[A-Za-z0-9-](?![A-Za-z0-9-])){1,64}"
+    r"(?:\x20\.(?:\x20[A-Za-z0-9-](?![A-Za-z0-9-])){1,64}){1,8}"
+)
+#: Names of HTML entities of the signs in identifiers.
+ENTITIES = dict(commat="@", period=".", plus="+", lowbar="_", percnt="%", lpar="(", rpar=")", hyphen="-", dash="-", nbsp=" ")
+ENCODED = re.compile(
+    rf"(?i)&#x0*([2-7][0-9a-f])(?![0-9a-f]);?|&#0*([0-9]{{2,3}})(?![0-9]);?|&({'|'.join(ENTITIES)});|%(2[0-9a-f]|40|5f)"
+)
 SIGN = re.compile(rf"(?i){AT}|{DOT}|\x20at\x20|\x20dot\x20")
 #: What a text has to hold for the other transducers to find anything, and for any identifier to stand
 #: in it: filters for whole batches. Digits of one number have only these signs between them.
 NEXT_DIGIT = rf"[ ,().-]*(?:[0-9]|{DIGIT_WORD})"
 WORDY = (
     rf"(?i)[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|\x20dot\x20|(?:{DIGIT_WORD}){NEXT_DIGIT}|[0-9][ ,().-]*(?:{DIGIT_WORD})|plus[ -]*[0-9]"
+    r"|[A-Za-z0-9] ?@ [A-Za-z0-9]|[A-Za-z0-9] @|[0-9] \. [0-9]|@[A-Za-z0-9-]+(?: \.|\. )|[_-]at[_-]"
 )
+CODED = r"(?i)&#[x0-9]|&[a-z]{4,6};|%(?:2[0-9a-f]|40|5f)"
 BASIC = r"@|\+[0-9]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){12}"
 WORDY_PATTERN = re.compile(WORDY)
 
@@ -251,6 +275,16 @@ def figures(text: str, wide: bool) -> Edited:
 FIGURES = frozenset("0123456789")
 
 
+def decoded(text: str) -> Edited:
+    """HTML entities and percent signs that stand for visible ASCII characters or a blank, as those characters."""
+    edits = []
+    for m in ENCODED.finditer(text):
+        code = int(m[1], 16) if m[1] else int(m[2]) if m[2] else ord(ENTITIES[m[3].lower()]) if m[3] else int(m[4], 16)
+        if 32 <= code < 127:
+            edits.append((m.start(), m.end(), chr(code)))
+    return Edited(text, edits)
+
+
 def signs(text: str) -> Edited:
     """At and dot disguises of addresses, and dots between figures, rewritten."""
     edits = [(m.start(), m.end(), ".") for m in NUMBER_DOT.finditer(text)]
@@ -259,6 +293,12 @@ def signs(text: str) -> Edited:
             for sign in SIGN.finditer(text, m.start(), m.end()):
                 new = "@" if "at" in sign[0].lower() or "@" in sign[0] else "."
                 edits.append((sign.start(), sign.end(), new))
+    for pattern, parts in ((JOINED, JOINED_SIGN), (SET_APART, SET_APART_SIGN)):
+        for m in pattern.finditer(text):
+            for sign in parts.finditer(text, m.start(), m.end()):
+                edits.append((sign.start(), sign.end(), "@" if "at" in sign[0].lower() or "@" in sign[0] else "."))
+    for m in LETTERS.finditer(text):
+        edits += [(i, i + 1, "") for i in range(m.start(), m.end()) if text[i] == " "]
     return Edited(text, apart(edits))
 
 
@@ -277,16 +317,17 @@ def disguised(text: str) -> list[Span]:
 
     Words beside a number can spoil it once rewritten, so every copy on the way is searched.
     """
-    odd = not text.isascii() and unusual().search(text)
-    first = characters(text) if odd else Edited(text, [])
+    plain = decoded(text)
+    odd = not plain.text.isascii() and unusual().search(plain.text)
+    first = characters(plain.text) if odd else Edited(plain.text, [])
     wordy = WORDY_PATTERN.search(first.text)
-    copies = [[first]] if odd else []
+    copies = [[plain, first]] if odd or plain.source else []
     if wordy:
-        copies.append([first, signs(first.text)])
+        copies.append([plain, first, signs(first.text)])
         for wide in (False, True):
             number = figures(first.text, wide)
             if number.source:
-                copies += [[first, number], [first, number, signs(number.text)]]
+                copies += [[plain, first, number], [plain, first, number, signs(number.text)]]
     found = []
     for stages in copies:
         for kind, a, b in identifiers(stages[-1].text):
@@ -336,9 +377,9 @@ def masked(text: str, found: list[Span]) -> str:
 # --- Spark ----------------------------------------------------------------------------------------
 
 def batch_spans(texts: pa.Array) -> Iterator[tuple[str | None, list[Span], list[Span]]]:
-    """Text, base spans and all spans of each row; most rows are settled by three searches over the whole batch."""
-    hits = [np.asarray(pc.fill_null(pc.match_substring_regex(texts, p), False)) for p in (BASIC, WORDY, unusual().pattern)]
-    for value, basic, extra in zip(texts, hits[0].tolist(), (hits[1] | hits[2]).tolist()):
+    """Text, base spans and all spans of each row; most rows are settled by four searches over the whole batch."""
+    hits = [np.asarray(pc.fill_null(pc.match_substring_regex(texts, p), False)) for p in (BASIC, WORDY, unusual().pattern, CODED)]
+    for value, basic, extra in zip(texts, hits[0].tolist(), (hits[1] | hits[2] | hits[3]).tolist()):
         if extra:
             text = value.as_py()
             yield text, *spans(text)

@@ -87,6 +87,67 @@ def test_spelled_parts_are_found_whole(text, kind, part):
     assert re.search(pii.WORDY, text) or pii.unusual().search(text)
 
 
+@pytest.mark.parametrize("text,kind,part", [
+    ("host one nine two . one six eight . one . one up", "ip", "one nine two . one six eight . one . one"),
+    ("host 10 . 0 . 0 . 7 up", "ip", "10 . 0 . 0 . 7"),
+    ("write john @ example . com now", "email", "john @ example . com"),
+    ("write john_at_example_dot_com now", "email", "john_at_example_dot_com"),
+    ("write j.doe-at-mail-dot-example-dot-de now", "email", "j.doe-at-mail-dot-example-dot-de"),
+    ("write j o h n @ e x a m p l e . c o m now", "email", "j o h n @ e x a m p l e . c o m"),
+    ("write john&#64;example&#46;com now", "email", "john&#64;example&#46;com"),
+    ("write john&#x40;example&period;com now", "email", "john&#x40;example&period;com"),
+    ("to=john%40example%2Ecom&x", "email", "john%40example%2Ecom"),
+    ("call %2B1%20555%20123%204567 now", "phone", "%2B1%20555%20123%204567"),
+    ("pay 4111&#32;1111&nbsp;1111%201111 now", "card", "4111&#32;1111&nbsp;1111%201111"),
+    ("host 10&#46;1&period;2%2e3 up", "ip", "10&#46;1&period;2%2e3"),
+])
+def test_coded_and_set_apart_signs(text, kind, part):
+    base, every = pii.spans(text)
+    added = [s for s in every if s not in base]
+    assert [(k, text[a:b]) for k, a, b in added] == [(kind, part)]
+    assert re.search(pii.WORDY, text) or re.search(pii.CODED, text)
+    assert pii.masked(text, every) == text.replace(part, f"<{kind.upper()}>")
+
+
+def test_recall_by_kind():
+    """Random identifiers, each in every disguise: the whole of it lies under one span of its kind."""
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("bcdfghklmnprstvw") + draw.choice("aeiou") for _ in range(3))
+    spelled = dict(zip("0123456789", "zero one two three four five six seven eight nine".split()))
+    say = lambda t, gap=" ": gap.join(spelled.get(c, c) for c in t)
+    wide = lambda t: "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in t)
+    coded = lambda t: t.replace("@", "&#64;").replace(".", "&#46;").replace("+", "&#43;").replace("-", "&#45;")
+    percent = lambda t: t.replace("@", "%40").replace(".", "%2E").replace("+", "%2B").replace(" ", "%20").replace("-", "%2D")
+
+    def card():
+        digits = "4" + "".join(draw.choice("0123456789") for _ in range(14))
+        return next(digits + c for c in "0123456789" if pii.luhn(digits + c))
+
+    found = dict.fromkeys(pii.KINDS, 0)
+    asked = dict.fromkeys(pii.KINDS, 0)
+    for _ in range(60):
+        name, host = word(), word()
+        mail, ip = f"{name}@{host}.com", ".".join(str(draw.randrange(256)) for _ in range(4))
+        number, phone = card(), "+" + "".join(draw.choice("123456789") for _ in range(11))
+        forms = {
+            "email": [wide(mail), coded(mail), percent(mail), f"{name} at {host} dot com", f"{name} [at] {host} [dot] com", f"{name}(@){host}(.)com",
+                      f"{name} @ {host} . com", f"{name}_at_{host}_dot_com", " ".join(mail), mail.replace("o", "о"), mail.replace("@", "\u200b@")],
+            "ip": [wide(ip), coded(ip), percent(ip), ip.replace(".", " dot "), ip.replace(".", "[.]"), ip.replace(".", " . "),
+                   " dot ".join(say(p) for p in ip.split(".")), " . ".join(say(p) for p in ip.split("."))],
+            "card": [wide(number), say(number), say(number, "-"), say(number[:4]) + " " + number[4:], number[:8] + "\u200b" + number[8:],
+                     coded("-".join((number[:4], number[4:8], number[8:12], number[12:]))), percent(" ".join((number[:8], number[8:])))],
+            "phone": [wide(phone), coded(phone), percent(phone[:4] + " " + phone[4:]), "plus " + say(phone[1:]), "plus " + phone[1:],
+                      phone[:5] + " " + say(phone[5:]), phone[:6] + "\u2011" + phone[6:]],
+        }
+        for kind, texts in forms.items():
+            for form in texts:
+                text = f"Please note: {form}, thanks."
+                a = text.index(form)
+                asked[kind] += 1
+                found[kind] += any(k == kind and s <= a and e >= a + len(form) for k, s, e in pii.spans(text)[1])
+    assert {k: round(found[k] / asked[k], 2) for k in pii.KINDS if found[k] < 0.95 * asked[k]} == {}
+
+
 @pytest.mark.parametrize("text,part", [
     ("jo@mail.example dot com now", "jo@mail.example dot com"), ("john dot doe@example.com now", "john dot doe@example.com"),
 ])
@@ -101,7 +162,8 @@ def test_added_spans_inside_base_spans_go():
 
 @pytest.mark.parametrize("text", [
     "", "I live at home. one two three.", "Привет мир, как дела", "at dot at dot", "Σωκράτης ¹ ²", "one two three four five six seven eight nine ten",
-    "look at this dot here", "a—b …", "версия 2.0.1.5 at noon",
+    "look at this dot here", "a—b …", "версия 2.0.1.5 at noon", "https://stay-at-home.com/a_at_b", "thanks @john. Net profit rose",
+    "dinner @ seven . in town", "50%20off &#1052;&amp; 3 . 2 . 1", "up_at_dawn_dot_now", "a b c @ d e f",
 ])
 def test_clean_texts_stay(text):
     base, every = pii.spans(text)
