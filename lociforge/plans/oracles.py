@@ -415,6 +415,9 @@ SELECT contig, {_big('s', 'start')}, CAST(mapq AS INTEGER) AS mapq, is_dup, fail
        {_big("sum(CASE WHEN shape IN (5, 6, 7) THEN len ELSE span END)", 'sum_bases')},
        {_big("sum(CASE WHEN NOT (shape = 7 AND s < 1) THEN span END)", 'sum_span')}, count(*) AS n_well_formed
 FROM all_r GROUP BY ALL""",
+    "tumor_normal_load": f"""{READS}
+SELECT contig, CAST(token AS INTEGER) AS token, sample, count(*) AS n, {_big('sum(span)', 'sum_span')}, {_big('sum(mapq)', 'sum_mapq')}
+FROM r WHERE NOT fail_qc GROUP BY contig, token, sample""",
     "sam_projection": f"""{READS}
 SELECT contig, {_big('s', 'start')}, CAST(mapq AS INTEGER) AS mapq, is_dup, fail_qc, fwd, sample, count(*) AS n
 FROM all_r GROUP BY ALL""",
@@ -614,6 +617,7 @@ FROM o""",
     "variant_types": f"""{_bayes()}
 SELECT contig, CASE WHEN length(alt) > length(ref) THEN 'INS' ELSE 'DEL' END AS type, count(*) AS n
 FROM gt WHERE length(alt) <> length(ref) GROUP BY ALL""",
+    "parquet_genotypes": f"{_threshold(8, False)}\nSELECT * FROM gt",
     "vcf_round_trip": f"{_bayes(emit_ref=True)}\nSELECT * FROM gt",
     "first_genotypes": f"""{_threshold(8, False)}
 SELECT * FROM gt ORDER BY contig, pos, ref, alt, sample LIMIT 25""",

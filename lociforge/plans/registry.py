@@ -74,6 +74,21 @@ def scan_filter_reads(spark, d):
     )
 
 
+@query
+def tumor_normal_load(spark, d):
+    """A text file of reads for each sample, with its header, loaded as one set with tokens."""
+    lines, paths = views.sam_lines(spark, d), []
+    for sample in ("tumor", "normal"):
+        paths.append(_folder(spark, sample))
+        head = spark.range(1).select(F.lit(f"@RG\tID:{sample}\tSM:{sample}").alias("value"))
+        own = lines.filter(F.col("value").contains(f"RG:Z:{sample}"))
+        head.unionByName(own).write.text(paths[-1])
+    reads, _, _ = sam.load_tumor_normal(spark, *paths)
+    return reads.groupBy("contig", "token", "sample").agg(
+        _count(), F.sum(F.col("end") - F.col("start")).alias("sum_span"), F.sum("mapq").alias("sum_mapq")
+    )
+
+
 @query
 def sam_projection(spark, d):
     """Flags and positions of every parsed record, before any filter."""
@@ -526,6 +541,14 @@ def variant_types(spark, d):
     return kept.groupBy("contig", bases.variant_type("ref", "alt").alias("type")).agg(_count())
 
 
+@query
+def parquet_genotypes(spark, d):
+    """Threshold calls written as a sorted Parquet table and loaded back."""
+    path = f"{_folder(spark, 'calls')}.parquet"
+    genotype_source.write_parquet(callers.threshold_calls(views.reads(spark, d), cluster=False), path)
+    return _calls(genotype_source.load_genotypes(spark, path))
+
+
 @query
 def vcf_round_trip(spark, d):
     """Genotypes of both samples, hom-ref rows, insertions and deletions, as VCF lines and back, all columns."""
