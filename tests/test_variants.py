@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lociforge.operators import variants
 from lociforge.plans import concordance
@@ -97,3 +98,35 @@ def test_equal_deletions_agree(spark):
     assert (plain.true_positives, plain.false_positives, plain.false_negatives) == (0, 1, 1)
     met = concordance.evaluate(called, truth, reference=reference).first()
     assert (met.true_positives, met.false_positives, met.false_negatives) == (1, 0, 0)
+
+
+@pytest.mark.parametrize("before, whole, longest", [
+    ("A" * 40 + "C" * 30, "G" * 40 + "C" * 30, 256), ("C" * 16, "C" * 16, 256), ("C" * 16, "C" * 17, 10), ("G" * 15 + "\n" + "A", "GG\nA", 256),
+    ("", "", 256), ("A", "", 256), ("TA", "CA", 1), ("é" * 20, "a" + "é" * 18, 256), ("A" * 300, "A" * 300, 256), ("A" * 2000, "T" + "A" * 1500, (1 << 20) - 1),
+])
+def test_common_ends(spark, before, whole, longest):
+    k = next((k for k in range(min(len(before), len(whole), longest)) if before[-1 - k] != whole[-1 - k]), min(len(before), len(whole), longest))
+    row = spark.createDataFrame([(before, whole)], "a string, b string")
+    assert row.select(variants._common(F.col("a"), F.col("b"), longest)).first()[0] == k
+
+
+def test_text_before_across_fragments(spark):
+    """Text ends at a missing fragment and at the end of the contig; fragments and rows may repeat."""
+    text = "GATTACAGATTCCAGTAACG"
+    known = fragments(spark, text, length=4).filter("frag <> 2")
+    rows = [(i, "c", p) for i, p in enumerate([None, -1, 0, 1, 3, 8, 9, 12, 13, 14, 20, 21, 24, 25, 14])] + [(99, None, 3)]
+    df = spark.createDataFrame(rows, "id int, contig string, pos long")
+    for reach in (1, 3, 4, 9):
+        for reference in (known, known.unionByName(known)):
+            got = {r.id: r.before for r in variants.with_text_before(df, reference, reach).collect()}
+            for i, c, p in rows:
+                low = 12 if p and p > 12 else 0
+                want = text[max(low, p - reach):p] if c and p and 0 < p <= 20 and not 8 < p <= 12 else ""
+                assert got[i] == want, (i, p, reach)
+
+
+def test_rows_are_not_grouped(spark):
+    """Each row meets one window of the reference in one join; no row is spread over fragments and gathered again."""
+    df = spark.createDataFrame([("c", 5, "A", "")], "contig string, pos long, ref string, alt string")
+    plan = variants.normalized(df, fragments(spark, "GCAAAAT"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("Aggregate ") == 1 and "_id" not in plan
