@@ -36,6 +36,9 @@ def write_reads(
 
     A table of that name must not exist. Reads without a start are kept under the null stretch, reads without an end
     lie in the stretch of their start. Columns ``stretch`` and ``first`` are replaced.
+
+    The shuffle is a rebalance by stretch: adaptive execution sizes the writing tasks by their bytes and splits stretches
+    that hold many reads, so a task sorts a bounded part of a bucket and a large bucket has several files.
     """
     low = _stretch(F.col("start"), width)
     high = _stretch(F.greatest(F.col("end"), F.col("start") + 1) - 1, width)
@@ -43,7 +46,7 @@ def write_reads(
     rows = rows.withColumn("first", F.coalesce(F.col("stretch") == low, F.lit(True))).withColumn(
         "stretch", F.col("stretch").alias("stretch", metadata={"width": width})
     )
-    writer = rows.repartition(buckets, *KEYS).write.format("parquet").bucketBy(buckets, *KEYS).sortBy(*KEYS, "start")
+    writer = rows.hint("rebalance", *[F.col(c) for c in KEYS]).write.format("parquet").bucketBy(buckets, *KEYS).sortBy(*KEYS, "start")
     (writer.option("path", path) if path else writer).saveAsTable(table)
     return read_stored(reads.sparkSession, table)
 

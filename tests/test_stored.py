@@ -106,3 +106,26 @@ def test_odd_rows(spark, store):
     ).withColumn("stretch", F.lit("x")).withColumn("first", F.lit(7))
     table = store(odd)
     assert rows_of(stored.whole_reads(table).select(odd.columns[:14])) == rows_of(odd.select(odd.columns[:14]))
+
+
+def test_large_buckets_are_written_by_several_tasks(spark, store):
+    """A stretch with more bytes than one task should sort is split; the rows stay those of its bucket."""
+    settings = {
+        "spark.sql.shuffle.partitions": "4", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    n = 4_000
+    reads = spark.range(0, n, 1, 8).selectExpr("id", "'chr1' AS contig", "id % 6 AS start", "id % 6 + 1 AS end")
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        table = store(reads, buckets=2, width=8)
+        assert table.select(F.input_file_name()).distinct().count() > 2
+        assert table.filter("first").count() == n and table.select("id").distinct().count() == n
+        found = table.groupBy("contig", "stretch").count()
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        assert [tuple(r) for r in found.collect()] == [("chr1", 0, n)]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
