@@ -377,14 +377,23 @@ def window_totals(
     Here a read has two difference events for counts and sums, and one range for each extreme, whose winner
     is found by nested blocks: rows follow reads and loci, not the width of the window. Sums take
     whole numbers (nulls add nothing); an extreme over nulls only is null. Loci without a read near give no row.
+    The reads are read and combined once, to one row per distinct span; events and ranges are made of those.
     """
-    padded = reads.filter("end > start").select(
-        "*", F.greatest(F.col("start") - half_window, F.lit(0)).cast("bigint").alias("_from"),
-        (F.col("end") + half_window).cast("bigint").alias("_to"),
+    whole = {count: F.lit(1), **(sums or {})}
+    totals = {name: F.sum(F.coalesce(value.cast("bigint"), F.lit(0))) for name, value in whole.items()}
+    extremes = [F.min(v).alias(f"_least_{n}") for n, v in (minima or {}).items()]
+    extremes += [F.max(v).alias(f"_most_{n}") for n, v in (maxima or {}).items()]
+    padded = (
+        reads.filter("end > start")
+        .groupBy(
+            "contig", F.greatest(F.col("start") - half_window, F.lit(0)).cast("bigint").alias("_from"),
+            (F.col("end") + half_window).cast("bigint").alias("_to"),
+        )
+        .agg(*[total.alias(f"_total_{name}") for name, total in totals.items()], *extremes)
     )
     at = each_locus(loci if disjoint else merge(loci)).select("contig", "locus")
-    for name, value in {count: F.lit(1), **(sums or {})}.items():
-        value = F.coalesce(value.cast("bigint"), F.lit(0))
+    for name in whole:
+        value = F.col(f"_total_{name}")
         steps = padded.select(
             "contig", F.explode(F.array(
                 F.struct(F.col("_from").alias("start"), value.alias("step")), F.struct(F.col("_to").alias("start"), (-value).alias("step"))
@@ -394,7 +403,8 @@ def window_totals(
         at = at.join(lookup(at.select("contig", "locus"), runs), ["contig", "locus"], "inner" if name == count else "left")
         at = at.withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
     for least, columns in ((True, minima), (False, maxima)):
-        for name, value in (columns or {}).items():
+        for name in columns or {}:
+            value = F.col(f"_least_{name}" if least else f"_most_{name}")
             rank = F.struct((-value if least else value).alias("rank"), value.alias("value"))
             ranges = padded.select("contig", F.col("_from").alias("start"), F.col("_to").alias("end"), rank.alias("cand"))
             best = highest(ranges.filter("cand.value is not null")).select("contig", "start", "end", F.col("cand.value").alias(name))
