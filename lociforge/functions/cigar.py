@@ -55,7 +55,7 @@ def cigar_blocks(cigar: str = "cigar") -> Column:
     # splitting again. All insertions up to the next base belong to the base before, whatever padding
     # stands between them.
     attached = (
-        "CASE WHEN get(z.ops, i + 1) = 'I' AND coalesce(get(z.ops, i + 2) NOT IN ('I', 'P'), true) "
+        "CASE WHEN NOT z.inserts THEN 0 WHEN get(z.ops, i + 1) = 'I' AND coalesce(get(z.ops, i + 2) NOT IN ('I', 'P'), true) "
         "THEN int(get(z.lens, i + 1)) WHEN get(z.ops, i + 1) IN ('I', 'P') THEN "
         "aggregate(sequence(i + 1, size(z.ops)), named_struct('open', true, 'n', 0), (s, k) -> "
         "if(s.open AND coalesce(get(z.ops, k) IN ('I', 'P'), false), "
@@ -66,7 +66,8 @@ def cigar_blocks(cigar: str = "cigar") -> Column:
       element_at(transform(
         array(named_struct(
           'ops', split(regexp_replace({cigar}, '[0-9]+', ''), ''),
-          'lens', split({cigar}, '[MIDNSHP=X]'))),
+          'lens', split({cigar}, '[MIDNSHP=X]'),
+          'inserts', contains({cigar}, 'I'))),
         z -> aggregate(
           transform(z.ops, (op, i) -> named_struct(
             'op', op, 'len', int(get(z.lens, i)), 'idx', i, 'ins', {attached})),

@@ -60,7 +60,9 @@ def _haplotype_rows() -> list[tuple[int, int, int, str, str]]:
 
 def _haplotypes(spark: SparkSession) -> DataFrame:
     """The contig texts a read can come from: 4 contigs x heterozygous flag x somatic flag."""
-    return spark.createDataFrame(_haplotype_rows(), "c long, het long, som long, hap_text string, contig_text string")
+    rows = spark.createDataFrame(_haplotype_rows(), "c long, het long, som long, hap_text string, contig_text string")
+    # Binary, where a slice does not walk the text before it.
+    return rows.withColumns({t: F.col(t).cast("binary") for t in ("hap_text", "contig_text")})
 
 
 def read_layout(lineitem: DataFrame) -> DataFrame:
@@ -111,28 +113,28 @@ def all_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = joined.selectExpr(
         "*",
         *[f"{e} AS {n}_at" for n, e in offsets.items()],
-        "substring(contig_text, int(start) + 1, int(span)) AS ref_span",
-        "substring(hap_text, int(start) + 1, int(span)) AS hap_span",
+        "cast(substring(contig_text, int(start) + 1, int(span)) AS STRING) AS ref_span",
+        "cast(substring(hap_text, int(start) + 1, int(span)) AS STRING) AS hap_span",
         f"substring(repeat(element_at(array({cycles}), int((ok * 3) % 40 % 5) + 1), 9), "
         "int((ok * 3) % 40 div 5) + 1, int(span)) AS q_span",
     ).drop("hap_text", "contig_text")
     noisy = _letter("(start + noise_at)", 2)
+    # Every event of the MD tag is a number: twice its offset, and one more for the deletion. No two events have one
+    # offset, so sorted numbers are sorted events, and most reads have one or none.
+    seen = [f"if({o} < span AND NOT {gap.format(o=o)}, 2 * {o}, -1L)" for o in (f"{n}_at" for n in offsets)]
     texts = texts.selectExpr(
         "*",
         f"if(noise_at < span, overlay(hap_span PLACING {noisy} FROM int(noise_at) + 1 FOR 1), hap_span) AS text",
-        "array_sort(array_distinct(filter(array(noise_at, hom_at, hetero_at, soma_at), "
-        f"o -> o < span AND NOT {gap.format(o='o')}))) AS diffs",
+        f"sort_array(array_remove(array_distinct(array({', '.join(seen)}, if(shape = 5, 2 * h + 1, -1L))), -1L)) AS events",
     )
-    events = (
-        "concat(transform(diffs, o -> named_struct('at', o, 't', substring(ref_span, int(o) + 1, 1), 'n', 1L)), "
-        "if(shape = 5, array(named_struct('at', h, 't', concat('^', substring(ref_span, int(h) + 1, 2)), "
-        "'n', 2L)), array()))"
+    behind = "(get(events, {k}) div 2 + 1 + get(events, {k}) % 2)"
+    written = (
+        f"transform(events, (e, i) -> concat(cast(e div 2 - if(i = 0, 0, {behind.format(k='i - 1')}) AS STRING), "
+        "if(e % 2 = 1, '^', ''), substring(ref_span, int(e div 2) + 1, int(1 + e % 2))))"
     )
     md = (
-        f"if(size(diffs) = 0 AND shape <> 5, cast(span AS STRING), aggregate(array_sort({events}), "
-        "named_struct('at', 0L, 'out', ''), "
-        "(s, e) -> named_struct('at', e.at + e.n, 'out', concat(s.out, cast(e.at - s.at AS STRING), e.t)), "
-        "s -> concat(s.out, cast(span - s.at AS STRING))))"
+        f"if(size(events) = 0, cast(span AS STRING), if(ref_span IS NULL, NULL, concat(array_join({written}, ''), "
+        f"cast(span - {behind.format(k='size(events) - 1')} AS STRING))))"
     )
 
     def shaped(text: str, inserted: str, clipped: str) -> str:
