@@ -14,6 +14,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -34,6 +35,7 @@ FIXED = struct.Struct("<iiBBHHHiiii")
 TAG_BYTES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 
 _HEX_TO_BASE = str.maketrans("0123456789abcdef", BASE_CODES)
+_FROM_PHRED = bytes(max(i - 33, 0) for i in range(256))
 _TO_PHRED = bytes(min(i + 33, 126) for i in range(256))
 _FIELDS = pa.schema([
     ("flag", pa.int32()), ("contig", pa.string()), ("start", pa.int64()), ("mapq", pa.int32()), ("cigar", pa.string()),
@@ -250,12 +252,11 @@ def _decode(data: bytes, contigs: list[tuple[str, int]], skip: int) -> tuple[lis
             seq_at = cigar_at + 4 * ops
             qual_at = seq_at + (bases + 1) // 2
             tags_at = qual_at + bases
-            codes = struct.unpack_from(f"<{ops}I", data, cigar_at)
             qual = data[qual_at:tags_at]
             tags = _tags(data, tags_at, end)
             rows.append((
                 flag, contigs[contig][0] if contig >= 0 else "*", start, mapq,
-                "".join(f"{c >> 4}{CIGAR_CODES[c & 15]}" for c in codes) or "*",
+                _cigar_text(data[cigar_at:seq_at]),
                 data[seq_at:qual_at].hex().translate(_HEX_TO_BASE)[:bases] if bases else None,
                 qual.translate(_TO_PHRED).decode() if bases and qual.strip(b"\xff") else None,
                 tags.get("MD") or None, tags.get("RG") or None,
@@ -395,19 +396,45 @@ def _bin(start: int, end: int) -> int:
     return 0
 
 
-def _encode(row: dict, numbers: dict[str, int]) -> bytes:
-    cigar, ops = row["cigar"] or "*", []
-    length = ""
+class _BaseToHex(dict):
+    """The hexadecimal digit of each base's code, 15 for unknown ones."""
+
+    def __missing__(self, c: int) -> str:
+        return "f"
+
+
+_BASE_TO_HEX = _BaseToHex({ord(c): f"{i:x}" for i, c in enumerate(BASE_CODES)})
+
+
+@lru_cache(1 << 12)
+def _cigar_codes(cigar: str) -> tuple[int, ...]:
+    ops, length = [], ""
     for c in cigar if cigar != "*" else "":
         if c.isdigit():
             length += c
         else:
             ops.append(int(length) << 4 | CIGAR_CODES.index(c))
             length = ""
+    return tuple(ops)
+
+
+@lru_cache(1 << 12)
+def _cigar_text(codes: bytes) -> str:
+    return "".join(f"{c >> 4}{CIGAR_CODES[c & 15]}" for (c,) in struct.iter_unpack("<I", codes)) or "*"
+
+
+def _encode(row: dict, numbers: dict[str, int]) -> bytes:
+    ops = _cigar_codes(row["cigar"] or "*")
     seq, start = row["seq"] or "", -1 if row["start"] is None else row["start"]
-    codes = [max(BASE_CODES.find(c), 0) if c in BASE_CODES else 15 for c in seq.upper()] + [0] * (len(seq) % 2)
-    packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2]))
-    qual = bytes(ord(c) - 33 for c in row["qual"]) if row["qual"] else b"\xff" * len(seq)
+    digits = seq.upper().translate(_BASE_TO_HEX)
+    packed = bytes.fromhex(digits + "0" * (len(digits) % 2))
+    qual = row["qual"] or ""
+    if not qual:
+        qual = b"\xff" * len(seq)
+    elif qual.isascii() and min(qual) >= "!":
+        qual = qual.encode().translate(_FROM_PHRED)
+    else:
+        qual = bytes(ord(c) - 33 for c in qual)
     if len(qual) != len(seq):
         raise ValueError("sequence and qualities of a read differ in length")
     tags = b"".join(
