@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociforge.llm.words import BASES, plain, slices, split, string_hashes
+from lociforge.llm.words import plain, slices, split, wide_hashes
 
 CAPACITY = 4096
 END_OF_DOCUMENT = 2
@@ -48,7 +48,7 @@ class WordTokenizer:
 
     The vocabulary lower-cases text, drops white space and never joins a letter with a punctuation
     mark after it, so the ids of a text are those of such parts one after the other. A worker
-    remembers the ids of parts it has seen, by two 64-bit hashes.
+    remembers the ids of parts it has seen, by a hash of 128 bits.
     """
 
     def __init__(self, path: str):
@@ -103,19 +103,27 @@ class WordTokenizer:
         flat, starts = cut_marks(*split(texts))
         coded = flat.dictionary_encode()
         parts = coded.dictionary
-        key, check = string_hashes(parts, *BASES)
+        key, check = wide_hashes(parts)
         if len(self.key) > REMEMBERED:
             self.forget()
+        # Starts in the pool stay valid when parts are added, places do not: only new parts are looked up again.
+        where, count = np.zeros(len(key) + 1, np.int64), np.ones(len(key) + 1, np.int64)
         place = self.look_up(key, check)
-        new = np.flatnonzero(place < 0)
+        new, old = np.flatnonzero(place < 0), np.flatnonzero(place >= 0)
+        where[old], count[old] = self.start[place[old]], self.size[place[old]]
+        lost = new
         if len(new):
             self.remember(parts.take(pa.array(new)), key[new], check[new])
-            place = self.look_up(key, check)
-        lost = np.flatnonzero(place < 0)  # parts whose first hash is that of another part
-        ids, size = self.encode_parts(parts.take(pa.array(lost)).to_pylist())
-        pool = np.concatenate([self.pool, ids, np.array([END_OF_DOCUMENT], np.uint32)])
-        where, count = np.append(self.start[place], len(pool) - 1), np.append(self.size[place], 1)
-        where[lost], count[lost] = len(self.pool) + np.cumsum(size) - size, size
+            place = self.look_up(key[new], check[new])
+            old, lost = new[place >= 0], new[place < 0]  # lost: parts whose first hash is that of another part
+            where[old], count[old] = self.start[place[place >= 0]], self.size[place[place >= 0]]
+        pool = [self.pool]
+        if len(lost):
+            ids, size = self.encode_parts(parts.take(pa.array(lost)).to_pylist())
+            where[lost], count[lost] = len(self.pool) + np.cumsum(size) - size, size
+            pool.append(ids)
+        pool = np.concatenate([*pool, np.array([END_OF_DOCUMENT], np.uint32)])
+        where[-1] = len(pool) - 1
         word = np.insert(np.asarray(coded.indices, dtype=np.int64), starts[1:], len(parts))
         count, where = count[word], where[word]
         total = np.zeros(len(word) + 1, np.int64)

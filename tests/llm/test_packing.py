@@ -107,3 +107,22 @@ def test_little_padding(llm):
 
 def test_empty_table(llm):
     assert packing.pack(llm.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_parts_are_hashed_once(monkeypatch):
+    """One 128-bit hash a part tells parts apart; known parts are looked up once, and parts that share a half are kept apart."""
+    import xxhash
+
+    texts = pa.array(["one two, three two", "", "three four one", "two four five one"])
+    plain = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    wanted = [plain.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts.to_pylist()]
+    for cut in (16, 1):  # with one byte kept, most parts share the half that is the key
+        digest = xxhash.xxh3_128_digest
+        hashed = []
+        monkeypatch.setattr("lociforge.llm.words.xxhash.xxh3_128_digest", lambda w, d=digest, c=cut: hashed.append(w) or (d(w) if c == 16 else bytes(8) + d(w)[8:]))
+        coder = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+        for _ in range(2):
+            ids, starts = coder.encode(texts)
+            assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])] == wanted
+        assert len(hashed) == 2 * len(set(hashed))
+        monkeypatch.setattr("lociforge.llm.words.xxhash.xxh3_128_digest", digest)
