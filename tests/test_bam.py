@@ -105,3 +105,16 @@ def test_odd_files(spark, tmp_path):
     assert [r.md for r in back if r.seq is None] == ["4"] and sum(r.qual is None for r in back) == 3
     with pytest.raises(FileNotFoundError):
         bam.files(str(tmp_path / "nothing"))
+
+
+def test_texts_are_coded_by_tables():
+    """Bases of any case, unknown letters, odd lengths; a CIGAR is parsed once for all reads that share it."""
+    from lociforge.sources import bam
+
+    row = dict(contig="c", start=5, end=10, cigar="2S3M", md="3", seq="aC=x.", qual="!I~5#", mapq=9, sample="s", flag=0)
+    bam._cigar_codes.cache_clear()
+    data = bam._encode(row, {"c": 0}) + bam._encode({**row, "qual": None}, {"c": 0})
+    assert bam._cigar_codes.cache_info().misses == 1
+    rows, at = bam._decode(data, [("c", 100)], 0)
+    assert at == len(data)
+    assert [r[4:] for r in rows] == [("2S3M", "AC=NN", "!I~5#", "3", "s"), ("2S3M", "AC=NN", None, "3", "s")]

@@ -317,3 +317,18 @@ def test_window_events_do_not_grow_with_the_window(spark):
         n = F.size(nested.blocks(F.ceil(F.col("start") / 256), F.floor(F.col("end") / 256))) + 2
         moved.append(padded.select(F.sum(n)).first()[0])
     assert moved[1] < moved[0] * 75
+
+
+def test_window_totals_follow_distinct_spans(spark):
+    """Reads are combined to spans before events are made, and repeated reads count as often as they stand there."""
+    from pyspark.sql import functions as F
+
+    from lociforge.operators import pileup
+
+    rows = [("c", 3, 5, 7, None), ("c", 3, 5, 9, None), ("c", 3, 5, None, 4), ("c", 9, 9, 1, 1), (None, 3, 5, 1, 1)]
+    reads = spark.createDataFrame(rows, "contig string, start bigint, end bigint, mapq int, x int")
+    loci = spark.createDataFrame([("c", 4, 5)], "contig string, start bigint, end bigint")
+    found = pileup.window_totals(reads, loci, 2, {"s": F.col("mapq")}, {"low": F.col("mapq")}, {"high": F.col("x")})
+    assert [tuple(r) for r in found.collect()] == [("c", 4, 3, 16, 7, 4)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [contig" in plan and "_total_n_reads" in plan
