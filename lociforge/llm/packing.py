@@ -11,8 +11,10 @@ long document is only more pieces.
 from __future__ import annotations
 
 import heapq
+import os
 from collections.abc import Iterator
 from functools import cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +37,11 @@ REMEMBERED = 500_000
 TEXT_BYTES = 1 << 20
 #: Tokenised slices after which freed Arrow memory goes back to the system.
 RELEASE_EVERY = 16
-#: A special token of the vocabulary, set between parts to encode many at once.
-MARK = "<|startoftext|>"
+#: Set between parts to encode many at once: a digit is always a token of its own.
+MARK = "0"
+#: Signs that are cut off the end of a word; not those of special tokens.
 PUNCTUATION = np.zeros(256, bool)
-PUNCTUATION[list(b".,;:!?")] = True
+PUNCTUATION[list(b"!\"#$%&'()*+,-./:;=?@[\\]^_`{}~")] = True
 
 
 # --- tokens ---------------------------------------------------------------------------------------
@@ -47,15 +50,16 @@ class WordTokenizer:
     """Ids of whole texts by way of their distinct words.
 
     The vocabulary lower-cases text, drops white space and never joins a letter with a punctuation
-    mark after it, so the ids of a text are those of such parts one after the other. A worker
-    remembers the ids of parts it has seen, by a hash of 128 bits.
+    mark after it, so the ids of a text are those of words and of the marks at their ends one after the
+    other. A worker remembers the ids of parts it has seen, by a hash of 128 bits.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark_id = self.tokenizer.token_to_id(MARK)
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark_id = mark[0] if len(mark) == 1 else None
         self.forget()
 
     def forget(self) -> None:
@@ -72,19 +76,24 @@ class WordTokenizer:
 
     def encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the parts and how many each has."""
-        ids, sizes = [], []
-        for a in range(0, len(parts), 512):
-            some = parts[a : a + 512]
-            if self.mark_id is None or any("<|" in p for p in some):
-                made = [m.ids for m in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-                sizes += map(len, made)
-                ids += [np.array(m, np.uint32) for m in made]
-            else:
-                joined = np.array(self.tokenizer.encode(MARK.join(some), add_special_tokens=False).ids, np.uint32)
-                cut = np.flatnonzero(joined == self.mark_id)
-                sizes += (np.diff(np.concatenate([[-1], cut, [len(joined)]])) - 1).tolist()
-                ids.append(np.delete(joined, cut))
-        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array(sizes, np.int64)
+        encode = self.tokenizer.encode_batch_fast
+        odd = np.array([MARK in p or "<|" in p or self.mark_id is None for p in parts], bool)
+        alone, joint = np.flatnonzero(odd), np.flatnonzero(~odd)
+        made = [np.array(m.ids, np.uint32) for m in encode([parts[i] for i in alone], add_special_tokens=False)]
+        sizes, ids = [np.array([len(m) for m in made], np.int64)], made
+        for a in range(0, len(joint), 512):
+            text = MARK.join([parts[i] for i in joint[a : a + 512]])
+            joined = np.array(encode([text], add_special_tokens=False)[0].ids, np.uint32)
+            is_mark = joined == self.mark_id
+            sizes.append(np.diff(np.concatenate([[-1], np.flatnonzero(is_mark), [len(joined)]])) - 1)
+            ids.append(joined[~is_mark])
+        size, order = np.concatenate(sizes), np.concatenate([alone, joint])
+        ids = np.concatenate([np.zeros(0, np.uint32), *ids])
+        if not len(alone):
+            return ids, size
+        back = np.argsort(order)  # in the order given
+        begin, size = (np.cumsum(size) - size)[back], size[back]
+        return ids[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(len(ids))], size
 
     def remember(self, parts: pa.Array, key: np.ndarray, check: np.ndarray) -> None:
         _, first = np.unique(key, return_index=True)
@@ -133,23 +142,30 @@ class WordTokenizer:
 
 
 def cut_marks(flat: pa.Array, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """The words with a last punctuation mark after a letter made a word of its own."""
+    """The words with the punctuation marks at their end, after a letter, made a word of their own."""
     if not len(flat):
         return flat, starts
     offsets = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1]
     data = np.frombuffer(flat.buffers()[2], np.uint8)
-    end = offsets[1:]
-    before = data[np.maximum(end - 2, 0)]
-    cut = PUNCTUATION[data[end - 1]] & (before >= 97) & (before <= 122) & (np.diff(offsets) > 1)
+    begin, at, end = offsets[:-1], np.arange(len(flat)), offsets[1:].copy()
+    while len(at):  # ``end`` moves back over the marks, word by word where there are more
+        at = at[(end[at] > begin[at]) & PUNCTUATION[data[end[at] - 1]]]
+        end[at] -= 1
+    last, before = data[np.maximum(end - 1, 0)], data[np.maximum(end - 2, 0)]
+    letter = (last >= 97) & (last <= 122)
+    # U+00DF to U+00FF without the division sign; composed letters of other texts stay with their marks
+    letter |= (before == 0xC3) & (last >= 0x9F) & (last <= 0xBF) & (last != 0xB7)
+    cut = letter & (end > begin) & (end < offsets[1:])
     moved = np.zeros(len(cut) + 1, np.int64)
     np.cumsum(cut, out=moved[1:])
     at = np.flatnonzero(cut)
-    offsets = np.insert(offsets, at + 1, end[at] - 1).astype(np.int32)
+    offsets = np.insert(offsets, at + 1, end[at]).astype(np.int32)
     return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), flat.buffers()[2]), starts + moved[starts]
 
 
 @cache
 def tokenizer(path: str) -> WordTokenizer:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     return WordTokenizer(path)
 
 
@@ -179,8 +195,8 @@ def differencing(sizes: list[int], ways: int) -> list[list[int]]:
             met.append((one[a] + two[b], mine[a]))
         keep = len(two) - over
         rows = list(zip(one[: len(one) - over], mine)) + met + list(zip(two[:keep], other))
-        rows.sort(key=lambda r: -r[0])
-        sums, owners = [r[0] for r in rows], [r[1] for r in rows]
+        rows.sort(key=itemgetter(0), reverse=True)
+        sums, owners = [s for s, _ in rows], [i for _, i in rows]
         least = sums[-1] if len(sums) == ways else 0
         turn += 1
         heapq.heappush(heap, (least - sums[0], turn, sums, owners))

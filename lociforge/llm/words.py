@@ -137,7 +137,11 @@ def string_hashes(strings: pa.Array, *bases: int) -> list[np.ndarray]:
 
 def wide_hashes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Both 64-bit halves of XXH3-128 of the UTF-8 bytes of each string, in one pass over the strings."""
-    made = b"".join(map(xxhash.xxh3_128_digest, strings.cast(pa.binary()).to_pylist()))
+    if not len(strings):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    ends = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].tolist()
+    data = strings.buffers()[2].to_pybytes()
+    made = b"".join([xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(ends, ends[1:])])
     halves = np.frombuffer(made, np.uint64).reshape(-1, 2)
     return halves[:, 0].copy(), halves[:, 1].copy()
 

@@ -126,3 +126,20 @@ def test_parts_are_hashed_once(monkeypatch):
             assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])] == wanted
         assert len(hashed) == 2 * len(set(hashed))
         monkeypatch.setattr("lociforge.llm.words.xxhash.xxh3_128_digest", digest)
+
+
+def test_marks_at_the_end_are_parts_of_their_own():
+    """Words that differ by the marks at their end are tokenised once; parts with the joining digit or special tokens keep their place."""
+    texts = pa.array(["ab ab&& cd cd&& fé fé&&!", "0 x0y ab.0 10 <|endoftext|>&& cd'!", "ñ÷!! ÷!! ab's!! 日!! é!", "&&"])
+    coder = packing.WordTokenizer(PATH)
+    asked = []
+    encode_parts = coder.encode_parts
+    coder.encode_parts = lambda parts: asked.append(parts) or encode_parts(parts)
+    for _ in range(2):
+        ids, starts = coder.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])] == [want(t) for t in texts.to_pylist()]
+    assert len(asked) == 1 and len(asked[0]) == len(set(asked[0]))
+    coder.forget()
+    asked.clear()
+    coder.encode(texts.slice(0, 1))
+    assert sorted(asked[0]) == ["&&", "&&!", "ab", "cd", "fé"]
