@@ -7,14 +7,20 @@ spread over many tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lociforge.operators.nested import FACTOR, TOP, around, blocks
 from lociforge.operators.prefix import BIN_WIDTH, position_bin, running_total
 
 #: Width of the bins used by overlay and by overlap joins.
 JOIN_BIN = 256
+#: Bins to a stretch of a wide overlay.
+STRETCH = 256
 
 
 def merge_with_previous(
@@ -160,7 +166,7 @@ def overlay(
     cut into whole bins, kept as one candidate per bin, and its two ragged edges. Edges are cut at
     the endpoints of the other edges in their bin, and each piece keeps its winner. Copies shrink to
     one before the shuffle. A range has a row for each bin, which is the least work for ranges of some
-    thousand loci; with ``wide`` it has a row for each nested block, see :func:`highest`.
+    thousand loci; with ``wide`` it has three rows at most, see :func:`_latest`.
     """
     rank = F.struct(
         F.col("start").alias("s"),
@@ -168,8 +174,7 @@ def overlay(
         F.col(value).alias("v"),
     )
     if wide:
-        pieces = highest(intervals.select("contig", "start", "end", rank.alias("cand")), bin_width)
-        return merge(pieces.select("contig", "start", "end", F.col("cand.v").alias(value)), ("contig", value))
+        return _latest(intervals.select("contig", "start", "end", rank.alias("cand")), value, bin_width * STRETCH)
     clipped = intervals.filter("end > start").select(
         "contig", "start", "end", rank.alias("cand"),
         F.explode(
@@ -225,6 +230,143 @@ def overlay(
     return merge(pieces, ("contig", value))
 
 
+def _latest(ranges: DataFrame, value: str, width: int) -> DataFrame:
+    """Disjoint fused ``contig, value, start, end``: the value of the largest ``cand`` over each locus.
+
+    ``cand`` is ``s, o, v`` with the start of its range first, so that ranges in order of start take over from those
+    before them. A range is cut at the first and last edge between stretches of ``width`` loci. What lies between is
+    overlaid in whole stretches, of which each has one winner; that winner is one more range of its stretch, from end
+    to end. Then each stretch is swept once in order of start.
+    """
+    a, b = F.ceil(F.col("start") / width).cast("bigint"), F.floor(F.col("end") / width).cast("bigint")
+    spans = ranges.filter("end > start").select(
+        "contig", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "cand", a.alias("a"), b.alias("b")
+    )
+
+    def part(whole: bool, stretch: Column, low: Column, high: Column) -> Column:
+        return F.struct(
+            F.lit(whole).alias("whole"), stretch.cast("bigint").alias("stretch"), low.cast("bigint").alias("from"), high.cast("bigint").alias("to")
+        )
+
+    parts = F.filter(
+        F.array(
+            part(False, F.col("a") - 1, F.col("start"), F.least("end", F.col("a") * width)),
+            part(False, F.col("b"), F.when(F.col("a") <= F.col("b"), F.greatest("start", F.col("b") * width)), F.col("end")),
+            part(True, F.lit(None), F.col("a"), F.col("b")),
+        ),
+        lambda p: p["to"] > p["from"],
+    )
+    rows = _shared(spans.select("contig", "cand", F.explode(parts).alias("p")).select("contig", "p.*", "cand.*").distinct())
+    cand = F.struct("s", "o", "v").alias("cand")
+    # Whole stretches, in groups of as many as a stretch has loci: a group holds whole contigs in practice.
+    group = F.explode(F.sequence(position_bin("from", width), position_bin(F.col("to") - 1, width)))
+    whole = (
+        rows.filter("whole").select("contig", "from", "to", cand, group.alias("stretch"))
+        .groupBy(
+            "contig", "stretch", F.greatest(F.col("from"), F.col("stretch") * width).alias("from"),
+            F.least(F.col("to"), (F.col("stretch") + 1) * width).alias("to"),
+        )
+        .agg(F.max("cand").alias("cand"))
+    )
+    winners = _swept(whole, "cand").select("contig", F.explode(F.expr("sequence(start, end - 1)")).alias("stretch"), F.col("held").alias("cand"))
+    over = winners.select(
+        "contig", "stretch", (F.col("stretch") * width).alias("from"), ((F.col("stretch") + 1) * width).alias("to"), "cand"
+    )
+    pieces = _swept(rows.filter("not whole").select("contig", "stretch", "from", "to", cand).unionByName(over), "cand.v")
+    # Pieces of a stretch are fused already; those at its edges meet in one window per contig and value.
+    edge = (F.col("start") == F.col("stretch") * width) | (F.col("end") == (F.col("stretch") + 1) * width)
+    placed = pieces.select(
+        "contig", F.col("held").alias(value), "start", "end", F.when(edge, F.lit(-1)).otherwise(F.col("stretch")).alias("_stitch")
+    )
+    by_start = Window.partitionBy("contig", value, "_stitch").orderBy("start")
+    opens = F.coalesce(F.lag("end").over(by_start) < F.col("start"), F.lit(True)).cast("int")
+    return (
+        placed.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(by_start))
+        .groupBy("contig", value, "_stitch", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        .select("contig", value, "start", "end")
+    )
+
+
+def _swept(rows: DataFrame, held: str) -> DataFrame:
+    """Fused pieces ``contig, stretch, start, end, held`` of the ranges ``from, to, cand`` of each stretch.
+
+    ``held`` is what a piece shows of its range. Of two ranges over a locus the one with the larger ``cand`` shows,
+    which must not start before the other. Memory follows the ranges that are open at once, and of those only ones
+    that end after all later ones are held.
+    """
+    by_start = (
+        rows.repartition("contig", "stretch").sortWithinPartitions("contig", "stretch", "from", "cand")
+        .select("contig", "stretch", "from", "to", F.col(held).alias("held"))
+    )
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = stretch = types = None
+        at, ends, values = 0, [], []  # open ranges, the one that shows last
+        made: list[tuple] = []
+        last: list | None = None
+
+        def put(start: int, end: int, value) -> None:
+            nonlocal last
+            if last is not None and last[3] == start and (last[4] == value or (last[4] != last[4] and value != value)):
+                last[3] = end
+                return
+            last = [name, stretch, start, end, value]
+            made.append(last)
+
+        def close() -> None:
+            nonlocal at, last
+            while ends:
+                put(at, ends[-1], values[-1])
+                at = ends.pop()
+                values.pop()
+            last = None
+
+        def batch_of(pieces: list) -> pa.RecordBatch:
+            columns = list(zip(*pieces))
+            return pa.record_batch(
+                [pa.array(c, t) for c, t in zip(columns, [types[0], pa.int64(), pa.int64(), pa.int64(), types[1]])],
+                ["contig", "stretch", "start", "end", "held"],
+            )
+
+        for batch in batches:
+            types = types or (batch.schema.field(0).type, batch.schema.field(4).type)
+            for c, t, low, high, value in zip(*map(_listed, batch.columns)):
+                if t != stretch or c != name:
+                    close()
+                    name, stretch = c, t
+                while ends and ends[-1] <= low:
+                    put(at, ends[-1], values[-1])
+                    at = ends.pop()
+                    values.pop()
+                if ends and at < low:
+                    put(at, low, values[-1])
+                at = low
+                while ends and ends[-1] <= high:
+                    ends.pop()
+                    values.pop()
+                ends.append(high)
+                values.append(value)
+            if len(made) > 16_384:  # the last piece may go on
+                ready, made[:] = made[:-1], made[-1:]
+                yield batch_of(ready)
+        close()
+        if made:
+            yield batch_of(made)
+
+    schema = by_start.schema
+    fields = [schema["contig"], schema["stretch"], StructField("start", LongType()), StructField("end", LongType()), schema["held"]]
+    return by_start.mapInArrow(sweep, StructType([StructField(f.name, f.dataType) for f in fields]))
+
+
+def _listed(column: pa.Array) -> list:
+    """The values of a column; each distinct text is made once."""
+    if pa.types.is_string(column.type):
+        coded = column.dictionary_encode()
+        known = [*coded.dictionary.to_pylist(), None]
+        return [known[i] for i in coded.indices.fill_null(len(known) - 1).to_pylist()]
+    return column.to_pylist()
+
+
 def highest(ranges: DataFrame, bin_width: int = JOIN_BIN) -> DataFrame:
     """Disjoint pieces ``contig, start, end, cand`` of the covered loci with the largest ``cand`` of the ranges over them.
 

@@ -301,3 +301,46 @@ def test_rows_of_a_long_range_are_bounded(spark):
     assert max(r["n"] for r in sized) <= 2 * 31 * 4 + 3 * 10**9 // 2**28 + 1
     filled = rows.select(F.size(overlap._bins_filled("start", "end", 256)).alias("n"), "start", "end").collect()
     assert all(r["n"] <= (r["end"] - r["start"]) // 65_536 + 2 * 257 for r in filled)
+
+
+@pytest.mark.parametrize("kind", ["string", "double"])
+def test_wide_overlay_sweeps_stretches(spark, kind):
+    """Nested, equal and touching ranges, copies, null values and a settled order give what the narrow overlay gives."""
+    rng = random.Random(kind)
+    values = {"string": ["x", "y", None], "double": [1.0, float("nan"), None]}[kind]
+    edge = iv.JOIN_BIN * iv.STRETCH
+    rows = [("n", k, 4 * edge - k, k % 5, values[k % 3]) for k in range(0, 2 * edge, 9973)]  # one inside the other
+    rows += [("t", k * edge // 2, (k + 1) * edge // 2, 0, values[k // 4 % 3]) for k in range(12)]  # edge to edge
+    rows += [("e", edge + 7, edge + 7 + rng.choice([1, 60, edge, 3 * edge]), rng.randint(0, 3), rng.choice(values)) for _ in range(40)]
+    for _ in range(120):
+        s = rng.randint(0, 5 * edge)
+        rows.append((rng.choice("ab"), s, s + rng.choice([0, 1, 30, 900, edge, 100_000, 6 * edge]), rng.randint(0, 3), rng.choice(values)))
+    rows += rows[-30:]
+    data = spark.createDataFrame(rows, f"contig string, start long, end long, o long, value {kind}")
+    for order in (None, "o"):
+        got = iv.overlay(data, order=order, wide=True)
+        assert got.columns == iv.overlay(data, order=order).columns
+        flat = lambda df: sorted((r["contig"], r["start"], r["end"], str(r["value"])) for r in df.collect())
+        assert flat(got) == flat(iv.overlay(data, order=order))
+
+
+def test_rows_of_a_wide_overlay_are_few(spark):
+    """A range of thousands of loci moves at most three rows through the shuffles, of which there are few."""
+    rows = spark.range(3_000).selectExpr("'a' AS contig", "id * 9973 AS start", "id * 10007 + 39000 AS end", "id % 3 AS value")
+    got = iv.overlay(rows, wide=True)
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan()
+    text = plan.toString().split("== Initial Plan ==")[0]
+    assert text.count("Exchange hashpartitioning") - text.count("ReusedExchange") <= 7
+
+    def moved(node):
+        kids = node.children()
+        below = [moved(kids.apply(i)) for i in range(kids.size())]
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return moved(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            return moved(node.plan())
+        own = node.metrics().get("shuffleRecordsWritten")
+        return max([*below, own.get().value() if own.isDefined() and node.nodeName() == "Exchange" else 0])
+
+    assert 3_000 <= moved(plan) <= 9_000 + 3_000 * 10_007 // (iv.JOIN_BIN * iv.STRETCH)
